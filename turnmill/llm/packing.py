@@ -37,7 +37,7 @@ class Costs:
 
 def best_cuts(position: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     """Indices into `position` (ascending, from 0, steps <= window) of the window borders of least total cost, where
-    a window from j to i costs window - (position[i] - position[j]) + penalty[i]. Of equal costs the longer window wins."""
+    a window from j to i costs window - (position[i] - position[j]) + penalty[i]; the last one is open and costs no padding."""
     pos, pen = position.tolist(), penalty.tolist()
     n = len(pos)
     back = [0] * n
@@ -53,6 +53,8 @@ def best_cuts(position: np.ndarray, penalty: np.ndarray, window: int) -> list[in
         while queue and value[queue[-1]] > v:
             queue.pop()
         queue.append(i)
+    within = range(int(np.searchsorted(position, pos[-1] - window)), n - 1)
+    back[-1] = min(within, key=lambda j: value[j] - 2 * pos[j])
     cuts, i = [], n - 1
     while i:
         cuts.append(i)
