@@ -106,7 +106,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    return pc.fill_null(batch.column(column), "").cast(pa.large_string())
+    """The texts, nulls as empty. They are copied, since kernels for strings may misread an array cut from a larger one."""
+    return pc.fill_null(batch.column(column), "").take(pa.array(np.arange(batch.num_rows))).cast(pa.large_string())
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
