@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmap
 from .common import Scratch, flat_ranges, pick, ship, slices, split_words, texts_of
 
 WINDOW, MER = 35, 8
@@ -84,20 +85,7 @@ def repeated_minimisers(docs: DataFrame, window: int, mer: int, bits: int) -> by
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     again = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    bit = F.col("h").bitwiseAND((1 << bits) - 1)
-    parts = again.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("map"))
-    out = np.zeros(max(1, (1 << bits) // 32768) + 1, "S4096").view(np.uint8).reshape(-1, 4096)
-    for row in parts.toLocalIterator():  # 4 KB for each 32,768 bits
-        out[row["k"]] = np.frombuffer(row["map"], np.uint8)
-    return out.tobytes()
-
-
-def _marked(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    """Which minimisers have their bit set, in the layout of bitmap_bucket_number (from 1) and bitmap_bit_position."""
-    bit = (h & np.uint64((1 << bits) - 1)).astype(np.int64) - 1  # bit b > 0 lies in bucket 1 + (b - 1) // 32768 at (b - 1) % 32768
-    zero = bit < 0
-    place = np.where(zero, 0, (1 + bit // 32768) * 32768 + bit % 32768)
-    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    return bitmap.build(again, "h", bits)
 
 
 def _digest(payload: bytes) -> bytes:
@@ -115,14 +103,14 @@ def duplicated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW,
     """(doc_id, tkey, runs): of each text (tkey: its xxhash64) the places of windows that also occur elsewhere, as
     structs of a first window and a mask of the windows from there on."""
     spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(repeated_minimisers(docs, window, mer, bits))
+    repeated = spark.sparkContext.broadcast(repeated_minimisers(docs, window, mer, bits))
 
     def cut(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[pa.RecordBatch]:
-        marks = np.frombuffer(bitmap.value, np.uint8)
+        marks = np.frombuffer(repeated.value, np.uint8)
         for batch in slices(batches):
             words = Words(texts_of(batch))
             h, text, first, n = super_kmers(words, window, mer)
-            use = np.flatnonzero(_marked(marks, h, bits))
+            use = np.flatnonzero(bitmap.test(marks, h, bits))
             if not len(use):
                 continue
             h, text, first, n = h[use], text[use], first[use], n[use]
