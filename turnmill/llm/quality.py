@@ -11,10 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, pick
+from .common import SPACE, Scratch, pick
 
-#: Character classes by what a regular expression removes; symbols and all else make a last class.
-CLASSES = ("[a-z]+", "[A-Z]+", r"[\p{L}\p{M}&&[^A-Za-z]]+", r"\p{Nd}+", r"[\x20\x09-\x0D]+", r"[.,;:!?'\"()\-]+")
+#: What prose mostly consists of. The few characters that remain are then looked at class by class: capitals, digits,
+#: marks and ASCII symbols; letters and space are counted as what the first removal took, all else makes a last class.
+BULK = r"[a-zß-öø-ÿ\x20\x09-\x0D]+"
+CLASSES = ("[A-Z]+", "[0-9]+", r"[.,;:!?'\"()\-]+", r"[#$%&*+/<=>@\[\]\\^_`{|}~]+")
 
 
 @dataclass(frozen=True)
@@ -36,12 +38,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def class_counts(text: Column) -> Column:
-    found = [F.length(text) - F.length(F.regexp_replace(text, pattern, "")) for pattern in CLASSES]
-    rest = F.length(text)
+def class_counts(text: Column, bare: Column, spaces: Column) -> Column:
+    """bare: the text without BULK. Counts of letters, white space, each of CLASSES, and the rest."""
+    found = [F.length(bare) - F.length(F.regexp_replace(bare, pattern, "")) for pattern in CLASSES]
+    rest = F.length(bare)
     for c in found:
         rest = rest - c
-    return F.array(*[c.cast("long") for c in (*found, rest)])
+    return F.array(*[c.cast("long") for c in (F.length(text) - F.length(bare) - spaces, spaces, *found, rest)])
 
 
 def js_distance(counts: Column, reference: Column) -> Column:
@@ -54,44 +57,39 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
-def references(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """A row for each value of lang in (lang, text), over all its documents: ref_classes, ref_words (its most common words)
-    and ref_counts (theirs, then that of all other words)."""
-    text = F.col("text")
-    totals = docs.select("lang", class_counts(text).alias("c"), F.size(words(text)).alias("n")).groupBy("lang").agg(F.array(*[F.sum(F.get("c", F.lit(k))) for k in range(len(CLASSES) + 1)]).alias("ref_classes"), F.sum("n").alias("all_words"))
-    short = F.filter(words(text), lambda w: (F.length(w) <= limits.common_length) & w.rlike(r"^\p{L}+$"))
-    counted = docs.select("lang", F.explode(short).alias("w")).groupBy("lang", F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+def common_words(docs: DataFrame, limits: Limits) -> DataFrame:
+    """lang and its most common words (ref_words, the most common first) over all documents of (lang, text)."""
+    short = F.filter(words(F.col("text")), lambda w: F.length(w) <= limits.common_length)
+    counted = docs.select("lang", F.explode(short).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.where(F.col("w").rlike(r"^\p{L}+$")).groupBy("lang", F.lower("w").alias("w")).agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
-    top = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= limits.common_words).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n"))).alias("top"))
-    return totals.join(top, "lang", "left").select(
-        "lang",
-        "ref_classes",
-        F.coalesce(F.transform("top", lambda x: x["w"]), F.array().cast("array<string>")).alias("ref_words"),
-        F.coalesce(F.array_append(F.transform("top", lambda x: x["n"]), F.col("all_words") - F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x["n"])), F.array("all_words")).alias("ref_counts"),
-    )
+    top = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= limits.common_words)
+    return top.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("ref_words"))
+
+
+def _small(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """A table of a row for each language, to broadcast if it has as few rows as languages have."""
+    written = scratch.table(name, df)
+    return F.broadcast(written) if written.count() <= 1000 else written
 
 
 def measures(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The base figures and both distances for each row of (doc_id, lang, text)."""
+    scratch = Scratch(docs.sparkSession, "quality")
     docs = pick(docs, "doc_id", "lang", "text").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    # one row for each language
-    known = references(docs, limits)
-    n = F.size("w")
+    known = _small(common_words(docs, limits), scratch, "words")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.join(known, "lang", "left").select("doc_id", "lang", "text", "ref_classes", "ref_words", "ref_counts", words(F.col("text")).alias("w"), lines.alias("lines"))
+    df = docs.join(known, "lang", "left").select("doc_id", "lang", "text", F.coalesce("ref_words", F.array().cast("array<string>")).alias("ref_words"), words(F.col("text")).alias("w"), lines.alias("lines"), F.regexp_replace("text", BULK, "").alias("bare"))
+    n = F.size("w")
     df = df.select(
-        "doc_id",
-        "ref_classes",
-        "ref_counts",
-        "ref_words",
-        class_counts(F.col("text")).alias("classes"),
+        "doc_id", "lang", "text", "bare", "ref_words",
         n.cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (F.length("bare") - F.length(F.translate("bare", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.filter(F.transform("w", lambda x: F.array_position("ref_words", F.lower(x))), lambda k: k > 0).alias("hits"),
+        F.filter(F.transform(F.filter("w", lambda x: F.length(x) <= limits.common_length), lambda x: F.array_position("ref_words", F.lower(x))), lambda k: k > 0).alias("hits"),
         F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<long>")).alias("windows"),
-    )
+    )
     # windows that occur twice stand side by side in the order of (hash, place); most documents have none and sort nothing
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
     df = df.withColumn("ordered", F.when(twice, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -99,13 +97,20 @@ def measures(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     df = df.withColumn("places", F.when(F.col("ordered").isNotNull(), F.sort_array(F.transform(F.filter("ordered", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))))
     # each place covers three words, fewer where the next place follows closely
     covered = F.aggregate(F.transform("places", lambda p, i: F.least(F.coalesce(F.get("places", i + 1) - p, F.lit(3)), F.lit(3))), F.lit(0), lambda s, x: s + x)
-    counts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ref_words"), F.lit(1))), lambda k: F.size(F.filter("hits", lambda x: x == k)).cast("long"))
-    counts = F.array_append(F.slice(counts, 1, F.size("ref_words")), F.col("n_words") - F.size("hits"))
-    return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    hits = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ref_words"), F.lit(1))), lambda k: F.size(F.filter("hits", lambda x: x == k)).cast("long"))
+    counted = scratch.table("counts", df.select(
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        class_counts(F.col("text"), F.col("bare"), F.length("text") - F.col("word_chars")).alias("classes"),
+        F.array_append(F.slice(hits, 1, F.size("ref_words")), F.col("n_words") - F.size("hits")).alias("word_counts"),
+    ))
+    total = lambda c, n: F.array(*[F.sum(F.coalesce(F.get(c, F.lit(k)), F.lit(0))) for k in range(n)])
+    sums = counted.groupBy("lang").agg(total("classes", len(CLASSES) + 3).alias("ref_classes"), total("word_counts", limits.common_words + 1).alias("ref_counts"), F.max(F.size("word_counts")).alias("n"))
+    references = _small(sums.select("lang", "ref_classes", F.slice("ref_counts", 1, F.col("n")).alias("ref_counts")), scratch, "references")
+    return counted.join(references, "lang").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         js_distance(F.col("classes"), F.col("ref_classes")).alias("class_distance"),
-        js_distance(counts, F.col("ref_counts")).alias("word_distance"),
+        js_distance(F.col("word_counts"), F.col("ref_counts")).alias("word_distance"),
     )
 
 
