@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality, rans, simhash, substring, token_counts, toxicity
+from . import packing, quality, rans, simhash, substring, templates, token_counts, toxicity
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -36,6 +37,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = templates.drop_templates(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.encode_and_read_back(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0)
 
@@ -45,7 +51,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_token_counts, op3_toxicity, op5_substring, op6_quality, op8_rans, op10_simhash)
+    found = (op1_packing, op2_token_counts, op3_toxicity, op5_substring, op6_quality, op7_templates, op8_rans, op10_simhash)
     return {f.__name__: f for f in found}
 
 
