@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, rans, simhash, substring, templates, token_counts, toxicity
+from . import decontaminate, packing, quality, rans, simhash, substring, templates, token_counts, toxicity
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -46,12 +46,16 @@ def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.encode_and_read_back(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_token_counts, op3_toxicity, op5_substring, op6_quality, op7_templates, op8_rans, op10_simhash)
+    found = (op1_packing, op2_token_counts, op3_toxicity, op5_substring, op6_quality, op7_templates, op8_rans, op9_decontaminate, op10_simhash)
     return {f.__name__: f for f in found}
 
 
