@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, rans, simhash, substring, templates, token_counts, toxicity
+from . import decontaminate, language_model, packing, quality, rans, simhash, substring, templates, token_counts, toxicity
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -29,6 +29,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -55,7 +59,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_token_counts, op3_toxicity, op5_substring, op6_quality, op7_templates, op8_rans, op9_decontaminate, op10_simhash)
+    found = (op1_packing, op2_token_counts, op3_toxicity, op4_language_model, op5_substring, op6_quality, op7_templates, op8_rans, op9_decontaminate, op10_simhash)
     return {f.__name__: f for f in found}
 
 
