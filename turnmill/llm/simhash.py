@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, lower_ascii, pick, ship, slices, split_words, texts_of
@@ -221,3 +221,122 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, limit: int
     ids = of_print.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of_print.join(ids, "root").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Of the wide fingerprint: 64-bit tables, bits of a band, and the leading bits that are compared.
+TABLES, BAND_BITS, COMPARED = 10, 16, 512
+
+
+def wide_fingerprints(texts: pa.Array, words: int, tables: int = TABLES) -> np.ndarray:
+    """A row of `tables` fingerprints of each text, every one with hashes of its own of the same shingles."""
+    values, at = split_words(lower_ascii(texts))
+    n_words = np.diff(at)
+    coded = values.cast(pa.large_binary()).dictionary_encode()
+    known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    w = known[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.uint64)
+    count = np.where(n_words >= words, n_words - words + 1, np.minimum(n_words, 1))
+    offsets = np.concatenate([[0], np.cumsum(count)])
+    first = np.arange(offsets[-1]) + np.repeat(at[:-1] - offsets[:-1], count)
+    size = np.repeat(np.minimum(n_words, words), count)
+    h = size.astype(np.uint64)
+    for j in range(words):
+        own = size > j
+        h[own] = (h[own] ^ w[first[own] + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    out = np.zeros((len(n_words), tables), np.uint64)
+    for t in range(tables):
+        g = (h + np.uint64(2 * t + 1)) * np.uint64(0xD6E8FEB86659FD93 + 2 * t)
+        g ^= g >> np.uint64(32)
+        g *= np.uint64(0xFF51AFD7ED558CCD)
+        g ^= g >> np.uint64(29)
+        out[:, t] = majority_bits(g, offsets)
+    return out
+
+
+def similarity_radius(similarity: float, bits: int, slack: float = 1.2) -> int:
+    """Differing bits expected of two sets of equal size at this Jaccard similarity, plus slack standard deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * (p + slack * np.sqrt(p * (1 - p) / bits)))
+
+
+def similar_texts(docs: DataFrame, scratch: Scratch, words: int, similarity: float, limit: int = SHARD_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tkey) of each row of (doc_id, text), tkey being the text's hash, and (node, root) of all tkeys linked.
+
+    Texts meet in a shard if a band of their wide fingerprints agrees; a BK-tree there finds those within the radius that the
+    similarity gives. At the threshold itself about a tenth of all pairs are missed, at 0.9 hardly any."""
+    ship(docs.sparkSession)
+    radius = similarity_radius(similarity, COMPARED)
+    bands = TABLES * 64 // BAND_BITS
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=2 << 20):
+            found = wide_fingerprints(texts_of(batch), words).astype("<u8")
+            raw = found.tobytes()
+            n = 8 * TABLES
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("tkey"), pa.array([raw[k * n : (k + 1) * n] for k in range(len(found))], pa.binary())], names=["doc_id", "tkey", "print"])
+
+    keyed = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text")
+    prints = scratch.table("prints", keyed.mapInArrow(compute, "doc_id long, tkey long, print binary"))
+    distinct = prints.groupBy("tkey").agg(F.max("print").alias("print"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
+                raw = part.column("print").to_pylist()
+                band = np.frombuffer(b"".join(raw), "<u2").reshape(len(raw), bands).astype(np.int64) + (np.arange(bands) << BAND_BITS)
+                head = [x[: COMPARED // 8] for x in raw]
+                yield pa.RecordBatch.from_arrays([pa.array(band.ravel()), pa.array(np.repeat(part.column("tkey").to_numpy(), bands)), pa.array([x for x in head for _ in range(bands)], pa.binary())], names=["shard", "node", "print"])
+
+    dealt = distinct.mapInArrow(deal, "shard long, node long, print binary")
+    # a shard of very many alike texts is dealt again by eight more bits from eight places each
+    hot = scratch.table("hot", dealt.groupBy("shard").count().where(F.col("count") > limit).select("shard"))
+    if hot.isEmpty():
+        rows = dealt.select(F.col("shard").cast("string").alias("shard"), "node", "print")
+    else:
+        again = dealt.join(hot, "shard", "left_semi").select("shard", "node", "print", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+        again = again.select(F.concat_ws(".", "shard", "k", F.hex(F.expr("substring(print, int(pmod(shard * 5 + k * 7, 64)) + 1, 1)"))).alias("shard"), "node", "print")
+        rows = dealt.join(hot, "shard", "left_anti").select(F.col("shard").cast("string").alias("shard"), "node", "print").unionByName(again)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, shard, members = Forest(), None, {}
+
+        def close() -> None:
+            if len(members) < 2:
+                return
+            tree = BKTree()
+            for value, node in members.items():
+                for other in tree.within(value, radius):
+                    forest.join(node, members[other])
+                tree.add(value)
+
+        for batch in batches:
+            for name, node, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "node", "print"))):
+                if name != shard:
+                    close()
+                    shard, members = name, {}
+                value = int.from_bytes(raw, "little")
+                if value in members:
+                    forest.join(node, members[value])
+                else:
+                    members[value] = node
+        close()
+        pairs = [(x, r) for x in list(forest.up) if (r := forest.root(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    edges = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long")
+    return prints.select("doc_id", "tkey"), components(edges, scratch)
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all their columns, with one of each group of near-duplicate texts: that of least doc_id (nulls
+    last), of these least text hash. Near duplicates have shingles of `words` words of this Jaccard similarity or more, as
+    their wide SimHash tells it. Null and blank texts make a group of their own, as do any equal texts. Of rows equal in
+    doc_id and text one stays. An empty table gives no rows."""
+    scratch = Scratch(docs.sparkSession, "neardup")
+    keys, linked = similar_texts(docs, scratch, words, similarity)
+    of = keys.join(linked, keys.tkey == linked.node, "left").select("doc_id", "tkey", F.coalesce("root", "tkey").alias("root"))
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("x")).select(F.col("x.doc_id").alias("d"), F.col("x.tkey").alias("t"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"))
+    stay = whole.join(first, F.expr("doc <=> d AND tkey = t"), "left_semi")
+    same = Window.partitionBy("doc", "tkey").orderBy(F.lit(0))
+    return stay.withColumn("n", F.row_number().over(same)).where("n = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -299,3 +299,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def score_held_out(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """score() with held_out, by a model that saw no held-out label. Without any label every score is 0."""
     return score(docs, fit(docs, labels, settings)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all their columns, whose text scores below the threshold. Nothing is shuffled. Null and blank texts are
+    scored as a window without words; without any label all rows stay."""
+    share, rest = (model := fit(docs, labels, settings)).dump()
+    settings = model.settings
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model.load(share, rest, settings)
+        for batch in slices(batches):
+            yield batch.filter(pa.array(model.scores(texts_of(batch)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
