@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import browse, registry, search
+
+MODULES = (search, browse)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return registry.QUERIES["turn_search_neighbors"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+def queries() -> dict[str, registry.Query]:
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES
+    return registry.ORACLES
