@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import browse, registry, search
+from . import browse, dialogue, registry, search
 
-MODULES = (search, browse)
+MODULES = (search, browse, dialogue)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
