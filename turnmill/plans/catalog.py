@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import browse, dialogue, registry, search
+from . import browse, dialogue, registry, search, visits
 
-MODULES = (search, browse, dialogue)
+MODULES = (search, browse, dialogue, visits)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
