@@ -74,7 +74,10 @@ def turns(spark: SparkSession, sf_dir: str, phrases: bool = False) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as requests: ip, epoch, path, method, status, blocked."""
-    e = table(spark, sf_dir, "events")
+    return as_requests(table(spark, sf_dir, "events"))
+
+
+def as_requests(e: DataFrame) -> DataFrame:
     bad = F.col("event_type") == "error"
     return e.select(
         F.col("event_id").alias("id"), F.concat(F.lit("10.0."), F.expr("user_id div 256"), F.lit("."), F.col("user_id") % 256).alias("ip"), F.col("user_id").cast("string").alias("visitor"),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import visits as V
-from ..operators.tables import REQUESTS_SQL, pick, requests
+from ..operators.tables import REQUESTS_SQL, as_requests, pick, requests
+from ..streaming import run
+from ..streaming import visits as Vs
 from .registry import query
 
 #: A moment inside the events' thirty days.
@@ -107,3 +109,17 @@ def rate_limit_guard(spark, sf_dir):
 @query("guard_status")
 def guard_status(spark, sf_dir):
     return V.guard_status(rate_limit_guard(spark, sf_dir), NOW)
+
+
+def _stream(spark, sf_dir):
+    return as_requests(run.source(spark, f"{sf_dir}/events.parquet"))
+
+
+@query("stream_ip_activity", f"WITH {REQUESTS_SQL}, {_ACTIVITY} SELECT * FROM activity")
+def stream_ip_activity(spark, sf_dir):
+    return run.drain(Vs.ip_activity(_stream(spark, sf_dir)), "complete")
+
+
+@query("stream_rate_limit_guard")
+def stream_rate_limit_guard(spark, sf_dir):
+    return run.drain(Vs.guard_requests(_stream(spark, sf_dir), {"general": (3, 3600, 7200)}))

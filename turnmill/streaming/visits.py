@@ -30,8 +30,8 @@ def online_by_bucket(requests: DataFrame, seconds: int = BUCKET, delay: str = "1
     return timed(requests, delay).groupBy(F.window("ts", f"{seconds} seconds")).agg(F.approx_count_distinct("visitor", 0.01).alias("online")).select(F.unix_seconds("window.start").alias("bucket_epoch"), "online")
 
 
-def guard_requests(requests: DataFrame, policies: dict | None = None, idle: int = 86_400_000) -> DataFrame:
-    """The guard with its state by ip, dropped after a day without a request (the longest block)."""
+def guard_requests(requests: DataFrame, policies: dict | None = None, delay: str = "10 minutes", idle: int = 86_400_000) -> DataFrame:
+    """The guard with its state by ip, dropped after a day of event time without a request (the longest block)."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -42,10 +42,10 @@ def guard_requests(requests: DataFrame, policies: dict | None = None, idle: int
         out = decide_in_order(guard, rows)
         guard.forget(float(rows["epoch"].max()))
         state.update((pickle.dumps(guard),))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutTimestamp(max(int(rows["epoch"].max()) * 1000, state.getCurrentWatermarkMs()) + idle)
         yield out
 
-    return requests.groupBy("ip").applyInPandasWithState(run, DECISIONS, "guard binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return timed(requests, delay).groupBy("ip").applyInPandasWithState(run, DECISIONS, "guard binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_peaks(target: str):
