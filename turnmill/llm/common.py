@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy pass handles; a longer single text is handled alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+#: The same for tokenizers, which look each distinct word up once for each pass.
+WORD_BYTES = 8 << 20
 
 _shipped: set[str] = set()
 _work: dict[str, str] = {}
@@ -91,7 +93,9 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that no part holds over `most` bytes of text, unless it is one row."""
+    """The batches cut so that no part holds over `most` bytes of text, unless it is one row. Runs in Python workers, whose Arrow
+    memory goes back to the system this way, as several of them share an executor."""
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         if not batch.num_rows:
             continue

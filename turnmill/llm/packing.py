@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import pick, ship, slices, texts_of
+from .common import WORD_BYTES, pick, ship, slices, texts_of
 from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -54,7 +54,7 @@ def best_cuts(position: np.ndarray, penalty: np.ndarray, window: int) -> list[in
             queue.pop()
         queue.append(i)
     within = range(int(np.searchsorted(position, pos[-1] - window)), n - 1)
-    back[-1] = min(within, key=lambda j: value[j] - 2 * pos[j])
+    back[-1] = min(within, key=lambda j: value[j] - pos[j])
     cuts, i = [], n - 1
     while i:
         cuts.append(i)
@@ -149,7 +149,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, costs: Cost
         ends[code.marks(",;:")] = 1
         ends[code.marks(".!?…")] = 2
         packer = Packer(ends, costs, TaskContext.get().partitionId() << 33, code.dtype)
-        for batch in slices(batches):
+        for batch in slices(batches, most=WORD_BYTES):
             ids, at = code.encode(texts_of(batch), end_id)
             yield _rows(packer.add(batch.column("doc_id").to_pylist(), ids, at))
         yield _rows(packer.finish())

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, slices, texts_of
+from .common import WORD_BYTES, Scratch, pick, slices, texts_of
 from .tokens import encoder
 
 MAGIC, VERSION = b"TMRANS\0\0", 1
@@ -53,7 +53,10 @@ def quantise(counts: np.ndarray, scale: int) -> np.ndarray:
 
 def encode_section(ids: np.ndarray, doc_ids: list, lengths: np.ndarray, end_id: int, scale: int = SCALE, lanes: int = LANES, steps: int = STEPS, stretches: int = STRETCHES) -> bytes:
     ids = ids.astype(np.uint32)
-    symbols, dense, counts = np.unique(ids, return_inverse=True, return_counts=True) if len(ids) else (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    seen = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    symbols = np.flatnonzero(seen)
+    counts, place = seen[symbols], np.cumsum(seen > 0) - 1
+    dense = place.astype(np.int32)[ids]
     while len(symbols) > 1 << (scale - 1):
         scale += 1
     freq = quantise(counts, scale) if len(symbols) else np.zeros(0, np.int64)
@@ -61,7 +64,7 @@ def encode_section(ids: np.ndarray, doc_ids: list, lengths: np.ndarray, end_id:
     per_block = lanes * steps * stretches
     blocks = -(-len(ids) // per_block)
     depth = steps * stretches
-    filled = np.full(blocks * per_block, int(np.argmax(counts)) if len(counts) else 0, np.int64)
+    filled = np.full(blocks * per_block, int(np.argmax(counts)) if len(counts) else 0, np.int32)
     filled[: len(ids)] = dense
     grid = np.ascontiguousarray(filled.reshape(blocks, depth, lanes).transpose(1, 0, 2))
     f_all, c_all = freq.astype(np.uint64), start.astype(np.uint64)
@@ -158,7 +161,7 @@ def write_sections(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratc
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, file, section = encoder(tokenizer), TaskContext.get().partitionId(), 0
         held: list[tuple] = []
-        for batch in slices(batches):
+        for batch in slices(batches, most=WORD_BYTES):
             ids, at = code.encode(texts_of(batch), end_id)
             held.append((batch.column("doc_id").to_pylist(), ids, np.diff(at)))
             if sum(len(x[1]) for x in held) >= section_ids:

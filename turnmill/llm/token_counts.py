@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, slices, texts_of
+from .common import WORD_BYTES, Scratch, pick, slices, texts_of
 from .tokens import encoder
 
 FLAT = "file_no int, block_no int, ids binary, first_doc long, doc_ids array<long>"
@@ -28,7 +28,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, b
         code, file, block, seen = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         rest: list[np.ndarray] = []
         held = 0
-        for batch in slices(batches):
+        for batch in slices(batches, most=WORD_BYTES):
             ids, _ = code.encode(texts_of(batch), end_id)
             yield _flat([(file, None, None, seen, batch.column("doc_id").to_pylist())])
             seen += batch.num_rows
