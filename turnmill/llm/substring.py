@@ -105,7 +105,8 @@ def duplicated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW,
     spark = docs.sparkSession
     repeated = spark.sparkContext.broadcast(repeated_minimisers(docs, window, mer, bits))
 
-    def cut(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each super-k-mer. Of equal ones among these texts the first carries the string and their number."""
         marks = np.frombuffer(repeated.value, np.uint8)
         for batch in slices(batches):
             words = Words(texts_of(batch))
@@ -115,18 +116,19 @@ def duplicated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW,
                 continue
             h, text, first, n = h[use], text[use], first[use], n[use]
             whole = words.joined()
-            packed = [whole[a:b] for a, b in zip(words.begin[first].tolist(), (words.begin[first + n + window - 1] - 1).tolist())]
-            if places:
-                keys = [_digest(p) for p in packed]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(pa.array(text)), batch.column("tkey").take(pa.array(text)), pa.array(first - words.at[text]), pa.array(keys, pa.binary())], names=["doc_id", "tkey", "first", "pkey"])
-                continue
-            seen: dict[bytes, list] = {}  # equal ones of these texts travel once
-            for p, key, k in zip(packed, h.view(np.int64).tolist(), n.tolist()):
-                if p in seen:
-                    seen[p][2] += 1
-                else:
-                    seen[p] = [key, k, 1]
-            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.int64()), pa.array(list(seen), pa.binary()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[2] for v in seen.values()], pa.int64())], names=["h", "payload", "n", "times"])
+            place: dict[bytes, int] = {}
+            packed, keys, times = [], [], []
+            for a, b in zip(words.begin[first].tolist(), (words.begin[first + n + window - 1] - 1).tolist()):
+                p = whole[a:b]
+                k = place.setdefault(p, len(keys))
+                new = k == len(keys)
+                packed.append(p if new else None)
+                keys.append(_digest(p) if new else keys[k])
+                times.append(1 if new else 0)
+                if not new:
+                    times[k] += 1
+            values = (batch.column("doc_id").cast(pa.int64()).take(pa.array(text)), batch.column("tkey").take(pa.array(text)), pa.array(first - words.at[text]), pa.array(keys, pa.binary()), pa.array(h.view(np.int64)), pa.array(n), pa.array(times, pa.int64()), pa.array(packed, pa.binary()))
+            yield pa.RecordBatch.from_arrays(list(values), names=["doc_id", "tkey", "first", "pkey", "h", "n", "times", "payload"])
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by bucket, equal payloads side by side. A payload's windows with a count above one make its mask;
@@ -177,7 +179,8 @@ def duplicated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW,
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).digest() for x in own], pa.binary()), pa.array([key] * n, pa.binary()), pa.array(range(n), pa.int64()), pa.array([t] * n, pa.int64())], names=["digest", "pkey", "i", "times"])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    packed = docs.select("text").mapInArrow(lambda x: cut(x, False), "h long, payload binary, n long, times long")
+    pieces = scratch.table("pieces", keyed.mapInArrow(cut, "doc_id long, tkey long, first long, pkey binary, h long, n long, times long, payload binary"))
+    packed = pieces.where("payload IS NOT NULL").select("h", "payload", "n", "times")
     counted = scratch.table("verdicts", packed.repartition("h").sortWithinPartitions("h", "payload").mapInArrow(verdicts, "pkey binary, mask long, payload binary, n long, times long"))
     masks = counted.where("mask IS NOT NULL").select("pkey", "mask")
     single = counted.where("payload IS NOT NULL").mapInArrow(apart, "digest binary, pkey binary, i long, times long")
@@ -185,7 +188,7 @@ def duplicated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW,
         single = scratch.table("single", single)
         twice = single.groupBy("digest").agg(F.sum("times").alias("n")).where("n > 1").select("digest")
         masks = masks.unionByName(single.join(twice, "digest", "left_semi").select("pkey", "i").distinct().groupBy("pkey").agg(F.sum(F.expr("shiftleft(1L, int(i))")).alias("mask")))
-    places = keyed.mapInArrow(lambda x: cut(x, True), "doc_id long, tkey long, first long, pkey binary")
+    places = pieces.select("doc_id", "tkey", "first", "pkey")
     hit = places.join(masks, "pkey").select("doc_id", "tkey", F.struct("first", "mask").alias("run"))
     return hit.groupBy("doc_id", "tkey").agg(F.collect_set("run").alias("runs"))
 
