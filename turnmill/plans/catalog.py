@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import browse, dialogue, ingestion, registry, search, visits
+from . import browse, dialogue, ingestion, registry, results, search, visits
 
-MODULES = (search, browse, dialogue, ingestion, visits)
+MODULES = (search, browse, dialogue, ingestion, results, visits)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
