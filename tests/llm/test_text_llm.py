@@ -160,3 +160,19 @@ def test_quality_rejects_noise_and_keeps_prose(spark):
 def test_js_distance(spark):
     r = spark.sql("SELECT array(1L, 0L) a, array(0L, 5L) b, array(0L, 0L) z").select(quality.js_distance(F.col("a"), F.col("b")), quality.js_distance(F.col("a"), F.col("a")), quality.js_distance(F.col("a"), F.col("z"))).first()
     assert r[0] == pytest.approx(1) and r[1] == pytest.approx(0) and r[2] is None
+
+
+@pytest.mark.parametrize("name", ["op5_substring", "op6_quality"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from turnmill.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(queries.oracle_sql()[name]).df().sort_values("doc_id")
+    got = queries.queries()[name](spark, sf).toPandas().sort_values("doc_id")
+    assert sorted(got.columns) == sorted(want.columns)
+    for c in want.columns:
+        assert got[c].tolist() == want[c].tolist()
