@@ -169,3 +169,31 @@ def mechanism_summary(related: DataFrame) -> DataFrame:
     keys = related.sparkSession.createDataFrame([(i, k, t) for i, (k, t) in enumerate(diagraph.THRESHOLDS.items())], "place int, key string, threshold double")
     out = keys.join(n, "key", "left").select("place", "key", "threshold", F.coalesce("n", F.lit(0)).alias("rule_support"))
     return out.withColumn("support_state", F.when(F.col("rule_support") > 0, "rule").otherwise("none"))
+
+
+_SCORES = "pair_id long, key string, probability double, threshold double, suggested boolean"
+
+
+def relation_scores(pairs: DataFrame, scorer=None) -> DataFrame:
+    """Probabilities of the six mechanisms for each pair (id, text_a, text_b). scorer: a function that workers can import or
+    unpickle, from two lists of texts to one dict of probabilities for each pair. Without one, which is the default as no
+    model comes with this package, nothing is available and there are no rows."""
+    if scorer is None:
+        return pairs.sparkSession.createDataFrame([], _SCORES)
+
+    def run(frames_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames_:
+            scored = scorer(f["text_a"].tolist(), f["text_b"].tolist())
+            rows = [(pair, k, round(float(p[k]), 4), t, p[k] >= t) for pair, p in zip(f["id"], scored, strict=True) for k, t in diagraph.THRESHOLDS.items() if k in p]
+            yield pd.DataFrame(rows, columns=["pair_id", "key", "probability", "threshold", "suggested"])
+
+    return pairs.select("id", "text_a", "text_b").mapInPandas(run, _SCORES)
+
+
+def pair_support(related: DataFrame, scores: DataFrame) -> DataFrame:
+    """For each pair and mechanism whether rules, the scorer, both (joint) or neither support it."""
+    n = related.select("pair_id", F.explode("mechanisms").alias("key")).groupBy("pair_id", "key").agg(F.count(F.lit(1)).alias("rule_support"))
+    both = n.join(scores, ["pair_id", "key"], "full")
+    rule, yes = F.coalesce("rule_support", F.lit(0)), F.coalesce("suggested", F.lit(False))
+    state = F.when((rule > 0) & yes, "joint").when(rule > 0, "rule").when(yes, "bert_review").otherwise("none")
+    return both.select("pair_id", "key", rule.alias("rule_support"), "probability", state.alias("support_state"))

@@ -128,3 +128,15 @@ def guard_status(decisions: DataFrame, now: int) -> DataFrame:
     until = F.when((F.col("retry_after") > 0) & (F.col("reason") != "temporary_block"), F.col("epoch") + F.col("retry_after"))
     by_ip = decisions.groupBy("ip").agg(F.max(until).alias("until"), F.count_if(until.isNotNull()).alias("n"))
     return by_ip.agg(F.count_if(F.col("until") > now).alias("active_blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_blocks"))
+
+
+def flag_blocked(requests: DataFrame, blocked: DataFrame) -> DataFrame:
+    """is_blocked for each request, from a list of ip_address; requests may be a stream, the list then is read anew for each batch."""
+    b = blocked.select(F.col("ip_address").alias("ip"), F.lit(True).alias("is_blocked")).dropDuplicates(["ip"])
+    return requests.join(b, "ip", "left").withColumn("is_blocked", F.coalesce("is_blocked", F.lit(False)))
+
+
+def incremental(source: DataFrame, derived: DataFrame, key: str = "entry_id", id: str = "id") -> DataFrame:
+    """Rows of source after the greatest key that derived has: what a resumed derivation still has to do."""
+    done = derived.agg(F.coalesce(F.max(key), F.lit(-(1 << 62))).alias("done"))
+    return source.join(F.broadcast(done), F.col(id) > F.col("done")).drop("done")  # one row

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import visits as V
-from ..operators.tables import REQUESTS_SQL, as_requests, pick, requests
+from ..operators.tables import REQUESTS_SQL, as_requests, entries, pick, requests, turns
 from ..streaming import run
 from ..streaming import visits as Vs
 from .registry import query
@@ -123,3 +123,14 @@ def stream_ip_activity(spark, sf_dir):
 @query("stream_rate_limit_guard")
 def stream_rate_limit_guard(spark, sf_dir):
     return run.drain(Vs.guard_requests(_stream(spark, sf_dir), {"general": (3, 3600, 7200)}))
+
+
+@query("blocked_requests", f"WITH {REQUESTS_SQL} SELECT id, ip LIKE '%.1' AS is_blocked FROM requests")
+def blocked_requests(spark, sf_dir):
+    r = requests(spark, sf_dir)
+    return V.flag_blocked(r, r.where("ip LIKE '%.1'").select(F.col("ip").alias("ip_address"))).select("id", "is_blocked")
+
+
+@query("incremental_entries", "SELECT doc_id AS id FROM documents WHERE doc_id > (SELECT max(conv_id) FROM conversations)")
+def incremental_entries(spark, sf_dir):
+    return V.incremental(entries(spark, sf_dir).select("id"), turns(spark, sf_dir))
