@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship as ship
+
 #: Characters that separate words, as a Java and RE2 class, and the words themselves.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,24 +23,9 @@ CHUNK_BYTES = 4 << 20
 #: The same for tokenizers, which look each distinct word up once for each pass.
 WORD_BYTES = 8 << 20
 
-_shipped: set[str] = set()
 _work: dict[str, str] = {}
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which share no code folder with the driver."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    to = os.path.join(tempfile.mkdtemp(prefix="turnmill-"), f"{top.name}-code.zip")
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(to)
-    _shipped.add(sc.applicationId)
-
-
 def workspace(spark: SparkSession) -> str:
     """A folder of this application under spark.checkpoint.dir, which every executor sees. Where that is unset (tests on
     one machine) a temporary folder is made. It is removed as the driver ends."""
