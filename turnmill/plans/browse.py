@@ -136,15 +136,15 @@ def browse_fallback_entries(spark, sf_dir):
     return entries(spark, sf_dir).join(turns(spark, sf_dir).select(F.col("entry_id").alias("id")), "id", "left_anti").select("id", "title")
 
 
-@query("entry_context_truncated", f"WITH {ENTRIES_SQL} SELECT id, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS context, length(content) > 200 AS truncated FROM entries WHERE id < 500")
+@query("entry_context_truncated", f"WITH {ENTRIES_SQL} SELECT id, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS context, length(content) > 200 AS truncated FROM entries")
 def entry_context_truncated(spark, sf_dir):
-    return entries(spark, sf_dir).where("id < 500").select("id", truncate(F.col("content"), 200).alias("context"), (F.length("content") > 200).alias("truncated"))
+    return entries(spark, sf_dir).select("id", truncate(F.col("content"), 200).alias("context"), (F.length("content") > 200).alias("truncated"))
 
 
-@query("display_titles", f"WITH {ENTRIES_SQL} SELECT id, {_SECTION} AS source, 'A ' || title AS title, printf('%s · %d-%d', title, 1, 2) AS label FROM entries WHERE id < 300")
+@query("display_titles", f"WITH {ENTRIES_SQL} SELECT id, {_SECTION} AS source, 'A ' || title AS title, printf('%s · %d-%d', title, 1, 2) AS label FROM entries")
 def display_titles(spark, sf_dir):
     title = F.concat(F.lit("  A 合并大对话  "), F.col("title"))
-    return entries(spark, sf_dir).where("id < 300").select("id", St.section_column().alias("source"), display_title(title).alias("title"), F.format_string("%s · %d-%d", "title", F.lit(1), F.lit(2)).alias("label"))
+    return entries(spark, sf_dir).select("id", St.section_column().alias("source"), display_title(title).alias("title"), F.format_string("%s · %d-%d", "title", F.lit(1), F.lit(2)).alias("label"))
 
 
 @query("section_order", f"WITH {ENTRIES_SQL}, s AS (SELECT DISTINCT {_SECTION} AS section FROM entries) SELECT section, coalesce(list_position({list(L.SECTION_ORDER)}, section), 0) AS place FROM s")

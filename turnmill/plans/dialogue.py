@@ -29,9 +29,9 @@ def turns_split(spark, sf_dir):
     return P.split_entries(entries(spark, sf_dir))
 
 
-@query("segment_turns", f"WITH {turns_sql()} SELECT id AS entry_id, 1 AS turn_index, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS turn_text, 'entry:' || id AS conversation_key FROM entries WHERE id % 4 = 0")
+@query("segment_turns", f"WITH {turns_sql()} SELECT id AS entry_id, 1 AS turn_index, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS turn_text, 'entry:' || id AS conversation_key FROM entries")
 def segment_turns(spark, sf_dir):
-    e = entries(spark, sf_dir).where("id % 4 = 0").withColumn("current_segment", F.col("content")).withColumn("speaker", F.lit("甲"))
+    e = entries(spark, sf_dir).withColumn("current_segment", F.col("content")).withColumn("speaker", F.lit("甲"))
     return P.split_entries(e).select("entry_id", "turn_index", "turn_text", "conversation_key")
 
 

@@ -110,10 +110,10 @@ def submissions_route(spark, sf_dir):
     return I.route(_submissions(spark, sf_dir)).select("id", "target")
 
 
-@query("submissions_approve", f"WITH {_PENDING}, a AS (SELECT *, {_TARGET} AS target FROM subs WHERE status = 'pending' AND id % 7 = 1) SELECT target, title, coalesce(source, category) AS source FROM a WHERE target = 'multimodal' OR trim(coalesce(text_content, '')) <> ''")
+@query("submissions_approve", f"WITH {_PENDING}, a AS (SELECT *, {_TARGET} AS target FROM subs WHERE status = 'pending') SELECT target, title, coalesce(source, category) AS source FROM a WHERE target = 'multimodal' OR trim(coalesce(text_content, '')) <> ''")
 def submissions_approve(spark, sf_dir):
     s = _submissions(spark, sf_dir)
-    corpus, multimodal = I.approve(s, s.where("id % 7 = 1"), "2024-01-01T00:00:00")
+    corpus, multimodal = I.approve(s, s, "2024-01-01T00:00:00")
     return corpus.select(F.lit("corpus").alias("target"), "title", "source").unionByName(multimodal.select(F.lit("multimodal").alias("target"), "title", "source"))
 
 
