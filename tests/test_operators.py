@@ -87,3 +87,11 @@ def test_page_window():
 def test_diagraph_sheet():
     text = files.diagraph_sheet("t", [(1, "甲", {"A": "我"}), (2, "乙", {"A": "你", "B": "去"})], [{"column": "A", "mapping": "我：你", "relation": "人称映射"}])
     assert text.startswith(files.BOM) and "row,speaker,A,B" in text and "2,乙,你,去" in text
+
+
+def test_files_names_and_addresses(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("你好".encode("gb18030"))
+    (tmp_path / "b.txt").write_bytes(b"\xef\xbb\xbf" + "再见".encode())
+    assert sorted(r.text for r in files.read_text_files(spark, str(tmp_path)).collect()) == ["你好", "再见"]
+    assert [files.safe_name(n, ".txt") for n in ("../a b.txt", "", None, "txt", "c:\\x\\y.doc")] == ["a_b.txt", "upload.txt", "upload.txt", "upload.txt", "y.txt"]
+    assert files.redact("postgres://u:p@h:5/d?password=x&a=b") == "postgres://u:***@h:5/d?password=***&a=b" and files.redact(None) == "" and files.redact("x") == "x"

@@ -130,7 +130,21 @@ def title_class(title: Column, category: Column, dataset: Column) -> Column:
 
 
 def chapter_of(title: Column) -> Column:
-    return strip(F.regexp_extract(title, r"^《[^》]+》\s*(\S+?)\s*(?:对话|合并大对话)?\s*\d*$", 1))
+    """What stands between a work's name and the kind of piece in titles like 《雷雨》第一幕 对话单元 3."""
+    return strip(F.regexp_extract(strip(F.coalesce(title, F.lit(""))), r"^《[^》]+》(.+?)\s+(?:对话单元|片段|规则|LLM|合并大对话)\s*\d*", 1))
+
+
+def import_sources(sources: dict[str, DataFrame], stored: DataFrame, batch: str, created_at: str) -> tuple[DataFrame, DataFrame]:
+    """New entries of several raw sources, the first source winning where contents are equal, and totals for each source."""
+    made = None
+    for k, (name, rows) in enumerate(sources.items()):
+        one = prepare(rows, batch, created_at).withColumns({"origin": F.lit(name), "order": F.struct(F.lit(k).alias("k"), F.col("row_no").alias("row_no"))})
+        made = one if made is None else made.unionByName(one, allowMissingColumns=True)
+    new = import_rows(made, stored, "order")
+    found = made.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failed"))
+    kept = new.groupBy("origin").agg(F.count(F.lit(1)).alias("success"))
+    totals = found.join(kept, "origin", "left").select("origin", F.coalesce("success", F.lit(0)).alias("success"), "failed", (F.col("n") - F.col("failed") - F.coalesce("success", F.lit(0))).alias("duplicate"))
+    return new.drop("order"), totals
 
 
 MERGED = "dataset_name string, dialogue_id string, title string, chapter string, content string, turn_count int, speakers string, source_titles string, merges int, contained int, duplicates int, inside int"

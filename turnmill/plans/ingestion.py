@@ -175,3 +175,21 @@ _TITLES = ("国新办举行发布会", "政策吹风会实录", "国台办答记
 def title_classifier(spark, sf_dir):
     e = entries(spark, sf_dir).select("id", I.title_class(pick(_TITLES, F.col("id")), F.lit("其他"), F.lit("other")).alias("c"))
     return e.select("id", "c.category", "c.dataset_name")
+
+
+@query("chapters", f"WITH {ENTRIES_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN '第' || id || '章' ELSE '' END AS chapter FROM entries")
+def chapters(spark, sf_dir):
+    title = F.when(F.col("id") % 2 == 0, F.concat(F.lit("《书》第"), "id", F.lit("章 对话单元 3"))).otherwise(F.concat(F.lit("《书》"), "id"))
+    return entries(spark, sf_dir).select("id", I.chapter_of(title).alias("chapter"))
+
+
+@query(
+    "import_totals",
+    f"""WITH {ENTRIES_SQL}, r AS (SELECT *, {_HASH} AS h, CASE WHEN category = 'en' THEN 'a' ELSE 'b' END AS origin, id % 9 = 0 AS failed FROM entries),
+k AS (SELECT origin, row_number() OVER (PARTITION BY h ORDER BY origin, id) = 1 AS first FROM r WHERE NOT failed)
+SELECT origin, (SELECT count(*) FROM k WHERE k.origin = r.origin AND first) AS success, count(*) FILTER (failed) AS failed, count(*) FILTER (NOT failed) - (SELECT count(*) FROM k WHERE k.origin = r.origin AND first) AS duplicate FROM r GROUP BY origin""",
+)
+def import_totals(spark, sf_dir):
+    raw = _raw(spark, sf_dir)
+    none = spark.createDataFrame([], "content_hash string")
+    return I.import_sources({"a": raw.where("category = 'en'"), "b": raw.where("category <> 'en'")}, none, "b", "now")[1]

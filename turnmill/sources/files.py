@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+from collections.abc import Iterator
+from urllib.parse import parse_qsl, quote, unquote, urlsplit, urlunsplit
+
+import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +57,42 @@ def diagraph_sheet(title: str, grid: list[tuple[int, str, dict[str, str]]], rela
     rows += [["column", "mapping", "relation"], *[[r["column"], r["mapping"], r["relation"]] for r in relations], [], ["key", "probability", "threshold", "suggested"]]
     rows += [[x["key"], x.get("probability", ""), x.get("threshold", ""), x.get("suggested", "")] for x in scores]
     return (BOM if separator == "," else "") + _sheet(rows, separator)
+
+
+def decode(data: bytes | None) -> str:
+    """Text in UTF-8, with or without its mark, or else GB 18030; what neither can read is left out."""
+    for name in ("utf-8-sig", "gb18030"):
+        try:
+            return (data or b"").decode(name)
+        except UnicodeDecodeError:
+            continue
+    return (data or b"").decode("utf-8", "ignore")
+
+
+def read_text_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, file_hash (SHA-256) and text of each file."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"path": f["path"], "file_hash": f["file_hash"], "text": f["content"].map(decode)})
+
+    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("file_hash"), "content")
+    return files.mapInPandas(run, "path string, file_hash string, text string")
+
+
+def safe_name(name: str | None, extension: str) -> str:
+    """A name of plain characters without folders, with the extension."""
+    parts = re.sub(r"[^A-Za-z0-9_.-]+", "_", re.split(r"[/\\\\]", name or "")[-1]).strip("._")
+    stem = parts.rsplit(".", 1)[0]
+    return (stem if stem and stem.lower() != extension.lstrip(".") else "upload") + extension
+
+
+def redact(url: str | None) -> str:
+    """A connection address without its passwords."""
+    p = urlsplit(url or "")
+    if not p.scheme:
+        return url or ""
+    user = quote(unquote(p.username or ""), safe="") + (":***" if p.password else "")
+    host = f"[{p.hostname}]" if ":" in (p.hostname or "") else p.hostname or ""
+    query = "&".join(f"{k}={'***' if 'password' in k.lower() else v}" for k, v in parse_qsl(p.query, keep_blank_values=True))
+    return urlunsplit((p.scheme, f"{user}@" * bool(user) + host + (f":{p.port}" if p.port else ""), p.path, query, p.fragment))
