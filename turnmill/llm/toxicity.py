@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,36 +47,33 @@ def subwords(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         return np.zeros(0, np.int64), np.zeros(1, np.int64)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    code = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    code = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(size)
-    left = np.repeat(ends, size) - np.arange(len(code))  # characters from here to the word's end
+    begins = ends - size
+    counts = [np.maximum(size - n + 1, 0) for n in s.ngrams]
+    at = np.concatenate([[0], np.cumsum(sum(counts) + 1)])
+    out = np.empty(at[-1], np.int32)
     prime = np.uint64(0x9E3779B97F4A7C15)
-    keys, owners = [], []
-    owner = np.repeat(np.arange(len(words)), size)
-    for n in s.ngrams:
-        at = np.flatnonzero(left >= n)
-        h = np.full(len(at), n, np.uint64)
+    bucket = lambda h: ((h >> np.uint64(20)) % np.uint64(s.buckets)).astype(np.int32)
+    to = at[:-1]
+    for n, count in zip(s.ngrams, counts):
+        first = flat_ranges(begins, count)
+        h = np.full(len(first), n, np.uint64)
         for j in range(n):
-            h = (h ^ code[at + j]) * prime
+            h = (h ^ code[first + j]) * prime
             h ^= h >> np.uint64(29)
-        keys.append(h)
-        owners.append(owner[at])
-    h = np.zeros(len(code) + 1, np.uint64)  # the whole word by a sum over its characters, weighted by place
-    place = np.arange(len(code)) - np.repeat(ends - size, size)
-    np.cumsum((code + np.uint64(1)) * (prime ** (place.astype(np.uint64) + np.uint64(1))), out=h[1:])
-    keys.append((h[ends] - h[ends - size]) * prime)
-    owners.append(np.arange(len(words)))
-    key, own = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(own, kind="stable")
-    bucket = ((key[order] >> np.uint64(20)) % np.uint64(s.buckets)).astype(np.int64)
-    return bucket, np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(words)))])
+        out[flat_ranges(to, count)] = bucket(h)
+        to = to + count
+    whole = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    out[to] = bucket(whole)
+    return out, at
 
 
 def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct lower-case words, the index of each word of the texts among them, and where each text's words begin."""
     values, at = split_words(texts)
     coded = pc.utf8_lower(values).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), at
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), at
 
 
 def window_starts(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,26 +132,26 @@ def _fit(bags: tuple, y: np.ndarray, weight: np.ndarray, allowed: np.ndarray, s:
     rng = np.random.default_rng(s.seed)
     # only the buckets that are used and may speak have rows; the last row stays zero for the rest
     kept = np.flatnonzero(allowed)
-    row = np.full(s.buckets, len(kept))
+    row = np.full(s.buckets, len(kept), np.int32)
     row[kept] = np.arange(len(kept))
     bucket, speaks = row[bucket], len(kept)
     table, softmax, bias = rng.uniform(-1, 1, (speaks + 1, s.dims)) / s.dims, rng.normal(0, 0.1, (s.dims, 2)), np.zeros(2)
     table[-1] = 0
     steps = [Adam(x.shape, s.rate) for x in (table, softmax, bias)]
     n_sub, n_word = np.diff(word_at), np.diff(bag_at)
-    of_sub, of_word = np.repeat(np.arange(len(n_sub)), n_sub), np.repeat(np.arange(len(n_word)), n_word)
-    spread = lambda rows, to, n: np.stack([np.bincount(to, rows[:, k], n) for k in range(rows.shape[1])], axis=1)
+    of_sub, of_word = np.repeat(np.arange(len(n_sub), dtype=np.int32), n_sub), np.repeat(np.arange(len(n_word), dtype=np.int32), n_word)
+    spread = lambda rows, who, to, n: np.stack([np.bincount(to, rows[who, k], n) for k in range(rows.shape[1])], axis=1)
     target = np.stack([1 - y, y], axis=1)
     for _ in range(s.epochs):
-        vectors = np.add.reduceat(table[bucket], word_at[:-1], axis=0) / n_sub[:, None]
+        vectors = np.add.reduceat(table.astype(np.float32)[bucket], word_at[:-1], axis=0) / n_sub[:, None]
         mean = np.add.reduceat(vectors[word], bag_at[:-1], axis=0) / n_word[:, None]
         z = mean @ softmax + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         g = (p - target) * weight[:, None]
         g_mean = (g @ softmax.T) / n_word[:, None]
-        g_vectors = spread(g_mean[of_word], word, len(n_sub)) / n_sub[:, None]
-        g_table = spread(g_vectors[of_sub], bucket, speaks + 1) + s.decay * table
+        g_vectors = spread(g_mean, of_word, word, len(n_sub)) / n_sub[:, None]
+        g_table = spread(g_vectors, of_sub, bucket, speaks + 1) + s.decay * table
         g_table[-1] = 0
         steps[1].step(softmax, mean.T @ g + s.decay * softmax)
         steps[2].step(bias, g.sum(axis=0))
@@ -277,6 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     # one row for each doc_id, in an order of its own, so that a repeated run trains the same model
     one = rows.dropDuplicates(["doc_id", "text"]).select("text", "toxic", F.xxhash64("doc_id", "text").alias("h")).repartition(1).sortWithinPartitions("h").select("text", "toxic")
     row = one.mapInArrow(run, "share binary, rest string").first()
+    if row is None:  # no labelled row at all
+        return train(pa.array([], pa.large_string()), np.zeros(0), settings)
     return Model.load(row["share"], row["rest"], settings)
 
 
