@@ -37,6 +37,8 @@ class Settings:
     decay: float = 2e-6
     #: Of the sample, one text in so many calibrates the logits and teaches nothing else.
     calibrate: int = 4
+    #: But with fewer of a class among these, so many models are trained, each judged on the part it has not seen.
+    least_judged: int = 25
     #: A subword that fewer of the sample's documents have says nothing: it would only learn these by heart.
     least_documents: int = 6
     seed: int = 7
@@ -205,26 +207,17 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def train(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings()) -> Model:
-    """A model of the texts and their labels (0, 1). With one class only, or no words, every score is that class's."""
-    s, y = settings, np.asarray(labels, np.float64)
+def _learn(texts: pa.Array, y: np.ndarray, s: Settings) -> Model:
+    """A model without calibration; one of zeros if the texts have one class or no words."""
     words, which, at = _words(texts)
-    if len(which):  # near copies would make a rare word look common
-        new = _first_of_copies(words, which, at)
-        texts, y = texts.filter(pa.array(new)), y[new]
-        words, which, at = _words(texts)
     if not len(which) or y.min() == y.max():
-        return Model(np.zeros(s.buckets), 0.0, 0.0, 30.0 if len(y) and y.min() == 1 else -30.0, s)
+        return Model(np.zeros(s.buckets), 0.0, 1.0, 0.0, s)
     begin, text = window_starts(at, s.window)
     end = np.append(begin[1:], len(which))
     # of a long text, windows evenly spread
     count = np.bincount(text, minlength=len(y))
     rank = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    step = np.maximum(1, -(-count // s.windows_each))
-    judge = np.arange(len(y)) % s.calibrate == 0
-    if not y[~judge].any() or y[~judge].all():
-        judge[:] = False
-    use = (rank % step[text] == 0) & ~judge[text]
+    use = rank % np.maximum(1, -(-count // s.windows_each))[text] == 0
     begin, end, text = begin[use], end[use], text[use]
     bucket, word_at = subwords(words, s)
     allowed = _common(bucket, word_at, which, at, s)
@@ -239,16 +232,37 @@ def train(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings())
         lean = soft[:, 1] - soft[:, 0]
         return Model(table @ lean[:-1], float(lean[-1]), 1.0, 0.0, s)
 
-    everything = np.ones(len(begin), bool)
-    model = fit(everything)
+    model = fit(np.ones(len(begin), bool))
     of_word = np.add.reduceat(model.share[bucket].astype(np.float64), word_at[:-1]) / np.diff(word_at)
     z = np.add.reduceat(np.append(of_word[which], 0), np.stack([begin, end], axis=1).ravel())[::2] / (end - begin) + model.bias
     calm = z[y[text] == 0]
-    found = (y[text] == 1) & (z > np.quantile(calm, 0.995))
-    if found.any():
-        model = fit((y[text] == 0) | found)
-    for_it = judge if judge.any() and 0 < y[judge].sum() < judge.sum() else np.ones(len(y), bool)
-    slope, offset = _calibrate(model.largest(texts.filter(pa.array(for_it))), y[for_it], np.ones(int(for_it.sum())))
+    found = (y[text] == 1) & (z > np.quantile(calm, 0.995)) if len(calm) else np.zeros(len(z), bool)
+    return fit((y[text] == 0) | found) if found.any() else model
+
+
+def train(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings()) -> Model:
+    """A model of the texts and their labels (0, 1). With one class only, or no words, every score is that class's. Logits are
+    calibrated on texts held back; where these would be too few, on those that each of a few models has not seen."""
+    s, y = settings, np.asarray(labels, np.float64)
+    words, which, at = _words(texts)
+    if len(which):  # near copies would make a rare word look common
+        new = _first_of_copies(words, which, at)
+        texts, y = texts.filter(pa.array(new)), y[new]
+    if not len(which) or y.min() == y.max():
+        return Model(np.zeros(s.buckets), 0.0, 0.0, 30.0 if len(y) and y.min() == 1 else -30.0, s)
+    part = np.arange(len(y)) % s.calibrate
+    pick = lambda keep: (texts.filter(pa.array(keep)), y[keep])
+    judge = part == 0
+    if min(y[judge].sum(), (1 - y[judge]).sum()) >= s.least_judged:
+        model, seen = _learn(*pick(~judge), s), y[judge]
+        z = model.largest(pick(judge)[0])
+    else:
+        model, seen, z = _learn(texts, y, s), y, np.zeros(len(y))
+        for k in range(s.calibrate):
+            z[part == k] = _learn(*pick(part != k), s).largest(pick(part == k)[0])
+    slope, offset = _calibrate(z, seen, np.ones(len(seen)))
+    if slope <= 0:  # logits that tell nothing leave the share of label 1
+        slope, offset = 0.0, float(np.log((seen.mean() + 1e-9) / (1 - seen.mean() + 1e-9)))
     return Model(model.share, model.bias, slope, offset, s)
 
 
