@@ -27,10 +27,10 @@ class Costs:
 
     window: int = 4096
     document_end: float = 0.0
-    sentence_end: float = 4.0
+    sentence_end: float = 2.0
     #: After a comma, colon or semicolon.
-    clause_end: float = 10.0
-    inside_clause: float = 48.0
+    clause_end: float = 5.0
+    inside_clause: float = 24.0
     #: A stretch without any such end gets a forced cut position every window // forced tokens.
     forced: int = 32
 
@@ -67,14 +67,18 @@ def cut_positions(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, costs
     ends a sentence and 1 for one that ends a clause."""
     total = len(ids)
     kind = ends[ids]
-    marks = np.flatnonzero(kind) + 1
-    free = np.union1d(np.union1d(marks, doc_ends), [0, total])
+    here = np.zeros(total + 1, bool)
+    here[1:] = kind > 0
+    here[doc_ends] = here[0] = here[total] = True
+    free = np.flatnonzero(here)
     gap, step = np.diff(free), max(1, costs.window // costs.forced)
-    long = np.flatnonzero(gap > step)
-    forced = np.concatenate([np.zeros(0, np.int64), *[np.arange(free[k] + step, free[k + 1], step) for k in long]])
-    position = np.union1d(free, forced)
-    penalty = np.where(position > 0, np.array([costs.inside_clause, costs.clause_end, costs.sentence_end])[kind[position - 1]], 0)
-    penalty[np.isin(position, doc_ends)] = costs.document_end
+    for k in np.flatnonzero(gap > step).tolist():
+        here[free[k] + step : free[k + 1] : step] = True
+    position = np.flatnonzero(here)
+    penalty = np.array([costs.inside_clause, costs.clause_end, costs.sentence_end])[kind[position - 1]] if total else np.zeros(1)
+    ends_doc = np.zeros(total + 1, bool)
+    ends_doc[doc_ends] = True
+    penalty[ends_doc[position]] = costs.document_end
     penalty[[0, -1]] = 0
     return position, penalty
 
