@@ -135,6 +135,27 @@ def test_templates_drop_notices_and_spare_copies(spark, odd_docs, no_docs):
     assert templates.drop_templates(no_docs).count() == 0
 
 
+def dropped(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.text for r in templates.drop_templates(df).collect()}
+
+
+def test_templates_count_groups_of_near_copies(spark):
+    rng = random.Random(16)
+    line, base = "a line that many texts hold", [prose(rng, 12) for _ in range(12)]
+    block = ["first line of the notice", "its second line stands here", "and its third line follows", "the fourth one ends it"]
+    texts = [f"{prose(rng, 40)}\n{line}\n{prose(rng, 40)}" for _ in range(12)]  # 0 to 11, and many copies of one more
+    texts += ["\n".join([*base[:6], line, *base[6:11], prose(rng, 9)]) for _ in range(40)]
+    texts += ["\n".join([prose(rng, 30), *block]) for _ in range(20)]  # 52 to 71: a block at the end
+    own = [prose(rng, 12) for _ in range(13)]
+    for k in range(12):  # 72 to 83: near copies, the neighbours of a line edited
+        texts.append("\n".join([*own[:k], f"changed{'abcdefghijkl'[k]} {own[k]}", *own[k + 1 :]]))
+    got = dropped(spark, texts)
+    assert not any(line in x for x in got.values())
+    assert all(got[k] == texts[k].split("\n")[0] for k in range(52, 72))
+    assert all(got[k] == texts[k] for k in range(72, 84)) and all(base[0] in got[k] for k in range(12, 52))
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -227,8 +227,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, limit: int
 TABLES, BAND_BITS, COMPARED = 10, 16, 512
 
 
-def wide_fingerprints(texts: pa.Array, words: int, tables: int = TABLES) -> np.ndarray:
-    """A row of `tables` fingerprints of each text, every one with hashes of its own of the same shingles."""
+def word_shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every shingle of consecutive words in lower case, made of hashes of its words, repeats included, and where each
+    text's begin; a text with fewer words has its whole sequence as the only one, one without words has none."""
     values, at = split_words(lower_ascii(texts))
     n_words = np.diff(at)
     coded = values.cast(pa.large_binary()).dictionary_encode()
@@ -243,7 +244,28 @@ def wide_fingerprints(texts: pa.Array, words: int, tables: int = TABLES) -> np.n
         own = size > j
         h[own] = (h[own] ^ w[first[own] + j]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    out = np.zeros((len(n_words), tables), np.uint64)
+    return h, offsets
+
+
+def min_hash_keys(hashes: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A row of keys of each run of hashes, one for each band. A key is made of the least hashes under `rows` functions, so that two
+    runs share it with the probability of their Jaccard similarity to that power. Empty runs have keys of their own."""
+    rng = np.random.default_rng(SEED)
+    turn, odd = rng.integers(0, 1 << 63, (2, bands, rows)).astype(np.uint64)
+    out = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(offsets) - 1, 1))
+    some = np.flatnonzero(np.diff(offsets))
+    for b in range(bands):
+        for r in range(rows if len(some) else 0):
+            least = np.minimum.reduceat((hashes ^ turn[b, r]) * (odd[b, r] | np.uint64(1)), offsets[some])
+            key = (out[some, b] ^ least) * np.uint64(0x9E3779B97F4A7C15)
+            out[some, b] = key ^ key >> np.uint64(29)
+    return out
+
+
+def wide_fingerprints(texts: pa.Array, words: int, tables: int = TABLES) -> np.ndarray:
+    """A row of `tables` fingerprints of each text, every one with hashes of its own of the same shingles."""
+    h, offsets = word_shingles(texts, words)
+    out = np.zeros((len(offsets) - 1, tables), np.uint64)
     for t in range(tables):
         g = (h + np.uint64(2 * t + 1)) * np.uint64(0xD6E8FEB86659FD93 + 2 * t)
         g ^= g >> np.uint64(32)
