@@ -156,6 +156,20 @@ def test_templates_count_groups_of_near_copies(spark):
     assert all(got[k] == texts[k] for k in range(72, 84)) and all(base[0] in got[k] for k in range(12, 52))
 
 
+def test_long_lines_recur_sooner_than_short_ones(spark):
+    rng = random.Random(26)
+    long, middle, short, pair = prose(rng, 25), prose(rng, 10), "not a long line at all", "two words"
+    around = lambda x: f"{prose(rng, 60)}\n{x}\n{prose(rng, 60)}"
+    texts = [around(long) for _ in range(2)] + [around(middle) for _ in range(3)] + [around(short) for _ in range(7)] + [around(pair) for _ in range(34)]
+    texts += [around("12") for _ in range(34)]
+    once = [prose(rng, 30) for _ in range(6)]
+    texts += ["\n".join(once), "\n".join([*once[:3], "more", *once[3:]])]  # near copies of one another
+    got = dropped(spark, texts)
+    for k, t in enumerate(texts):
+        gone = k < 5 or 12 <= k < 46
+        assert got[k] == ("\n".join(t.split("\n")[::2]) if gone else t)
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -29,18 +29,20 @@ DIGIT = re.compile(r"\d")
 class Settings:
     #: Tokens that lead from the root to a leaf, after the number of tokens.
     depth: int = 3
-    #: Shorter lines are too common by themselves to be templates.
-    min_tokens: int = 3
-    #: Documents with a line of the template; all near copies of one document together count as one.
-    min_documents: int = 8
+    #: Tokens of a line, and documents with a line of the template that a line of so many tokens or more asks for: the longer,
+    #: the less it recurs by chance. All near copies of one document together count as one.
+    min_documents: tuple[tuple[int, int], ...] = ((21, 2), (8, 3), (3, 8), (1, 32))
     #: Share of places in which a line agrees with its template.
     similarity: float = 0.7
-    bits: int = 24
+    bits: int = 27
     #: Near copies agree on the least hashes of their word pairs in a band: 0.5 % of two texts do that have a seventh of all pairs
     #: in common, 54 % at a half, 99 % at three quarters.
     bands: int = 12
     rows: int = 4
 
+    def needed(self, tokens: int) -> int:
+        return next(n for least, n in self.min_documents if tokens >= least)
+
 
 def masked(line: str) -> list[str]:
     return [FIELD if DIGIT.search(t) else t for t in line.split()]
@@ -55,17 +57,20 @@ def leaf(tokens: list[str], depth: int) -> int:
 
 
 class Lines:
-    """The lines of a text that may belong to a template: place and leaf."""
+    """The lines of a text that may belong to a template: place, leaf, and documents it needs. Blank lines
+    and short ones without any fixed token may not."""
 
     def __init__(self, text: str, s: Settings):
         self.all = text.split("\n")
-        self.places, self.leaves = [], []
+        self.places, self.leaves, self.needs = [], [], []
         for k, line in enumerate(self.all):
             tokens = line.split()
-            if len(tokens) < s.min_tokens:
+            lead = [FIELD if DIGIT.search(t) else t for t in tokens[: s.depth]]
+            if len(tokens) < s.depth and all(t == FIELD for t in lead):
                 continue
             self.places.append(k)
-            self.leaves.append(_hash([str(len(tokens)), *[FIELD if DIGIT.search(t) else t for t in tokens[: s.depth]]]))
+            self.leaves.append(_hash([str(len(tokens)), *lead]))
+            self.needs.append(s.needed(len(tokens)))
 
 
 class Leaf:
@@ -122,12 +127,17 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, s: Settings) -> tuple[Dat
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [x for t in texts_of(batch).to_pylist() for x in Lines(t, s).leaves]
-            value, n = np.unique(np.array(found, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["leaf", "n"])
-
-    counts = docs.select("text").mapInArrow(leaves, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
-    often = bitmap.build(counts.where(F.col("n") >= s.min_documents), "leaf", s.bits)
+            found, needs = [], []
+            for t in texts_of(batch).to_pylist():
+                lines = Lines(t, s)
+                found += lines.leaves
+                needs += lines.needs
+            value, first, n = np.unique(np.array(found, np.uint64), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.array(needs, np.int64)[first]), pa.array(n)], names=["leaf", "need", "n"])
+
+    # a leaf's lines are equally long and so need the same
+    counts = docs.select("text").mapInArrow(leaves, "leaf long, need long, n long").groupBy("leaf").agg(F.max("need").alias("need"), F.sum("n").alias("n"))
+    often = bitmap.build(counts.where("n >= need"), "leaf", s.bits)
     sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,18 +159,19 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, s: Settings) -> tuple[Dat
     near = copies(docs, scratch, s)
     grouped = rows.join(near, rows.whose == near.node, "left").select("leaf", "line", F.coalesce("root", "whose").alias("group"))
     parts = grouped.groupBy("leaf", "line", F.pmod("group", F.lit(256)).alias("part")).agg(F.collect_set("group").alias("some"))
-    lines = parts.groupBy("leaf", "line").agg(F.sum(F.size("some")).alias("n"), F.flatten(F.collect_list(F.slice("some", 1, s.min_documents))).alias("some"))
-    lines = lines.select("leaf", "line", "n", F.slice("some", 1, s.min_documents).alias("some"))
+    most = max(n for _, n in s.min_documents)
+    lines = parts.groupBy("leaf", "line").agg(F.sum(F.size("some")).alias("n"), F.flatten(F.collect_list(F.slice("some", 1, most))).alias("some"))
+    lines = lines.select("leaf", "line", "n", F.slice("some", 1, most).alias("some"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, tree, held = None, None, []
 
         def close() -> list[tuple]:
-            # up to min_documents groups are listed of each line, so fewer of a template are all of them
-            seen = {}
+            # as many groups are listed of each line as any needs, so fewer of a template are all of them
+            seen, need = {}, s.needed(len(held[0][0].split("\x1f")))
             for _, t, some in held:
                 seen.setdefault(t, set()).update(some)
-            return [(_hash([x]), " ".join(tree.templates[t])) for x, t, _ in held if len(seen[t]) >= s.min_documents]
+            return [(_hash([x]), " ".join(tree.templates[t])) for x, t, _ in held if len(seen[t]) >= need]
 
         for batch in batches:
             out = []
@@ -185,18 +196,19 @@ def drop_templates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of docs, all their columns, with `text` less the lines of recurring templates, and n_lines and n_dropped.
 
     docs has doc_id and text; columns of its own called n_lines or n_dropped are replaced, all others stay. A null text stays
-    null with no lines; an empty one has one empty line. Blank lines and those of fewer than min_tokens tokens always stay.
-    Equal texts and near copies count as one document, so a document that is merely copied keeps its lines. Repeated rows stay and lose the
+    null with no lines; an empty one has one empty line. Blank lines and those of one or two tokens that all have
+    digits always stay. Equal texts and near copies count as one document, so a document that is merely copied keeps its lines. Repeated rows stay and lose the
     same lines; null doc_ids stay; an empty table gives no rows."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "templates")
     text = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), "doc_id")
     recurring, often = recurring_lines(text, scratch, s)
-    sent = spark.sparkContext.broadcast(often)
+    known = bitmap.build(recurring.select("line_key").distinct(), "line_key", s.bits)
+    sent = spark.sparkContext.broadcast((often, known))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.frombuffer(sent.value, np.uint8)
+        marks, keys = (np.frombuffer(x, np.uint8) for x in sent.value)
         for batch in slices(batches):
             out = []
             for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist(), texts_of(batch).to_pylist()):
@@ -205,7 +217,9 @@ def drop_templates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                     for i in np.flatnonzero(bitmap.test(marks, np.array(lines.leaves, np.uint64), s.bits)).tolist():
                         out.append((doc, key, lines.places[i], _hash(["\x1f".join(masked(lines.all[lines.places[i]]))])))
             cols = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.uint64()).view(pa.int64())], names=["d", "t", "place", "line_key"])
+            line_keys = np.array(cols[3], np.uint64)
+            rows = pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(line_keys.view(np.int64))], names=["d", "t", "place", "line_key"])
+            yield rows.filter(pa.array(bitmap.test(keys, line_keys, s.bits)))
 
     keyed = text.withColumn("tkey", F.xxhash64("text"))
     hit = keyed.mapInArrow(places, "d long, t long, place long, line_key long").join(recurring.select("line_key").distinct(), "line_key", "left_semi")
