@@ -117,7 +117,7 @@ def copies(docs: DataFrame, scratch: Scratch, s: Settings) -> DataFrame:
             whose = np.array([_whose(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(whose, s.bands))], names=["key", "node"])
 
-    rows = scratch.table("keys", docs.select("text").mapInArrow(keys, "key long, node long").distinct())
+    rows = scratch.table("keys", docs.select("text").mapInArrow(keys, "key long, node long").distinct(), "snappy")
     shared = rows.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("key", "b")
     return components(rows.join(shared, "key").select(F.col("node").alias("a"), "b"), scratch)
 
@@ -127,17 +127,21 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, s: Settings) -> tuple[Dat
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found, needs = [], []
+            found, needs, whose = [], [], []
             for t in texts_of(batch).to_pylist():
                 lines = Lines(t, s)
-                found += lines.leaves
-                needs += lines.needs
-            value, first, n = np.unique(np.array(found, np.uint64), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.array(needs, np.int64)[first]), pa.array(n)], names=["leaf", "need", "n"])
-
-    # a leaf's lines are equally long and so need the same
-    counts = docs.select("text").mapInArrow(leaves, "leaf long, need long, n long").groupBy("leaf").agg(F.max("need").alias("need"), F.sum("n").alias("n"))
-    often = bitmap.build(counts.where("n >= need"), "leaf", s.bits)
+                own = dict(zip(lines.leaves, lines.needs))
+                found += own
+                needs += own.values()
+                whose += [_whose(t)] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.uint64()).view(pa.int64()) for x in (found, needs, whose)], names=["leaf", "need", "whose"])
+
+    near = copies(docs, scratch, s)
+    group = F.coalesce("root", "whose").alias("group")
+    # a leaf's lines are equally long and so need the same; one that lies in copies of one document alone is not looked at again
+    counts = docs.select("text").mapInArrow(leaves, "leaf long, need long, whose long").join(near, F.col("whose") == near.node, "left").select("leaf", "need", group)
+    counts = counts.groupBy("leaf").agg(F.max("need").alias("need"), F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
+    often = bitmap.build(counts.where("n >= need AND low <> high"), "leaf", s.bits)
     sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +160,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, s: Settings) -> tuple[Dat
 
     # equal texts count once, then near copies; each step has partial sums before the shuffle, and no row holds all groups of a line
     rows = docs.select("text").mapInArrow(candidates, "leaf long, line string, whose long").distinct()
-    near = copies(docs, scratch, s)
-    grouped = rows.join(near, rows.whose == near.node, "left").select("leaf", "line", F.coalesce("root", "whose").alias("group"))
+    grouped = rows.join(near, rows.whose == near.node, "left").select("leaf", "line", group)
     parts = grouped.groupBy("leaf", "line", F.pmod("group", F.lit(256)).alias("part")).agg(F.collect_set("group").alias("some"))
     most = max(n for _, n in s.min_documents)
     lines = parts.groupBy("leaf", "line").agg(F.sum(F.size("some")).alias("n"), F.flatten(F.collect_list(F.slice("some", 1, most))).alias("some"))
