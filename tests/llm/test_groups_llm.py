@@ -100,6 +100,32 @@ def test_near_duplicate_stage(spark, odd_docs, no_docs):
     assert simhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def edited_texts(groups, copies):
+    """Groups of texts with five-word Jaccard similarities of about 0.6 to 0.95 to the first."""
+    rng = random.Random(31)
+    out = []
+    for g in range(groups):
+        base = prose(rng, 120).split()
+        out.append(" ".join(base))
+        for _ in range(copies):
+            w = list(base)
+            for k in rng.sample(range(120), rng.randint(1, 6)):
+                w[k] = f"edit{rng.randrange(10**6)}"
+            out.append(" ".join(w))
+    return out
+
+
+def exact_groups(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (WORD.findall(t.lower()) for t in texts)]
+    return sorted(set(brute_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))))
+
+
+def test_near_duplicates_are_confirmed_exactly(spark):
+    texts = [*edited_texts(40, 3), *[f"{'one two three four five six seven ' * n}end" for n in (3, 9)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == exact_groups(texts)
+
+
 @pytest.mark.parametrize("bits", [16, 20])
 def test_bitmap(spark, bits):
     rng = np.random.default_rng(bits)

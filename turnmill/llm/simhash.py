@@ -223,8 +223,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, limit: int
     return prints.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of the wide fingerprint: 64-bit tables, bits of a band, and the leading bits that are compared.
-TABLES, BAND_BITS, COMPARED = 10, 16, 512
+#: 64-bit tables of the wide fingerprint; bands of least hashes, and hashes of a band.
+TABLES, BANDS, ROWS = 8, 16, 4
 
 
 def word_shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,12 +262,17 @@ def min_hash_keys(hashes: np.ndarray, offsets: np.ndarray, bands: int, rows: int
     return out
 
 
-def wide_fingerprints(texts: pa.Array, words: int, tables: int = TABLES) -> np.ndarray:
-    """A row of `tables` fingerprints of each text, every one with hashes of its own of the same shingles."""
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """Of each text the distinct hashes of its shingles, in order."""
     h, offsets = word_shingles(texts, words)
+    return [np.unique(h[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def wide_fingerprints(hashes: np.ndarray, offsets: np.ndarray, tables: int = TABLES) -> np.ndarray:
+    """A row of `tables` fingerprints of each run of hashes, every one with hashes of its own of the same shingles."""
     out = np.zeros((len(offsets) - 1, tables), np.uint64)
     for t in range(tables):
-        g = (h + np.uint64(2 * t + 1)) * np.uint64(0xD6E8FEB86659FD93 + 2 * t)
+        g = (hashes + np.uint64(2 * t + 1)) * np.uint64(0xD6E8FEB86659FD93 + 2 * t)
         g ^= g >> np.uint64(32)
         g *= np.uint64(0xFF51AFD7ED558CCD)
         g ^= g >> np.uint64(29)
@@ -275,87 +280,122 @@ def wide_fingerprints(texts: pa.Array, words: int, tables: int = TABLES) -> np.n
     return out
 
 
-def similarity_radius(similarity: float, bits: int, slack: float = 1.2) -> int:
-    """Differing bits expected of two sets of equal size at this Jaccard similarity, plus slack standard deviations."""
+def similarity_radius(similarity: float, bits: int, slack: float = 3.3) -> int:
+    """Differing bits expected of two sets of equal size at this Jaccard similarity, plus slack standard deviations. Sets of
+    other sizes with this similarity differ in fewer."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(bits * (p + slack * np.sqrt(p * (1 - p) / bits)))
 
 
+def candidates(members: DataFrame, radius: int, similarity: float, every: bool) -> DataFrame:
+    """(a, b), a < b, of the nodes that a BK-tree finds within the radius in a shard, less those whose sizes rule the similarity
+    out. Of members (shard, node, size, print, root): with `every`, all pairs of different roots; else of each node the nearest
+    one before it."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, members, found = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            tree, at = BKTree(), {}
+            for node, size, raw, root in members if len(members) > 1 else ():
+                value = int.from_bytes(raw, "little")
+                near = [((value ^ v).bit_count(), x) for v in tree.within(value, radius) for x, m, r in at[v] if min(m, size) >= similarity * max(m, size) and not (every and r == root)]
+                if near:
+                    found.extend((min(x, node), max(x, node)) for _, x in (near if every else [min(near)]))
+                if value not in at:
+                    tree.add(value)
+                at.setdefault(value, []).append((node, size, root))
+                if len(found) > 50_000:
+                    yield pairs()
+
+        def pairs() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            for name, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "node", "size", "print", "root"))):
+                if name != shard:
+                    yield from close()
+                    shard, members = name, []
+                members.append(row)
+        yield from close()
+        yield pairs()
+
+    return members.select("shard", "node", "size", "print", "root").repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(search, "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, keyed: DataFrame, scratch: Scratch, name: str, words: int, similarity: float) -> DataFrame:
+    """The pairs of (a, b) whose texts have this Jaccard similarity or more, by their whole sets of shingles. Two texts without
+    words are alike. keyed has tkey and text."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("tkey")).distinct()
+    texts = scratch.table(f"texts_{name}", keyed.select("tkey", "text").join(need, "tkey", "left_semi").dropDuplicates(["tkey"]))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "left", 1 << 20):
+            left, right = (shingle_sets(texts_of(batch, c), words) for c in ("left", "right"))
+            same = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
+            good = [n >= similarity * (len(x) + len(y) - n) - 1e-9 for n, x, y in zip(same, left, right)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("tkey").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("tkey").alias("b"), F.col("text").alias("right")), "b")
+    return scratch.table(name, both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long"))
+
+
 def similar_texts(docs: DataFrame, scratch: Scratch, words: int, similarity: float, limit: int = SHARD_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tkey) of each row of (doc_id, text), tkey being the text's hash, and (node, root) of all tkeys linked.
 
-    Texts meet in a shard if a band of their wide fingerprints agrees; a BK-tree there finds those within the radius that the
-    similarity gives. At the threshold itself about a tenth of all pairs are missed, at 0.9 hardly any."""
+    Texts meet in a shard if they share a band of least hashes; a BK-tree there finds those whose wide fingerprints differ by no
+    more than the similarity lets expect, with room. Candidates are confirmed on the whole sets of shingles: first each text's
+    nearest one, then all between texts that this has not joined yet, since links inside a group change nothing."""
     ship(docs.sparkSession)
-    radius = similarity_radius(similarity, COMPARED)
-    bands = TABLES * 64 // BAND_BITS
+    radius = similarity_radius(similarity, TABLES * 64)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=2 << 20):
-            found = wide_fingerprints(texts_of(batch), words).astype("<u8")
-            raw = found.tobytes()
-            n = 8 * TABLES
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("tkey"), pa.array([raw[k * n : (k + 1) * n] for k in range(len(found))], pa.binary())], names=["doc_id", "tkey", "print"])
+            sets = shingle_sets(texts_of(batch), words)
+            sizes = np.array([len(x) for x in sets], np.int64)
+            h, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
+            raw = np.concatenate([wide_fingerprints(h, offsets), min_hash_keys(h, offsets, BANDS, ROWS)], axis=1).astype("<u8").tobytes()
+            n = 8 * (TABLES + BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("tkey"), pa.array(sizes), pa.array([raw[k * n : (k + 1) * n] for k in range(len(sets))], pa.binary())], names=["doc_id", "tkey", "size", "print"])
 
     keyed = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text")
-    prints = scratch.table("prints", keyed.mapInArrow(compute, "doc_id long, tkey long, print binary"))
-    distinct = prints.groupBy("tkey").agg(F.max("print").alias("print"))
+    prints = scratch.table("prints", keyed.mapInArrow(compute, "doc_id long, tkey long, size long, print binary"), "snappy")
+    distinct = prints.groupBy("tkey").agg(F.max("size").alias("size"), F.max("print").alias("print"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
                 raw = part.column("print").to_pylist()
-                band = np.frombuffer(b"".join(raw), "<u2").reshape(len(raw), bands).astype(np.int64) + (np.arange(bands) << BAND_BITS)
-                head = [x[: COMPARED // 8] for x in raw]
-                yield pa.RecordBatch.from_arrays([pa.array(band.ravel()), pa.array(np.repeat(part.column("tkey").to_numpy(), bands)), pa.array([x for x in head for _ in range(bands)], pa.binary())], names=["shard", "node", "print"])
-
-    dealt = distinct.mapInArrow(deal, "shard long, node long, print binary")
-    # a shard of very many alike texts is dealt again by eight more bits from eight places each
-    hot = scratch.table("hot", dealt.groupBy("shard").count().where(F.col("count") > limit).select("shard"))
-    if hot.isEmpty():
-        rows = dealt.select(F.col("shard").cast("string").alias("shard"), "node", "print")
-    else:
-        again = dealt.join(hot, "shard", "left_semi").select("shard", "node", "print", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
-        again = again.select(F.concat_ws(".", "shard", "k", F.hex(F.expr("substring(print, int(pmod(shard * 5 + k * 7, 64)) + 1, 1)"))).alias("shard"), "node", "print")
-        rows = dealt.join(hot, "shard", "left_anti").select(F.col("shard").cast("string").alias("shard"), "node", "print").unionByName(again)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, shard, members = Forest(), None, {}
-
-        def close() -> None:
-            if len(members) < 2:
-                return
-            tree = BKTree()
-            for value, node in members.items():
-                for other in tree.within(value, radius):
-                    forest.join(node, members[other])
-                tree.add(value)
-
-        for batch in batches:
-            for name, node, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "node", "print"))):
-                if name != shard:
-                    close()
-                    shard, members = name, {}
-                value = int.from_bytes(raw, "little")
-                if value in members:
-                    forest.join(node, members[value])
-                else:
-                    members[value] = node
-        close()
-        pairs = [(x, r) for x in list(forest.up) if (r := forest.root(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    edges = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long")
+                keys = np.frombuffer(b"".join(x[8 * TABLES :] for x in raw), "<i8")
+                again = np.repeat(np.arange(len(raw)), BANDS)
+                head = pa.array([x[: 8 * TABLES] for x in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("tkey").take(pa.array(again)), part.column("size").take(pa.array(again)), head.take(pa.array(again))], names=["shard", "node", "size", "print"])
+
+    dealt = distinct.mapInArrow(deal, "shard long, node long, size long, print binary")
+    # most texts share no band with any other
+    shared = scratch.table("shared", dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = scratch.table("members", dealt.join(shared, "shard"), "snappy")
+    none = F.lit(0).cast("long").alias("root")
+    first = scratch.table("first", candidates(members.select("shard", "node", "size", "print", none), radius, similarity, False))
+    joined = components(confirmed(first, keyed, scratch, "links", words, similarity), Scratch(docs.sparkSession, "neardup_first"))
+    rooted = members.join(joined.withColumnRenamed("node", "tkey"), F.col("node") == F.col("tkey"), "left").select("shard", "node", "size", "print", F.coalesce("root", "node").alias("root"))
+    open_ = rooted.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shard")
+    rows = rooted.join(open_, "shard", "left_semi")
+    rest = scratch.table("rest", candidates(rows, radius, similarity, True).join(first, ["a", "b"], "left_anti"))
+    more = confirmed(rest, keyed, scratch, "more", words, similarity)
+    edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return prints.select("doc_id", "tkey"), components(edges, scratch)
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, limit: int = SHARD_LIMIT) -> DataFrame:
     """The rows of docs, all their columns, with one of each group of near-duplicate texts: that of least doc_id (nulls
-    last), of these least text hash. Near duplicates have shingles of `words` words of this Jaccard similarity or more, as
-    their wide SimHash tells it. Null and blank texts make a group of their own, as do any equal texts. Of rows equal in
+    last), of these least text hash. Near duplicates have shingles of `words` words of this Jaccard similarity or more:
+    their wide SimHash finds them, their shingles confirm it. Null and blank texts make a group of their own, as do any equal texts. Of rows equal in
     doc_id and text one stays. An empty table gives no rows."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    keys, linked = similar_texts(docs, scratch, words, similarity)
+    keys, linked = similar_texts(docs, scratch, words, similarity, limit)
     of = keys.join(linked, keys.tkey == linked.node, "left").select("doc_id", "tkey", F.coalesce("root", "tkey").alias("root"))
     first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("x")).select(F.col("x.doc_id").alias("d"), F.col("x.tkey").alias("t"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"))
