@@ -126,6 +126,30 @@ def test_near_duplicates_are_confirmed_exactly(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == exact_groups(texts)
 
 
+@pytest.mark.parametrize("limit", [1, 3, 10])
+def test_hot_shards_lose_no_near_duplicate(spark, limit):
+    texts = edited_texts(2, 40)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    scratch = Scratch(spark, "t")
+    keys, linked = simhash.similar_texts(df, scratch, 5, 0.8, limit)
+    of, ids = {r.node: r.root for r in linked.collect()}, {r.doc_id: r.tkey for r in keys.collect()}
+    first: dict = {}
+    for d in sorted(ids):
+        first.setdefault(of.get(ids[d], ids[d]), d)
+    assert sorted(first.values()) == exact_groups(texts)
+
+
+def test_hot_shards_are_cut_and_lose_no_pair(spark):
+    rows = [(s, k, 1 if k < n else k % 7 + 2) for s, n, size in ((5, 40, 60), (6, 3, 5), (7, 9, 9), (8, 2, 30)) for k in range(size)]
+    met, parts = set(), {}
+    for r in simhash.deal_hot(spark.createDataFrame(rows, "shard long, node long, root long"), 6).collect():
+        parts.setdefault(r.shard, []).append((int(r.shard.split(".")[0]), r.node))
+    for x in parts.values():
+        met |= set(itertools.combinations(sorted(x), 2))
+    want = {((s, a), (s, b)) for s, a, x in rows for t, b, y in rows if s == t and a < b and x != y}
+    assert want <= met and max(map(len, parts.values())) < 30
+
+
 @pytest.mark.parametrize("bits", [16, 20])
 def test_bitmap(spark, bits):
     rng = np.random.default_rng(bits)

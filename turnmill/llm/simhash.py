@@ -342,12 +342,30 @@ def confirmed(pairs: DataFrame, keyed: DataFrame, scratch: Scratch, name: str, w
     return scratch.table(name, both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long"))
 
 
+def deal_hot(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows (shard, node, root, and others) of shards with more than one root, `shard` naming a part of the shard. Any two rows
+    of a shard with different roots meet in a part. A shard of over `limit` rows is cut into blocks of about as many, and there is
+    a part for each two blocks, but none for two of its commonest root: of these each meets only the others."""
+    counts = rows.groupBy("shard", "root").agg(F.count(F.lit(1)).alias("c"))
+    open_ = counts.groupBy("shard").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "c").alias("major"), F.max("c").alias("same"), F.sum("c").alias("n")).where("roots > 1")
+    few, many = F.ceil((F.col("n") - F.col("same")) / limit), F.ceil(F.col("same") / limit)
+    x = rows.join(open_.withColumns({"few": few, "many": many}), "shard").withColumn("other", F.col("root") != F.col("major"))
+    x = x.withColumn("block", F.pmod(F.xxhash64("shard", "node"), F.when(F.col("other"), F.col("few")).otherwise(F.col("many"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    part = lambda kind, i, j: F.concat_ws(".", "shard", F.lit(kind), i, j)
+    among = F.transform(upto("few"), lambda k: part("u", F.least("block", k), F.greatest("block", k)))
+    across = F.transform(upto("many"), lambda k: part("m", F.col("block"), k))
+    parts = F.when(F.col("n") <= limit, F.array(F.col("shard").cast("string"))).when(F.col("other"), F.concat(among, across)).otherwise(F.transform(upto("few"), lambda k: part("m", k, F.col("block"))))
+    return x.withColumn("part", F.explode(parts)).select(F.col("part").alias("shard"), *[c for c in rows.columns if c != "shard"])
+
+
 def similar_texts(docs: DataFrame, scratch: Scratch, words: int, similarity: float, limit: int = SHARD_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tkey) of each row of (doc_id, text), tkey being the text's hash, and (node, root) of all tkeys linked.
 
     Texts meet in a shard if they share a band of least hashes; a BK-tree there finds those whose wide fingerprints differ by no
     more than the similarity lets expect, with room. Candidates are confirmed on the whole sets of shingles: first each text's
-    nearest one, then all between texts that this has not joined yet, since links inside a group change nothing."""
+    nearest one, then all between texts that this has not joined yet, since links inside a group change nothing. The first step
+    cuts a shard of over `limit` texts into blocks; in the second all its pairs that are not joined meet."""
     ship(docs.sparkSession)
     radius = similarity_radius(similarity, TABLES * 64)
 
@@ -378,12 +396,11 @@ def similar_texts(docs: DataFrame, scratch: Scratch, words: int, similarity: flo
     shared = scratch.table("shared", dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = scratch.table("members", dealt.join(shared, "shard"), "snappy")
     none = F.lit(0).cast("long").alias("root")
-    first = scratch.table("first", candidates(members.select("shard", "node", "size", "print", none), radius, similarity, False))
+    block = F.concat_ws(".", "shard", F.pmod(F.xxhash64("shard", "node"), F.ceil(F.col("n") / limit))).alias("shard")
+    first = scratch.table("first", candidates(members.select(block, "node", "size", "print", none), radius, similarity, False))
     joined = components(confirmed(first, keyed, scratch, "links", words, similarity), Scratch(docs.sparkSession, "neardup_first"))
     rooted = members.join(joined.withColumnRenamed("node", "tkey"), F.col("node") == F.col("tkey"), "left").select("shard", "node", "size", "print", F.coalesce("root", "node").alias("root"))
-    open_ = rooted.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shard")
-    rows = rooted.join(open_, "shard", "left_semi")
-    rest = scratch.table("rest", candidates(rows, radius, similarity, True).join(first, ["a", "b"], "left_anti"))
+    rest = scratch.table("rest", candidates(deal_hot(rooted, limit), radius, similarity, True).join(first, ["a", "b"], "left_anti"))
     more = confirmed(rest, keyed, scratch, "more", words, similarity)
     edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return prints.select("doc_id", "tkey"), components(edges, scratch)
