@@ -76,6 +76,13 @@ def test_language_model_base_and_copies(spark, no_docs):
     assert language_model.score_documents(no_docs, SMALL).count() == 0
 
 
+def test_language_model_trains_on_all_documents(spark):
+    rows = [(k, f"word{k} " * 20) for k in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, shards = language_model.dealt(df, 21 * 5000, SMALL)
+    assert shards == math.ceil(21 * 5000 / 400) and sorted(r.text for r in got.collect()) == sorted(t for _, t in rows)
+
+
 def test_probabilities_sum_to_one_and_state_is_carried():
     v = language_model.Vocabulary([f"w{i}" for i in range(29)] + [""], list(range(40, 10, -1)), SMALL)
     net = language_model.Network(v, np.ones(v.size))

@@ -4,8 +4,8 @@ The output first chooses a class, then a word in it. Frequent words lie in class
 softmax on the state; all other words lie in classes by their last letters and are chosen by their add-one share of the
 class, counted over the whole training corpus, with one share for words never seen. So probabilities of all words sum to one.
 Training is truncated backpropagation with the state carried on; scoring carries a document's state from its first
-token to its last. The sample that the network trains on grows with the corpus: shards of it refine a common first model
-in parallel and their parameters are averaged."""
+token to its last. The network trains on all training documents: shards of them refine a common first model in parallel and
+their parameters are averaged by tokens."""
 
 from __future__ import annotations
 
@@ -40,9 +40,8 @@ class Settings:
     #: all other words are joined.
     head: int = 1 << 20
     head_one_in: int = 8
-    #: The sample: so many training tokens at least, and one in so many; a shard has the former.
+    #: Training tokens of a shard, about; one of over twice as many is cut.
     shard_tokens: int = 300_000
-    one_in: int = 48
     epochs: int = 3
     rate: float = 0.006
     lanes: int = 64
@@ -171,8 +170,8 @@ class Network:
         for _ in range(epochs):
             flat = np.concatenate([docs[i] for i in rng.permutation(len(docs))])
             lanes = min(s.lanes, max(1, len(flat) // s.span))
-            long = len(flat) // lanes
-            grid = flat[: long * lanes].reshape(lanes, long)
+            long = -(-len(flat) // lanes)
+            grid = np.resize(flat, long * lanes).reshape(lanes, long)  # the last lane ends with the first tokens again
             before = np.concatenate([np.full((lanes, 1), end), grid[:, :-1]], axis=1)
             h = np.zeros((lanes, n), np.float32)
             for a in range(0, long, s.span):
@@ -290,42 +289,65 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(training: DataFrame, v: Vocabulary, counts: np.ndarray, n_tokens: int, scratch: Scratch) -> np.ndarray:
-    """Parameters of a network. A first model trains on one shard of the sample; all shards then refine it, and the mean of
-    their parameters, taken place by place, is the result."""
+def dealt(training: DataFrame, n_tokens: int, s: Settings) -> tuple[DataFrame, int]:
+    """(shard, h, text) of all training rows, and the number of shards."""
+    shards = max(1, math.ceil(n_tokens / s.shard_tokens))
+    rows = training.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    return rows.select(F.pmod("h", F.lit(shards)).cast("long").alias("shard"), "h", "text"), shards
+
+
+def learner(words: list[str], counts: np.ndarray, s: Settings, first: np.ndarray | None, epochs: int, rate: float, one: bool = False):
+    """A function of batches (shard, h, text) in order of shards: (weight, parameters), the number of tokens and the sum of the
+    parameters that the shards come to from the first ones, times their tokens. With `one` only the first shard trains."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Vocabulary(words, counts[: len(words)].tolist(), s)
+        total, weight, docs, held, shard = 0.0, 0, [], 0, None
+
+        def close() -> None:
+            nonlocal total, weight, docs, held
+            if held and not (one and weight):
+                net = Network(own, counts, first)
+                net.train(docs, epochs, rate)
+                total, weight = total + net.all.astype(np.float64) * held, weight + held
+            docs, held = [], 0
+
+        for batch in slices(batches):
+            found, which, at = tokens_of(texts_of(batch))
+            ids = own.ids(found)[which]
+            for k, name in enumerate(batch.column("shard").to_pylist()):
+                if name != shard:
+                    close()
+                    shard = name
+                doc = ids[at[k] : at[k + 1]]
+                if held < 2 * s.shard_tokens:
+                    docs.append(doc)
+                    held += len(doc)
+        close()
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["weight", "parameters"])
+
+    return run
+
+
+def train(training: DataFrame, v: Vocabulary, counts: np.ndarray, n_tokens: int) -> np.ndarray:
+    """Parameters of a network. A first model trains on one shard; all shards then refine it, and the mean of their parameters,
+    taken place by place, is the result."""
     s = v.s
-    share = min(1.0, max(s.shard_tokens / max(1, n_tokens), 1 / s.one_in))
-    shards = max(1, math.ceil(share * n_tokens / s.shard_tokens))
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(1_000_000))
-    sample = training.withColumn("h", place).where(F.col("h") < int(share * 1_000_000)).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("long"))
+    rows, shards = dealt(training, n_tokens, s)
     sent = training.sparkSession.sparkContext.broadcast((v.words, counts))
 
-    def learn(first: np.ndarray | None, epochs: int, rate: float):
-        def run(frame):
-            import pandas as pd
+    def learn(first: np.ndarray | None, epochs: int, rate: float, one: bool):
+        return lambda batches: learner(*sent.value, s, first, epochs, rate, one)(batches)
 
-            words, counts = sent.value
-            own = Vocabulary(words, counts[: len(words)].tolist(), s)
-            net = Network(own, counts, first)
-            docs, held = [], 0
-            for text in frame.sort_values(["h", "text"])["text"]:
-                if held < 2 * s.shard_tokens:  # shards are near their mean size; a heavy one stops here
-                    found, which, _ = tokens_of(pa.array([text], pa.large_string()))
-                    docs.append(own.ids(found)[which])
-                    held += len(docs[-1])
-            net.train(docs, epochs, rate)
-            return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "parameters": [net.all]})
-
-        return run
-
-    kind = "shard long, parameters array<float>"
-    sample = scratch.table("sample", sample.select("shard", "h", "text"))
-    first = sample.where("shard = 0").groupBy("shard").applyInPandas(learn(None, s.epochs, s.rate), kind).first()
-    start = np.array(first["parameters"], np.float32) if first else Network(v, counts).all
+    kind = "weight long, parameters array<double>"
+    ordered = lambda x, n: x.repartition(n, "shard").sortWithinPartitions("shard", "h", "text")
+    first = ordered(rows.where("shard = 0"), 1).mapInArrow(learn(None, s.epochs, s.rate, True), kind).first()
+    start = (np.array(first["parameters"]) / first["weight"]).astype(np.float32) if first else Network(v, counts).all
     if shards == 1:
         return start
-    refined = sample.groupBy("shard").applyInPandas(learn(start, 1, s.rate / 3), kind)
-    mean = refined.select(F.posexplode("parameters").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).toArrow()  # as many rows as parameters
+    refined = ordered(rows, min(2 * shards, 1024)).mapInArrow(learn(start, 1, s.rate / 3, False), kind)
+    mean = refined.select("weight", F.posexplode("parameters").alias("i", "x")).groupBy("i").agg((F.sum("x") / F.sum("weight")).alias("x")).toArrow()  # as many rows as parameters
     out = np.zeros(len(start), np.float32)
     out[mean.column("i").to_numpy()] = mean.column("x").to_numpy()
     return out
@@ -355,7 +377,7 @@ def score_documents(docs: DataFrame, s: Settings = Settings(), modulus: int = 7,
     for r in rest:
         tokens[r["e"]], types[r["e"]] = r["n"], r["types"]
     counts = np.concatenate([np.array([r["n"] for r in top], np.float64), tokens])
-    parameters = train(training, v, counts, n_train, scratch)
+    parameters = train(training, v, counts, n_train)
     arrow = head.toArrow()
     hashed = word_hashes(arrow.column("word").to_pylist())
     order = np.argsort(hashed)
