@@ -83,6 +83,16 @@ def test_language_model_trains_on_all_documents(spark):
     assert shards == math.ceil(21 * 5000 / 400) and sorted(r.text for r in got.collect()) == sorted(t for _, t in rows)
 
 
+def test_heavy_shards_of_the_language_model_are_trained_whole(monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_model.Network, "train", lambda net, docs, epochs, rate: seen.append(sum(map(len, docs))))
+    texts = ["long text " * 2500, *["equal rows here"] * 700, "other shard"]
+    batch = pa.RecordBatch.from_arrays([pa.array([3] * 701 + [4]), pa.array(texts)], names=["shard", "text"])
+    out = list(language_model.learner(["long", "text", ""], np.ones(3 + SMALL.endings), SMALL, None, 1, 0.01)(iter([batch])))
+    n = 5001 + 700 * 4 + 3
+    assert sum(seen) == n == out[0].column("weight")[0].as_py() and max(seen) == 2 * SMALL.shard_tokens and seen[-1] == 3
+
+
 def test_probabilities_sum_to_one_and_state_is_carried():
     v = language_model.Vocabulary([f"w{i}" for i in range(29)] + [""], list(range(40, 10, -1)), SMALL)
     net = language_model.Network(v, np.ones(v.size))

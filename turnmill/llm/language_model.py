@@ -298,7 +298,8 @@ def dealt(training: DataFrame, n_tokens: int, s: Settings) -> tuple[DataFrame, i
 
 def learner(words: list[str], counts: np.ndarray, s: Settings, first: np.ndarray | None, epochs: int, rate: float, one: bool = False):
     """A function of batches (shard, h, text) in order of shards: (weight, parameters), the number of tokens and the sum of the
-    parameters that the shards come to from the first ones, times their tokens. With `one` only the first shard trains."""
+    parameters that the shards come to from the first ones, times their tokens. A shard of over twice the tokens, be it by one
+    text or by many equal rows, is trained as several. With `one` only the first of all trains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary(words, counts[: len(words)].tolist(), s)
@@ -320,9 +321,12 @@ def learner(words: list[str], counts: np.ndarray, s: Settings, first: np.ndarray
                     close()
                     shard = name
                 doc = ids[at[k] : at[k + 1]]
-                if held < 2 * s.shard_tokens:
-                    docs.append(doc)
-                    held += len(doc)
+                while len(doc):
+                    piece, doc = doc[: 2 * s.shard_tokens - held], doc[2 * s.shard_tokens - held :]
+                    docs.append(piece)
+                    held += len(piece)
+                    if held == 2 * s.shard_tokens:
+                        close()
         close()
         if weight:
             yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["weight", "parameters"])
