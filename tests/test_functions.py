@@ -1,4 +1,4 @@
-from hypothesis import given
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -50,7 +50,16 @@ def test_regex_plan():
     assert [regexplan.error(p) for p in ("(a+)+", "x*", "(", "a" * 81, "ab")] == ["too_slow", "matches_empty", "invalid", "too_long", ""]
 
 
-@given(st.text("ab(|)?*.\\[]{}1", max_size=8))
+def test_escapes_of_control_characters_and_numbers_are_no_letters():
+    assert [regexplan.alternatives(p) for p in (r"x\tb", r"ab\x41cd", r"a\nb", r"a\.b")] == [[], [], [], ["a.b"]]
+    assert regexplan.prefilters(r"ab\x41cd\tef") == ["ab", "cd", "ef"][:2] and regexplan.java(r"a\Z{(?P<n>x)[[&]") == r"a\z\{(?<n>x)[\[\&]"
+
+
+@settings(max_examples=2000)
+@given(st.text("abftnxuN(|)?*.\\[]{}14", max_size=8))
+@example(r"\a")
+@example(r"x\tb")
+@example(r"ab\x41cd")
 def test_alternatives_stand_for_the_pattern(p):
     import re
 

@@ -128,13 +128,16 @@ def is_valid_bracket_label(label: Column) -> Column:
 
 
 def parse_speaker(line: Column) -> Column:
-    """Struct of speaker ('' if none) and text, from `【x】：text`, `[x]:text` or `label：text`."""
+    """Struct of speaker ('' if none) and text, from `【x】：text`, `[x]:text` or `label：text`; a label has 32 characters at most."""
     line = normalize_turn(line)
-    b = r"^\s*[【\[]([^】\]\s][^】\]]{0,31})[】\]]\s*[：:]\s*(.+?)\s*$"
-    p = r"^\s*([^:：\s][^:：]{0,31})\s*[：:]\s*(.+?)\s*$"
-    get = lambda pattern, k: strip(F.regexp_extract(line, pattern, k))
-    pair = lambda pattern: F.struct(get(pattern, 1).alias("speaker"), get(pattern, 2).alias("text"))
-    return F.when((get(b, 2) != "") & is_valid_bracket_label(get(b, 1)), pair(b)).when((get(p, 2) != "") & is_valid_label(get(p, 1)), pair(p)).otherwise(F.struct(F.lit("").alias("speaker"), line.alias("text")))
+
+    def parts(pattern: str, valid) -> tuple[Column, Column]:
+        label, text = F.regexp_extract(line, pattern, 1), strip(F.regexp_extract(line, pattern, 2))
+        fit = (text != "") & ~label.startswith(" ") & (F.length(F.rtrim(label)) <= 32) & valid(label)
+        return fit, F.struct(strip(label).alias("speaker"), text.alias("text"))
+
+    in_brackets, plain = parts(r"^[\[【]([^\]】]+)[\]】] ?[:：](.+)", is_valid_bracket_label), parts("^([^:：]+)[:：](.+)", is_valid_label)
+    return F.when(*in_brackets).when(*plain).otherwise(F.struct(F.lit("").alias("speaker"), line.alias("text")))
 
 
 def normalize_speaker(speaker: Column, text: Column) -> Column:

@@ -73,7 +73,7 @@ def matches(column: Column, pattern: str) -> Column:
     before it, which are cheap to test."""
     if options := regexplan.alternatives(pattern):
         return _any([ilike(column, o) for o in options])
-    out = column.rlike("(?iu)" + regexplan.normalize(pattern))
+    out = column.rlike("(?iuU)" + regexplan.java(pattern))
     for literal in regexplan.prefilters(pattern):
         out = ilike(column, literal) & out
     return out
