@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import diagraph, grammar, phrases, regexplan, windows
 from turnmill.functions import text as X
-from turnmill.functions.guard import Guard, policy_of
+from turnmill.functions.guard import Guard, Limits, policy_of
 
 HAN = st.text("我你不去学校因为没时间的了是 ，。？ab", max_size=14)
 
@@ -91,7 +91,7 @@ def test_diagraph_negation_response():
 
 
 def test_guard():
-    g = Guard(policies={n: (3, 60, 120) for n in ("general", "search", "resonance", "context", "export", "audio", "login")}, last_page=10, honeypot=600)
+    g = Guard(Limits({n: (3, 60, 120) for n in ("general", "search", "resonance", "context", "export", "audio", "login")}, last_page=10, honeypot=600))
     ask = lambda t, **k: g.decide(t, k.pop("path", "/search"), ip="1.1.1.1", visitor="v", agent="Mozilla", **k)
     assert [ask(t).allowed for t in (0, 1, 2)] == [True] * 3
     d = ask(3)

@@ -5,6 +5,7 @@ from turnmill.operators import ingest as I
 from turnmill.operators import pairs as P
 from turnmill.operators import statistics as St
 from turnmill.operators import visits as V
+from turnmill.operators.groups import connected
 from turnmill.operators.search import SearchFilters, search_entries, search_turns
 from turnmill.sources import files
 
@@ -68,18 +69,79 @@ def test_copy_skips_rows_by_any_key(spark):
     assert sorted(r.id for r in I.new_rows(s, t, "id", "content_hash").collect()) == [3, 4]
 
 
+def _asked(spark, rows):
+    """Requests from dictionaries, in order one second apart unless they say when; the rest as a browser sends it."""
+    usual = {"path": "/search", "method": "GET", "ip": "203.0.113.10", "visitor": "a", "agent": "Mozilla/5.0", "fetch_site": "same-origin", "requested_with": "fetch", "page": 1, "admin": False}
+    schema = "id long, epoch long, path string, method string, ip string, visitor string, agent string, fetch_site string, requested_with string, page int, admin boolean"
+    return spark.createDataFrame([tuple((usual | {"id": (1 << 53) + i, "epoch": 1000 + i} | r)[c.split()[0]] for c in schema.split(", ")) for i, r in enumerate(rows)], schema)
+
+
+NAMES = ("general", "search", "resonance", "context", "export", "audio", "login")
+
+
+@pytest.mark.parametrize(
+    "limit,rows,want",
+    [
+        (3, [{}, {}, {}, {}, {"path": "/", "epoch": 1060}], ["", "", "", "rate_limit", "temporary_block"]),
+        (2, [{"ip": f"203.0.113.{i}"} for i in range(1, 4)], ["", "", "rate_limit"]),
+        (2, [{"ip": f"203.0.113.{i}"} for i in range(1, 7)], ["", "", "rate_limit"] + ["temporary_block"] * 3),
+        (2, [{"visitor": v} for v in "abc"], ["", "", "rate_limit"]),
+        (3, [{"path": "/api/resonance", "requested_with": ""}], ["missing_fetch_signal"]),
+        (3, [{"agent": "python-requests/2.32"}], ["automation_client"]),
+        (3, [{"page": 11}, {}], ["deep_pagination", ""]),
+        (3, [{"path": "/corpus-export-all"}, {"path": "/", "epoch": 1100}], ["honeypot", "temporary_block"]),
+        (1, [{"admin": True, "agent": "curl/8"}, {"ip": "203.0.113.99", "agent": "curl/8"}, {"method": "OPTIONS"}, {"path": "/static/x"}], [""] * 4),
+        (1, [{"ip": None, "visitor": ""}, {"ip": "", "visitor": None}, {"fetch_site": "cross-site"}], ["", "rate_limit", "cross_site"]),
+        (2, [{"ip": "1", "visitor": "a"}, {"ip": "2", "visitor": "b"}, {"ip": "1", "visitor": "b"}, {"ip": "2", "visitor": "b"}], ["", "", "", "rate_limit"]),
+    ],
+)
+def test_guard_across_identities(spark, limit, rows, want, tmp_path):
+    limits = V.Limits({n: (limit, 60, 120) for n in NAMES}, last_page=10, honeypot=600, trusted=("203.0.113.99",))
+    asked = _asked(spark, rows)
+    got = V.guard_requests(asked, limits=limits).orderBy("id").collect()
+    assert [r.reason for r in got] == want and [r.id for r in got] == [(1 << 53) + i for i in range(len(rows))]
+    one = V.Guard(limits)
+    plain = [one.decide(r.epoch, r.path, r.method, r.ip or "", r.visitor or "", r.agent, r.fetch_site, r.requested_with, r.page, r.admin) for r in asked.orderBy("id").collect()]
+    assert [(r.allowed, r.policy, r.reason, r.status, r.retry_after, r.remaining) for r in got] == [(d.allowed, d.policy, d.reason, d.status, d.retry_after, d.remaining) for d in plain]
+    # the same, a batch for each request: the state goes from batch to batch
+    from turnmill.streaming import visits as Vs
+
+    step = Vs.guard_step(limits)
+    by_batch = [step(asked.where(F.col("id") == r.id), k, f"file://{tmp_path}").first() for k, r in enumerate(got)] if len(rows) < 5 else got
+    assert [(r.reason, r.retry_after, r.remaining) for r in by_batch] == [(r.reason, r.retry_after, r.remaining) for r in got]
+
+
 def test_guard_batch_and_stream_agree(spark, tmp_path):
     from turnmill.streaming import run
     from turnmill.streaming import visits as Vs
 
-    rows = spark.range(200).selectExpr("id", "concat('10.0.0.', id % 3) ip", "cast(id % 3 as string) visitor", "1700000000 + id * 2 epoch", "'/' path", "'GET' method", "200 status", "0 blocked")
+    rows = spark.range(200).selectExpr("id", "concat('10.0.0.', id % 6) ip", "cast(id % 3 as string) visitor", "1700000000 + id * 2 epoch", "'/' path", "'GET' method", "200 status", "0 blocked")
     rows.write.parquet(str(tmp_path / "r"))
     limits = {"general": (3, 60, 120)}
     a = V.guard_requests(spark.read.parquet(str(tmp_path / "r")), limits).select("id", "allowed", "reason", "retry_after")
-    b = run.drain(Vs.guard_requests(run.source(spark, str(tmp_path / "r")), limits)).select("id", "allowed", "reason", "retry_after")
+    b = Vs.guard_requests(run.source(spark, str(tmp_path / "r")), limits).select("id", "allowed", "reason", "retry_after")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.where("NOT allowed").count() > 0
 
 
+def test_connected_groups_match_union_find(spark):
+    import random
+
+    rng = random.Random(5)
+    pairs = [(str(rng.randrange(60)), str(rng.randrange(60))) for _ in range(45)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(40)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    got = {r.node: r.root for r in connected(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert got == {x: root(x) for x in up if any(x in p and p[0] != p[1] for p in pairs)}
+
+
 def test_page_window():
     assert St.page_window(95, 99, 10) == {"pages": 10, "page": 10, "offset": 90, "first": 1, "last": 10}
 

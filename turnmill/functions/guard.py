@@ -1,4 +1,5 @@
-"""The request guard as a state machine over one client's requests in time order. Batch and streaming operators share it."""
+"""The request guard as a state machine over requests in time order, with state of its own for each identity: an address and a
+visitor. Batch and streaming operators share it."""
 
 from __future__ import annotations
 
@@ -43,6 +44,20 @@ def identities(ip: str, visitor: str) -> list[str]:
     return found or ["anonymous"]
 
 
+def exempt(path: str, method: str) -> bool:
+    return method == "OPTIONS" or path.startswith("/static/") or path == "/api/visitor-stats"
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Policies (limit, window, penalty), the last page that searches may ask for, and seconds of a honeypot's block."""
+
+    policies: dict[str, tuple[int, int, int]] = field(default_factory=lambda: dict(POLICIES))
+    last_page: int = LAST_PAGE
+    honeypot: int = HONEYPOT_SECONDS
+    trusted: tuple[str, ...] = ()
+
+
 @dataclass
 class Decision:
     allowed: bool
@@ -57,9 +72,7 @@ class Decision:
 class Guard:
     """State: until when an identity is blocked, and the times of its recent requests under each policy."""
 
-    policies: dict[str, tuple[int, int, int]] = field(default_factory=lambda: dict(POLICIES))
-    last_page: int = LAST_PAGE
-    honeypot: int = HONEYPOT_SECONDS
+    limits: Limits = field(default_factory=Limits)
     blocked: dict[str, float] = field(default_factory=dict)
     recent: dict[tuple[str, str], deque] = field(default_factory=dict)
 
@@ -67,27 +80,29 @@ class Guard:
         for w in who:
             self.blocked[w] = max(self.blocked.get(w, 0), until)
 
-    def decide(self, now: float, path: str, method: str = "GET", ip: str = "", visitor: str = "", agent: str = "", fetch_site: str = "", requested_with: str = "", page: int = 1, exempt: bool = False) -> Decision:
-        if exempt or method == "OPTIONS" or path.startswith("/static/") or path == "/api/visitor-stats":
-            return Decision(True)
-        whole = lambda s: max(1, math.floor(s + 0.999))
-        who, name = identities(ip, visitor), policy_of(path, method)
-        limit, window, penalty = self.policies[name]
-        if (until := max(self.blocked.get(w, 0) for w in who)) > now:
-            return Decision(False, name, "temporary_block", 429, whole(until - now))
+    def refusal(self, path: str, name: str, agent: str, fetch_site: str, requested_with: str, page: int) -> tuple[str, str, int] | None:
+        """(policy, reason, seconds of block) of a request that is refused for what it is; a page too deep blocks nothing."""
         data = holds_data(path)
-        refusals = (
-            (path in HONEYPOTS, "honeypot", "honeypot", self.honeypot),
+        found = (
+            (path in HONEYPOTS, "honeypot", "honeypot", self.limits.honeypot),
             (data and fetch_site.lower() == "cross-site", name, "cross_site", CROSS_SITE_SECONDS),
             (needs_fetch(path) and requested_with.lower() != "fetch", name, "missing_fetch_signal", NO_SIGNAL_SECONDS),
             (data and (not agent.strip() or bool(BOTS.search(agent))), name, "automation_client", BOT_SECONDS),
+            (self.limits.last_page and path in SEARCHES and page > self.limits.last_page, "search", "deep_pagination", 0),
         )
-        for hit, policy, reason, seconds in refusals:
-            if hit:
+        return next((x[1:] for x in found if x[0]), None)
+
+    def settle(self, now: float, who: list[str], name: str, refusal: tuple[str, str, int] | None) -> Decision:
+        """The decision on a request that is not exempt, and what it does to the state of its identities."""
+        whole = lambda s: max(1, math.floor(s + 0.999))
+        if (until := max(self.blocked.get(w, 0) for w in who)) > now:
+            return Decision(False, name, "temporary_block", 429, whole(until - now))
+        if refusal:
+            policy, reason, seconds = refusal
+            if seconds:
                 self._block(who, now + seconds)
-                return Decision(False, policy, reason, 403, seconds)
-        if self.last_page and path in SEARCHES and page > self.last_page:
-            return Decision(False, "search", "deep_pagination", 403)
+            return Decision(False, policy, reason, 403, seconds)
+        limit, window, penalty = self.limits.policies[name]
         used = 0
         for w in who:
             log = self.recent.setdefault((w, name), deque())
@@ -101,8 +116,13 @@ class Guard:
             used = max(used, len(log))
         return Decision(True, name, remaining=max(0, limit - used))
 
+    def decide(self, now: float, path: str, method: str = "GET", ip: str = "", visitor: str = "", agent: str = "", fetch_site: str = "", requested_with: str = "", page: int = 1, admin: bool = False) -> Decision:
+        if admin or ip in self.limits.trusted or exempt(path, method):
+            return Decision(True)
+        name = policy_of(path, method)
+        return self.settle(now, identities(ip, visitor), name, self.refusal(path, name, agent, fetch_site, requested_with, page))
+
     def forget(self, now: float) -> None:
-        """Drop expired blocks and empty logs."""
+        """Drop expired blocks, and logs that no window reaches."""
         self.blocked = {w: t for w, t in self.blocked.items() if t > now}
-        longest = max(p[1] for p in self.policies.values())
-        self.recent = {k: v for k, v in self.recent.items() if v and v[-1] > now - longest}
+        self.recent = {k: v for k, v in self.recent.items() if v and v[-1] > now - self.limits.policies[k[1]][1]}

@@ -118,13 +118,15 @@ def showcase_page(pairs: DataFrame, datasets: tuple[str, ...], preset: str = "re
 
 
 def window_turns(pairs: DataFrame, turns: DataFrame, window: str = "pair") -> DataFrame:
-    """The turns around each pair (id, conversation_key, turn_index_a, turn_index_b): its two, some more on each side, or all."""
+    """The turns around each pair (id, conversation_key, turn_index_a, turn_index_b): its two, some more on each side, or all. The
+    places of a window are listed and joined by conversation and place, so a long conversation is not paired with itself."""
     more = {"context2": 2, "context5": 5}.get(window, 0)
     p = pairs.select(F.col("id").alias("pair_id"), "conversation_key", "turn_index_a", "turn_index_b")
-    t = p.join(turns, "conversation_key")
+    on = ["conversation_key"]
     if window != "full":
-        t = t.where(F.col("turn_index").between(F.col("turn_index_a") - more, F.col("turn_index_b") + more))
-    return t.select("pair_id", "turn_index", "id", "speaker_label", "turn_text")
+        p = p.select("pair_id", "conversation_key", F.explode(F.sequence(F.col("turn_index_a") - more, F.col("turn_index_b") + more)).alias("turn_index"))
+        on.append("turn_index")
+    return p.join(turns.select("conversation_key", "turn_index", "id", "speaker_label", "turn_text"), on).select("pair_id", "turn_index", "id", "speaker_label", "turn_text")
 
 
 _GRID = "pair_id long, row_no int, speaker string, cells map<string,string>"

@@ -189,15 +189,32 @@ def with_neighbours(hits: DataFrame, turns: DataFrame) -> DataFrame:
     return out.withColumns({n: F.coalesce(n, F.lit("")) for n in ("prev_text", "next_text")})
 
 
+#: A page of so many rows at most goes through the driver; a larger one stays a plan.
+PAGE_ROWS = 1000
+
+
+def small_page(df: DataFrame, limit: int) -> DataFrame:
+    """A page of `limit` rows at most as a local table. It is worked out once, however often it is used, and joins with it know its
+    size; its keys can be pushed into scans as literals."""
+    return df.sparkSession.createDataFrame(df.limit(limit).collect(), df.schema) if limit <= PAGE_ROWS else df.limit(limit)
+
+
+def _among(df: DataFrame, column: str, page: DataFrame, key: str, limit: int) -> DataFrame:
+    """The rows of df whose column is one of the page's keys."""
+    if limit <= PAGE_ROWS:
+        return df.where(F.col(column).isin([r[0] for r in page.select(key).distinct().collect()]))
+    return df.join(page.select(F.col(key).alias(column)).distinct(), column, "left_semi")
+
+
 def search_turns(turns: DataFrame, entries: DataFrame, f: SearchFilters, limit: int, offset: int = 0) -> DataFrame:
     """A page of hits with neighbours and entry data. The page is cut before the joins, so these touch its rows only."""
     f = f.normalized()
-    page = turn_hits(turns, entries, f).orderBy(*entry_order(f.sort, nulls_last=True))
-    page = (page.offset(offset) if offset else page).limit(limit).select(*turns.columns)
-    page = F.broadcast(page)  # at most `limit` rows
-    wanted = turns.join(F.broadcast(page.select("conversation_key").distinct()), "conversation_key", "left_semi")
-    rows = with_neighbours(page, wanted)
-    e = entries.select(F.col("id").alias("e_id"), "title", "year", F.col("source").alias("e_source"), F.col("category").alias("e_category"), F.col("dataset_name").alias("e_dataset"))
+    hits = turn_hits(turns, entries, f).orderBy(*entry_order(f.sort, nulls_last=True))
+    page = small_page((hits.offset(offset) if offset else hits).select(*turns.columns), limit)
+    beside = page.select("conversation_key", F.explode(F.array(F.col("turn_index") - 1, F.col("turn_index") + 1)).alias("turn_index")).distinct()
+    near = _among(turns, "conversation_key", page, "conversation_key", limit).join(F.broadcast(beside) if limit <= PAGE_ROWS else beside, ["conversation_key", "turn_index"], "left_semi")
+    rows = with_neighbours(page, near)
+    e = _among(entries, "id", page, "entry_id", limit).select(F.col("id").alias("e_id"), "title", "year", F.col("source").alias("e_source"), F.col("category").alias("e_category"), F.col("dataset_name").alias("e_dataset"))
     rows = rows.join(e, F.col("entry_id") == F.col("e_id"), "left")
     own = lambda a, b: F.coalesce(filled(F.col(a)), F.col(b), F.lit(""))
     return rows.select("id", "entry_id", "conversation_key", "turn_index", "speaker_label", "prev_text", F.col("turn_text").alias("hit_text"), "next_text", F.coalesce("title", F.lit("")).alias("title"), "year", display_source(own("e_source", "source"), own("e_category", "category")).alias("source"), own("e_category", "category").alias("category"), own("e_dataset", "dataset_name").alias("dataset_name"))
@@ -227,14 +244,31 @@ def match_counts(turns: DataFrame, keyword: str) -> DataFrame:
     return turns.groupBy("conversation_key").agg(F.count_if(ilike(F.col("turn_text"), keyword)).alias("n_hits"), F.count(F.lit(1)).alias("n_turns")).where("n_hits > 0")
 
 
-def candidate_pairs(turns: DataFrame, keyword: str, limit: int = 300) -> DataFrame:
-    """Newest turns with the keyword, each with the turn before and the one after; every pair once."""
-    hit = F.broadcast(turns.where(ilike(F.col("turn_text"), keyword)).orderBy(F.desc("id")).limit(limit).select("id", "conversation_key", "turn_index"))
-    near = turns.join(F.broadcast(hit.select("conversation_key").distinct()), "conversation_key", "left_semi")
+def candidate_limit(value, default: int = 300, most: int = 1000) -> int:
+    try:
+        return max(1, min(int(value), most))
+    except (TypeError, ValueError):
+        return default
+
+
+def candidate_turns(turns: DataFrame, keyword: str, limit=300, source: str = "", category: str = "", before_id: int | None = None) -> DataFrame:
+    """The newest turns with the keyword in a display section, below an id where one is given."""
+    keep = ilike(F.col("turn_text"), keyword) & display_condition(source, category)
+    if before_id is not None:
+        keep = keep & (F.col("id") < before_id)
+    return turns.where(keep).orderBy(F.desc("id")).limit(candidate_limit(limit))
+
+
+def candidate_pairs(turns: DataFrame, keyword: str, limit=300, **where) -> DataFrame:
+    """Candidate turns, each with the turn before and the one after; every pair once."""
+    n = candidate_limit(limit)
+    hit = small_page(candidate_turns(turns, keyword, n, **where).select("id", "conversation_key"), n)
+    near = _among(turns, "conversation_key", hit, "conversation_key", n)
     a, b = (near.select("conversation_key", F.col("turn_index").alias(f"index_{x}"), F.col("id").alias(f"turn_{x}_id"), F.col("turn_text").alias(f"text_{x}")) for x in "ab")
     pairs = a.join(b.withColumn("index_a", F.col("index_b") - 1), ["conversation_key", "index_a"])
-    ids = hit.select(F.col("id").alias("h"))
-    return pairs.join(ids, (F.col("turn_a_id") == F.col("h")) | (F.col("turn_b_id") == F.col("h")), "left_semi")
+    for side in "ab":  # two joins by a key, where an OR of both would compare all rows
+        pairs = pairs.join(F.broadcast(hit.select(F.col("id").alias(f"turn_{side}_id"), F.lit(True).alias(f"hit_{side}"))), f"turn_{side}_id", "left")
+    return pairs.where("hit_a OR hit_b").drop("hit_a", "hit_b")
 
 
 def newest_in_order(df: DataFrame, limit: int) -> DataFrame:

@@ -34,10 +34,10 @@ def section_rank(section: Column) -> Column:
 
 def filter_options(entries: DataFrame, datasets: int = 300) -> DataFrame:
     """(kind, value): distinct filled sources (with the section 古代汉语 where its rows exist), years, categories, datasets."""
-    one = lambda kind, c: entries.where(~blank(c)).select(F.lit(kind).alias("kind"), c.alias("value")).distinct()
-    out = one("source", F.col("source")).unionByName(one("source", F.nullif(section_column(), F.col("source"))))
-    out = out.unionByName(one("category", F.col("category"))).unionByName(one("year", F.col("year").cast("string")))
-    return out.distinct().unionByName(one("dataset", F.col("dataset_name")).orderBy("value").limit(datasets))
+    one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("value"))
+    own = [one("source", F.col("source")), one("source", F.nullif(section_column(), F.col("source"))), one("category", F.col("category")), one("year", F.col("year"))]
+    listed = lambda *options: entries.select(F.explode(F.array(*options)).alias("o")).select("o.*").where(~blank(F.col("value"))).distinct()
+    return listed(*own).unionByName(listed(one("dataset", F.col("dataset_name"))).orderBy("value").limit(datasets))
 
 
 def source_categories(entries: DataFrame) -> DataFrame:
@@ -63,9 +63,8 @@ def latest_of_conversations(entries: DataFrame, source: str = "", category: str
         keep = keep & (ilike(F.coalesce("title", F.lit("")), keyword) | ilike(F.coalesce("content", F.lit("")), keyword))
     own = F.col("conversation_id") if "conversation_id" in entries.columns else F.lit(None).cast("string")
     rows = entries.where(keep).withColumn("conversation_key", conversation_key(own, F.col("id")))
-    # an aggregate, not a window: one row for each conversation, combined before the shuffle
-    kept = [c for c in rows.columns if c not in ("conversation_key",)]
-    return rows.groupBy("conversation_key").agg(F.max_by(F.struct(*kept), "id").alias("e")).select("conversation_key", "e.*")
+    # ids are aggregated without the texts, and only columns that are asked for are joined to them
+    return rows.join(rows.groupBy("conversation_key").agg(F.max("id").alias("id")).select("id"), "id", "left_semi").select("conversation_key", *[c for c in rows.columns if c != "conversation_key"])
 
 
 def dialogues(conversations: DataFrame, turns: DataFrame) -> DataFrame:

@@ -73,14 +73,14 @@ def turns(spark: SparkSession, sf_dir: str, phrases: bool = False) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as requests: ip, epoch, path, method, status, blocked."""
+    """events as requests: ip, epoch, path, method, status, blocked. Two addresses share a visitor."""
     return as_requests(table(spark, sf_dir, "events"))
 
 
 def as_requests(e: DataFrame) -> DataFrame:
     bad = F.col("event_type") == "error"
     return e.select(
-        F.col("event_id").alias("id"), F.concat(F.lit("10.0."), F.expr("user_id div 256"), F.lit("."), F.col("user_id") % 256).alias("ip"), F.col("user_id").cast("string").alias("visitor"),
+        F.col("event_id").alias("id"), F.concat(F.lit("10.0."), F.expr("user_id div 256"), F.lit("."), F.col("user_id") % 256).alias("ip"), F.expr("user_id div 2").cast("string").alias("visitor"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"), F.concat(F.lit("/"), F.col("event_type")).alias("path"), F.lit("GET").alias("method"), F.when(bad, 403).otherwise(200).alias("status"), bad.cast("int").alias("blocked"),
     )
 
@@ -105,5 +105,5 @@ def turns_sql(phrases: bool = False) -> str:
   FROM conversations c LEFT JOIN entries e ON e.id = c.conv_id)"""
 
 
-REQUESTS_SQL = """requests AS (SELECT event_id AS id, '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS ip, CAST(user_id AS VARCHAR) AS visitor, CAST(floor(epoch(ts)) AS BIGINT) AS epoch,
+REQUESTS_SQL = """requests AS (SELECT event_id AS id, '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS ip, CAST(user_id // 2 AS VARCHAR) AS visitor, CAST(floor(epoch(ts)) AS BIGINT) AS epoch,
   '/' || event_type AS path, 'GET' AS method, CASE WHEN event_type = 'error' THEN 403 ELSE 200 END AS status, CAST(event_type = 'error' AS INTEGER) AS blocked FROM events)"""

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import guard
-from ..functions.guard import Guard
+from ..functions.guard import Guard, Limits
 from ..functions.text import mask_ip4, visitor_hash
+from ..shipping import shared_folder
+from .groups import connected
 
 ZONE, BUCKET, ONLINE = "Asia/Shanghai", 300, 90
 
@@ -87,41 +91,133 @@ def block_state(events: DataFrame) -> DataFrame:
     return events.groupBy("ip_address").agg(F.max_by("action", "at").alias("action")).where("action = 'block'").select("ip_address")
 
 
+def _in(c: Column, values) -> Column:
+    return c.isin(*sorted(values))
+
+
+def _starts(c: Column, prefixes) -> Column:
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | c.startswith(p)
+    return out
+
+
 def request_policy(path: Column, method: Column) -> Column:
     out = F.when((path == "/admin/login") & (method == "POST"), "login")
     for name, policy in guard.BY_NAME.items():
         out = out.when(path == name, policy)
     for policy, starts in guard.BY_PREFIX:
-        for start in starts:
-            out = out.when(path.startswith(start), policy)
+        out = out.when(_starts(path, starts), policy)
     return out.otherwise("general")
 
 
-DECISIONS = "id long, ip string, epoch long, path string, allowed boolean, policy string, reason string, status int, retry_after int, remaining int"
-
+def refusal(r: DataFrame, limits: Limits) -> Column:
+    """Struct of policy, reason and seconds for a request that is refused for what it is, else null. As Guard.refusal, in the JVM."""
+    cell = lambda n: F.coalesce(F.col(n), F.lit("")) if n in r.columns else F.lit("")
+    path, agent = F.col("path"), cell("agent")
+    data = _in(path, guard.SEARCHES) | _in(path, guard.FETCH_ONLY) | _starts(path, guard.DATA_PREFIXES)
+    fetch = _in(path, guard.FETCH_ONLY) | _starts(path, guard.CONTEXTS) & ~_in(path, guard.EXPORTS)
+    page = F.coalesce(F.col("page"), F.lit(1)) if "page" in r.columns else F.lit(1)
+    found = lambda policy, reason, seconds: F.struct(policy.alias("policy"), F.lit(reason).alias("reason"), F.lit(seconds).alias("seconds"))
+    own = F.col("policy")
+    out = F.when(_in(path, guard.HONEYPOTS), found(F.lit("honeypot"), "honeypot", limits.honeypot))
+    out = out.when(data & (F.lower(cell("fetch_site")) == "cross-site"), found(own, "cross_site", guard.CROSS_SITE_SECONDS))
+    out = out.when(fetch & (F.lower(cell("requested_with")) != "fetch"), found(own, "missing_fetch_signal", guard.NO_SIGNAL_SECONDS))
+    out = out.when(data & ((F.trim(agent) == "") | agent.rlike("(?i)" + guard.BOTS.pattern)), found(own, "automation_client", guard.BOT_SECONDS))
+    deep = _in(path, guard.SEARCHES) & (page > limits.last_page) if limits.last_page else F.lit(False)
+    return out.when(deep, found(F.lit("search"), "deep_pagination", 0))
 
-def decide_in_order(state: Guard, rows: pd.DataFrame) -> pd.DataFrame:
-    text = lambda r, n: (getattr(r, n, None) or "")
-    out = []
-    for r in rows.sort_values(["epoch", "id"]).itertuples(index=False):
-        d = state.decide(r.epoch, r.path, text(r, "method") or "GET", r.ip, text(r, "visitor"), text(r, "agent"), text(r, "fetch_site"), text(r, "requested_with"), getattr(r, "page", 1) or 1)
-        out.append((r.id, r.ip, r.epoch, r.path, d.allowed, d.policy, d.reason, d.status, d.retry_after, d.remaining))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
 
+def identities(ip: Column, visitor: Column) -> Column:
+    """The identities of a request, whose states it reads and changes: its address, its visitor's hash, or 'anonymous'."""
+    some = lambda c, made: F.when(F.coalesce(c, F.lit("")) != "", made)
+    found = F.array_compact(F.array(some(ip, F.concat(F.lit("ip:"), ip)), some(visitor, F.concat(F.lit("visitor:"), F.substring(F.sha2(visitor, 256), 1, 24)))))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("anonymous")))
 
-def guard_requests(requests: DataFrame, policies: dict | None = None) -> DataFrame:
-    """The guard's decision on each request. The state of an ip is its own, so each ip is judged by itself in time order, in
-    sorted streams that hold one ip's state at a time."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, at = Guard(), None
-        for frame in frames:
-            for ip, rows in frame.groupby("ip", sort=False):
-                if ip != at:
-                    state, at = Guard(policies=dict(policies)) if policies else Guard(), ip
-                yield decide_in_order(state, rows)
-
-    return requests.repartition("ip").sortWithinPartitions("ip", "epoch", "id").mapInPandas(run, DECISIONS)
+DECISIONS = "id long, ip string, epoch long, path string, allowed boolean, policy string, reason string, status int, retry_after int, remaining int"
+#: The guard's state: a row for each identity.
+STATE = "identity string, until double, logs map<string,array<double>>"
+_NAMES = [c.split()[0] for c in DECISIONS.split(", ")]
+
+
+def _decide(frames: Iterator[pd.DataFrame], limits: Limits) -> Iterator[pd.DataFrame]:
+    """Rows of a group: first the state of its identities, then its requests in order; behind the decisions, the new state."""
+    state, at, now = Guard(limits), None, 0.0
+
+    def kept() -> pd.DataFrame:
+        state.forget(now)
+        logs: dict[str, dict] = {w: {} for w in state.blocked}
+        for (w, policy), times in state.recent.items():
+            logs.setdefault(w, {})[policy] = list(times)
+        return pd.DataFrame([(*[None] * len(_NAMES), w, state.blocked.get(w, 0.0), x) for w, x in logs.items()], columns=[*_NAMES, "identity", "until", "logs"])
+
+    for frame in frames:
+        out = []
+        for r in frame.itertuples(index=False):
+            if r.root != at:
+                if at is not None:
+                    yield kept()
+                state, at = Guard(limits), r.root
+            if r.identity is not None:
+                if r.until > 0:
+                    state.blocked[r.identity] = r.until
+                for policy, times in dict(r.logs).items():
+                    state.recent[r.identity, policy] = deque(times)
+                continue
+            now = float(r.epoch)
+            d = state.settle(now, list(r.who), r.policy, (r.refused_policy, r.reason, int(r.seconds)) if r.reason else None)
+            out.append((int(r.id), r.ip, int(r.epoch), r.path, d.allowed, d.policy, d.reason, d.status, d.retry_after, d.remaining, None, None, None))
+        yield pd.DataFrame(out, columns=[*_NAMES, "identity", "until", "logs"])
+    if at is not None:
+        yield kept()
+
+
+def guard_step(requests: DataFrame, state: DataFrame | None, limits: Limits, at: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions on requests, and the state after them, given the state before (none: empty). `at` is a folder for working tables.
+
+    A request changes the states of its address and of its visitor, so requests that share either, over any number of others, are
+    one group and are judged in time order. What a request is refused for and its policy are worked out before, and requests that
+    are exempt never travel. A group is a sorted stream that holds the state of its identities alone."""
+    spark = requests.sparkSession
+    visitor = F.col("visitor") if "visitor" in requests.columns else F.lit(None).cast("string")
+    method = F.coalesce(F.col("method"), F.lit("GET")) if "method" in requests.columns else F.lit("GET")
+    path = F.col("path")
+    free = (method == "OPTIONS") | path.startswith("/static/") | (path == "/api/visitor-stats") | _in(F.coalesce("ip", F.lit("")), limits.trusted or ("-",))
+    if "admin" in requests.columns:
+        free = free | F.coalesce("admin", F.lit(False))
+    r = requests.withColumns({"free": free, "policy": request_policy(path, method), "who": identities(F.col("ip"), visitor)})
+    r = r.withColumn("no", refusal(r, limits)).select("id", "ip", "epoch", "path", "free", "policy", "who", F.col("no.policy").alias("refused_policy"), F.coalesce("no.reason", F.lit("")).alias("reason"), F.coalesce("no.seconds", F.lit(0)).alias("seconds"))
+    judged = r.where("NOT free").drop("free")
+    groups = connected(judged.where("size(who) > 1").select(F.col("who")[0].alias("a"), F.col("who")[1].alias("b")))
+    rooted = judged.join(groups, F.col("who")[0] == F.col("node"), "left").select(F.coalesce("root", F.col("who")[0]).alias("root"), *judged.columns)
+    # numbers of rows without any are 0: with nulls among them pandas would round large ids
+    none = lambda schema: [F.lit(0 if f.name in ("id", "epoch", "seconds") else None).cast(f.dataType).alias(f.name) for f in schema]
+    empty = spark.createDataFrame([], STATE)
+    rows = rooted.select("*", *none(empty.schema))
+    other = empty
+    if state is not None:
+        met = judged.select(F.explode("who").alias("identity")).distinct()
+        before = state.join(met, "identity", "left_semi").join(groups, F.col("identity") == F.col("node"), "left").withColumn("root", F.coalesce("root", "identity"))
+        rows = rows.unionByName(before.select("root", *none(judged.schema), "identity", "until", "logs"))
+        other = state.join(met, "identity", "left_anti")
+    ordered = rows.repartition("root").sortWithinPartitions("root", F.col("identity").isNull(), "epoch", "id")
+    done = ordered.mapInPandas(lambda frames: _decide(frames, limits), f"{DECISIONS}, {STATE}")
+    done.write.mode("overwrite").parquet(f"{at}/decided")
+    done = spark.read.schema(done.schema).parquet(f"{at}/decided")
+    passed = r.where("free").select("id", "ip", "epoch", "path", F.lit(True).alias("allowed"), F.lit("").alias("policy"), F.lit("").alias("reason"), F.lit(200).alias("status"), F.lit(0).alias("retry_after"), F.lit(0).alias("remaining"))
+    return done.where("identity IS NULL").select(*_NAMES).unionByName(passed), done.where("identity IS NOT NULL").select("identity", "until", "logs").unionByName(other)
+
+
+def guard_requests(requests: DataFrame, policies: dict | None = None, limits: Limits | None = None) -> DataFrame:
+    """The guard's decision on each request: guard_step() from an empty state."""
+    limits = limits or (Limits(policies=dict(policies)) if policies else Limits())
+    return guard_step(requests, None, limits, f"{shared_folder(requests.sparkSession)}/guard-{uuid.uuid4().hex[:12]}")[0]
+
+
+def guard_policies(spark: SparkSession, limits: Limits = Limits()) -> DataFrame:
+    """The policies in force, as the status page lists them."""
+    return spark.createDataFrame([(n, *p) for n, p in limits.policies.items()], "policy string, limit int, window_seconds int, penalty_seconds int")
 
 
 def guard_status(decisions: DataFrame, now: int) -> DataFrame:

@@ -122,7 +122,7 @@ def stream_ip_activity(spark, sf_dir):
 
 @query("stream_rate_limit_guard")
 def stream_rate_limit_guard(spark, sf_dir):
-    return run.drain(Vs.guard_requests(_stream(spark, sf_dir), {"general": (3, 3600, 7200)}))
+    return Vs.guard_requests(_stream(spark, sf_dir), {"general": (3, 3600, 7200)} | {n: (3, 60, 120) for n in ("search", "resonance", "context", "export", "audio", "login")})
 
 
 @query("blocked_requests", f"WITH {REQUESTS_SQL} SELECT id, ip LIKE '%.1' AS is_blocked FROM requests")

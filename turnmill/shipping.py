@@ -1,4 +1,4 @@
-"""Sending this package to the executors, which share no code folder with the driver."""
+"""What driver and executors share: this package's code, and the folder for working tables."""
 
 from __future__ import annotations
 
@@ -24,3 +24,16 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     sc.addPyFile(to)
     _shipped.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share. Only on one machine (local master, as in tests) a
+    temporary one stands in for it."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="turnmill-shared-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one where that is unset (one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="turnmill-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+#: What a batch of a stream becomes: from the batch, its number and a folder for state to the rows of the result.
+Step = Callable[[DataFrame, int, str], DataFrame]
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -23,15 +22,18 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", step: Step | None = None) -> DataFrame:
     """All of the stream's input, batch by batch; then the result. In complete mode each batch replaces the last one's table."""
-    spark, at = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, at = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex[:12]}"
+    kind = [stream.schema]
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/{'table' if mode == 'complete' else f'table/batch={number}'}")
+        rows = step(batch, number, f"{at}/kept") if step else batch
+        kind[0] = rows.schema
+        rows.write.mode("overwrite").parquet(f"{at}/{'table' if mode == 'complete' else f'table/batch={number}'}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     if query.exception():
         raise RuntimeError(str(query.exception()))
-    return spark.read.schema(stream.schema).parquet(f"{at}/table" if mode == "complete" else f"{at}/table/*")
+    return spark.read.schema(kind[0]).parquet(f"{at}/table" if mode == "complete" else f"{at}/table/*")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.guard import Guard
-from ..operators.visits import BUCKET, DECISIONS, decide_in_order
+from ..functions.guard import Limits
+from ..operators.visits import BUCKET, STATE
+from ..operators.visits import guard_step as guarded
+from .run import Step, drain
 
 
 def timed(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -30,22 +27,27 @@ def online_by_bucket(requests: DataFrame, seconds: int = BUCKET, delay: str = "1
     return timed(requests, delay).groupBy(F.window("ts", f"{seconds} seconds")).agg(F.approx_count_distinct("visitor", 0.01).alias("online")).select(F.unix_seconds("window.start").alias("bucket_epoch"), "online")
 
 
-def guard_requests(requests: DataFrame, policies: dict | None = None, delay: str = "10 minutes", idle: int = 86_400_000) -> DataFrame:
-    """The guard with its state by ip, dropped after a day of event time without a request (the longest block)."""
+def guard_step(limits: Limits = Limits()) -> Step:
+    """The guard for run.drain() or a foreachBatch of one's own. Its state has a row for each identity, so a visitor who changes
+    address, in a batch or between batches, is met again. Each batch writes a new version of the state beside the last one; expired
+    blocks and logs leave it, and a repeated batch starts from the same version."""
+
+    def step(batch: DataFrame, number: int, at: str) -> DataFrame:
+        spark = batch.sparkSession
+        old = spark.read.schema(STATE).parquet(f"{at}/state{number - 1}") if number else None
+        out, state = guarded(batch, old, limits, f"{at}/batch{number}")
+        now = batch.agg(F.max("epoch")).first()[0]
+        longest = float(max(p[1] for p in limits.policies.values()))
+        alive = (F.col("until") > now) | F.exists(F.flatten(F.map_values("logs")), lambda t: t > now - longest) if now is not None else F.lit(True)
+        state.where(alive).write.mode("overwrite").parquet(f"{at}/state{number}")
+        return out
+
+    return step
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        guard = pickle.loads(state.get[0]) if state.exists else Guard(policies=dict(policies)) if policies else Guard()
-        rows = pd.concat(list(frames))
-        out = decide_in_order(guard, rows)
-        guard.forget(float(rows["epoch"].max()))
-        state.update((pickle.dumps(guard),))
-        state.setTimeoutTimestamp(max(int(rows["epoch"].max()) * 1000, state.getCurrentWatermarkMs()) + idle)
-        yield out
 
-    return timed(requests, delay).groupBy("ip").applyInPandasWithState(run, DECISIONS, "guard binary", "append", GroupStateTimeout.EventTimeTimeout)
+def guard_requests(requests: DataFrame, policies: dict | None = None) -> DataFrame:
+    """Decisions on all that the stream has now."""
+    return drain(requests, step=guard_step(Limits(policies=dict(policies)) if policies else Limits()))
 
 
 def upsert_peaks(target: str):
