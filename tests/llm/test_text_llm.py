@@ -54,7 +54,7 @@ def test_toxicity_edges(odd_docs, no_docs, spark):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
 
 
-SMALL = language_model.Settings(words=40, classes=5, endings=4, embedding=6, state=6, head=60, head_one_in=1, shard_tokens=400, epochs=2, score_lanes=3)
+SMALL = language_model.Settings(words=40, words_a_root=0.1, endings=4, state=6, head=60, head_one_in=1, shard_tokens=400, epochs=2, lanes=8, span=5, updates=4, score_lanes=3)
 
 
 def lm_docs(spark):
@@ -105,18 +105,104 @@ def test_probabilities_sum_to_one_and_state_is_carried():
     assert together == pytest.approx(alone, rel=1e-5)
 
 
+def test_large_logits_stay_finite():
+    v = language_model.Vocabulary([f"w{i}" for i in range(9)] + [""], list(range(20, 10, -1)), SMALL)
+    net = language_model.Network(v, np.ones(v.size))
+    net.p["bc"][:2], net.p["bw"][:] = (500, -500), np.linspace(-900, 900, 10)
+    h = np.zeros((4, SMALL.state), np.float32)
+    assert np.isfinite(net.log_probabilities(h, np.array([0, 5, 9, 11]))).all()
+    g = {k: np.zeros(x, np.float32) for k, x in net.shapes.items()}
+    assert np.isfinite(net.gradients(h, np.array([0, 5, 9, 11]), g)).all() and all(np.isfinite(x).all() for x in g.values())
+
+
 def test_gradients_by_differences():
     v = language_model.Vocabulary([f"w{i}" for i in range(9)] + [""], list(range(20, 10, -1)), SMALL)
     net = language_model.Network(v, np.ones(v.size))
     rng = np.random.default_rng(1)
-    h, ids = rng.standard_normal((5, SMALL.state)).astype(np.float32), rng.integers(0, v.size, 5)
-    g = {k: np.zeros(x, np.float32) for k, x in net.shapes.items()}
-    dh = net.gradients(h, ids, g)
-    loss = lambda x: -net.log_probabilities(x, ids).mean()
-    for k in range(SMALL.state):
-        e = np.zeros_like(h)
-        e[2, k] = 1e-2
-        assert (loss(h + e) - loss(h - e)) / 2e-2 == pytest.approx(dh[2, k], abs=2e-3)
+    net.all += rng.standard_normal(net.n).astype(np.float32) * 0.3
+    steps, lanes = 4, 3
+    y = rng.integers(0, v.size, (steps, lanes))
+    x = np.concatenate([np.full((1, lanes), 9), y[:-1]])
+    fresh = x == 9
+    fresh[2, 1] = True
+    start = rng.standard_normal((lanes, SMALL.state)).astype(np.float32)
+
+    def loss():
+        h, total = start, 0.0
+        for k in range(steps):
+            h = net.step(net.p["in"][x[k]], np.where(fresh[k][:, None], np.float32(0), h))[0]
+            total -= net.log_probabilities(h, y[k]).sum()
+        return total / y.size
+
+    grad = np.zeros(net.n, np.float32)
+    net.span(x, y, fresh, start.copy(), grad)
+    for i in rng.choice(net.n, 250, replace=False):
+        old = net.all[i]
+        net.all[i] = old + 1e-2
+        up = loss()
+        net.all[i] = old - 1e-2
+        down = loss()
+        net.all[i] = old
+        assert (up - down) / 2e-2 == pytest.approx(grad[i], abs=2e-3)
+
+
+def test_training_learns_what_follows():
+    v = language_model.Vocabulary([f"w{i}" for i in range(9)] + [""], list(range(20, 10, -1)), SMALL)
+    rng = np.random.default_rng(2)
+    docs = [np.append((np.arange(30) + rng.integers(9)) % 9, 9) for _ in range(200)]
+    net = language_model.Network(v, np.ones(v.size))
+    ids, at = np.concatenate(docs), np.arange(0, 31 * 201, 31)
+    before = net.score(ids, at).mean() / 31
+    net.train(docs, 6, 0.05)
+    assert net.score(ids, at).mean() / 31 > before / 3
+
+
+def slow_score(text, net, counts, endings, types, settings):
+    """log10 of a text's probability, token by token, in plain floats."""
+    p, v = {k: x.astype(float) for k, x in net.p.items()}, net.v
+    n, h, last, total = settings.state, np.zeros(settings.state), v.place[""], 0.0
+    for w in [*(x.lower() for x in WORD.findall(text or "")), ""]:
+        x, g = p["in"][last], h @ p["u"]
+        z, r = (1 / (1 + np.exp(-(x[a : a + n] + g[a : a + n]))) for a in (0, n))
+        h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * g[2 * n :])
+        e = zlib.crc32(w[-2:].encode()) % settings.endings
+        last = v.place.get(w, len(v.words) + e)
+        logit = p["wc"] @ h + p["bc"]
+        c = v.class_of[last]
+        total += logit[c] - math.log(sum(math.exp(y) for y in logit))
+        if w in v.place:
+            inner = p["ww"] @ h + p["bw"]
+            total += inner[last] - math.log(sum(math.exp(inner[k]) for k in range(len(v.words)) if v.class_of[k] == c))
+        else:
+            total += math.log((counts[w] + 1) / (endings[e] + types[e] + 1))
+    return total / math.log(10)
+
+
+def test_scores_equal_a_slow_version(spark, monkeypatch):
+    rows = lm_docs(spark).collect()
+    out = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 == 2
+    c = collections.Counter(w for r in rows if not out(r.doc_id) for w in [*(x.lower() for x in WORD.findall(r.text or "")), ""])
+    made = {}
+
+    def fixed(training, v, counts, n_tokens, scratch):
+        made["net"] = language_model.Network(v, counts)
+        made["net"].all += np.random.default_rng(4).standard_normal(made["net"].n).astype(np.float32) * 0.3
+        return made["net"].all.copy()
+
+    monkeypatch.setattr(language_model, "train", fixed)
+    got = language_model.score_documents(lm_docs(spark), SMALL).collect()
+    # words of equal count are taken in their own order
+    n_words = max(SMALL.words, int(SMALL.words_a_root * math.sqrt(len(c))))
+    assert made["net"].v.words == sorted(c, key=lambda w: (w != "", -c[w], w))[:n_words]
+    rest = [w for w in c if w not in made["net"].v.place]
+    endings, types = collections.Counter(), collections.Counter()
+    for w in rest:
+        e = zlib.crc32(w[-2:].encode()) % SMALL.endings
+        endings[e] += c[w]
+        types[e] += 1
+    want = sorted((r.doc_id or -1, slow_score(r.text, made["net"], c, endings, types, SMALL)) for r in rows)
+    found = sorted((r.doc_id or -1, r.score) for r in got)
+    assert rest and [x[0] for x in found] == [x[0] for x in want] and np.allclose([x[1] for x in found], [x[1] for x in want], rtol=1e-4)
 
 
 def brute_kept(texts, window):

@@ -1,14 +1,15 @@
 """Log-likelihood of documents under a gated recurrent network with a class-factored softmax, in numpy.
 
 The output first chooses a class, then a word in it. Frequent words lie in classes of like total weight and are chosen by a
-softmax on the state; all other words lie in classes by their last letters and are chosen by their add-one share of the
-class, counted over the whole training corpus, with one share for words never seen. So probabilities of all words sum to one.
-Training is truncated backpropagation with the state carried on; scoring carries a document's state from its first
-token to its last. The network trains on all training documents: shards of them refine a common first model in parallel and
-their parameters are averaged by tokens."""
+softmax on the state, and they grow in number with the vocabulary; all other words lie in classes by their last letters and are
+chosen by their add-one share of the class, counted over the whole training corpus, with one share for words never seen. So every
+word has its place, and probabilities of all words sum to one. Training is truncated backpropagation with the state carried on;
+scoring carries a document's state from its first token to its last. The network trains on all training documents: shards of them
+refine a common first model in parallel and their parameters are averaged by tokens."""
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -30,25 +31,29 @@ END = ""
 
 @dataclass(frozen=True)
 class Settings:
-    #: Words chosen by the network, their classes, and classes of all other words by their last letters.
-    words: int = 2048
-    classes: int = 40
-    endings: int = 32
-    embedding: int = 24
-    state: int = 24
-    #: Words whose counts every worker holds (16 bytes each): the most frequent one in so many, the former at most. Counts of
-    #: all other words are joined.
-    head: int = 1 << 20
+    #: Words chosen by the network: so many, or as many times the root of the number of distinct words, whichever is more.
+    words: int = 1024
+    words_a_root: float = 1.5
+    #: Classes of these for each root of their number, and classes of all other words by their last letters.
+    classes_a_root: float = 0.75
+    endings: int = 24
+    state: int = 16
+    #: Words whose counts every worker holds: the most frequent one in so many, the former at most. Counts of all other
+    #: words are joined.
+    head: int = 1 << 18
     head_one_in: int = 8
     #: Training tokens of a shard, about; one of over twice as many is cut.
-    shard_tokens: int = 300_000
-    epochs: int = 3
-    rate: float = 0.006
-    lanes: int = 64
-    span: int = 24
+    shard_tokens: int = 1_200_000
+    #: Passes over the first shard, by which the common first model is made, and their rate.
+    epochs: int = 2
+    rate: float = 0.02
+    #: Side by side and steps of one update. A small shard has fewer lanes, so that it has about so many updates.
+    lanes: int = 512
+    span: int = 16
+    updates: int = 128
     seed: int = 11
     #: Documents scored side by side.
-    score_lanes: int = 512
+    score_lanes: int = 1024
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -66,11 +71,14 @@ class Vocabulary:
         self.words, self.place, self.s = words, {w: i for i, w in enumerate(words)}, s
         share = np.sqrt(np.maximum(np.array(counts, np.float64), 1))
         # classes are runs of words of about equal sum of root counts
-        cut = np.floor(np.cumsum(share) / max(share.sum(), 1) * s.classes * (1 - 1e-9)).astype(np.int64) if words else np.zeros(0, np.int64)
+        wanted = max(1, round(s.classes_a_root * math.sqrt(len(words))))
+        cut = np.floor(np.cumsum(share) / max(share.sum(), 1) * wanted * (1 - 1e-9)).astype(np.int64) if words else np.zeros(0, np.int64)
         _, self.word_class = np.unique(cut, return_inverse=True)
         self.n_classes = int(self.word_class.max()) + 1 if words else 0
         self.class_start = np.searchsorted(self.word_class, np.arange(self.n_classes + 1))
         self.size = len(words) + s.endings
+        #: The class of each place.
+        self.class_of = np.concatenate([self.word_class, self.n_classes + np.arange(s.endings)]).astype(np.int16)
 
     def ids(self, words: list[str]) -> np.ndarray:
         at = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
@@ -78,37 +86,46 @@ class Vocabulary:
         at[other] = len(self.words) + ending([words[i] for i in other], self.s.endings)
         return at
 
-    def classes(self, ids: np.ndarray) -> np.ndarray:
-        own = ids < len(self.words)
-        out = ids - len(self.words) + self.n_classes
-        out[own] = self.word_class[ids[own]]
-        return out
-
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _log_softmax(logits: np.ndarray) -> np.ndarray:
+    """Of each column, in place; the greatest logit is taken off first, so none is too large for exp."""
+    logits -= logits.max(axis=0)
+    logits -= np.log(np.exp(logits).sum(axis=0))
+    return logits
+
+
 class Network:
+    """A GRU. A word's input vector is its part of the three gates; the output is a softmax over classes and one over the words of
+    the class."""
+
     def __init__(self, v: Vocabulary, counts: np.ndarray | None = None, parameters: np.ndarray | None = None):
         self.v, s = v, v.s
-        e, h, c = s.embedding, s.state, v.n_classes + s.endings
-        self.shapes = {"emb": (v.size, e), "wx": (e, 3 * h), "u": (h, 3 * h), "b": (3 * h,), "wc": (h, c), "bc": (c,), "ww": (len(v.words), h), "bw": (len(v.words),)}
+        h, c = s.state, v.n_classes + s.endings
+        self.shapes = {"in": (v.size, 3 * h), "u": (h, 3 * h), "wc": (c, h), "bc": (c,), "ww": (len(v.words), h), "bw": (len(v.words),)}
         self.n = sum(math.prod(x) for x in self.shapes.values())
         if parameters is None:
             rng = np.random.default_rng(s.seed)
-            parameters = np.concatenate([(rng.standard_normal(math.prod(x)) * (0.3 if k == "emb" else 1 / math.sqrt(x[0]) if k in ("wx", "u") else 0.05 if k in ("wc", "ww") else 0)) for k, x in self.shapes.items()])
+            scale = {"in": 0.3, "u": 1 / math.sqrt(h), "wc": 0.05, "ww": 0.05}
+            parameters = np.concatenate([rng.standard_normal(math.prod(x)) * scale.get(k, 0) for k, x in self.shapes.items()])
         self.all = np.array(parameters, np.float32)
-        self.p, at = {}, 0
-        for k, x in self.shapes.items():
-            self.p[k] = self.all[at : at + math.prod(x)].reshape(x)
-            at += math.prod(x)
+        self.p = self.views(self.all)
         if counts is not None:  # start from the shares of classes and of words in them
             share = np.log(counts + 1.0)
             self.p["bw"][:] = share[: len(v.words)]
-            total = np.bincount(v.classes(np.arange(v.size)), counts + 1.0, c)
+            total = np.bincount(v.class_of, counts + 1.0, c)
             self.p["bc"][:] = np.log(total / total.sum())
 
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for k, x in self.shapes.items():
+            out[k] = flat[at : at + math.prod(x)].reshape(x)
+            at += math.prod(x)
+        return out
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
         """x: the input's part of the gates. Returns the new state and what the way back needs."""
         n = h.shape[1]
@@ -118,100 +135,116 @@ class Network:
         m = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
         return m + z * (h - m), z, r, m, g[:, 2 * n :]
 
+    def _by_class(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The class of each id, an order by class, and where the tokens of each class of network words begin there."""
+        cls = self.v.class_of[ids]
+        order = np.argsort(cls, kind="stable")
+        return cls, order, np.searchsorted(cls[order], np.arange(self.v.n_classes + 1))
+
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural logarithms of the class, and for the network's words of the word in it."""
-        v, cls = self.v, self.v.classes(ids)
-        logit = h @ self.p["wc"] + self.p["bc"]
-        out = logit[np.arange(len(ids)), cls] - np.log(np.exp(logit).sum(axis=1))
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(v.n_classes + 1))
+        v = self.v
+        cls, order, edge = self._by_class(ids)
+        out = _log_softmax(self.p["wc"] @ h.T + self.p["bc"][:, None])[cls, np.arange(len(ids))]
+        state, word = h[order], ids[order]
+        inside = np.zeros(len(ids), np.float32)
         for c in range(v.n_classes):
-            own = order[edge[c] : edge[c + 1]]
-            if len(own):
-                lo, hi = v.class_start[c], v.class_start[c + 1]
-                inner = h[own] @ self.p["ww"][lo:hi].T + self.p["bw"][lo:hi]
-                out[own] += inner[np.arange(len(own)), ids[own] - lo] - np.log(np.exp(inner).sum(axis=1))
+            a, b, lo, hi = edge[c], edge[c + 1], v.class_start[c], v.class_start[c + 1]
+            if a < b and hi - lo > 1:
+                inside[a:b] = _log_softmax(self.p["ww"][lo:hi] @ state[a:b].T + self.p["bw"][lo:hi, None])[word[a:b] - lo, np.arange(b - a)]
+        out[order] += inside
         return out
 
     def gradients(self, h: np.ndarray, ids: np.ndarray, g: dict) -> np.ndarray:
         """Of the mean negative log probability, into g; returns the gradient of the states."""
-        v, n, cls = self.v, len(ids), self.v.classes(ids)
-        p = np.exp(h @ self.p["wc"] + self.p["bc"])
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), cls] -= 1
+        v, n = self.v, len(ids)
+        cls, order, edge = self._by_class(ids)
+        p = np.exp(_log_softmax(self.p["wc"] @ h.T + self.p["bc"][:, None]))
+        p[cls, np.arange(n)] -= 1
         p /= n
-        g["wc"] += h.T @ p
-        g["bc"] += p.sum(axis=0)
-        dh = p @ self.p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(v.n_classes + 1))
+        g["wc"][:] = p @ h
+        g["bc"][:] = p.sum(axis=1)
+        dh = p.T @ self.p["wc"]
+        state, word = h[order], ids[order]
+        inside = np.zeros_like(state)
         for c in range(v.n_classes):
-            own = order[edge[c] : edge[c + 1]]
-            if len(own):
-                lo, hi = v.class_start[c], v.class_start[c + 1]
-                q = np.exp(h[own] @ self.p["ww"][lo:hi].T + self.p["bw"][lo:hi])
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(own)), ids[own] - lo] -= 1
+            a, b, lo, hi = edge[c], edge[c + 1], v.class_start[c], v.class_start[c + 1]
+            if a < b and hi - lo > 1:
+                w = self.p["ww"][lo:hi]
+                q = np.exp(_log_softmax(w @ state[a:b].T + self.p["bw"][lo:hi, None]))
+                q[word[a:b] - lo, np.arange(b - a)] -= 1
                 q /= n
-                g["ww"][lo:hi] += q.T @ h[own]
-                g["bw"][lo:hi] += q.sum(axis=0)
-                dh[own] += q @ self.p["ww"][lo:hi]
+                g["ww"][lo:hi] = q @ state[a:b]
+                g["bw"][lo:hi] = q.sum(axis=1)
+                inside[a:b] = q.T @ w
+        dh[order] += inside
         return dh
 
+    def span(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, grad: np.ndarray) -> np.ndarray:
+        """Gradients of one span of steps (inputs x, targets y, both steps by lanes) from the states h, into grad; returns the states
+        after it. A state starts anew where `fresh`."""
+        steps, lanes = x.shape
+        n = h.shape[1]
+        g = self.views(grad)
+        gates = self.p["in"][x]
+        before, z, r, m, um, states = (np.empty((steps, lanes, n), np.float32) for _ in range(6))
+        for k in range(steps):
+            before[k] = h
+            before[k][fresh[k]] = 0
+            h, z[k], r[k], m[k], um[k] = self.step(gates[k], before[k])
+            states[k] = h
+        dall = self.gradients(states.reshape(-1, n), y.ravel(), g).reshape(steps, lanes, n)
+        # what does not depend on the steps behind is worked out for all steps at once
+        by_m, by_z, by_r = (1 - z) * (1 - m * m), (before - m) * z * (1 - z), um * r * (1 - r)
+        back = np.empty((steps, lanes, 3 * n), np.float32)
+        dh, turned = np.zeros_like(h), np.ascontiguousarray(self.p["u"].T)
+        for k in range(steps - 1, -1, -1):
+            dh = dh + dall[k]
+            dm = dh * by_m[k]
+            np.multiply(dh, by_z[k], out=back[k, :, :n])
+            np.multiply(dm, by_r[k], out=back[k, :, n : 2 * n])
+            np.multiply(dm, r[k], out=back[k, :, 2 * n :])
+            gates[k, :, 2 * n :] = dm
+            dh = dh * z[k] + back[k] @ turned
+            dh[fresh[k]] = 0
+        g["u"][:] = before.reshape(-1, n).T @ back.reshape(-1, 3 * n)
+        gates[:, :, : 2 * n] = back[:, :, : 2 * n]
+        flat = x.ravel()
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        g["in"][:] = 0
+        g["in"][flat[order[first]]] = np.add.reduceat(gates.reshape(-1, 3 * n)[order], first, axis=0)
+        return h
+
     def train(self, docs: list[np.ndarray], epochs: int, rate: float) -> None:
-        """On documents of ids (each with its end), by truncated backpropagation through spans of steps."""
-        s, v, n = self.v.s, self.v, self.v.s.state
+        """On documents of ids (each with its end), by truncated backpropagation through spans of steps, the states carried on."""
+        s, end = self.v.s, self.v.place.get(END, 0)
         if not docs:
             return
-        end = v.place.get(END, 0)
-        m1, m2, t = np.zeros(self.n, np.float32), np.zeros(self.n, np.float32), 0
+        size = sum(map(len, docs))
+        lanes = max(1, min(s.lanes, size // (s.span * s.updates)))
+        long = -(-size // lanes)
+        m1, m2, grad, t = np.zeros(self.n, np.float32), np.zeros(self.n, np.float32), np.zeros(self.n, np.float32), 0
         rng = np.random.default_rng(s.seed)
-        total = epochs * max(1, sum(map(len, docs)) // (s.lanes * s.span))
+        total = epochs * -(-long // s.span)
         for _ in range(epochs):
-            flat = np.concatenate([docs[i] for i in rng.permutation(len(docs))])
-            lanes = min(s.lanes, max(1, len(flat) // s.span))
-            long = -(-len(flat) // lanes)
-            grid = np.resize(flat, long * lanes).reshape(lanes, long)  # the last lane ends with the first tokens again
-            before = np.concatenate([np.full((lanes, 1), end), grid[:, :-1]], axis=1)
-            h = np.zeros((lanes, n), np.float32)
+            flat = np.concatenate([docs[i] for i in rng.permutation(len(docs))]).astype(np.int32)
+            grid = np.ascontiguousarray(np.resize(flat, long * lanes).reshape(lanes, long).T)  # the last lane ends with the first tokens again
+            before = np.concatenate([np.full((1, lanes), end, np.int32), grid[:-1]])
+            h = np.zeros((lanes, s.state), np.float32)
             for a in range(0, long, s.span):
-                x, y = before[:, a : a + s.span], grid[:, a : a + s.span]
-                steps, states, fresh = x.shape[1], [], x == end
-                emb = self.p["emb"][x]
-                gates = emb @ self.p["wx"] + self.p["b"]
-                kept = []
-                for k in range(steps):
-                    h = np.where(fresh[:, k : k + 1], np.float32(0), h)  # a document's state starts anew
-                    new = self.step(gates[:, k], h)
-                    kept.append((h, *new[1:]))
-                    h = new[0]
-                    states.append(h)
-                g = {k: np.zeros(x_, np.float32) for k, x_ in self.shapes.items()}
-                dall = self.gradients(np.concatenate(states), y.T.ravel(), g).reshape(steps, lanes, n)
-                dgates, dh = np.zeros_like(gates), np.zeros_like(h)
-                for k in range(steps - 1, -1, -1):
-                    dh = dh + dall[k]
-                    old, z, r, m, um = kept[k]
-                    dm = dh * (1 - z) * (1 - m * m)
-                    dz = dh * (old - m) * z * (1 - z)
-                    dr = dm * um * r * (1 - r)
-                    back = np.concatenate([dz, dr, dm * r], axis=1)
-                    g["u"] += old.T @ back
-                    dgates[:, k] = np.concatenate([dz, dr, dm], axis=1)
-                    dh = (dh * z + back @ self.p["u"].T) * ~fresh[:, k : k + 1]
-                flat_gates = dgates.reshape(-1, 3 * n)
-                g["wx"] = emb.reshape(-1, s.embedding).T @ flat_gates
-                g["b"] = flat_gates.sum(axis=0)
-                np.add.at(g["emb"], x.ravel(), flat_gates @ self.p["wx"].T)
-                grad = np.concatenate([g[k].ravel() for k in self.shapes])
-                size = float(np.sqrt((grad**2).sum()))
-                if size > 1:
-                    grad /= size
+                x = before[a : a + s.span]
+                grad[:] = 0
+                h = self.span(x, grid[a : a + s.span], x == end, h, grad)
+                length = math.sqrt(float(grad @ grad))
+                if length > 1:
+                    grad /= length
                 t += 1
                 m1 += 0.1 * (grad - m1)
-                m2 += 0.005 * (grad * grad - m2)
+                grad *= grad
+                m2 += 0.005 * (grad - m2)
                 now = rate * max(0.1, 1 - t / total)
-                self.all -= now * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.995**t)) + 1e-6)
+                self.all -= (now / (1 - 0.9**t)) * m1 / (np.sqrt(m2 / (1 - 0.995**t)) + 1e-6)
 
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log probabilities (see log_probabilities) summed over each document ids[at[i]:at[i + 1]]. Documents lie
@@ -219,17 +252,13 @@ class Network:
         s, n = self.v.s, self.v.s.state
         size = np.diff(at)
         lanes = min(s.score_lanes, len(size))
-        load = np.zeros(lanes, np.int64)
         order: list[list[int]] = [[] for _ in range(lanes)]
-        by_size = np.argsort(-size, kind="stable")
-        import heapq
-
         heap = [(0, k) for k in range(lanes)]
-        for d in by_size.tolist():
+        for d in np.argsort(-size, kind="stable").tolist():
             w, k = heapq.heappop(heap)
             order[k].append(d)
             heapq.heappush(heap, (w + int(size[d]), k))
-        load = np.array([sum(int(size[d]) for d in x) for x in order])
+        load = np.array([sum(int(size[d]) for d in x) for x in order], np.int64)
         rank = np.argsort(-load, kind="stable")
         docs = np.array([d for k in rank.tolist() for d in order[k]], np.int64)
         lane_at = np.concatenate([[0], np.cumsum(load[rank])])
@@ -238,10 +267,9 @@ class Network:
         doc_of = np.repeat(docs, size[docs])
         end = self.v.place.get(END, 0)
         fresh = np.zeros(len(place), bool)
-        fresh[np.cumsum(size[docs]) - size[docs]] = True
+        fresh[(np.cumsum(size[docs]) - size[docs])[size[docs] > 0]] = True
         source = np.concatenate([[end], target[:-1]])
         source[fresh] = end
-        table = (self.p["emb"] @ self.p["wx"] + self.p["b"]).astype(np.float32)
         h = np.zeros((lanes, n), np.float32)
         out = np.zeros(len(size))
         lengths = load[rank]
@@ -253,11 +281,11 @@ class Network:
             new = fresh[now]
             if new.any():
                 h = np.where(new[:, None], np.float32(0), h)
-            h = self.step(table[source[now]], h)[0]
+            h = self.step(self.p["in"][source[now]], h)[0]
             states.append(h)
             where.append(now)
             held += active
-            if held >= 32_768 or t + 1 == lengths[0]:
+            if held >= 16_384 or t + 1 == lengths[0]:
                 which = np.concatenate(where)
                 out += np.bincount(doc_of[which], self.log_probabilities(np.concatenate(states), target[which]), len(size))
                 states, where, held = [], [], 0
@@ -298,8 +326,8 @@ def dealt(training: DataFrame, n_tokens: int, s: Settings) -> tuple[DataFrame, i
 
 def learner(words: list[str], counts: np.ndarray, s: Settings, first: np.ndarray | None, epochs: int, rate: float, one: bool = False):
     """A function of batches (shard, h, text) in order of shards: (weight, parameters), the number of tokens and the sum of the
-    parameters that the shards come to from the first ones, times their tokens. A shard of over twice the tokens, be it by one
-    text or by many equal rows, is trained as several. With `one` only the first of all trains."""
+    parameters (as bytes of doubles) that the shards come to from the first ones, times their tokens. A shard of over twice the
+    tokens, be it by one text or by many equal rows, is trained as several. With `one` only the first of all trains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary(words, counts[: len(words)].tolist(), s)
@@ -315,7 +343,7 @@ def learner(words: list[str], counts: np.ndarray, s: Settings, first: np.ndarray
 
         for batch in slices(batches):
             found, which, at = tokens_of(texts_of(batch))
-            ids = own.ids(found)[which]
+            ids = own.ids(found)[which].astype(np.int32)
             for k, name in enumerate(batch.column("shard").to_pylist()):
                 if name != shard:
                     close()
@@ -329,14 +357,24 @@ def learner(words: list[str], counts: np.ndarray, s: Settings, first: np.ndarray
                         close()
         close()
         if weight:
-            yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["weight", "parameters"])
+            yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["weight", "parameters"])
 
     return run
 
 
-def train(training: DataFrame, v: Vocabulary, counts: np.ndarray, n_tokens: int) -> np.ndarray:
-    """Parameters of a network. A first model trains on one shard; all shards then refine it, and the mean of their parameters,
-    taken place by place, is the result."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of the sums of rows (weight, parameters)."""
+    weight, total = 0, 0.0
+    for batch in batches:
+        for w, raw in zip(batch.column("weight").to_pylist(), batch.column("parameters").to_pylist()):
+            weight, total = weight + w, total + np.frombuffer(raw)
+    if weight:
+        yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["weight", "parameters"])
+
+
+def train(training: DataFrame, v: Vocabulary, counts: np.ndarray, n_tokens: int, scratch: Scratch) -> np.ndarray:
+    """Parameters of a network. A first model trains on one shard; all shards then refine it, and the mean of their parameters by
+    tokens, summed up in two steps, is the result."""
     s = v.s
     rows, shards = dealt(training, n_tokens, s)
     sent = training.sparkSession.sparkContext.broadcast((v.words, counts))
@@ -344,17 +382,17 @@ def train(training: DataFrame, v: Vocabulary, counts: np.ndarray, n_tokens: int)
     def learn(first: np.ndarray | None, epochs: int, rate: float, one: bool):
         return lambda batches: learner(*sent.value, s, first, epochs, rate, one)(batches)
 
-    kind = "weight long, parameters array<double>"
+    def mean(df: DataFrame) -> np.ndarray | None:
+        made = df.collect()  # a row for each task of the last step
+        return sum(np.frombuffer(r["parameters"]) for r in made) / sum(r["weight"] for r in made) if made else None
+
+    kind = "weight long, parameters binary"
     ordered = lambda x, n: x.repartition(n, "shard").sortWithinPartitions("shard", "h", "text")
-    first = ordered(rows.where("shard = 0"), 1).mapInArrow(learn(None, s.epochs, s.rate, True), kind).first()
-    start = (np.array(first["parameters"]) / first["weight"]).astype(np.float32) if first else Network(v, counts).all
-    if shards == 1:
-        return start
-    refined = ordered(rows, min(2 * shards, 1024)).mapInArrow(learn(start, 1, s.rate / 3, False), kind)
-    mean = refined.select("weight", F.posexplode("parameters").alias("i", "x")).groupBy("i").agg((F.sum("x") / F.sum("weight")).alias("x")).toArrow()  # as many rows as parameters
-    out = np.zeros(len(start), np.float32)
-    out[mean.column("i").to_numpy()] = mean.column("x").to_numpy()
-    return out
+    start = mean(ordered(rows.where("shard = 0"), 1).mapInArrow(learn(None, s.epochs, s.rate, True), kind))
+    start = Network(v, counts).all if start is None else start.astype(np.float32)
+    refined = scratch.table("refined", ordered(rows, min(shards, 4096)).mapInArrow(learn(start, 1, s.rate / 3, False), kind))
+    done = mean(refined.repartition(8).mapInArrow(_summed, kind))
+    return start if done is None else done.astype(np.float32)
 
 
 def score_documents(docs: DataFrame, s: Settings = Settings(), modulus: int = 7, remainder: int = 2) -> DataFrame:
@@ -371,9 +409,10 @@ def score_documents(docs: DataFrame, s: Settings = Settings(), modulus: int = 7,
     counted = scratch.table("counts", count_words(training))
     n_train, n_types = (x or 0 for x in counted.agg(F.sum("n"), F.count(F.lit(1))).first())
     # bounded: the head's words by count, and the network's first among them
-    head = counted.orderBy(F.desc("n"), "word").limit(min(s.head, max(2 * s.words, n_types // s.head_one_in)))
+    n_words = max(s.words, int(s.words_a_root * math.sqrt(n_types)))
+    head = counted.orderBy(F.desc("n"), "word").limit(max(2 * n_words, min(s.head, n_types // s.head_one_in)))
     head = scratch.table("head", head)
-    top = head.orderBy((F.col("word") != END), F.desc("n"), "word").limit(s.words).collect()
+    top = head.orderBy((F.col("word") != END), F.desc("n"), "word").limit(n_words).collect()
     v = Vocabulary([r["word"] for r in top], [r["n"] for r in top], s)
     network_words = spark.createDataFrame([(r["word"],) for r in top], "word string")
     rest = counted.join(F.broadcast(network_words), "word", "left_anti").groupBy((F.crc32(F.right("word", F.lit(2)).cast("binary")) % s.endings).alias("e")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()
@@ -381,16 +420,17 @@ def score_documents(docs: DataFrame, s: Settings = Settings(), modulus: int = 7,
     for r in rest:
         tokens[r["e"]], types[r["e"]] = r["n"], r["types"]
     counts = np.concatenate([np.array([r["n"] for r in top], np.float64), tokens])
-    parameters = train(training, v, counts, n_train)
-    arrow = head.toArrow()
-    hashed = word_hashes(arrow.column("word").to_pylist())
-    order = np.argsort(hashed)
-    sent = spark.sparkContext.broadcast((v.words, counts, parameters, hashed[order], arrow.column("n").to_numpy()[order].astype(np.int64), tokens, types))
+    parameters = train(training, v, counts, n_train, scratch)
+    arrow = head.toArrow().combine_chunks()
+    head_words = arrow.column("word").combine_chunks().cast(pa.large_string())
+    hashed = word_hashes(head_words.to_pylist())
+    order = np.argsort(hashed, kind="stable")
+    sent = spark.sparkContext.broadcast((v.words, counts, parameters, hashed[order], head_words.take(pa.array(order)), arrow.column("n").to_numpy()[order].astype(np.int64), tokens, types))
     least = n_train + n_types + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each document, and one for each of its words outside the head with the times it occurs."""
-        words, counts, parameters, keys, values, tokens, types = sent.value
+        words, counts, parameters, keys, known_words, values, tokens, types = sent.value
         v = Vocabulary(words, counts[: len(words)].tolist(), s)
         net = Network(v, parameters=parameters)
         lg = np.log10
@@ -400,7 +440,8 @@ def score_documents(docs: DataFrame, s: Settings = Settings(), modulus: int = 7,
             ids = v.ids(found)
             key = word_hashes(found)
             near = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            known = keys[near] == key if len(keys) else np.zeros(len(key), bool)
+            # the hash finds the place, the word itself decides; a word that another one hides by its hash is joined
+            known = pc.equal(known_words.take(pa.array(near)), pa.array(found, pa.large_string())).to_numpy(zero_copy_only=False) if len(keys) else np.zeros(len(key), bool)
             count = np.where(known, values[near] if len(keys) else 0, 0)
             n = np.diff(at)
             owner = np.repeat(np.arange(len(n)), n)
