@@ -91,13 +91,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    """Of each column, in place; the greatest logit is taken off first, so none is too large for exp."""
-    logits -= logits.max(axis=0)
-    logits -= np.log(np.exp(logits).sum(axis=0))
+#: exp() of a larger number may overflow in a sum of 32-bit floats.
+LARGE = 60.0
+
+
+def _logits(weights: np.ndarray, bias: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A column of logits for each state. Where they may be large, which states within -1 and 1 allow to tell from the weights,
+    the greatest of each column is taken off: neither shares nor their logarithms change."""
+    out = weights @ h.T
+    out += bias[:, None]
+    if np.abs(weights).sum(axis=1).max() * max(1.0, float(np.abs(h).max())) + np.abs(bias).max() > LARGE:
+        out -= out.max(axis=0)
+    return out
+
+
+def _shares(logits: np.ndarray) -> np.ndarray:
+    """The softmax of each column, in place."""
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=0)
     return logits
 
 
+def _log_share(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The logarithm of one entry of the softmax of each column."""
+    picked = logits[own, np.arange(len(own))]
+    np.exp(logits, out=logits)
+    return picked - np.log(logits.sum(axis=0))
+
+
 class Network:
     """A GRU. A word's input vector is its part of the three gates; the output is a softmax over classes and one over the words of
     the class."""
@@ -145,13 +166,13 @@ class Network:
         """Natural logarithms of the class, and for the network's words of the word in it."""
         v = self.v
         cls, order, edge = self._by_class(ids)
-        out = _log_softmax(self.p["wc"] @ h.T + self.p["bc"][:, None])[cls, np.arange(len(ids))]
+        out = _log_share(_logits(self.p["wc"], self.p["bc"], h), cls)
         state, word = h[order], ids[order]
         inside = np.zeros(len(ids), np.float32)
         for c in range(v.n_classes):
             a, b, lo, hi = edge[c], edge[c + 1], v.class_start[c], v.class_start[c + 1]
             if a < b and hi - lo > 1:
-                inside[a:b] = _log_softmax(self.p["ww"][lo:hi] @ state[a:b].T + self.p["bw"][lo:hi, None])[word[a:b] - lo, np.arange(b - a)]
+                inside[a:b] = _log_share(_logits(self.p["ww"][lo:hi], self.p["bw"][lo:hi], state[a:b]), word[a:b] - lo)
         out[order] += inside
         return out
 
@@ -159,7 +180,7 @@ class Network:
         """Of the mean negative log probability, into g; returns the gradient of the states."""
         v, n = self.v, len(ids)
         cls, order, edge = self._by_class(ids)
-        p = np.exp(_log_softmax(self.p["wc"] @ h.T + self.p["bc"][:, None]))
+        p = _shares(_logits(self.p["wc"], self.p["bc"], h))
         p[cls, np.arange(n)] -= 1
         p /= n
         g["wc"][:] = p @ h
@@ -171,7 +192,7 @@ class Network:
             a, b, lo, hi = edge[c], edge[c + 1], v.class_start[c], v.class_start[c + 1]
             if a < b and hi - lo > 1:
                 w = self.p["ww"][lo:hi]
-                q = np.exp(_log_softmax(w @ state[a:b].T + self.p["bw"][lo:hi, None]))
+                q = _shares(_logits(w, self.p["bw"][lo:hi], state[a:b]))
                 q[word[a:b] - lo, np.arange(b - a)] -= 1
                 q /= n
                 g["ww"][lo:hi] = q @ state[a:b]
@@ -262,11 +283,10 @@ class Network:
         rank = np.argsort(-load, kind="stable")
         docs = np.array([d for k in rank.tolist() for d in order[k]], np.int64)
         lane_at = np.concatenate([[0], np.cumsum(load[rank])])
-        place = flat_ranges(at[docs], size[docs])  # token indices, lane after lane
-        target = ids[place]
-        doc_of = np.repeat(docs, size[docs])
+        target = ids[flat_ranges(at[docs], size[docs])]  # lane after lane
+        doc_of = np.repeat(docs.astype(np.int32), size[docs])
         end = self.v.place.get(END, 0)
-        fresh = np.zeros(len(place), bool)
+        fresh = np.zeros(len(target), bool)
         fresh[(np.cumsum(size[docs]) - size[docs])[size[docs] > 0]] = True
         source = np.concatenate([[end], target[:-1]])
         source[fresh] = end
@@ -298,7 +318,7 @@ def tokens_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     coded = values.dictionary_encode()
     words = coded.dictionary.to_pylist()
     n = len(at) - 1
-    out = np.full(len(values) + n, len(words), np.int64)
+    out = np.full(len(values) + n, len(words), np.int32)
     body = np.ones(len(out), bool)
     body[at[1:] + np.arange(n)] = False
     out[body] = coded.indices.to_numpy(zero_copy_only=False)
@@ -435,16 +455,16 @@ def score_documents(docs: DataFrame, s: Settings = Settings(), modulus: int = 7,
         net = Network(v, parameters=parameters)
         lg = np.log10
         share = np.concatenate([np.zeros(len(words)), lg(tokens + types + 1.0)])
-        for batch in slices(batches, most=5 << 20):
+        for batch in slices(batches, most=12 << 20):  # the more texts, the more lanes beside the longest one
             found, which, at = tokens_of(texts_of(batch))
-            ids = v.ids(found)
+            ids = v.ids(found).astype(np.int32)
             key = word_hashes(found)
             near = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
             # the hash finds the place, the word itself decides; a word that another one hides by its hash is joined
             known = pc.equal(known_words.take(pa.array(near)), pa.array(found, pa.large_string())).to_numpy(zero_copy_only=False) if len(keys) else np.zeros(len(key), bool)
             count = np.where(known, values[near] if len(keys) else 0, 0)
             n = np.diff(at)
-            owner = np.repeat(np.arange(len(n)), n)
+            owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
             log_count = lg(count + 1.0)
             rare = ids >= len(words)
             inner = np.where(rare, log_count, 0) - share[ids]  # of the ending's class; the joined words add their part later
@@ -457,7 +477,7 @@ def score_documents(docs: DataFrame, s: Settings = Settings(), modulus: int = 7,
             yield pa.RecordBatch.from_arrays([doc, tkey, out, pa.array(n), pa.array(seen), pa.array(base), pa.array(score), none(len(n), pa.string()), none(len(n), pa.int64())], names=NAMES)
             far = np.flatnonzero(~known[which])
             if len(far):
-                pair, times = np.unique(owner[far] * len(found) + which[far], return_counts=True)
+                pair, times = np.unique(owner[far].astype(np.int64) * len(found) + which[far], return_counts=True)
                 o, w = pa.array(pair // len(found)), pa.array(found, pa.string()).take(pa.array(pair % len(found)))
                 m = len(pair)
                 yield pa.RecordBatch.from_arrays([doc.take(o), tkey.take(o), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), w, pa.array(times)], names=NAMES)
