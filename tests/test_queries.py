@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from turnmill.plans import catalog
@@ -21,7 +22,7 @@ def duck():
 
 def values(df):
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         return str(v) if isinstance(v, (bool, str)) or not hasattr(v, "__float__") else f"{float(v):.6g}"
 

@@ -51,5 +51,27 @@ PRESET_FLAGS = {
     "analogy": (),
 }
 
+# ---- fixed values: what pages say about a pair of each kind -----------------------------------------------------------
+SHARES, REUSES, RECURS = "相邻话轮共享关键词：", "相邻话轮复用句式框架：", "相邻话轮出现多处形式复现："
+ANSWERS, CONTRASTS, REPAIRS = "前一话轮具有提问特征，后一话轮形成回应。", "后一话轮使用否定或转折标记：", "后一话轮复现前一话轮成分，并出现修正/补充标记。"
+ADJACENT = "问答相邻"
+
+# ---- fixed values: relations of a grid and what pages say about them ---------------------------------------------------
+RELATION_NOTES = {
+    "人称映射": "对话角色在相邻话轮之间发生我/你类转换。",
+    "共指候选": "第三人称成分在不同话轮中持续出现，可作为共指候选。",
+    "疑问词": "该纵栏集中呈现疑问词或疑问语气标记。",
+    "否定": "该纵栏呈现否定性标记，可与相邻谓词形成否定回应。",
+    "转折/修正": "该纵栏呈现转折或修正标记。",
+    "句式复现": "该纵栏体现固定句式框架的重复或呼应。",
+    "词汇重现": "相同或高度接近的词汇在多个话轮中重复出现。",
+    "否定回应": "后一话轮使用否定标记并与相邻词项组合，形成否定性回应或修正。",
+    "疑问回应": "前一话轮含疑问词或疑问标记，后一话轮构成相邻回应。",
+}
+
+# ---- fixed values: files that may be uploaded and transcribed ----------------------------------------------------------
+VIDEO_FILES = ("mp4", "mov", "webm", "mkv")
+AUDIO_FILES = ("mp3", "wav", "m4a", "aac", "ogg", "flac")
+
 # ---- fixed values: full-width marks that users type in patterns --------------------------------------------------------
-FULL_WIDTH = dict(zip("（）｜［］｛｝，．＊＋？＾＄＼", "()|[]{},.*+?^$\\", strict=True))
+FULL_WIDTH = {"（": "(", "）": ")", "｜": "|", "［": "[", "］": "]", "｛": "{", "｝": "}", "，": ",", "．": ".", "＊": "*", "＋": "+", "？": "?", "＾": "^", "＄": "$", "＼": "\\"}

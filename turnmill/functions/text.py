@@ -79,6 +79,31 @@ def truncate(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
+def entry_context(c: Column, most: int) -> Column:
+    """Struct of context and truncated, at 200 to 6000 characters."""
+    most = min(max(most, 200), 6000)
+    return F.struct(truncate(c, most).alias("context"), (F.length(c) > most).alias("truncated"))
+
+
+def fragment_label(key: Column, first: Column, last: Column) -> Column:
+    return F.format_string("%s · %d-%d", key, first, last)
+
+
+def origin_label(crawl_source: Column, dataset: Column, category: Column) -> Column:
+    """Where a row comes from, as far as it is known."""
+    return F.coalesce(filled(crawl_source), filled(dataset), filled(category), F.lit(""))
+
+
+def utc_timestamp(at: Column) -> Column:
+    """A moment as ISO text in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def terms_from_json(c: Column) -> Column:
+    """A JSON array of terms; what is none counts as empty."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
 def mask_ip4(c: Column) -> Column:
     return F.regexp_replace(c, r"\.\d+$", ".*")
 

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grammar, windows
-from ..functions.text import blank, clean_text, content_hash, filled, parse_year, search_text, segment_hash, strip
+from ..functions.text import blank, clean_text, content_hash, filled, normalize_turn, parse_year, search_text, segment_hash, strip
 from ..shipping import shared_folder
-from .tables import ENTRIES, conform
+from .tables import ENTRIES, SUBMISSIONS, conform
 
 REQUIRED = ("title", "content", "source")
 METADATA = ("source_url", "crawl_source", "crawl_date", "license_note")
@@ -39,6 +39,13 @@ def import_rows(prepared: DataFrame, stored: DataFrame, order: str = "row_no") -
     return first_of(prepared.where(~F.col("failed")), "content_hash", order).join(stored.select("content_hash"), "content_hash", "left_anti")
 
 
+def import_plain(rows: DataFrame, batch: str, created_at: str, required: tuple[str, ...] = ("title", "content", "source", "year", "category")) -> DataFrame:
+    """Every row that has no blank required cell, equal ones too; all columns have to be there."""
+    if missing := [c for c in required if c not in rows.columns]:
+        raise ValueError(", ".join(missing))
+    return conform(prepare(rows, batch, created_at).where("NOT failed"), ENTRIES)
+
+
 def import_report(prepared: DataFrame, new: DataFrame) -> DataFrame:
     """One row: success, failed, duplicate."""
     a = prepared.agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failed"))
@@ -69,6 +76,80 @@ def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def copy_table(source: DataFrame, target: DataFrame, keys: tuple[str, ...], conflict: str = "skip") -> tuple[DataFrame, DataFrame]:
+    """The target after copying source rows into it, and a row of counts: n_read, n_inserted, n_updated, n_skipped.
+
+    A source row conflicts if the target has one of its keys. `skip` leaves the target's row; `update` replaces the row of equal
+    first key, while rows that meet others by a further key alone are skipped. Rows of the source have distinct keys."""
+    columns = target.columns
+    rows = source.select(*columns)
+    new = new_rows(rows, target, *keys)
+    again = rows.join(target.select(keys[0]), keys[0], "left_semi") if conflict == "update" else rows.where(F.lit(False))
+    out = target.join(again.select(keys[0]), keys[0], "left_anti").unionByName(again).unionByName(new).select(*columns)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    counts = n(rows, "n_read").join(n(new, "n_inserted")).join(n(again, "n_updated"))  # one row each
+    return out, counts.withColumn("n_skipped", F.col("n_read") - F.col("n_inserted") - F.col("n_updated"))
+
+
+def capped(rows: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The first rows in order, after equal contents have been dropped (the first stays)."""
+    return first_of(rows.withColumns({"content_hash": content_hash(F.col("content")), "place": F.struct(*order)}), "content_hash", "place").orderBy("place").limit(limit).drop("place")
+
+
+def read_registry(spark, registry: dict[str, str], chosen: tuple[str, ...], read) -> DataFrame:
+    """Rows of the chosen sources of a registry (name to path), `origin` naming each. An unknown name raises KeyError."""
+    if unknown := [c for c in chosen if c not in registry]:
+        raise KeyError(", ".join(unknown))
+    out = None
+    for name in dict.fromkeys(chosen):
+        one = read(spark, registry[name]).withColumn("origin", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def manual_entry(form: DataFrame, at: str) -> DataFrame:
+    """Entries typed in by hand (title, content, source, year, category); blank required cells give none."""
+    e = prepare(form.withColumn("dataset_name", F.lit("admin_manual")), "admin_manual", at)
+    return conform(e.where("NOT failed"), ENTRIES)
+
+
+def submit(form: DataFrame, at: str) -> DataFrame:
+    """Submissions as they arrive: pending, stored locally unless they say where."""
+    known = {f.name for f in SUBMISSIONS}
+    s = form.withColumns({"status": F.lit("pending"), "created_at": F.lit(at)})
+    return conform(storage_defaults(s).select(*[c for c in storage_defaults(s).columns if c in known]), SUBMISSIONS)
+
+
+def storage_defaults(rows: DataFrame) -> DataFrame:
+    """Rows of an older store: where files lie, if they have any."""
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    stored = have("stored_filename")
+    return rows.withColumns({"storage_backend": F.coalesce(filled(have("storage_backend")), F.when(~blank(stored), F.lit("local"))), "object_key": F.coalesce(filled(have("object_key")), filled(stored))})
+
+
+def edit_text(submissions: DataFrame, edits: DataFrame) -> DataFrame:
+    """Texts of pending submissions after edits (id, text_content, at): the last of each counts."""
+    e = edits.groupBy(F.col("id").alias("e_id")).agg(F.max_by(F.struct("text_content"), "at").alias("e"))
+    s = submissions.join(e, F.col("id") == F.col("e_id"), "left")
+    return s.withColumn("text_content", F.when((F.col("status") == "pending") & F.col("e").isNotNull(), F.col("e.text_content")).otherwise(F.col("text_content"))).drop("e_id", "e")
+
+
+def delete_submissions(submissions: DataFrame, ids: DataFrame) -> DataFrame:
+    return submissions.join(ids.select("id"), "id", "left_anti")
+
+
+def list_submissions(submissions: DataFrame, status: str = "pending") -> DataFrame:
+    """Newest first; `all` lists every status."""
+    s = submissions if status == "all" else submissions.where(F.col("status") == status)
+    return s.orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def rebuild(entries: DataFrame, derived: DataFrame, scope: Column, split) -> DataFrame:
+    """Derived rows (with entry_id) after those of the entries in scope have been thrown away and made anew by `split`."""
+    taken = entries.where(scope)
+    return derived.join(taken.select(F.col("id").alias("entry_id")), "entry_id", "left_anti").unionByName(split(taken).select(*derived.columns))
+
+
 def copy_progress(source: DataFrame, target: DataFrame) -> DataFrame:
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     return n(source, "source_rows").join(n(target, "target_rows")).withColumn("remaining", F.greatest(F.col("source_rows") - F.col("target_rows"), F.lit(0)))
@@ -262,8 +343,27 @@ def qa_candidates(said: DataFrame, least: int = 60, most: int = 1200) -> DataFra
     return q.select("article", "seq", content.alias("content")).where(F.length("content").between(least, most))
 
 
-def page_links(pages: DataFrame, token: str, most: int = 20) -> DataFrame:
-    """Distinct links of pages whose address holds the token, at most so many for each page."""
-    links = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("href=\"([^\"]+)\""), F.lit(1))).alias("k", "href")).where(F.col("href").contains(token))
-    first = links.groupBy("href").agg(F.min(F.struct("page_id", "k")).alias("x")).select("href", "x.page_id", "x.k")
-    return first.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy("k"))).where(F.col("rn") <= most).select("page_id", "href")
+_ITEMS = "array<struct<speaker:string,content:string,date:string>>"
+
+
+def embedded_utterances(scripts: DataFrame, name: str = "characters") -> DataFrame:
+    """(page_id, seq, speaker, body) of the JSON array that a script (page_id, js) assigns to `name`, in the order of the items'
+    dates; scripts without one, or with something else there, have none."""
+    found = F.regexp_extract("js", rf"(?s){name}\s*[=:]\s*(\[.*\])", 1)
+    items = F.array_sort(F.from_json(found, _ITEMS), lambda x, y: F.when(F.coalesce(x["date"], F.lit("")) < F.coalesce(y["date"], F.lit("")), -1).when(F.coalesce(x["date"], F.lit("")) > F.coalesce(y["date"], F.lit("")), 1).otherwise(0))
+    plain = lambda c: normalize_turn(F.regexp_replace(c, "<[^>]*>", " "))
+    said = F.filter(F.transform(items, lambda x: F.struct(normalize_turn(x["speaker"]).alias("speaker"), plain(x["content"]).alias("body"))), lambda x: (x["speaker"] != "") & (x["body"] != ""))
+    return scripts.select("page_id", F.posexplode(said).alias("seq", "x")).select("page_id", "seq", "x.speaker", "x.body")
+
+
+def page_links(pages: DataFrame, token: str = "", most: int = 20, host: str = "", title: str = "") -> DataFrame:
+    """Distinct links of pages (page_id, href, label) whose address holds the token and, where given, whose host and label hold theirs;
+    an address counts for the first page that has it, and a page gives its first ones."""
+    anchor = "<a href=\"([^\"]+)\"[^>]*>([^<]*)</a>"
+    hrefs, labels = (F.regexp_extract_all("html", F.lit(anchor), F.lit(k)) for k in (1, 2))
+    links = pages.select("page_id", F.posexplode(F.arrays_zip(hrefs.alias("href"), labels.alias("label"))).alias("k", "x")).select("page_id", "k", "x.href", F.trim("x.label").alias("label"))
+    links = links.where(F.col("href").contains(token) & F.col("label").contains(title))
+    if host:
+        links = links.where(F.coalesce(F.try_parse_url("href", F.lit("HOST")), F.lit("")).contains(host))
+    first = links.groupBy("href").agg(F.min(F.struct("page_id", "k", "label")).alias("x")).select("href", "x.*")
+    return first.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy("k"))).where(F.col("rn") <= most).select("page_id", "href", "label")

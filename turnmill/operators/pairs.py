@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import diagraph, grammar, phrases
 from ..functions import lexicon as L
-from ..functions.text import contains_any, conversation_key, frames_in_both, markers_in, normalize_speaker, normalize_turn
+from ..functions.text import contains_any, conversation_key, display_source, fragment_label, frames_in_both, markers_in, normalize_speaker, normalize_turn, origin_label
 from .search import display_condition, ilike
 from .tables import turn_id
 
@@ -78,6 +78,28 @@ def frames(a: Column, b: Column) -> Column:
     return F.slice(frames_in_both(a, b), 1, 4)
 
 
+def explanation(preset: str, a: Column | str = "text_a", b: Column | str = "text_b", shared: Column | str = "shared_terms") -> Column:
+    """Struct of terms and explanation for a pair that shows the preset, else null. shared: the pair's shared phrases."""
+    a, b, shared = (F.col(x) if isinstance(x, str) else x for x in (a, b, shared))
+    found = lambda terms, *text: F.struct(terms.alias("terms"), F.concat(*text).alias("explanation"))
+    listed = lambda head, terms: found(terms, F.lit(head), F.array_join(terms, " / "))
+    first = lambda c, n: F.slice(c, 1, n)
+    framed, revised, contrasted = frames(a, b), first(markers_in(b, L.REVISION_MARKERS), 3), contrast(b)
+    kinds = {
+        "lexical_echo": F.when(F.size(shared) > 0, listed(L.SHARES, first(shared, 5))),
+        "pattern_reuse": F.when(F.size(framed) > 0, listed(L.REUSES, framed)).when(F.size(shared) > 1, listed(L.RECURS, first(shared, 4))),
+        "qa_response": F.when(question_answer(a, b), found(first(markers_in(a, L.QUESTION_MARKERS), 3), F.lit(L.ANSWERS))),
+        "contrast_response": F.when(F.size(contrasted) > 0, listed(L.CONTRASTS, contrasted)),
+        "repair_revision": F.when((F.size(shared) > 0) & (F.size(revised) > 0), found(F.array_distinct(F.concat(first(shared, 3), revised)), F.lit(L.REPAIRS))),
+    }
+    named = {"reproduction": "lexical_echo", "parallel": "pattern_reuse", "selection": "repair_revision", "contrast": "contrast_response"}
+    if preset == "analogy":
+        return F.lit(None).cast("struct<terms:array<string>,explanation:string>")
+    if preset in kinds or preset in named:
+        return kinds[named.get(preset, preset)]
+    return F.coalesce(*[kinds[k] for k in ("lexical_echo", "pattern_reuse", "qa_response", "repair_revision")])
+
+
 def flag_totals(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), *[F.sum(f).alias(f) for f in L.FLAGS.values()])
 
@@ -96,16 +118,44 @@ def resonance_condition(preset: str, keyword: str = "", cursor: int | None = Non
         out = out | (F.col(flag) == 1)
     if cursor is not None:
         out = out & (F.col("id") < cursor)
+    if len(keyword.strip()) == 1:
+        return F.lit(False)  # one character would match nearly everything
     if keyword:
         out = out & (ilike(F.col("text_a"), keyword) | ilike(F.col("text_b"), keyword))
     return out & display_condition(source, category)
 
 
 def resonance_page(pairs: DataFrame, preset: str = "resonance", limit=20, **where) -> DataFrame:
-    """Newest pairs that show the preset. The next cursor is the last id of the page."""
+    """Newest pairs that show the preset."""
     return pairs.where(resonance_condition(preset, **where)).orderBy(F.desc("id")).limit(page_size(limit))
 
 
+def resonance_scan(pairs: DataFrame, preset: str = "resonance", limit=20, **where) -> DataFrame:
+    """A page of newest pairs that show the preset, with terms and explanation, has_next and next_cursor (the id below which
+    the next page begins, null at the end).
+
+    More pairs than the page has are fetched, since flags may be older than the rules that explain a pair: the page ends
+    with the last one explained, and the cursor is the last id looked at."""
+    n = page_size(limit)
+    fetch = min(max(n + 1, 8 * n + 1), 200)
+    got = pairs.where(resonance_condition(preset, **where)).orderBy(F.desc("id")).limit(fetch).withColumn("x", explanation(preset))
+    order = Window.orderBy(F.desc("id"))  # `fetch` rows
+    got = got.withColumns({"k": F.count("x").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "fetched": F.count(F.lit(1)).over(Window.partitionBy()), "at": F.row_number().over(order)})
+    scanned = got.where((F.col("k") < n) | (F.col("k") == n) & F.col("x").isNotNull())
+    all_ = Window.partitionBy()
+    scanned = scanned.withColumns({"last": F.min("id").over(all_), "n_scanned": F.max("at").over(all_)})
+    more = (F.col("fetched") > F.col("n_scanned")) | (F.col("fetched") == fetch)
+    return scanned.where("x IS NOT NULL").select(*pairs.columns, "x.terms", "x.explanation", more.alias("has_next"), F.when(more, F.col("last")).alias("next_cursor"))
+
+
+def with_entries(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pairs as a results page shows them: with their entry's title, year and origin, and the display section."""
+    e = entries.select(F.col("id").alias("e_id"), F.coalesce("title", F.lit("")).alias("entry_title"), "year", F.col("crawl_source").alias("e_crawl"), F.coalesce("audio_file", F.lit("")).alias("audio_file"))
+    p = pairs.join(e, F.col("entry_id") == F.col("e_id"), "left")
+    label = fragment_label(F.col("conversation_key"), F.col("turn_index_a"), F.col("turn_index_b"))
+    return p.withColumns({"entry_title": F.coalesce("entry_title", F.lit("")), "section": display_source(F.col("source"), F.col("category")), "origin": origin_label(F.col("e_crawl"), F.col("dataset_name"), F.col("category")), "fragment": label}).drop("e_id", "e_crawl")
+
+
 def showcase_page(pairs: DataFrame, datasets: tuple[str, ...], preset: str = "resonance", limit=20) -> DataFrame:
     """Short pairs of different speakers from a few datasets, one of each dataset in turn, newest first."""
     a, b = F.length("text_a"), F.length("text_b")
@@ -173,6 +223,25 @@ def mechanism_summary(related: DataFrame) -> DataFrame:
     return out.withColumn("support_state", F.when(F.col("rule_support") > 0, "rule").otherwise("none"))
 
 
+def described(related: DataFrame) -> DataFrame:
+    """Relations with what pages say about each."""
+    notes = F.create_map(*[F.lit(x) for kv in L.RELATION_NOTES.items() for x in kv])
+    return related.withColumn("description", F.coalesce(notes[F.col("relation")], F.lit("")))
+
+
+def payloads(pairs: DataFrame, turns: DataFrame, window: str = "pair") -> DataFrame:
+    """One row for each pair: its turns, the grid's column names and rows, relations, and support of mechanisms, as nested values."""
+    g = grid(pairs, turns, window)
+    rows = g.groupBy("pair_id").agg(F.collect_list(F.struct("row_no", "speaker", F.map_entries("cells").alias("cells"))).alias("grid"), F.array_distinct(F.flatten(F.collect_list(F.map_keys("cells")))).alias("named"))
+    named = F.array_sort("named", lambda x, y: F.when(F.length(x) != F.length(y), F.length(x) - F.length(y)).when(x < y, -1).when(x > y, 1).otherwise(0))
+    rows = rows.select("pair_id", named.alias("columns"), F.array_sort("grid", lambda x, y: x["row_no"] - y["row_no"]).alias("grid"))
+    said = window_turns(pairs, turns, window).groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn_index").alias("row_no"), "id", F.coalesce(F.nullif("speaker_label", F.lit("")), F.lit("未标注")).alias("speaker"), F.col("turn_text").alias("text")))).alias("turns"))
+    found = described(relations(pairs, turns, window))
+    kept = found.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("place", "column", "mapping", "relation", "description"))).alias("affordances"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("mechanisms")))).alias("supported"))
+    empty = F.array()
+    return rows.join(said, "pair_id", "left").join(kept, "pair_id", "left").withColumns({"window": F.lit(window), "supported": F.coalesce("supported", empty.cast("array<string>"))})
+
+
 _SCORES = "pair_id long, key string, probability double, threshold double, suggested boolean"
 
 

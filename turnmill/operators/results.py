@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import context
-from ..functions.lexicon import TEXT_DIALOGUE
-from ..functions.text import filled, strip
+from ..functions.lexicon import AUDIO_FILES, TEXT_DIALOGUE, VIDEO_FILES
+from ..functions.text import blank, filled, strip
 
 _CONTEXT = T.StructType([T.StructField(n, T.StringType()) for n in ("before", "hit", "after", "hit_html")])
 _NAMES = ("content", "prev_segment", "current_segment", "segment_text", "next_segment", "speaker", "prev_speaker", "next_speaker")
@@ -75,5 +75,29 @@ def staged(rows: DataFrame, dataset: str, note: str, categories: dict[str, str])
     return rows.withColumns({"title": title, "dataset_name": name, "category": F.coalesce(known[name], F.lit("")), "crawl_source": F.coalesce(filled(cell("crawl_source")), filled(cell("source")), F.lit(note)), "license_note": F.coalesce(filled(cell("license_note")), F.lit(note)), "source": F.lit(TEXT_DIALOGUE)})
 
 
+def extension(name: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^./]+)$", 1))
+
+
+def is_video(name: Column, mime: Column) -> Column:
+    return extension(name).isin(*VIDEO_FILES) | mime.startswith("video/")
+
+
 def transcribable(name: Column, mime: Column) -> Column:
-    return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin("mp3", "wav", "m4a", "aac", "ogg", "flac", "mp4", "mov", "webm", "mkv") | mime.startswith("audio/") | mime.startswith("video/")
+    return extension(name).isin(*AUDIO_FILES, *VIDEO_FILES) | mime.startswith("audio/") | mime.startswith("video/")
+
+
+def uploadable(name: Column, allowed: tuple[str, ...]) -> Column:
+    return extension(name).isin(*allowed)
+
+
+def audio_url(name: Column, base: str = "https://files/") -> Column:
+    """Where an audio file is played from: an address as it is, a name below the store's base."""
+    name = F.nullif(F.trim(name), F.lit(""))
+    return F.when(name.rlike("^https?://"), name).otherwise(F.concat(F.lit(base), F.regexp_replace(name, "^/+", "")))
+
+
+def audio_plan(entries: DataFrame, listed: DataFrame) -> DataFrame:
+    """(audio_file, uploaded) for each named file, from a listing of those that the store has."""
+    there = listed.select("audio_file").distinct().withColumn("uploaded", F.lit(True))
+    return entries.where(~blank(F.col("audio_file"))).select("audio_file").distinct().join(there, "audio_file", "left").select("audio_file", F.coalesce("uploaded", F.lit(False)).alias("uploaded"))

@@ -41,6 +41,19 @@ class SearchFilters:
         out = replace(self, mode=self.mode if self.mode in MODES else "contains", field=self.field if self.field in FIELDS else "content", sort=self.sort if self.sort in SORTS else "id_desc")
         return replace(out, mode="regex") if out.mode == "contains" and regexplan.looks_like_regex(out.keyword) else out
 
+    @classmethod
+    def from_args(cls, args: dict[str, str]) -> SearchFilters:
+        """From a request's arguments: known names only, stripped; has_audio is set by 1, true, on or yes."""
+        known = {f.name: str(args[f.name] or "").strip() for f in fields(cls) if f.name in args}
+        if "has_audio" in known:
+            known["has_audio"] = known["has_audio"].lower() in ("1", "true", "on", "yes")
+        return cls(**known).normalized()
+
+    def countable(self) -> bool:
+        """Whether an exact count is worth its scan: for two characters or more, or a pattern with a literal to look for first."""
+        f = self.normalized()
+        return bool(regexplan.prefilters(f.keyword) or regexplan.alternatives(f.keyword)) if f.mode == "regex" else len(f.keyword.strip()) > 1
+
     def advanced(self) -> bool:
         plain = SearchFilters(keyword=self.keyword, source=self.source, category=self.category)
         return any(getattr(self, f.name) != getattr(plain, f.name) for f in fields(self))
@@ -118,18 +131,40 @@ def _limits(df: DataFrame, f: SearchFilters, content: Column) -> Column:
     return out
 
 
-def entry_condition(df: DataFrame, f: SearchFilters) -> Column:
+def entry_condition(df: DataFrame, f: SearchFilters, joined: bool = False) -> Column:
+    """joined: the field `all` is the one search_text, in which a keyword may reach over the border of two columns."""
     f = f.normalized()
     out = _limits(df, f, _text(df, "content"))
     if f.speaker:
         out = out & ilike(_text(df, "speaker"), f.speaker)
     if f.keyword:
-        out = out & text_condition(df, f.keyword, FIELDS[f.field], f.mode)
+        out = out & text_condition(df, f.keyword, ("search_text",) if joined and f.field == "all" else FIELDS[f.field], f.mode)
     if f.exclude:
-        out = out & ~text_condition(df, f.exclude, FIELDS["all"], "contains")
+        out = out & ~text_condition(df, f.exclude, ("search_text",) if joined else FIELDS["all"], "contains")
     return out
 
 
+def trigrams(entries: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """(gram, id): the distinct runs of three characters, lower-cased, of the indexed columns of each entry; with `wanted` only these.
+    Write it once and pass it to indexed_search()."""
+    text = F.lower(F.concat_ws("\n", *[_text(entries, n) for n in FTS_COLUMNS]))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1))), lambda i: F.substr(F.col("t"), i, F.lit(3))))
+    if wanted is not None:  # look for the few instead of listing all
+        grams = F.filter(F.array(*[F.lit(w) for w in wanted]), lambda w: F.contains(F.col("t"), w))
+    return entries.select("id", text.alias("t")).select(F.explode(grams).alias("gram"), "id")
+
+
+def indexed_search(entries: DataFrame, index: DataFrame, keyword: str) -> DataFrame:
+    """Entries that hold the phrase: ids that have all its trigrams are joined, then the phrase itself is looked for. A phrase of fewer
+    than three characters has none and is looked for everywhere."""
+    low = keyword.lower()
+    grams = list(dict.fromkeys(low[i : i + 3] for i in range(len(low) - 2)))
+    if not grams:
+        return entries.where(fts_condition(entries, keyword))
+    ids = index.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select("id")
+    return entries.join(ids, "id", "left_semi").where(fts_condition(entries, keyword))
+
+
 def fts_condition(df: DataFrame, keyword: str) -> Column:
     """A phrase in any indexed column, ignoring case; the trigram index answers from three characters on, below that a plain search."""
     return _any([ilike(_text(df, n), keyword) for n in FTS_COLUMNS])
@@ -271,6 +306,20 @@ def candidate_pairs(turns: DataFrame, keyword: str, limit=300, **where) -> DataF
     return pairs.where("hit_a OR hit_b").drop("hit_a", "hit_b")
 
 
+def page_of_turns(turns: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page of all turns in the order that conversations have them."""
+    return turns.orderBy("conversation_key", "turn_index", "id").offset(offset).limit(limit)
+
+
+def lookup(df: DataFrame, value, key: str = "id") -> DataFrame:
+    """The row of a key, one at most."""
+    return df.where(F.col(key) == value).limit(1)
+
+
+def exists(df: DataFrame, value, key: str = "id") -> bool:
+    return not lookup(df, value, key).isEmpty()
+
+
 def newest_in_order(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.desc("id")).limit(limit)
 

@@ -18,12 +18,44 @@ def section_column() -> Column:
     return display_source(F.col("source"), F.col("category"))
 
 
-def section_stats(entries: DataFrame, turns: DataFrame) -> DataFrame:
-    """Entries, conversations and turns of each section. 文本对话 also counts what 古代汉语 shows, so the sections overlap."""
+def detail(entries: DataFrame, turns: DataFrame, *names: str) -> DataFrame:
+    """Entries, conversations and turns of each group. Groups without turns have as many conversations as entries."""
+    e = entries.groupBy(*names).agg(F.count(F.lit(1)).alias("n_entries"))
+    t = turns.groupBy(*names).agg(F.count(F.lit(1)).alias("n_turns"), F.countDistinct("conversation_key").alias("n_conversations"))
+    both = e.join(t, list(names), "full")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return both.select(*names, n("n_entries").alias("n_entries"), F.when(n("n_conversations") > 0, F.col("n_conversations")).otherwise(n("n_entries")).alias("n_conversations"), n("n_turns").alias("n_turns"))
+
+
+def section_stats(entries: DataFrame, turns: DataFrame, sections: tuple[str, ...] = ()) -> DataFrame:
+    """detail() of each section. 文本对话 also counts what 古代汉语 shows, so the sections overlap. Asked sections without rows have
+    zeros."""
     both = lambda df: df.withColumn("section", F.explode(F.array_distinct(F.array("source", section_column()))))
-    e = both(entries).groupBy("section").agg(F.count(F.lit(1)).alias("n_entries"))
-    t = both(turns).groupBy("section").agg(F.count(F.lit(1)).alias("n_turns"), F.countDistinct("conversation_key").alias("n_conversations"))
-    return e.join(t, "section", "left").select("section", "n_entries", F.coalesce("n_turns", F.lit(0)).alias("n_turns"), F.coalesce("n_conversations", F.lit(0)).alias("n_conversations"))
+    found = detail(both(entries), both(turns), "section")
+    if not sections:
+        return found
+    asked = entries.sparkSession.createDataFrame([(s,) for s in sections], "section string")
+    return asked.join(found, "section", "left").na.fill(0)
+
+
+def category_stats(entries: DataFrame, turns: DataFrame, source: str = "") -> DataFrame:
+    """detail() of each category, of one stored source where given, in the order of names."""
+    only = lambda df: df.where(F.col("source") == source) if source else df
+    return detail(only(entries), only(turns), "category").orderBy("category")
+
+
+def dataset_stats(entries: DataFrame, turns: DataFrame) -> DataFrame:
+    """detail() of each dataset and category, the datasets of most conversations first."""
+    return detail(entries, turns, "dataset_name", "category").orderBy(F.desc("n_conversations"), "dataset_name", "category")
+
+
+def raw_scope(df: DataFrame, source: str = "", category: str = "", dataset: str = "") -> Column:
+    """Rows that a rebuild takes: by stored columns, not display sections."""
+    out = F.lit(True)
+    for column, value in (("source", source), ("category", category), ("dataset_name", dataset)):
+        if value:
+            out = out & (F.col(column) == value)
+    return out
 
 
 def section_rank(section: Column) -> Column:
@@ -32,6 +64,13 @@ def section_rank(section: Column) -> Column:
     return F.when(at == 0, len(L.SECTION_ORDER) + 1).otherwise(at)
 
 
+def category_rank(section: Column, category: Column) -> Column:
+    """Place of a category in its section's own order; others come after these, by name."""
+    order = lambda names: F.array_position(F.array(*[F.lit(n) for n in names]), category)
+    at = F.when(section == L.ANCIENT, order(L.ANCIENT_CATEGORIES)).when(section == L.TEXT_DIALOGUE, order((*L.ANCIENT_CATEGORIES, *L.MODERN_CATEGORIES))).otherwise(0)
+    return F.when(at == 0, len(L.ANCIENT_CATEGORIES) + len(L.MODERN_CATEGORIES) + 1).otherwise(at)
+
+
 def filter_options(entries: DataFrame, datasets: int = 300) -> DataFrame:
     """(kind, value): distinct filled sources (with the section 古代汉语 where its rows exist), years, categories, datasets."""
     one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("value"))
@@ -47,8 +86,11 @@ def source_categories(entries: DataFrame) -> DataFrame:
     return each.groupBy("source").agg(F.sort_array(F.collect_list("category")).alias("categories"))
 
 
-def rebuild_state(entries: DataFrame, turns: DataFrame) -> DataFrame:
-    """Whether turns cover all entries: counts, greatest ids, and the comparison of these."""
+def rebuild_state(entries: DataFrame, turns: DataFrame, **scope: str) -> DataFrame:
+    """Whether turns cover all entries (of a scope): counts, greatest ids, and the comparison of these."""
+    if any(scope.values()):
+        entries = entries.where(raw_scope(entries, **scope))
+        turns = turns.join(entries.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
     t = turns.agg(F.count(F.lit(1)).alias("n_turns"), F.coalesce(F.max("entry_id"), F.lit(0)).alias("max_turn_entry"), F.countDistinct("entry_id").alias("n_done"))
     e = entries.agg(F.count(F.lit(1)).alias("n_entries"), F.coalesce(F.max("id"), F.lit(0)).alias("max_entry"))
     return e.join(t).withColumn("complete", (F.col("max_turn_entry") >= F.col("max_entry")).cast("int"))  # one row each
@@ -73,6 +115,14 @@ def dialogues(conversations: DataFrame, turns: DataFrame) -> DataFrame:
     return conversations.join(t, "conversation_key", "left").select("conversation_key", F.coalesce(filled(F.col("title")), filled(F.col("conversation_key")), F.lit("未命名对话")).alias("title"), F.coalesce(F.size("turns"), F.lit(0)).alias("turn_count"), "turns")
 
 
+def dialogues_or_entries(entries: DataFrame, turns: DataFrame, split) -> DataFrame:
+    """dialogues() of all entries; those without turns are split (a function from entries to turns) when they are shown."""
+    columns = ["conversation_key", "turn_index", "id", "speaker_label", "turn_text"]
+    without = entries.join(turns.select(F.col("entry_id").alias("id")), "id", "left_anti")
+    conversations = entries.select(F.concat(F.lit("entry:"), "id").alias("conversation_key"), "title")
+    return dialogues(conversations, turns.select(*columns).unionByName(split(without).select(*columns)))
+
+
 def first_turns(turns: DataFrame) -> DataFrame:
     return turns.where(F.trim("turn_text") != "").groupBy("conversation_key").agg(F.min_by("turn_text", F.struct("turn_index", "id")).alias("first_text"))
 
@@ -83,3 +133,27 @@ def page_window(total: int, page: int, size: int, width: int = 10) -> dict[str,
     page = min(max(1, page), pages)
     first = max(1, min(page - width // 2, pages - width + 1))
     return {"pages": pages, "page": page, "offset": (page - 1) * size, "first": first, "last": min(pages, first + width - 1)}
+
+
+def page_number(value, most: int | None = None) -> int:
+    """From a request: 1 where it is none or too small."""
+    try:
+        n = max(1, int(str(value).strip()))
+    except ValueError:
+        return 1
+    return n if most is None else min(n, most)
+
+
+def browse_page(entries: DataFrame, page=1, size=10, total: int | None = None, **filters) -> tuple[DataFrame, dict]:
+    """A page of conversations, newest first, and its arithmetic. Without a total known one row more than the page is fetched to
+    tell whether a next page is there; with a keyword the total is not counted."""
+    size = max(1, min(int(size), 20))
+    rows = latest_of_conversations(entries, **filters).orderBy(F.desc("id"))
+    if total is None and not filters.get("keyword"):
+        total = latest_of_conversations(entries, **filters).count()
+    if total is not None:
+        w = page_window(total, page_number(page), size)
+        return rows.offset(w["offset"]).limit(size), w | {"total": total, "has_next": w["page"] < w["pages"]}
+    n = page_number(page)
+    got = rows.offset((n - 1) * size).limit(size + 1)
+    return got.limit(size), {"page": n, "offset": (n - 1) * size, "has_next": got.count() > size}

@@ -23,6 +23,10 @@ VISITORS = _schema(visitor_hash=_S, first_seen_epoch=_L, last_seen_epoch=_L)
 IP_ACTIVITY = _schema(ip_address=_S, bucket_epoch=_L, first_seen_epoch=_L, last_seen_epoch=_L, request_count=_L, blocked_count=_L, last_path=_S, last_method=_S, last_status=_I)
 SNAPSHOTS = _schema(bucket_epoch=_L, online_visitors=_I, peak_online_visitors=_I, total_visitors=_L, daily_visitors=_L, recorded_at_epoch=_L)
 
+PAIRS = T.StructType([*_schema(id=_L, turn_a_id=_L, turn_b_id=_L, entry_id=_L, conversation_key=_S, turn_index_a=_I, turn_index_b=_I, speaker_a=_S, speaker_b=_S, text_a=_S, text_b=_S, source=_S, category=_S, dataset_name=_S, shared_terms=T.ArrayType(_S), markers=T.ArrayType(_S)), *[T.StructField(f, _I) for f in L.FLAGS.values()]])
+STATS = _schema(stat_key=_S, stat_value=_S, updated_at=_S)
+SCHEMAS = {"entries": ENTRIES, "turns": TURNS, "pairs": PAIRS, "stats": STATS, "submissions": SUBMISSIONS, "visitors": VISITORS, "ip_activity": IP_ACTIVITY, "snapshots": SNAPSHOTS}
+
 #: Stored sections that the adapter deals out by doc_id, and phrases that stand for turns in Han script.
 STORED = tuple(s for s in L.SECTION_ORDER if s != L.ANCIENT)
 PHRASES = (
@@ -36,6 +40,25 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def create_tables(spark: SparkSession, folder: str) -> None:
+    """Empty tables of all schemas, as Parquet folders; those that are there stay."""
+    for name, schema in SCHEMAS.items():
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}")
+
+
+def columns_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, place): the catalogue of some tables."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame([(n, c, k) for n, df in tables.items() for k, c in enumerate(df.columns, 1)], "table_name string, column_name string, place int")
+
+
+def plan_facts(df: DataFrame) -> dict[str, int]:
+    """What a physical plan does: scans, shuffles, broadcasts, Python steps, and scans with filters pushed to them."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    count = lambda *names: sum(plan.count(n) for n in names)
+    return {"scans": count("FileScan", "Scan ExistingRDD", "LocalTableScan"), "shuffles": count("Exchange hash", "Exchange range", "Exchange Single", "Exchange Round"), "broadcasts": count("BroadcastExchange"), "python_steps": count("MapInPandas", "MapInArrow", "ArrowEvalPython", "FlatMapGroups"), "pushed": plan.count("PushedFilters: [") - plan.count("PushedFilters: []")}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

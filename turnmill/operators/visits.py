@@ -82,8 +82,29 @@ def hourly_peaks(points: DataFrame) -> DataFrame:
     return points.groupBy(F.date_format(local(F.col("bucket_epoch")), "yyyy-MM-dd HH:00").alias("hour")).agg(F.max("online").alias("peak"))
 
 
-def retained(activity: DataFrame, now: int, days: int = 30) -> DataFrame:
-    return activity.where(F.col("last_seen_epoch") >= now - days * 86_400)
+def daily_peak(points: DataFrame) -> DataFrame:
+    return points.groupBy(day_key(F.col("bucket_epoch")).alias("day_key")).agg(F.max("online").alias("peak"))
+
+
+def local_epoch(text: Column, zone: str = ZONE) -> Column:
+    """Seconds of a local date and time in ISO form; null if it is none."""
+    at = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")])
+    return F.unix_seconds(F.to_utc_timestamp(at, zone))
+
+
+def retained(rows: DataFrame, now: int, days: int = 30, column: str = "last_seen_epoch") -> DataFrame:
+    """Activity of the last 30 days; snapshots by `bucket_epoch` are kept for 365."""
+    return rows.where(F.col(column) >= now - days * 86_400)
+
+
+def retained_days(daily: DataFrame, now: int, days: int = 365) -> DataFrame:
+    """Rows of (day_key, ...) of the last local days."""
+    first = F.date_sub(F.to_date(day_key(F.lit(now))), days)
+    return daily.where(F.col("day_key") >= F.date_format(first, "yyyy-MM-dd"))
+
+
+def cleanup_due(now: int, last: int, hours: int = 6) -> bool:
+    return now - last >= hours * 3600
 
 
 def block_state(events: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import is_valid_label, parse_speaker, resonance_tokens
+from ..functions.text import is_valid_label, parse_speaker, resonance_tokens, terms_from_json
 from ..operators import pairs as P
-from ..operators.tables import entries, turns, turns_sql
+from ..operators.tables import ENTRIES_SQL, PHRASES, entries, pick, turns, turns_sql
 from .registry import query
 
 _PAIRS = """pairs AS (SELECT b.id, a.id AS turn_a_id, b.id AS turn_b_id, b.conversation_key, b.dataset_name, b.source, b.category, a.turn_index AS turn_index_a, b.turn_index AS turn_index_b,
@@ -29,6 +29,17 @@ def turns_split(spark, sf_dir):
     return P.split_entries(entries(spark, sf_dir))
 
 
+_PAIR_OF = f"({list(PHRASES)})[CAST((id + 5) % {len(PHRASES)} AS INTEGER) + 1]"
+
+
+@query("labelled_turns", f"WITH {ENTRIES_SQL}, l AS (SELECT id, title, ({list(PHRASES)})[CAST(id % {len(PHRASES)} AS INTEGER) + 1] AS a, {_PAIR_OF} AS b FROM entries) SELECT id * 1000000 + 1 AS id, id AS entry_id, 1 AS turn_index, '甲' AS speaker_label, a AS turn_text FROM l UNION ALL SELECT id * 1000000 + 2, id, 2, '记者', b FROM l")
+def labelled_turns(spark, sf_dir):
+    """Entries of two labelled lines, one in brackets, one after a blank line and with marks of half width."""
+    line = lambda k: pick(PHRASES, F.col("id") + k)
+    e = entries(spark, sf_dir).withColumn("content", F.concat(F.lit("【甲】： "), line(0), F.lit("\r\n\r\n  记者 : "), line(5)))
+    return P.split_entries(e).select("id", "entry_id", "turn_index", "speaker_label", "turn_text")
+
+
 @query("segment_turns", f"WITH {turns_sql()} SELECT id AS entry_id, 1 AS turn_index, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS turn_text, 'entry:' || id AS conversation_key FROM entries")
 def segment_turns(spark, sf_dir):
     e = entries(spark, sf_dir).withColumn("current_segment", F.col("content")).withColumn("speaker", F.lit("甲"))
@@ -41,9 +52,13 @@ def speaker_parse(spark, sf_dir):
     return t.select("id", "p.speaker", F.col("p.text").alias("body"))
 
 
-@query("speaker_labels", "SELECT role, role IN ('user', 'assistant', 'system') AS valid FROM (SELECT DISTINCT role FROM conversations)")
+_LABELS = {"甲": True, "记者": True, "问题": True, "其中": False, "针对": False, "张三丰": True, "张三丰张三丰张三丰": False, "Anna-2": True, "2Anna": False, "": False, "说，话": False, "司 机": True, "部长先生等人们大家好大家好大家好大家好大家好大家好大家好大家好": True}
+
+
+@query("speaker_labels", f"WITH {ENTRIES_SQL} SELECT id, ({list(_LABELS)})[CAST(id % {len(_LABELS)} AS INTEGER) + 1] AS label, ({[str(v).lower() for v in _LABELS.values()]})[CAST(id % {len(_LABELS)} AS INTEGER) + 1] = 'true' AS valid FROM entries")
 def speaker_labels(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role").distinct().select("role", is_valid_label(F.col("role")).alias("valid"))
+    e = entries(spark, sf_dir).select("id", pick(tuple(_LABELS), F.col("id")).alias("label"))
+    return e.select("id", "label", is_valid_label(F.col("label")).alias("valid"))
 
 
 @query("adjacent_pairs", f"WITH {turns_sql(True)}, {_PAIRS} SELECT turn_a_id, turn_b_id, conversation_key, turn_index_a, turn_index_b, speaker_a, speaker_b, text_a, text_b FROM pairs")
@@ -66,7 +81,18 @@ def contrast_response(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("m", P.contrast(F.col("text_b"))).where("size(m) > 0").select("id", F.array_join("m", "|").alias("markers"))
 
 
-@query("resonance_tokens")
+def _stop(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+
+
+@query(
+    "resonance_tokens",
+    f"""WITH {turns_sql(True)}, h AS (SELECT id, turn_text AS t, regexp_replace(turn_text, '[^一-鿿]+', '', 'g') AS han FROM turns),
+c AS (SELECT id, list_filter(regexp_extract_all(t, '[A-Za-z0-9_]{{2,}}|[一-鿿]{{2,6}}'), lambda x: NOT list_contains({_stop(L.STOPWORDS)}, x)) AS chunks,
+  list_filter(list_transform(range(1, length(han)), lambda i: substr(han, CAST(i AS BIGINT), 2)), lambda x: NOT regexp_matches(x, '[{"".join(sorted(L.STOP_CHARS))}]') AND NOT list_contains({_stop(L.STOPWORDS)}, x)) AS grams FROM h),
+a AS (SELECT id, list_concat(chunks, grams) AS found FROM c)
+SELECT id, array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i)[1:24], '|') AS tokens FROM a""",
+)
 def tokens(spark, sf_dir):
     return turns(spark, sf_dir, True).select("id", F.array_join(resonance_tokens(F.col("turn_text")), "|").alias("tokens"))
 
@@ -96,6 +122,48 @@ def resonance_page(spark, sf_dir):
     return P.resonance_page(P.with_features(_pairs(spark, sf_dir)), "resonance", 50, cursor=90_000_000).select("id", "text_a", "text_b")
 
 
+def _contrasts() -> str:
+    return f"SELECT *, array_to_string({_found('text_b', L.CONTRAST_MARKERS)}, ' / ') AS m FROM pairs WHERE len({_found('text_b', L.CONTRAST_MARKERS)}) > 0"
+
+
+@query("resonance_explained", f"WITH {turns_sql(True)}, {_PAIRS}, c AS ({_contrasts()}) SELECT id, '{L.CONTRASTS}' || m AS explanation FROM c")
+def resonance_explained(spark, sf_dir):
+    p = P.with_features(_pairs(spark, sf_dir)).withColumn("x", P.explanation("contrast"))
+    return p.where("x IS NOT NULL").select("id", "x.explanation")
+
+
+@query("resonance_questions", f"WITH {turns_sql(True)}, {_PAIRS} SELECT id, array_to_string({_found('text_a', L.QUESTION_MARKERS, 3)}, '|') AS terms, '{L.ANSWERS}' AS explanation FROM pairs WHERE ({_ASKED}) AND ({_ANSWERED} OR length(text_b) >= 8)")
+def resonance_questions(spark, sf_dir):
+    p = P.with_features(_pairs(spark, sf_dir)).withColumn("x", P.explanation("qa_response"))
+    return p.where("x IS NOT NULL").select("id", F.array_join("x.terms", "|").alias("terms"), "x.explanation")
+
+
+_SCAN = f"""c AS ({_contrasts()}), o AS (SELECT *, row_number() OVER (ORDER BY id DESC) AS k, count(*) OVER () AS total FROM c WHERE id < 15000000),
+p AS (SELECT *, min(id) OVER () AS last FROM o WHERE k <= 7)"""
+
+
+@query("resonance_scan", f"WITH {turns_sql(True)}, {_PAIRS}, {_SCAN} SELECT id, total > 7 AS has_next, CASE WHEN total > 7 THEN last END AS next_cursor, '{L.CONTRASTS}' || m AS explanation FROM p")
+def resonance_scan(spark, sf_dir):
+    return P.resonance_scan(P.with_features(_pairs(spark, sf_dir)), "contrast", "7", cursor=15_000_000).select("id", "has_next", "next_cursor", "explanation")
+
+
+@query("resonance_rows", f"WITH {turns_sql(True)}, {_PAIRS} SELECT p.id, coalesce(e.title, '') AS entry_title, e.year, coalesce(nullif(e.crawl_source, ''), nullif(p.dataset_name, ''), nullif(p.category, ''), '') AS origin, printf('%s · %d-%d', p.conversation_key, p.turn_index_a, p.turn_index_b) AS fragment, CASE WHEN p.source = '{L.TEXT_DIALOGUE}' AND p.category IN {L.ANCIENT_CATEGORIES} THEN '{L.ANCIENT}' ELSE p.source END AS section FROM pairs p JOIN turns b ON b.id = p.id LEFT JOIN entries e ON e.id = b.entry_id")
+def resonance_rows(spark, sf_dir):
+    return P.with_entries(_pairs(spark, sf_dir), entries(spark, sf_dir)).select("id", "entry_title", "year", "origin", "fragment", "section")
+
+
+@query("diagraph_payloads")
+def diagraph_payloads(spark, sf_dir):
+    p = P.payloads(P.with_features(_pairs(spark, sf_dir)), turns(spark, sf_dir, True), "context2")
+    return p.select("pair_id", "window", F.array_join("columns", "|").alias("columns"), F.size("grid").alias("n_rows"), F.size("turns").alias("n_turns"), F.to_json("affordances").alias("affordances"), F.array_join("supported", "|").alias("supported"))
+
+
+@query("terms_from_json", f"WITH {turns_sql(True)}, {_PAIRS} SELECT id, CASE WHEN id % 3 = 0 THEN '' ELSE array_to_string({_found('text_b', L.CONTRAST_MARKERS)}, '|') END AS terms FROM pairs")
+def read_terms(spark, sf_dir):
+    stored = F.when(F.col("id") % 3 == 0, F.lit("[broken")).otherwise(F.to_json(P.contrast(F.col("text_b"))))
+    return _pairs(spark, sf_dir).select("id", F.array_join(terms_from_json(stored), "|").alias("terms"))
+
+
 _SHOW = ("src1-en", "src2-en", "src3-en")
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, search_text
 from ..operators import ingest as I
+from ..operators.results import audio_url
 from ..operators.tables import ENTRIES_SQL, entries, pick, table, turns, turns_sql
+from ..shipping import shared_folder
+from ..sources import files
 from .registry import query
 
 _HASH = "sha256(replace(replace(trim(content, chr(10) || ' ' || chr(13) || chr(9)), chr(13) || chr(10), chr(10)), chr(13), chr(10)))"
@@ -126,7 +132,117 @@ def submissions_decide(spark, sf_dir):
 
 @query("submissions_list", f"WITH {_PENDING} SELECT id, title, status FROM subs WHERE status = 'pending' ORDER BY id DESC LIMIT 30")
 def submissions_list(spark, sf_dir):
-    return _submissions(spark, sf_dir).where("status = 'pending'").orderBy(F.desc("id")).limit(30).select("id", "title", "status")
+    return I.list_submissions(_dated(spark, sf_dir)).limit(30).select("id", "title", "status")
+
+
+def _dated(spark, sf_dir):
+    """Submissions, two on a day."""
+    return _submissions(spark, sf_dir).withColumn("created_at", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.expr("int(id div 2)")), "yyyy-MM-dd"))
+
+
+@query("submissions_all", f"WITH {_PENDING} SELECT id, status FROM subs")
+def submissions_all(spark, sf_dir):
+    return I.list_submissions(_dated(spark, sf_dir), "all").select("id", "status")
+
+
+@query("submissions_edit", f"WITH {_PENDING} SELECT id, CASE WHEN status = 'pending' AND id % 6 = 0 THEN 'new ' || id ELSE text_content END AS text_content FROM subs WHERE id % 7 <> 0")
+def submissions_edit(spark, sf_dir):
+    s = _submissions(spark, sf_dir)
+    e = s.where("id % 6 = 0").select("id", F.explode(F.array(F.struct(F.concat(F.lit("new "), "id").alias("text_content"), F.lit(2).alias("at")), F.struct(F.lit("old").alias("text_content"), F.lit(1).alias("at")))).alias("x")).select("id", "x.*")
+    return I.delete_submissions(I.edit_text(s, e), s.where("id % 7 = 0")).select("id", "text_content")
+
+
+@query("submissions_create", f"WITH {ENTRIES_SQL} SELECT title, source, content AS text_content, 'pending' AS status, CASE WHEN id % 2 = 0 THEN 'local' END AS storage_backend, CASE WHEN id % 2 = 0 THEN 'f' || id END AS object_key, 'now' AS created_at FROM entries")
+def submissions_create(spark, sf_dir):
+    form = entries(spark, sf_dir).select("title", "source", F.col("content").alias("text_content"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("f"), "id")).alias("stored_filename"), F.lit(1).alias("captcha"))
+    return I.submit(form, "now").select("title", "source", "text_content", "status", "storage_backend", "object_key", "created_at")
+
+
+@query("manual_entries", f"WITH {ENTRIES_SQL} SELECT title, content, 'admin_manual' AS dataset_name, year FROM entries WHERE id % 9 <> 0")
+def manual_entries(spark, sf_dir):
+    return I.manual_entry(_raw(spark, sf_dir), "now").select("title", "content", "dataset_name", "year")
+
+
+@query("import_plain", f"WITH {ENTRIES_SQL} SELECT title, content, year FROM entries WHERE id % 9 <> 0")
+def import_plain(spark, sf_dir):
+    return I.import_plain(_raw(spark, sf_dir), "batch", "now").select("title", "content", "year")
+
+
+_COPY = f"{ENTRIES_SQL}, s AS (SELECT id, title, {_HASH} AS h FROM entries), t AS (SELECT id, 'old' AS title, h FROM s WHERE id % 4 = 0)"
+
+
+@query("table_copy_update", f"WITH {_COPY} SELECT id, title FROM s WHERE id % 4 = 0 OR h NOT IN (SELECT h FROM t)")
+def table_copy_update(spark, sf_dir):
+    return I.copy_table(*_copied(spark, sf_dir), ("id", "content_hash"), "update")[0].select("id", "title")
+
+
+@query("table_copy_counts", f"WITH {_COPY}, n AS (SELECT (SELECT count(*) FROM s) AS r, (SELECT count(*) FROM s WHERE id % 4 <> 0 AND h NOT IN (SELECT h FROM t)) AS i, (SELECT count(*) FROM t) AS u) SELECT 'skip' AS conflict, r AS n_read, i AS n_inserted, 0 AS n_updated, r - i AS n_skipped FROM n UNION ALL SELECT 'update', r, i, u, r - i - u FROM n")
+def table_copy_counts(spark, sf_dir):
+    made = [I.copy_table(*_copied(spark, sf_dir), ("id", "content_hash"), c)[1].select(F.lit(c).alias("conflict"), "*") for c in ("skip", "update")]
+    return made[0].unionByName(made[1])
+
+
+def _copied(spark, sf_dir):
+    e = entries(spark, sf_dir).select("id", "title", content_hash(F.col("content")).alias("content_hash"))
+    return e, e.where("id % 4 = 0").withColumn("title", F.lit("old"))
+
+
+@query("capped_rows", f"WITH {ENTRIES_SQL}, f AS (SELECT min(id) AS id FROM (SELECT id, {_HASH} AS h FROM entries) GROUP BY h) SELECT id FROM f ORDER BY id LIMIT 70")
+def capped_rows(spark, sf_dir):
+    return I.capped(entries(spark, sf_dir).select("id", "content"), 70, "id").select("id")
+
+
+@query("storage_defaults", f"WITH {_PENDING} SELECT id, CASE WHEN stored_filename IS NOT NULL THEN 'local' END AS storage_backend, stored_filename AS object_key FROM subs")
+def storage_defaults(spark, sf_dir):
+    return I.storage_defaults(_submissions(spark, sf_dir)).select("id", "storage_backend", "object_key")
+
+
+@query("registry_sources", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS origin, count(*) AS n FROM documents GROUP BY 1")
+def registry_sources(spark, sf_dir):
+    read = lambda spark, name: table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == int(name))
+    return I.read_registry(spark, {"even": "0", "odd": "1", "unused": "x"}, ("odd", "even", "odd"), read).groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("csv_round_trip", f"WITH {ENTRIES_SQL} SELECT title, content, source, CAST(year AS VARCHAR) AS year FROM entries")
+def csv_round_trip(spark, sf_dir):
+    """Entries written as CSV files and read back: quotes, commas and line feeds inside cells, and a byte order mark."""
+    at = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex[:12]}"
+    files.write_csv(entries(spark, sf_dir).select("title", "content", "source", "year"), at)
+    return files.read_csv(spark, at)
+
+
+@query("json_entries", "SELECT CAST(n AS BIGINT) AS id, 'title ' || n AS title, CASE WHEN n % 2 = 0 THEN '语料' ELSE '来源' END AS dataset_name FROM range(1, 21) t(n)")
+def json_entries(spark, sf_dir):
+    """An array of entries in one file, as samples come."""
+    at = f"{shared_folder(spark)}/json-{uuid.uuid4().hex[:12]}"
+    rows = [{"id": n, "title": f"title {n}", "content": "你好", "source": "来源", "year": 2020, "category": "" if n % 2 else "语料"} for n in range(1, 21)]
+    spark.createDataFrame([(json.dumps(rows, ensure_ascii=False),)], "value string").coalesce(1).write.text(at)
+    return files.read_entries_json(spark, at).select("id", "title", "dataset_name")
+
+
+@query("text_files", f"WITH {ENTRIES_SQL} SELECT sha256(encode(content || 'é你')) AS file_hash, length(content || 'é你') AS n_chars FROM entries")
+def text_files(spark, sf_dir):
+    """Texts as bytes of a file each, decoded; half of them begin with a byte order mark, which is no part of the text."""
+    content = F.concat("content", F.lit("é你"))
+    mark = F.when(F.col("id") % 2 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit("")))
+    raw = entries(spark, sf_dir).select(F.col("id").cast("string").alias("path"), F.concat(mark, F.encode(content, "UTF-8")).alias("content"))
+    return files.decoded(raw).select(F.sha2(F.encode("text", "UTF-8"), 256).alias("file_hash"), F.length("text").alias("n_chars"))
+
+
+@query("embedded_utterances", f"WITH {turns_sql(True)} SELECT entry_id AS page_id, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY turn_index) - 1 AS INTEGER) AS seq, speaker_label AS speaker, turn_text AS body FROM turns WHERE turn_index <> 2")
+def embedded_utterances(spark, sf_dir):
+    """Scripts that hold the turns of a conversation in disorder, one of them without a speaker."""
+    t = turns(spark, sf_dir, True)
+    item = F.struct(F.when(F.col("turn_index") != 2, F.col("speaker_label")).alias("speaker"), F.concat(F.lit("<p>"), "turn_text", F.lit("</p>")).alias("content"), F.format_string("%05d", "turn_index").alias("date"))
+    js = t.groupBy(F.col("entry_id").alias("page_id")).agg(F.reverse(F.sort_array(F.collect_list(item))).alias("x"))
+    return I.embedded_utterances(js.select("page_id", F.concat(F.lit("var characters = "), F.to_json("x"), F.lit(";\n")).alias("js")))
+
+
+@query("source_totals", f"WITH {ENTRIES_SQL} SELECT dataset_name || '/' || category AS dataset_category, count(*) AS n, count(*) FILTER (audio_file IS NOT NULL) AS with_url, count(*) FILTER (audio_file IS NULL) AS without_url FROM entries GROUP BY ALL")
+def source_totals(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    url = audio_url(F.col("audio_file"))
+    return e.groupBy(F.concat_ws("/", "dataset_name", "category").alias("dataset_category")).agg(F.count(F.lit(1)).alias("n"), F.count(url).alias("with_url"), F.count_if(url.isNull()).alias("without_url")).orderBy(F.desc("n"))
 
 
 def _windows(spark, sf_dir):
@@ -158,14 +274,22 @@ def html_texts(spark, sf_dir):
     return I.page_texts(table(spark, sf_dir, "pages"))
 
 
-@query("html_utterances")
+@query("html_utterances", f"WITH {turns_sql(True)} SELECT entry_id AS page_id, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY turn_index) - 1 AS INTEGER) AS seq, speaker_label AS speaker, turn_text AS body FROM turns WHERE length(turn_text) >= 8")
 def html_utterances(spark, sf_dir):
-    return I.page_utterances(I.page_texts(table(spark, sf_dir, "pages")))
+    """Pages of a conversation each, with page furniture, times in brackets and names in brackets."""
+    t = turns(spark, sf_dir, True)
+    name = F.when(F.col("turn_index") % 2 == 0, F.concat(F.lit("["), "speaker_label", F.lit("]"))).otherwise(F.concat("speaker_label", F.lit(" ： ")))
+    line = F.concat(F.lit("<p>[2024-01-05 10:30]"), name, "turn_text", F.lit("</p><div>责任编辑：某</div>"))
+    p = t.groupBy(F.col("entry_id").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("turn_index", line.alias("line")))).alias("x"))
+    return I.page_utterances(I.page_texts(p.select("page_id", F.lit("").alias("url"), F.concat(F.lit("<html><body>"), F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit("</body></html>")).alias("html"))))
+
+
+_LINKS = "l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]+)\"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"([^\"]+)\"[^>]*>([^<]*)</a>', 2)) AS label, unnest(range(0, len(regexp_extract_all(html, '<a href=\"([^\"]+)\"[^>]*>([^<]*)</a>')))) AS k FROM pages)"
 
 
-@query("html_links")
+@query("html_links", f"WITH {_LINKS}, f AS (SELECT href, min((page_id, k, trim(label))) AS x FROM l WHERE strpos(href, '/') > 0 AND strpos(trim(label), 'e') > 0 GROUP BY href), r AS (SELECT x[1] AS page_id, href, x[3] AS label, row_number() OVER (PARTITION BY x[1] ORDER BY x[2]) AS rn FROM f) SELECT page_id, href, label FROM r WHERE rn <= 3")
 def html_links(spark, sf_dir):
-    return I.page_links(table(spark, sf_dir, "pages"), "/")
+    return I.page_links(table(spark, sf_dir, "pages"), "/", 3, title="e")
 
 
 _TITLES = ("国新办举行发布会", "政策吹风会实录", "国台办答记者问", "商务部新闻发布会", "网友对话")

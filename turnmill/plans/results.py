@@ -8,7 +8,7 @@ from ..functions import lexicon as L
 from ..functions.text import markers_in
 from ..operators import results as R
 from ..operators.search import SearchFilters, search_turns
-from ..operators.tables import ENTRIES_SQL, REQUESTS_SQL, entries, requests, turns, turns_sql
+from ..operators.tables import ENTRIES_SQL, REQUESTS_SQL, entries, pick, requests, turns, turns_sql
 from .registry import query
 
 
@@ -56,6 +56,15 @@ def staged_rows(spark, sf_dir):
     return R.staged(e, "other", "note", {"src1-en": L.MODERN_CATEGORIES[0]}).select("id", "source", "title", "category", "crawl_source", "license_note")
 
 
+_FILES = ("a.MP3", "b.mov", "c.txt", "d", "e.tar.gz", "", "dir.mp3/f")
+
+
+@query("upload_kinds", f"WITH {ENTRIES_SQL} SELECT id, id % 7 < 2 OR id % 5 = 0 AS audible, id % 7 = 1 OR id % 5 = 0 AS video, id % 7 = 2 AS allowed FROM entries")
+def upload_kinds(spark, sf_dir):
+    name, mime = pick(_FILES, F.col("id")), F.when(F.col("id") % 5 == 0, "video/mp4").otherwise("")
+    return entries(spark, sf_dir).select("id", R.transcribable(name, mime).alias("audible"), R.is_video(name, mime).alias("video"), R.uploadable(name, ("txt", "pdf")).alias("allowed"))
+
+
 @query("transcribable_files", f"WITH {ENTRIES_SQL} SELECT audio_file, true AS audio FROM entries WHERE audio_file IS NOT NULL")
 def transcribable_files(spark, sf_dir):
     return entries(spark, sf_dir).where("audio_file IS NOT NULL").select("audio_file", R.transcribable(F.col("audio_file"), F.lit("")).alias("audio"))

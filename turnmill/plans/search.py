@@ -44,6 +44,58 @@ _entry_search("search_display_mismatch", SearchFilters(source=L.ANCIENT, categor
 _entry_search("search_stored_source", SearchFilters(source=L.SECTION_ORDER[0], category="en"), f"source = '{L.SECTION_ORDER[0]}' AND category = 'en'")
 
 
+_entry_search("search_regex_tab", SearchFilters(r"\.\n[A-Z]\x65", mode="regex"), r"regexp_matches(content, '(?i)\.\n[A-Z]e')")
+_entry_search("search_regex_escapes", SearchFilters(r"of\x20the\x20(?:in|on)", mode="regex"), "content ILIKE '%of the in%' OR content ILIKE '%of the on%'")
+_entry_search("search_from_args", SearchFilters.from_args({"keyword": " tion ", "year_from": "2003", "mode": "sideways", "has_audio": "on", "page": "4"}), "content ILIKE '%tion%' AND year >= 2003 AND audio_file IS NOT NULL")
+
+
+def _wide(spark, sf_dir):
+    """Entries with speakers, segments and start times."""
+    e = entries(spark, sf_dir)
+    return e.withColumns({"speaker": F.concat(F.lit("spk"), F.col("id") % 7), "current_segment": F.substring("content", 1, 40), "segment_text": F.substring("content", 41, 40), "start_time": F.when(F.col("id") % 3 > 0, (F.col("id") * 37 % 101).cast("double")), "search_text": F.concat_ws(" ", "title", "content", F.concat(F.lit("spk"), F.col("id") % 7))})
+
+
+_WIDE = f"{ENTRIES_SQL}, wide AS (SELECT *, 'spk' || id % 7 AS speaker, substr(content, 1, 40) AS current_segment, substr(content, 41, 40) AS segment_text, CASE WHEN id % 3 > 0 THEN CAST(id * 37 % 101 AS DOUBLE) END AS start_time FROM entries)"
+
+
+@query("search_speaker_field", f"WITH {_WIDE} SELECT id FROM wide WHERE speaker ILIKE '%K3%' AND (current_segment ILIKE '%th%' OR segment_text ILIKE '%th%')")
+def search_speaker_field(spark, sf_dir):
+    return S.search_entries(_wide(spark, sf_dir), SearchFilters("th", field="segment", speaker="K3")).select("id")
+
+
+@query("search_joined_text", f"WITH {_WIDE} SELECT id FROM wide WHERE title || ' ' || content || ' ' || speaker ILIKE '%. spk%' AND NOT title || ' ' || content || ' ' || speaker ILIKE '%spk5%'")
+def search_joined_text(spark, sf_dir):
+    e = _wide(spark, sf_dir)
+    return e.where(S.entry_condition(e, SearchFilters(". spk", field="all", exclude="spk5"), joined=True)).select("id")
+
+
+@query("search_sort_start_time_asc", f"WITH {_WIDE} SELECT id, start_time FROM wide WHERE content ILIKE '%tion%' ORDER BY start_time ASC NULLS FIRST, id DESC LIMIT 25")
+def search_sort_start_time(spark, sf_dir):
+    return S.search_entries(_wide(spark, sf_dir), SearchFilters("tion", sort="start_time_asc"), 25).select("id", "start_time")
+
+
+def _turn_sorted(sort: str, order: str) -> None:
+    @query(f"turn_search_sort_{sort}", f"WITH {turns_sql()}, {_WIDE.removeprefix(ENTRIES_SQL + ', ')} SELECT t.id, e.title, e.start_time FROM turns t JOIN wide e ON e.id = t.entry_id WHERE t.turn_text ILIKE '%that%' ORDER BY {order} LIMIT 30")
+    def run(spark, sf_dir):
+        f = SearchFilters("that", sort=sort, has_audio=False, year_from="0")
+        return S.turn_hits(turns(spark, sf_dir), _wide(spark, sf_dir), f).orderBy(*S.entry_order(f.sort, nulls_last=True)).limit(30).select("id", "title", "start_time")
+
+
+for _sort, _order in (("id_desc", "t.id DESC"), ("id_asc", "t.id"), ("year_asc", "e.year ASC NULLS LAST, t.id DESC"), ("title_asc", "coalesce(e.title, '') ASC, t.id DESC"), ("start_time_asc", "e.start_time ASC NULLS LAST, t.id DESC")):
+    _turn_sorted(_sort, _order)
+
+
+@query("search_indexed", f"WITH {ENTRIES_SQL} SELECT id, title FROM entries WHERE title ILIKE '%Tion the%' OR content ILIKE '%Tion the%'")
+def search_indexed(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    return S.indexed_search(e, S.trigrams(e), "Tion the").select("id", "title")
+
+
+@query("candidate_turns", f"WITH {turns_sql(True)} SELECT id, turn_text FROM turns WHERE turn_text LIKE '%公园%' AND id < 15000000 AND source = '{L.SECTION_ORDER[0]}' ORDER BY id DESC LIMIT 40")
+def candidate_turns(spark, sf_dir):
+    return S.candidate_turns(turns(spark, sf_dir, True), "公园", " 40 ", source=L.SECTION_ORDER[0], before_id=15_000_000).select("id", "turn_text")
+
+
 @query("search_fts_phrase", f"WITH {ENTRIES_SQL} SELECT id, title FROM entries WHERE title ILIKE '%and the%' OR content ILIKE '%and the%'")
 def search_fts_phrase(spark, sf_dir):
     e = entries(spark, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import visits as V
+from ..operators.groups import connected
 from ..operators.tables import REQUESTS_SQL, as_requests, entries, pick, requests, turns
 from ..streaming import run
 from ..streaming import visits as Vs
@@ -86,6 +87,26 @@ def activity_retention(spark, sf_dir):
     return V.retained(V.ip_activity(requests(spark, sf_dir)), NOW, 10).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("visitor_daily_peak", f"WITH {REQUESTS_SQL}, {_POINTS} SELECT strftime(epoch_ms(bucket_epoch * 1000) + INTERVAL 8 HOUR, '%Y-%m-%d') AS day_key, max(online) AS peak FROM points GROUP BY 1")
+def visitor_daily_peak(spark, sf_dir):
+    return V.daily_peak(V.today_points(V.snapshots(requests(spark, sf_dir)), DAY_START, NOW))
+
+
+@query("history_retention", f"WITH {REQUESTS_SQL}, b AS (SELECT DISTINCT {_BUCKET} AS b FROM requests), d AS (SELECT DISTINCT strftime(epoch_ms(epoch * 1000) + INTERVAL 8 HOUR, '%Y-%m-%d') AS k FROM requests) SELECT (SELECT count(*) FROM b WHERE b >= {NOW} - 12 * 86400) AS snapshots, (SELECT count(*) FROM d WHERE k >= strftime(epoch_ms({NOW} * 1000::BIGINT) + INTERVAL 8 HOUR - INTERVAL 12 DAY, '%Y-%m-%d')) AS days")
+def history_retention(spark, sf_dir):
+    r = requests(spark, sf_dir)
+    days = r.select(V.day_key(F.col("epoch")).alias("day_key")).distinct()
+    return V.retained(V.snapshots(r), NOW, 12, "bucket_epoch").agg(F.count(F.lit(1)).alias("snapshots")).join(V.retained_days(days, NOW, 12).agg(F.count(F.lit(1)).alias("days")))
+
+
+@query("local_times", f"WITH {REQUESTS_SQL} SELECT id, CASE WHEN id % 3 = 2 THEN NULL WHEN id % 3 = 1 THEN epoch - epoch % 60 ELSE epoch END AS back FROM requests")
+def local_times(spark, sf_dir):
+    """Local times as text of three kinds, the last of which is none, and back."""
+    at = V.local(F.col("epoch"))
+    text = F.when(F.col("id") % 3 == 2, "soon").when(F.col("id") % 3 == 1, F.date_format(at, "yyyy-MM-dd HH:mm")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"))
+    return requests(spark, sf_dir).select("id", V.local_epoch(text).alias("back"))
+
+
 @query("block_state", f"WITH {REQUESTS_SQL}, e AS (SELECT ip, arg_max(CASE WHEN blocked = 1 THEN 'block' ELSE 'unblock' END, (epoch, id)) AS a FROM requests GROUP BY ip) SELECT ip AS ip_address FROM e WHERE a = 'block'")
 def block_state(spark, sf_dir):
     r = requests(spark, sf_dir)
@@ -101,6 +122,48 @@ def request_policy(spark, sf_dir):
     return r.groupBy(V.request_policy(F.col("path"), F.col("method")).alias("policy")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_AGENTS, _FETCH = ("Mozilla/5.0", "curl/8.1", "", "Python-Requests/2"), ("same-origin", "cross-site", "")
+_REFUSED = {"/corpus-export-all": "honeypot", "/search": "general", "/resonance/data": "data", "/": "none", "/api/diagraph/4": "data"}
+
+
+@query(
+    "request_refusals",
+    f"""WITH {REQUESTS_SQL}, r AS (SELECT id, ({list(_REFUSED)})[CAST(id % 5 AS INTEGER) + 1] AS p, ({list(_AGENTS)})[CAST(id // 5 % 4 AS INTEGER) + 1] AS a, ({list(_FETCH)})[CAST(id // 20 % 3 AS INTEGER) + 1] AS f, id // 60 % 2 = 0 AS fetched, CASE WHEN id // 120 % 2 = 0 THEN 51 ELSE 50 END AS page FROM requests)
+SELECT id, CASE WHEN p = '/' THEN '' WHEN p = '/corpus-export-all' THEN 'honeypot' WHEN f = 'cross-site' THEN 'cross_site' WHEN p <> '/search' AND NOT fetched THEN 'missing_fetch_signal' WHEN a <> 'Mozilla/5.0' THEN 'automation_client' WHEN p = '/search' AND page > 50 THEN 'deep_pagination' ELSE '' END AS reason FROM r""",
+)
+def request_refusals(spark, sf_dir):
+    n = F.col("id")
+    r = requests(spark, sf_dir).withColumns({"path": pick(tuple(_REFUSED), n), "agent": pick(_AGENTS, F.expr("id div 5")), "fetch_site": pick(_FETCH, F.expr("id div 20")), "requested_with": F.when(F.expr("id div 60") % 2 == 0, "fetch"), "page": F.when(F.expr("id div 120") % 2 == 0, 51).otherwise(50)})
+    r = r.withColumn("policy", V.request_policy(F.col("path"), F.col("method")))
+    return r.select("id", F.coalesce(V.refusal(r, V.Limits())["reason"], F.lit("")).alias("reason"))
+
+
+@query("guard_policies", "SELECT * FROM (VALUES ('general', 240, 60, 60), ('search', 40, 60, 120), ('resonance', 24, 60, 180), ('context', 36, 60, 180), ('export', 6, 600, 900), ('audio', 30, 60, 300), ('login', 10, 900, 900)) t(policy, \"limit\", window_seconds, penalty_seconds)")
+def guard_policies(spark, sf_dir):
+    return V.guard_policies(spark)
+
+
+@query("request_groups", f"WITH {REQUESTS_SQL} SELECT DISTINCT 'ip:' || ip AS node, min('ip:' || ip) OVER (PARTITION BY visitor) AS root FROM requests")
+def request_groups(spark, sf_dir):
+    """Addresses that a visitor joins, by the least of them."""
+    r = requests(spark, sf_dir).withColumn("who", V.identities(F.col("ip"), F.col("visitor")))
+    g = connected(r.select(F.col("who")[0].alias("a"), F.col("who")[1].alias("b")))
+    return g.where("node LIKE 'ip:%'").select("node", "root")
+
+
+@query(
+    "rate_limit_first",
+    f"""WITH {REQUESTS_SQL}, n AS (SELECT ip, visitor, epoch, id, row_number() OVER (PARTITION BY ip ORDER BY epoch, id) AS a, row_number() OVER (PARTITION BY visitor ORDER BY epoch, id) AS v FROM requests),
+f AS (SELECT visitor, min((epoch, id)) AS at FROM n WHERE a > 30 OR v > 30 GROUP BY visitor)
+SELECT n.id, (f.at IS NULL OR (n.epoch, n.id) < f.at) AS allowed FROM n LEFT JOIN f ON f.visitor = n.visitor""",
+)
+def rate_limit_first(spark, sf_dir):
+    """With a window and a penalty longer than the data, the first request over the limit of its address or its visitor blocks all of
+    the visitor's requests from then on."""
+    forever = 10_000_000
+    return V.guard_requests(requests(spark, sf_dir), {n: (30, forever, forever) for n in V.guard.POLICIES}).select("id", "allowed")
+
+
 @query("rate_limit_guard")
 def rate_limit_guard(spark, sf_dir):
     return V.guard_requests(requests(spark, sf_dir), {"general": (3, 3600, 7200)} | {n: (3, 60, 120) for n in ("search", "resonance", "context", "export", "audio", "login")})
@@ -120,6 +183,16 @@ def stream_ip_activity(spark, sf_dir):
     return run.drain(Vs.ip_activity(_stream(spark, sf_dir)), "complete")
 
 
+@query("stream_ip_activity_merged", f"WITH {REQUESTS_SQL}, {_ACTIVITY} SELECT * FROM activity")
+def stream_ip_activity_merged(spark, sf_dir):
+    return run.drain(_stream(spark, sf_dir), "complete", Vs.activity_step())
+
+
+@query("stream_online", f"WITH {REQUESTS_SQL} SELECT {_BUCKET} AS bucket_epoch, count(DISTINCT visitor) AS online FROM requests GROUP BY 1")
+def stream_online(spark, sf_dir):
+    return run.drain(_stream(spark, sf_dir), "complete", Vs.online_step())
+
+
 @query("stream_rate_limit_guard")
 def stream_rate_limit_guard(spark, sf_dir):
     return Vs.guard_requests(_stream(spark, sf_dir), {"general": (3, 3600, 7200)} | {n: (3, 60, 120) for n in ("search", "resonance", "context", "export", "audio", "login")})

@@ -69,15 +69,19 @@ def decode(data: bytes | None) -> str:
     return (data or b"").decode("utf-8", "ignore")
 
 
-def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, file_hash (SHA-256) and text of each file."""
+def decoded(files: DataFrame) -> DataFrame:
+    """path, file_hash (SHA-256) and text of each (path, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame({"path": f["path"], "file_hash": f["file_hash"], "text": f["content"].map(decode)})
 
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("file_hash"), "content")
-    return files.mapInPandas(run, "path string, file_hash string, text string")
+    hashed = files.select("path", F.sha2("content", 256).alias("file_hash"), "content")
+    return hashed.mapInPandas(run, "path string, file_hash string, text string")
+
+
+def read_text_files(spark: SparkSession, path: str) -> DataFrame:
+    return decoded(spark.read.format("binaryFile").load(path))
 
 
 def safe_name(name: str | None, extension: str) -> str:

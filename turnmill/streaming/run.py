@@ -23,7 +23,8 @@ def source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "append", step: Step | None = None) -> DataFrame:
-    """All of the stream's input, batch by batch; then the result. In complete mode each batch replaces the last one's table."""
+    """All of the stream's input, batch by batch; then the result. In complete mode each batch replaces the last one's table; a step
+    makes the rows of that table itself."""
     spark, at = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex[:12]}"
     kind = [stream.schema]
 
@@ -32,7 +33,7 @@ def drain(stream: DataFrame, mode: str = "append", step: Step | None = None) ->
         kind[0] = rows.schema
         rows.write.mode("overwrite").parquet(f"{at}/{'table' if mode == 'complete' else f'table/batch={number}'}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query = stream.writeStream.outputMode("append" if step else mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     if query.exception():
         raise RuntimeError(str(query.exception()))

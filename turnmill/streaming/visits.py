@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guard import Limits
-from ..operators.visits import BUCKET, STATE
+from ..operators.visits import BUCKET, STATE, bucket
 from ..operators.visits import guard_step as guarded
 from .run import Step, drain
 
@@ -22,9 +22,37 @@ def ip_activity(requests: DataFrame, seconds: int = BUCKET, delay: str = "10 min
     return out.withColumn("bucket_epoch", F.unix_seconds("window.start")).drop("window")
 
 
-def online_by_bucket(requests: DataFrame, seconds: int = BUCKET, delay: str = "10 minutes") -> DataFrame:
-    """Visitors of each window, each counted once; the sketch keeps state of fixed size for a window."""
-    return timed(requests, delay).groupBy(F.window("ts", f"{seconds} seconds")).agg(F.approx_count_distinct("visitor", 0.01).alias("online")).select(F.unix_seconds("window.start").alias("bucket_epoch"), "online")
+def _versions(batch: DataFrame, number: int, at: str, name: str, made: DataFrame) -> DataFrame:
+    """A table's next version from the rows of this batch: made.unionByName(the last version) has to be merged by the caller."""
+    return made.unionByName(batch.sparkSession.read.schema(made.schema).parquet(f"{at}/{name}{number - 1}")) if number else made
+
+
+def activity_step(seconds: int = BUCKET) -> Step:
+    """For run.drain(mode="complete"): activity by ip and bucket that later batches merge into, so that a late request counts like any
+    other. Each batch writes a new version of the merged table."""
+
+    def step(batch: DataFrame, number: int, at: str) -> DataFrame:
+        last = ("last_path", "last_method", "last_status")
+        newest = batch.groupBy("ip", bucket(F.col("epoch"), seconds).alias("bucket_epoch")).agg(F.max(F.struct("epoch", "id", "path", "method", "status")).alias("newest"), F.min("epoch").alias("first_seen_epoch"), F.count(F.lit(1)).alias("request_count"), F.sum("blocked").alias("blocked_count"))
+        both = _versions(batch, number, at, "activity", newest)
+        merged = both.groupBy("ip", "bucket_epoch").agg(F.max("newest").alias("newest"), F.min("first_seen_epoch").alias("first_seen_epoch"), F.sum("request_count").alias("request_count"), F.sum("blocked_count").alias("blocked_count")).select(*newest.columns)
+        merged.write.mode("overwrite").parquet(f"{at}/activity{number}")
+        kept = batch.sparkSession.read.schema(newest.schema).parquet(f"{at}/activity{number}")
+        return kept.select("ip", "bucket_epoch", "first_seen_epoch", F.col("newest.epoch").alias("last_seen_epoch"), "request_count", "blocked_count", *[F.col(f"newest.{c.removeprefix('last_')}").alias(c) for c in last])
+
+    return step
+
+
+def online_step(seconds: int = BUCKET) -> Step:
+    """For run.drain(mode="complete"): visitors of each bucket, each counted once, over batches and however late."""
+
+    def step(batch: DataFrame, number: int, at: str) -> DataFrame:
+        seen = batch.select(bucket(F.col("epoch"), seconds).alias("bucket_epoch"), "visitor").distinct()
+        _versions(batch, number, at, "seen", seen).distinct().write.mode("overwrite").parquet(f"{at}/seen{number}")
+        kept = batch.sparkSession.read.schema(seen.schema).parquet(f"{at}/seen{number}")
+        return kept.groupBy("bucket_epoch").agg(F.count("visitor").alias("online"))
+
+    return step
 
 
 def guard_step(limits: Limits = Limits()) -> Step:
