@@ -16,18 +16,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat_ranges, pick, ship, slices, split_words, texts_of
+from .common import Scratch, flat_ranges, pick, ship, slices, split_words, texts_of
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: The bound of the training sample: so many labelled rows of each class, those of least hash, ...
+    #: The bounds of the training sample: so many labelled rows of each class, those of least hash, and of all these, in the order
+    #: of their hashes, whole texts of so many bytes together.
     rows_each: int = 2000
-    #: ... and of each so many windows at most, evenly spread.
-    windows_each: int = 160
+    sample_bytes: int = 32 << 20
     window: int = 4
     buckets: int = 1 << 17
     dims: int = 4
@@ -35,10 +35,8 @@ class Settings:
     epochs: int = 40
     rate: float = 0.3
     decay: float = 2e-6
-    #: Of the sample, one text in so many calibrates the logits and teaches nothing else.
+    #: Logits are calibrated on parts of the sample, so many, each by a model that has not seen it.
     calibrate: int = 4
-    #: But with fewer of a class among these, so many models are trained, each judged on the part it has not seen.
-    least_judged: int = 25
     #: A subword that fewer of the sample's documents have says nothing: it would only learn these by heart.
     least_documents: int = 6
     seed: int = 7
@@ -214,11 +212,6 @@ def _learn(texts: pa.Array, y: np.ndarray, s: Settings) -> Model:
         return Model(np.zeros(s.buckets), 0.0, 1.0, 0.0, s)
     begin, text = window_starts(at, s.window)
     end = np.append(begin[1:], len(which))
-    # of a long text, windows evenly spread
-    count = np.bincount(text, minlength=len(y))
-    rank = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    use = rank % np.maximum(1, -(-count // s.windows_each))[text] == 0
-    begin, end, text = begin[use], end[use], text[use]
     bucket, word_at = subwords(words, s)
     allowed = _common(bucket, word_at, which, at, s)
 
@@ -240,30 +233,45 @@ def _learn(texts: pa.Array, y: np.ndarray, s: Settings) -> Model:
     return fit((y[text] == 0) | found) if found.any() else model
 
 
-def train(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings()) -> Model:
-    """A model of the texts and their labels (0, 1). With one class only, or no words, every score is that class's. Logits are
-    calibrated on texts held back; where these would be too few, on those that each of a few models has not seen."""
-    s, y = settings, np.asarray(labels, np.float64)
+def _sample(texts: pa.Array, labels: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The texts less near copies, which would make a rare word look common, and their labels."""
+    y = np.asarray(labels, np.float64)
     words, which, at = _words(texts)
-    if len(which):  # near copies would make a rare word look common
-        new = _first_of_copies(words, which, at)
-        texts, y = texts.filter(pa.array(new)), y[new]
-    if not len(which) or y.min() == y.max():
-        return Model(np.zeros(s.buckets), 0.0, 0.0, 30.0 if len(y) and y.min() == 1 else -30.0, s)
-    part = np.arange(len(y)) % s.calibrate
-    pick = lambda keep: (texts.filter(pa.array(keep)), y[keep])
-    judge = part == 0
-    if min(y[judge].sum(), (1 - y[judge]).sum()) >= s.least_judged:
-        model, seen = _learn(*pick(~judge), s), y[judge]
-        z = model.largest(pick(judge)[0])
-    else:
-        model, seen, z = _learn(texts, y, s), y, np.zeros(len(y))
-        for k in range(s.calibrate):
-            z[part == k] = _learn(*pick(part != k), s).largest(pick(part == k)[0])
-    slope, offset = _calibrate(z, seen, np.ones(len(seen)))
+    if not len(which):
+        return texts, y
+    new = _first_of_copies(words, which, at)
+    return texts.filter(pa.array(new)), y[new]
+
+
+def _one_sided(texts: pa.Array, y: np.ndarray) -> bool:
+    return not len(y) or y.min() == y.max() or not pc.any(pc.match_substring_regex(texts, r"[^\x20\x09-\x0D]")).as_py()
+
+
+def learn_part(texts: pa.Array, labels: np.ndarray, s: Settings, part: int) -> tuple[Model, np.ndarray, np.ndarray]:
+    """For part < s.calibrate: a model that has not seen this part, the part's largest logits, and its labels. For part ==
+    s.calibrate: the model of all."""
+    texts, y = _sample(texts, labels)
+    if _one_sided(texts, y):
+        return Model(np.zeros(s.buckets), 0.0, 0.0, 30.0 if len(y) and y.min() == 1 else -30.0, s), np.zeros(0), y
+    own = np.arange(len(y)) % s.calibrate == part
+    model = _learn(texts.filter(pa.array(~own)), y[~own], s)
+    return model, model.largest(texts.filter(pa.array(own))) if own.any() else np.zeros(0), y[own]
+
+
+def calibrated(model: Model, z: np.ndarray, y: np.ndarray) -> Model:
+    """The model with the slope and offset that logits of unseen texts ask for."""
+    if not len(z):
+        return model
+    slope, offset = _calibrate(z, y, np.ones(len(y)))
     if slope <= 0:  # logits that tell nothing leave the share of label 1
-        slope, offset = 0.0, float(np.log((seen.mean() + 1e-9) / (1 - seen.mean() + 1e-9)))
-    return Model(model.share, model.bias, slope, offset, s)
+        slope, offset = 0.0, float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
+    return Model(model.share, model.bias, slope, offset, model.settings)
+
+
+def train(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings()) -> Model:
+    """A model of the texts and their labels (0, 1). With one class only, or no words, every score is that class's."""
+    parts = [learn_part(texts, labels, settings, k) for k in range(settings.calibrate + 1)]
+    return calibrated(parts[-1][0], *(np.concatenate([p[k] for p in parts[:-1]]) for k in (1, 2)))
 
 
 def held_out(doc_id, modulus: int = 5, remainder: int = 0):
@@ -273,25 +281,42 @@ def held_out(doc_id, modulus: int = 5, remainder: int = 0):
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Trains on a bounded sample of (doc_id, text) with labels (doc_id, toxic), rows held out left aside: of each class
-    the settings.rows_each doc_ids of least hash. The training runs in one task."""
+    the settings.rows_each rows of least hash, as far as their texts fit in settings.sample_bytes. Several labels of a doc_id count as
+    the greatest; equal rows count once. The model and those that calibrate it are trained side by side, each in one task."""
     spark = docs.sparkSession
     ship(spark)
-    known = pick(labels, "doc_id", "toxic").where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = pick(labels, "doc_id", "toxic").where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows_each) for c in (0, 1)]
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")  # at most 2 * rows_each rows
+    rows = pick(docs, "doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")  # at most 2 * rows_each doc_ids
+    rows = rows.dropDuplicates(["doc_id", "text"]).withColumn("h", F.xxhash64("doc_id", "text"))
+    # a doc_id may stand for many rows
+    rows = [rows.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(settings.rows_each) for c in (0, 1)]
+    before = F.sum(F.octet_length("text")).over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))  # at most 2 * rows_each rows
+    sample = rows[0].unionByName(rows[1]).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + F.coalesce(F.octet_length("text"), F.lit(0)) <= settings.sample_bytes)
+    parts = settings.calibrate + 1
+    sample = Scratch(spark, "toxicity").table("sample", sample.select("text", "toxic", "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(texts_of(b), b.column("toxic").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        texts = pa.concat_arrays([g[0] for g in got]) if got else pa.array([], pa.large_string())
-        share, rest = train(texts, np.concatenate([g[1] for g in got]) if got else np.zeros(0), settings).dump()
-        yield pa.RecordBatch.from_arrays([pa.array([share], pa.binary()), pa.array([rest])], names=["share", "rest"])
-
-    # one row for each doc_id, in an order of its own, so that a repeated run trains the same model
-    one = rows.dropDuplicates(["doc_id", "text"]).select("text", "toxic", F.xxhash64("doc_id", "text").alias("h")).repartition(1).sortWithinPartitions("h").select("text", "toxic")
-    row = one.mapInArrow(run, "share binary, rest string").first()
-    if row is None:  # no labelled row at all
+        got = [(texts_of(b), b.column("toxic").to_numpy(zero_copy_only=False), b.column("part")) for b in batches if b.num_rows]
+        if got:
+            texts, labels, part = pa.concat_arrays([g[0] for g in got]), np.concatenate([g[1] for g in got]), got[0][2][0].as_py()
+            model, z, y = learn_part(texts, labels, settings, part)
+            share, rest = model.dump() if part == settings.calibrate else (None, None)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([share], pa.binary()), pa.array([rest], pa.string()), pa.array([z], pa.list_(pa.float64())), pa.array([y], pa.list_(pa.float64()))], names=["part", "share", "rest", "z", "y"])
+
+    # the range of parts has a partition for each; rows come in an order of their own, so that a repeated run trains the same models
+    made: list = []
+    for part in range(parts):
+        one = sample.withColumn("part", F.lit(part)).coalesce(1).sortWithinPartitions("h").select("text", "toxic", "part")
+        made.append(one.mapInArrow(run, "part int, share binary, rest string, z array<double>, y array<double>"))
+    both = made[0]
+    for m in made[1:]:
+        both = both.union(m)
+    found = sorted(both.collect(), key=lambda r: r["part"])  # a model and as many logits as the sample has rows
+    if not found:  # no labelled row at all
         return train(pa.array([], pa.large_string()), np.zeros(0), settings)
-    return Model.load(row["share"], row["rest"], settings)
+    z, y = (np.array([x for r in found[:-1] for x in r[k]]) for k in ("z", "y"))
+    return calibrated(Model.load(found[-1]["share"], found[-1]["rest"], settings), z, y)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
