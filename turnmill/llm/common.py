@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shared_folder
 from ..shipping import ship as ship
 
 #: Characters that separate words, as a Java and RE2 class, and the words themselves.
@@ -27,17 +28,12 @@ _work: dict[str, str] = {}
 
 
 def workspace(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir, which every executor sees. Where that is unset (tests on
-    one machine) a temporary folder is made. It is removed as the driver ends."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _work:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-        if not shared:
-            shared = "file://" + tempfile.mkdtemp(prefix="turnmill-shared-")
-            sc.setCheckpointDir(shared)
-        _work[sc.applicationId] = path = f"{shared.rstrip('/')}/turnmill-{sc.applicationId}"
+    """A folder of this application in the shared folder, removed as the driver ends."""
+    name = spark.sparkContext.applicationId
+    if name not in _work:
+        _work[name] = path = f"{shared_folder(spark)}/turnmill-{name}"
         atexit.register(_quiet_remove, spark, path)
-    return _work[sc.applicationId]
+    return _work[name]
 
 
 def _quiet_remove(spark: SparkSession, path: str) -> None:
@@ -52,10 +48,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Working tables of one call. drop() deletes those that no later step reads."""
+    """Working tables of one call. drop() deletes those that no later step reads, clear_scratch() all since a moment."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.at, self.paths = spark, f"{workspace(spark)}/{what}-{uuid.uuid4().hex[:12]}", {}
+        Scratch.made.append(self)
         ship(spark)
 
     def table(self, name: str, df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -71,14 +70,29 @@ class Scratch:
             remove(self.spark, self.paths.pop(name))
 
 
+def clear_scratch(since: int) -> None:
+    """Delete the working tables of all calls after the first `since`, whose results have been written elsewhere."""
+    for scratch in Scratch.made[since:]:
+        remove(scratch.spark, scratch.at)
+    del Scratch.made[since:]
+
+
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; further ones, whatever their names, are not read."""
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system, as several workers share an executor."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that no part holds over `most` bytes of text, unless it is one row. Runs in Python workers, whose Arrow
-    memory goes back to the system this way, as several of them share an executor."""
+    """The batches cut so that no part holds over `most` bytes of text, unless it is one row. Runs in Python workers, whose freed
+    memory goes back to the system after each batch."""
     pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         if not batch.num_rows:
@@ -91,6 +105,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

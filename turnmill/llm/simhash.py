@@ -359,6 +359,17 @@ def deal_hot(rows: DataFrame, limit: int) -> DataFrame:
     return x.withColumn("part", F.explode(parts)).select(F.col("part").alias("shard"), *[c for c in rows.columns if c != "shard"])
 
 
+def told_apart(prints: DataFrame, keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Both with a tkey that unequal texts do not share: where a tkey has several values of `other`, a second hash, all but the least
+    get a tkey of their own. Such rows are about as rare as hashes of 64 bits meet."""
+    met = scratch.table("met", prints.groupBy("tkey").agg(F.min("other").alias("least"), F.max("other").alias("most")).where("least <> most").select("tkey", "least"))
+    if met.isEmpty():
+        return prints, keyed
+    own = F.when(F.col("other") != F.col("least"), F.xxhash64("other", "tkey")).otherwise(F.col("tkey"))
+    again = lambda df: df.join(met, "tkey", "left").withColumn("tkey", own).drop("least")
+    return scratch.table("told_apart", again(prints), "snappy"), again(keyed)
+
+
 def similar_texts(docs: DataFrame, scratch: Scratch, words: int, similarity: float, limit: int = SHARD_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tkey) of each row of (doc_id, text), tkey being the text's hash, and (node, root) of all tkeys linked.
 
@@ -370,31 +381,31 @@ def similar_texts(docs: DataFrame, scratch: Scratch, words: int, similarity: flo
     radius = similarity_radius(similarity, TABLES * 64)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=1 << 20):
             sets = shingle_sets(texts_of(batch), words)
             sizes = np.array([len(x) for x in sets], np.int64)
             h, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
             raw = np.concatenate([wide_fingerprints(h, offsets), min_hash_keys(h, offsets, BANDS, ROWS)], axis=1).astype("<u8").tobytes()
             n = 8 * (TABLES + BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("tkey"), pa.array(sizes), pa.array([raw[k * n : (k + 1) * n] for k in range(len(sets))], pa.binary())], names=["doc_id", "tkey", "size", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("tkey"), batch.column("other"), pa.array(sizes), pa.array([raw[k * n : (k + 1) * n] for k in range(len(sets))], pa.binary())], names=["doc_id", "tkey", "other", "size", "print"])
 
-    keyed = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text")
-    prints = scratch.table("prints", keyed.mapInArrow(compute, "doc_id long, tkey long, size long, print binary"), "snappy")
+    text = F.coalesce("text", F.lit(""))
+    keyed = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(text).alias("tkey"), F.xxhash64(F.lit(1), text).alias("other"), "text")
+    prints = scratch.table("prints", keyed.mapInArrow(compute, "doc_id long, tkey long, other long, size long, print binary"), "snappy")
+    prints, keyed = told_apart(prints, keyed, scratch)
     distinct = prints.groupBy("tkey").agg(F.max("size").alias("size"), F.max("print").alias("print"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
-                raw = part.column("print").to_pylist()
-                keys = np.frombuffer(b"".join(x[8 * TABLES :] for x in raw), "<i8")
-                again = np.repeat(np.arange(len(raw)), BANDS)
-                head = pa.array([x[: 8 * TABLES] for x in raw], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("tkey").take(pa.array(again)), part.column("size").take(pa.array(again)), head.take(pa.array(again))], names=["shard", "node", "size", "print"])
-
-    dealt = distinct.mapInArrow(deal, "shard long, node long, size long, print binary")
-    # most texts share no band with any other
+            raw = batch.column("print").to_pylist()
+            keys = np.frombuffer(b"".join(x[8 * TABLES :] for x in raw), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("tkey").take(pa.array(np.repeat(np.arange(len(raw)), BANDS)))], names=["shard", "node"])
+
+    # most texts share no band with any other, so fingerprints travel only to shards of two or more
+    dealt = scratch.table("dealt", distinct.select("tkey", "print").mapInArrow(deal, "shard long, node long"))
     shared = scratch.table("shared", dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = scratch.table("members", dealt.join(shared, "shard"), "snappy")
+    head = distinct.select(F.col("tkey").alias("node"), "size", F.substring("print", 1, 8 * TABLES).alias("print"))
+    members = scratch.table("members", dealt.join(shared, "shard").join(head, "node"), "snappy")
     none = F.lit(0).cast("long").alias("root")
     block = F.concat_ws(".", "shard", F.pmod(F.xxhash64("shard", "node"), F.ceil(F.col("n") / limit))).alias("shard")
     first = scratch.table("first", candidates(members.select(block, "node", "size", "print", none), radius, similarity, False))
@@ -403,7 +414,7 @@ def similar_texts(docs: DataFrame, scratch: Scratch, words: int, similarity: flo
     rest = scratch.table("rest", candidates(deal_hot(rooted, limit), radius, similarity, True).join(first, ["a", "b"], "left_anti"))
     more = confirmed(rest, keyed, scratch, "more", words, similarity)
     edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return prints.select("doc_id", "tkey"), components(edges, scratch)
+    return prints.select("doc_id", "tkey", "other"), components(edges, scratch)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, limit: int = SHARD_LIMIT) -> DataFrame:
@@ -413,9 +424,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     doc_id and text one stays. An empty table gives no rows."""
     scratch = Scratch(docs.sparkSession, "neardup")
     keys, linked = similar_texts(docs, scratch, words, similarity, limit)
-    of = keys.join(linked, keys.tkey == linked.node, "left").select("doc_id", "tkey", F.coalesce("root", "tkey").alias("root"))
-    first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("x")).select(F.col("x.doc_id").alias("d"), F.col("x.tkey").alias("t"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"))
-    stay = whole.join(first, F.expr("doc <=> d AND tkey = t"), "left_semi")
-    same = Window.partitionBy("doc", "tkey").orderBy(F.lit(0))
-    return stay.withColumn("n", F.row_number().over(same)).where("n = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    of = keys.join(linked, keys.tkey == linked.node, "left").select("doc_id", "tkey", "other", F.coalesce("root", "tkey").alias("root"))
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "tkey", "other")).alias("x")).select("x.none", "x.doc", "x.other")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64(F.lit(1), text).alias("other"))
+    row_key = ["none", "doc", "other"]  # none is null, so join and window need one order
+    same = Window.partitionBy(*row_key).orderBy(F.lit(0))
+    return whole.join(first, row_key, "left_semi").withColumn("n", F.row_number().over(same)).where("n = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
