@@ -238,11 +238,18 @@ def test_common_subsequence(unit, words):
     assert decontaminate.common_subsequence(masks, len(unit), words) == lcs(unit, words)
 
 
-def test_randomised_svd_keeps_the_energy():
+def test_latent_directions_hold_what_the_svd_holds(spark):
     rng = np.random.default_rng(0)
-    a = (rng.standard_normal((40, 12)) @ rng.standard_normal((12, 90))).astype(np.float32)
-    v = decontaminate.randomised_svd(a, 30, 0.999)
-    assert v.shape[1] <= 12 and np.linalg.norm(a @ v) ** 2 >= 0.998 * np.linalg.norm(a) ** 2
+    base = np.abs(rng.standard_normal((40, 12))) @ np.abs(rng.standard_normal((12, 90))) * (rng.random((40, 90)) < 0.4)
+    unit = np.arange(40) % 3 > 0
+    rows = [(np.flatnonzero(x).tolist(), x[x != 0].tolist(), bool(u)) for x, u in zip(base, unit)] + [([], [], False)]
+    s = decontaminate.Settings(rank=12, energy=1.0, rounds=4)
+    terms, v = decontaminate.latent_directions(spark.createDataFrame(rows, decontaminate.ROW).repartition(3), s)
+    assert terms.tolist() == sorted({t for r in rows if r[2] for t in r[0]})
+    scale = np.sqrt(s.fit_weight * unit.sum() / (len(rows) - unit.sum()))
+    a = (base * np.where(unit, 1, scale)[:, None])[:, terms]
+    best = (np.linalg.svd(a)[1][:12] ** 2).sum()
+    assert np.allclose(v.T @ v, np.eye(12), atol=1e-4) and np.linalg.norm(a @ v) ** 2 >= 0.99 * best
 
 
 def test_decontamination(spark, odd_docs, no_docs):
@@ -258,12 +265,123 @@ def test_decontamination(spark, odd_docs, no_docs):
     b = spark.createDataFrame([*enumerate(items), (50, None), (51, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
     assert got == {(k, k) for k in range(11)}
-    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()) == list(range(11, 60))
+    for s in (decontaminate.Settings(), decontaminate.Settings(units_a_scan=4)):  # one scan, several scans
+        assert sorted(r.doc_id for r in decontaminate.drop_contaminated(d, b, s).collect()) == list(range(11, 60))
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b, s).collect()} == got
     assert decontaminate.contaminated(no_docs, b).count() == 0 and decontaminate.contaminated(d, b.where("item_id > 49")).count() == 0
     kept = decontaminate.drop_contaminated(odd_docs, b)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
 
 
+def test_decontamination_keeps_null_and_large_ids(spark):
+    rng = random.Random(13)
+    text = prose(rng, 40)
+    large = (1 << 53) + 1
+    d = spark.createDataFrame([(None, text), (large, text), (large, text), (1, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(None, text), (large, text), (None, None), (large, text)], "item_id long, text string")
+    got = sorted(((r.doc_id or 0, r.item_id or 0) for r in decontaminate.contaminated(d, b).collect()))
+    assert got == sorted([(0, 0), (0, large), *[(large, 0), (large, large)] * 2])
+    assert decontaminate.drop_contaminated(d, b).collect()[0].doc_id == 1
+
+
+def paraphrases(rng, items):
+    """(kind, item, text) of an item inside other prose."""
+    for k, item in enumerate(items):
+        w = item.split()
+        half = len(w) // 2
+        fewer = [x if rng.random() > 0.25 else prose(rng, 1) for x in w]
+        third, fifths = list(w), list(w)
+        for j in rng.sample(range(len(w)), len(w) // 3):
+            third[j] = prose(rng, 1)
+        for j in rng.sample(range(len(w)), len(w) * 2 // 5):
+            fifths[j] = prose(rng, 1)
+        longer = [y for x in w for y in ([x, prose(rng, 1)] if rng.random() < 0.3 else [x])]
+        for kind, words in (("verbatim", w), ("swapped", w[half:] + w[:half]), ("a quarter replaced", fewer), ("a third replaced", third), ("two fifths replaced", fifths), ("words put in", longer)):
+            yield kind, k, f"{prose(rng, 40)} {' '.join(words)} {prose(rng, 40)}"
+
+
+def test_recall_of_paraphrases_and_against_all_pairs(spark):
+    rng = random.Random(14)
+    items = [prose(rng, rng.randint(24, 70)) for _ in range(20)]
+    planted = list(paraphrases(rng, items))
+    texts = [t for _, _, t in planted] + [prose(rng, 150) for _ in range(150)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
+    found = {kind: sum((i, k) in got for i, (name, k, _) in enumerate(planted) if name == kind) for kind in dict.fromkeys(x[0] for x in planted)}
+    assert all(n >= 18 for n in found.values()), found
+    assert not any(i >= len(planted) for i, _ in got)
+    # all pairs: no candidate search, only the checks, at every place of each text
+    s = decontaminate.Settings()
+    idf, _ = decontaminate.document_frequencies(d, s)
+    units = [(r.item_id, list(r.words)) for r in decontaminate.benchmark_units(b, s).collect()]
+    terms = np.unique(np.concatenate([decontaminate._slots(w, s.frequency_bits) & ((1 << s.term_bits) - 1) for _, w in units]))
+    one = decontaminate.Units(units, terms, np.eye(len(terms), dtype=np.float32), idf, s)
+    want = set()
+    for i, t in enumerate(texts):
+        words = t.split()
+        for u, (item, unit) in enumerate(units):
+            for at in range(0, max(1, len(words) - s.passage + s.stride), s.stride):
+                near = words[max(0, at - len(unit)) : at + s.passage + len(unit)]
+                share = max(lcs(unit, near), lcs(unit[: len(unit) // 2], near) + lcs(unit[len(unit) // 2 :], near)) / len(unit)
+                if one.holds(u, share, near, s):
+                    want.add((i, item))
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def brute_lines(texts, s=templates.Settings()):
+    """Line dedup in one process: near copies by shared least hashes, one tree for all lines of a leaf."""
+    texts = [t or "" for t in texts]
+    keys = [simhash.min_hash_keys(*simhash.word_shingles(pa.array([t], pa.large_string()), 2), s.bands, s.rows)[0].tolist() for t in texts]
+    group = brute_components(keys, lambda a, b: bool(set(a) & set(b)))
+    leaves: dict = {}
+    for t, g in zip(texts, group):
+        for line in t.split("\n"):
+            tokens = templates.masked(line)
+            if tokens and not (len(tokens) < s.depth and all(x == templates.FIELD for x in tokens)):
+                leaves.setdefault((len(tokens), *tokens[: s.depth]), {}).setdefault("\x1f".join(tokens), set()).add(g)
+    gone = set()
+    for (n, *_), lines in leaves.items():
+        tree, members = templates.Leaf(s.similarity), {}
+        for line in sorted(lines, key=lambda x: (-len(lines[x]), x)):
+            members.setdefault(tree.place(line.split("\x1f")), []).append(line)
+        for found in members.values():
+            if len(set().union(*(lines[x] for x in found))) >= s.needed(n):
+                gone.update(found)
+    return ["\n".join(x for x in t.split("\n") if "\x1f".join(templates.masked(x)) not in gone) for t in texts]
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(36)
+    pool = [prose(rng, n) for n in (1, 2, 3, 4, 6, 9, 12, 21, 26, 30) for _ in range(3)]
+    texts = []
+    for _ in range(70):
+        lines = [prose(rng, rng.randint(1, 30)) for _ in range(rng.randint(0, 6))]
+        for x in rng.sample(pool, rng.randint(0, 5)):
+            w = x.split()
+            if len(w) > 4 and rng.random() < 0.5:
+                w[rng.randrange(3, len(w))] = str(rng.randrange(1000))
+            lines.insert(rng.randrange(len(lines) + 1), " ".join(w))
+        texts.append("\n".join(lines))
+    texts += [texts[3]] * 5 + ["", "\n\n", "a  b \r\nx", *[texts[5] + " more"] * 2, "line of a long text\n" * 3000 + "end"]
+    got = dropped(spark, texts)
+    assert [got[k] for k in range(len(texts))] == brute_lines(texts)
+    assert any(got[k] != t for k, t in enumerate(texts))
+
+
+def test_line_dedup_leaves_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(1, "a\nb", 7, "x")], "doc_id long, text string, n_lines int, places string")
+    assert templates.drop_templates(df, counts=None).collect() == df.collect()
+    assert templates.drop_templates(df, counts=("lines", "gone")).columns == ["doc_id", "text", "n_lines", "places", "lines", "gone"]
+
+
+def test_texts_of_one_hash_are_told_apart(spark):
+    p = spark.createDataFrame([(1, 5, 1), (2, 5, 2), (3, 5, 2), (4, 6, 9)], "doc_id long, tkey long, other long")
+    a, b = simhash.told_apart(p, p.withColumn("text", p.doc_id.cast("string")), Scratch(spark, "t"))
+    keys = {r.doc_id: r.tkey for r in a.collect()}
+    assert keys[1] == 5 and keys[4] == 6 and keys[2] == keys[3] not in (5, 6) and {r.doc_id: r.tkey for r in b.collect()} == keys
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

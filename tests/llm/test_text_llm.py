@@ -54,6 +54,40 @@ def test_toxicity_edges(odd_docs, no_docs, spark):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
 
 
+def slow_toxicity(model, text):
+    """A document's score word by word: the most toxic window of four words."""
+    s = model.settings
+    words = [w.lower() for w in WORD.findall(text or "")]
+    each = [np.mean([float(model.share[b]) for b in toxicity.subwords([w], s)[0]]) for w in words]
+    logit = max((float(np.mean(each[k : k + s.window])) + model.bias for k in range(0, len(words), s.window)), default=model.bias)
+    return 1 / (1 + math.exp(-(model.slope * logit + model.offset)))
+
+
+def test_toxicity_stage_against_a_slow_version(spark):
+    rng = random.Random(4)
+    bad = ["stupid", "idiot", "worthless"]
+    rows = [(k, prose(rng, rng.randint(1, 90), bad[: 1 + k % 3] if k % 5 == 1 else ())) for k in range(150)] + [(200, None), (None, "a stupid idiot"), (201, ""), (5, "again " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 5 == 1)) for k in range(150)] + [(5, 1), (6, 7)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.dump() == toxicity.fit(docs.repartition(5), labels).dump()
+    got = sorted((r.doc_id or -1, r.score) for r in toxicity.score(docs, model).collect())
+    want = sorted((d or -1, slow_toxicity(model, t)) for d, t in rows)
+    assert np.allclose([x[1] for x in got], [x[1] for x in want], atol=1e-5)
+    kept = sorted((r.doc_id or -1, r.text or "") for r in toxicity.drop_toxic(docs, labels).collect())
+    assert kept == sorted((d or -1, t or "") for d, t in rows if slow_toxicity(model, t) < 0.5) and len(kept) < len(rows)
+
+
+def test_toxicity_sample_is_bounded_by_rows_and_bytes(spark):
+    rows = [(k % 3, f"text {k} " * 10) for k in range(90)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    for s in (toxicity.Settings(rows_each=10), toxicity.Settings(rows_each=10, sample_bytes=300)):
+        toxicity.fit(docs, labels, s)
+        seen.append(spark.read.parquet(toxicity.Scratch.made[-1].paths["sample"]).toPandas())
+    assert seen[0]["toxic"].value_counts().max() <= 10 and seen[1]["text"].str.len().sum() <= 300 and len(seen[1])
+
+
 SMALL = language_model.Settings(words=40, words_a_root=0.1, endings=4, state=6, head=60, head_one_in=1, shard_tokens=400, epochs=2, lanes=8, span=5, updates=4, score_lanes=3)
 
 

@@ -455,7 +455,7 @@ def score_documents(docs: DataFrame, s: Settings = Settings(), modulus: int = 7,
         net = Network(v, parameters=parameters)
         lg = np.log10
         share = np.concatenate([np.zeros(len(words)), lg(tokens + types + 1.0)])
-        for batch in slices(batches, most=12 << 20):  # the more texts, the more lanes beside the longest one
+        for batch in slices(batches, most=8 << 20):  # the more texts, the more lanes beside the longest one
             found, which, at = tokens_of(texts_of(batch))
             ids = v.ids(found).astype(np.int32)
             key = word_hashes(found)

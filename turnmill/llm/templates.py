@@ -195,13 +195,16 @@ def _verdicts(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.uint64()).view(pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["line_key", "template"])
 
 
-def drop_templates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of docs, all their columns, with `text` less the lines of recurring templates, and n_lines and n_dropped.
-
-    docs has doc_id and text; columns of its own called n_lines or n_dropped are replaced, all others stay. A null text stays
-    null with no lines; an empty one has one empty line. Blank lines and those of one or two tokens that all have
-    digits always stay. Equal texts and near copies count as one document, so a document that is merely copied keeps its lines. Repeated rows stay and lose the
-    same lines; null doc_ids stay; an empty table gives no rows."""
+def drop_templates(docs: DataFrame, s: Settings = Settings(), counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """The rows of docs, all their columns, with `text` less the lines of recurring templates, and two counts of its lines and of
+    those dropped.
+
+    docs has doc_id and text; columns of its own called as the counts are replaced, all others stay; without `counts` there are none
+    and all stay. A null text stays null with no lines; an empty one has one empty line. Blank lines and those of one or two tokens
+    that all have digits always stay. Equal texts and near copies count as one document, so a document that is merely copied keeps
+    its lines. Lines that could join several templates alike join the one founded first, and lines come in order of how many
+    documents hold them, then of their text. Repeated rows stay and lose the same lines; null doc_ids stay; an empty table gives no
+    rows; texts of any length are taken whole."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "templates")
@@ -230,7 +233,11 @@ def drop_templates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # the row travels as one struct, so no column of its own can clash
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tkey"))
     both = whole.join(drops, F.expr("doc <=> d AND tkey = t"), "left").select("row", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
-    parts = F.split("row.text", "\n")
-    left = F.when(F.size("places") == 0, F.col("row.text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("places", i)), "\n"))
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return both.select(*[left.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in keep], F.when(F.col("row.text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.size("places").alias("n_dropped"))
+    parts = F.split("row.text", "\n", -1)
+    # the places that stay, by a hash set, then their lines
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "places")
+    left = F.when(F.size("places") == 0, F.col("row.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    kept = [left.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in (counts or ())]
+    if counts:
+        kept += [F.when(F.col("row.text").isNull(), 0).otherwise(F.size(parts)).alias(counts[0]), F.size("places").alias(counts[1])]
+    return both.select(*kept)
