@@ -142,6 +142,90 @@ def test_connected_groups_match_union_find(spark):
     assert got == {x: root(x) for x in up if any(x in p and p[0] != p[1] for p in pairs)}
 
 
+def test_window_runs_equal_one_fold(spark):
+    import random
+
+    from turnmill.functions import grammar, windows
+
+    rng = random.Random(12)
+    rows = []
+    for d in ("甲集", "乙集"):
+        at = 0
+        for k in range(80):
+            at = at + 2 if rng.random() < 0.6 else rng.randrange(400)
+            text = "\n".join(f"【{'甲乙'[i % 2]}】：话{i}" for i in range(at, at + rng.randint(1, 5)))
+            rows.append((d, k, f"t{k}", rng.choice(["", "", "第一章"]), f"chunk{k}", text))
+    df = spark.createDataFrame(rows, "dataset_name string, row_index long, title string, chapter string, chunk_id string, content string").repartition(5)
+    want = []
+    for d in ("甲集", "乙集"):
+        parsed = [(d, c, t, chunk, grammar.merge_turns(x)) for n, _, t, c, chunk, x in rows if n == d]
+        kept, equal, inside = windows.merge([r for r in parsed if len(r[4]) > 1])
+        want += [(d, f"{d}_{i:04d}", f"《{d}》{x.chapter + ' ' if x.chapter else ''}合并大对话 {i:04d}", len(x.turns), " | ".join(x.titles[:20]), x.merges, x.contained, equal, inside) for i, x in enumerate(kept, 1)]
+    got = I.merge_windows(df).select("dataset_name", "dialogue_id", "title", "turn_count", "source_titles", "merges", "contained", "duplicates", "inside").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(w[5] for w in want) and len(want) > 20
+
+
+def test_ids_are_stable_where_rows_are_equal_in_order(spark):
+    rows = [(k % 3, f"row {k}") for k in range(60)]
+    runs = [sorted((r.text, r.id) for r in I.with_ids(spark.createDataFrame(rows, "a int, text string").repartition(n), 100, "a").collect()) for n in (1, 7)]
+    assert runs[0] == runs[1] and sorted(i for _, i in runs[0]) == list(range(101, 161))
+
+
+def test_late_requests_merge(spark, tmp_path):
+    from turnmill.streaming import run
+    from turnmill.streaming import visits as Vs
+
+    rows = [(k, f"10.0.0.{k % 2}", str(k % 3), 1_700_000_000 + (k * 977) % 5000, f"/{k}", "GET", 200, k % 2) for k in range(120)]
+    schema = "id long, ip string, visitor string, epoch long, path string, method string, status int, blocked int"
+    for n in range(3):  # three files, read one batch each, none in order of time
+        spark.createDataFrame(rows[n::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r"))
+    whole = spark.createDataFrame(rows, schema)
+    got = run.drain(stream(), "complete", Vs.activity_step())
+    want = V.ip_activity(whole)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    online = run.drain(stream(), "complete", Vs.online_step())
+    assert sorted(map(tuple, online.collect())) == sorted(map(tuple, V.snapshots(whole).collect()))
+    guarded = Vs.guard_requests(stream(), {n: (4, 600, 50) for n in NAMES})
+    assert guarded.count() == len(rows) and guarded.where("reason = 'rate_limit'").count() > 0
+
+
+def test_peaks_only_grow(spark, tmp_path):
+    from turnmill.streaming import visits as Vs
+
+    write = Vs.upsert_peaks(f"file://{tmp_path}/peaks")
+    for n, online in enumerate((3, 5, 2)):
+        for _ in range(2):  # a repeated batch changes nothing
+            write(spark.createDataFrame([(300, online), (300 * (n + 2), 1)], "bucket_epoch long, online long"), n)
+    got = {r.bucket_epoch: (r.online, r.peak) for r in spark.read.parquet(f"file://{tmp_path}/peaks/v2").collect()}
+    assert got[300] == (2, 5) and len(got) == 4
+
+
+def test_entry_point_survives_a_missing_subpackage(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    whole = entry.queries()
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    for name in [m for m in sys.modules if m.startswith("turnmill.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    with pytest.warns(UserWarning, match="left out"):
+        left = entry.queries()
+    assert left and set(left) <= set(whole) and "turn_search_neighbors" in left and not any(n.startswith("op") and n[2].isdigit() for n in left)
+
+
+def test_stored_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, size in (("a.txt", 10), ("b.exe", 10), ("c.txt", 40)):
+        (tmp_path / "in" / name).write_bytes(b"x" * size)
+    got = files.list_objects(spark, str(tmp_path / "in"), ("txt",), 20)
+    assert sorted((r.path[-5:], r.accepted) for r in got.collect()) == [("a.txt", True), ("b.exe", False), ("c.txt", False)]
+    for n in (3, 5):
+        files.backup(spark.range(n), str(tmp_path / "copy"))
+    assert spark.read.parquet(str(tmp_path / "copy")).count() == 3
+
+
 def test_page_window():
     assert St.page_window(95, 99, 10) == {"pages": 10, "page": 10, "offset": 90, "first": 1, "last": 10}
 

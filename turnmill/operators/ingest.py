@@ -313,6 +313,12 @@ def merge_report(merged: DataFrame) -> DataFrame:
     return merged.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("dialogues"), F.sum("merges").alias("merges"), F.sum("contained").alias("contained"), F.max("duplicates").alias("duplicates"), F.max("inside").alias("inside"), F.max("turn_count").alias("max_turns"), F.round(F.avg("turn_count"), 2).alias("avg_turns"))
 
 
+def source_order(dataset: Column, title: Column) -> list[Column]:
+    """Sort keys of articles: official sources in their order, others behind them, then titles."""
+    at = F.array_position(F.array(*[F.lit(d) for d in windows.SOURCE_ORDER]), dataset)
+    return [F.when(at == 0, 99).otherwise(at - 1), title]
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     """title, year and text of each page (page_id, url, html)."""
 

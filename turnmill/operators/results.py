@@ -42,6 +42,16 @@ def highlighted(df: DataFrame, text: str, keyword: str, markers: str | None = No
     return df.withColumn("html", plain(text) if markers is None else overlaid(text, markers))
 
 
+def with_terms(df: DataFrame, text: str, terms: Column | str) -> DataFrame:
+    """`html` of a text in which the longest of some terms are marked first."""
+
+    @F.pandas_udf(T.StringType())
+    def marked(t: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series([context.highlight_terms(x, list(y) if y is not None else []) for x, y in zip(t, terms, strict=True)])
+
+    return df.withColumn("html", marked(text, terms))
+
+
 @F.pandas_udf(T.StringType())
 def spoken(text: pd.Series, speaker: pd.Series) -> pd.Series:
     return pd.Series([context.spoken(t, s) for t, s in zip(text, speaker, strict=True)])

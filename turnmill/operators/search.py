@@ -274,6 +274,20 @@ def kwic(df: DataFrame, text: str, keyword: str, left: int = 30, right: int = 30
     })
 
 
+def kwic_regex(df: DataFrame, text: str, pattern: str, left: int = 30, right: int = 30) -> DataFrame:
+    """The same around the first match of a pattern, in any case; rows without one, and all rows for a pattern that is refused, have
+    no hit."""
+    t, p = F.col(text), F.lit("(?iuU)" + regexplan.java(pattern))
+    at = F.lit(0) if regexplan.error(pattern) else F.regexp_instr(t, p)
+    hit = F.when(at > 0, F.regexp_extract(t, "(?iuU)" + regexplan.java(pattern), 0)).otherwise("") if not regexplan.error(pattern) else F.lit("")
+    start = F.greatest(at - left, F.lit(1))
+    return df.withColumns({
+        "left_context": F.when(at > 0, F.substr(t, start, at - start)).otherwise(F.substring(t, 1, left)),
+        "hit": hit,
+        "right_context": F.when(at > 0, F.substr(t, at + F.length(hit), F.lit(right))).otherwise(F.substr(t, F.lit(left + 1), F.lit(right))),
+    })
+
+
 def match_counts(turns: DataFrame, keyword: str) -> DataFrame:
     """Turns of each conversation that contain the keyword."""
     return turns.groupBy("conversation_key").agg(F.count_if(ilike(F.col("turn_text"), keyword)).alias("n_hits"), F.count(F.lit(1)).alias("n_turns")).where("n_hits > 0")

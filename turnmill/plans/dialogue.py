@@ -193,7 +193,7 @@ def diagraph_grid(spark, sf_dir):
 
 @query("diagraph_affordances")
 def diagraph_affordances(spark, sf_dir):
-    return P.relations(P.with_features(_pairs(spark, sf_dir)), turns(spark, sf_dir, True)).withColumn("mechanisms", F.array_join("mechanisms", "|"))
+    return P.described(P.relations(P.with_features(_pairs(spark, sf_dir)), turns(spark, sf_dir, True))).withColumn("mechanisms", F.array_join("mechanisms", "|"))
 
 
 @query("mechanism_summary")

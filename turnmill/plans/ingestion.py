@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, search_text
@@ -245,9 +246,9 @@ def source_totals(spark, sf_dir):
     return e.groupBy(F.concat_ws("/", "dataset_name", "category").alias("dataset_category")).agg(F.count(F.lit(1)).alias("n"), F.count(url).alias("with_url"), F.count_if(url.isNull()).alias("without_url")).orderBy(F.desc("n"))
 
 
-def _windows(spark, sf_dir):
+def _windows(spark, sf_dir, phrases=True):
     """Conversations as windows of four turns that overlap by two."""
-    t = turns(spark, sf_dir, True)
+    t = turns(spark, sf_dir, phrases)
     w = t.select("*", F.explode(F.array(F.expr("(turn_index - 1) div 2"), F.expr("(turn_index - 1) div 2 - 1"))).alias("k")).where("k >= 0")
     c = w.groupBy("conversation_key", "entry_id", "k").agg(F.sort_array(F.collect_list(F.struct("turn_index", "speaker_label", "turn_text"))).alias("t"))
     return c.select(F.concat(F.lit("set"), F.col("entry_id") % 16).alias("dataset_name"), (F.col("entry_id") * 1000 + F.col("k")).alias("row_index"), F.concat("conversation_key", F.lit(" "), F.col("k")).alias("title"), F.lit("").alias("chapter"), F.concat(F.lit("chunk"), F.col("k")).alias("chunk_id"), F.array_join(F.transform("t", lambda x: F.concat(F.lit("【"), x["speaker_label"], F.lit("】："), x["turn_text"])), "\n").alias("content"))
@@ -258,6 +259,17 @@ def merge_windows(spark, sf_dir):
     return I.merge_windows(_windows(spark, sf_dir))
 
 
+@query(
+    "merge_windows_plain",
+    f"""WITH {turns_sql()}, c AS (SELECT entry_id, count(*) AS n, string_agg('【' || speaker_label || '】：' || turn_text, chr(10) ORDER BY turn_index) AS content FROM turns GROUP BY 1 HAVING count(*) > 1)
+SELECT 'set' || entry_id % 16 AS dataset_name, content, CAST(n AS INTEGER) AS turn_count, CAST(greatest((n - 3) // 2, 0) AS INTEGER) AS merges, CAST(CASE WHEN n % 2 = 0 AND n > 3 THEN 1 ELSE 0 END AS INTEGER) AS contained, row_number() OVER (PARTITION BY entry_id % 16 ORDER BY entry_id) AS number FROM c""",
+)
+def merge_windows_plain(spark, sf_dir):
+    """Windows of texts that do not recur, so that each conversation comes out whole."""
+    m = I.merge_windows(_windows(spark, sf_dir, False))
+    return m.select("dataset_name", "content", "turn_count", "merges", "contained", F.split_part("dialogue_id", F.lit("_"), F.lit(2)).cast("long").alias("number"))
+
+
 @query("merge_report")
 def merge_report(spark, sf_dir):
     return I.merge_report(I.merge_windows(_windows(spark, sf_dir)))
@@ -269,6 +281,24 @@ def qa_candidates(spark, sf_dir):
     return I.qa_candidates(t, 20)
 
 
+@query("source_order", f"WITH {ENTRIES_SQL}, p AS (SELECT id, title, (['ministry_press','mfa_press','blog','china_live'])[CAST(id % 4 AS INTEGER) + 1] AS d FROM entries) SELECT id, row_number() OVER (ORDER BY CASE d WHEN 'mfa_press' THEN 0 WHEN 'ministry_press' THEN 3 WHEN 'china_live' THEN 5 ELSE 99 END, title) AS place FROM p ORDER BY place LIMIT 60")
+def ordered_sources(spark, sf_dir):
+    """The first articles in the order of their sources."""
+    e = entries(spark, sf_dir).withColumn("d", pick(("ministry_press", "mfa_press", "blog", "china_live"), F.col("id")))
+    first = e.select("id", *[c.alias(n) for c, n in zip(I.source_order(F.col("d"), F.col("title")), ("rank", "name"))]).orderBy("rank", "name").limit(60)
+    return first.select("id", F.row_number().over(Window.orderBy("rank", "name")).cast("long").alias("place"))  # 60 rows
+
+
+@query("page_titles", f"WITH {ENTRIES_SQL} SELECT id AS page_id, CASE id % 4 WHEN 2 THEN 'The page' ELSE title || ' long' END AS title, CASE WHEN id % 4 = 3 THEN '1999' ELSE '2021' END AS year FROM entries")
+def page_titles(spark, sf_dir):
+    """Pages with their title in a heading, a class, the head alone, and an id."""
+    title = F.concat("title", F.lit(" long"))
+    body = F.when(F.col("id") % 4 == 0, F.concat(F.lit("<h1>abc</h1><p class='x title'>"), title, F.lit("</p>"))).when(F.col("id") % 4 == 1, F.concat(F.lit("<h1>"), title, F.lit("<br></h1><p>more</p>"))).when(F.col("id") % 4 == 2, "").otherwise(F.concat(F.lit("<i id='p_title'>"), title, F.lit("</i>")))
+    html = F.concat(F.lit("<html><head><title>The page_site</title></head><body>"), body, F.lit("<p>year 2021</p></body>"))
+    p = entries(spark, sf_dir).select(F.col("id").alias("page_id"), F.when(F.col("id") % 4 == 3, "http://x/1999/a").otherwise("http://x/").alias("url"), html.alias("html"))
+    return I.page_texts(p).select("page_id", "title", "year")
+
+
 @query("html_texts")
 def html_texts(spark, sf_dir):
     return I.page_texts(table(spark, sf_dir, "pages"))

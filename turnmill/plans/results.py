@@ -36,6 +36,20 @@ def highlight_resonance(spark, sf_dir):
     return R.highlighted(t, "turn_text", "公园", "markers").select("id", "html")
 
 
+@query("highlight_terms", f"WITH {turns_sql(True)} SELECT id, replace(replace(turn_text, '公园', '<span class=\"segment-hit-word\">公园</span>'), '不好', '<span class=\"segment-hit-word\">不好</span>') AS html FROM turns")
+def highlight_terms(spark, sf_dir):
+    terms = F.array(F.lit("公"), F.lit("公园"), F.lit(""), F.lit("不好"))
+    return R.with_terms(turns(spark, sf_dir, True), "turn_text", terms).select("id", "html")
+
+
+@query("interview_context", f"WITH {turns_sql(True)}, l AS (SELECT conversation_key, turn_index, speaker_label || '：' || turn_text AS line, strpos(turn_text, '公园') > 0 AS found FROM turns), n AS (SELECT *, coalesce(lag(line) OVER w, '') AS before, coalesce(lead(line) OVER w, '') AS after FROM l WINDOW w AS (PARTITION BY conversation_key ORDER BY turn_index)), f AS (SELECT *, row_number() OVER (PARTITION BY conversation_key ORDER BY turn_index) AS k FROM n WHERE found) SELECT conversation_key, before, line AS hit, after FROM f WHERE k = 1")
+def interview_context(spark, sf_dir):
+    """Interviews with the keyword: the turn that holds it first, between its neighbours."""
+    t = turns(spark, sf_dir, True).groupBy("conversation_key").agg(F.sort_array(F.collect_list(F.struct("turn_index", F.concat("speaker_label", F.lit("："), "turn_text").alias("line")))).alias("x"))
+    pages = t.select("conversation_key", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("content")).where(F.col("content").contains("公园"))
+    return R.with_context(pages, "公园", interviews=F.lit(True)).select("conversation_key", "before", "hit", "after")
+
+
 @query("spoken_turns", f"WITH {turns_sql(True)} SELECT id, speaker_label || '：' || turn_text AS line FROM turns")
 def spoken_turns(spark, sf_dir):
     return turns(spark, sf_dir, True).select("id", R.spoken("turn_text", "speaker_label").alias("line"))

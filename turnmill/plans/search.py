@@ -191,6 +191,15 @@ def kwic(spark, sf_dir):
     return S.kwic(hits, "turn_text", "tion").select("id", "left_context", "hit", "right_context")
 
 
+@query(
+    "kwic_regex",
+    f"""WITH {turns_sql()}, m AS (SELECT id, turn_text AS t, regexp_extract(turn_text, '(?i)t[hi]on?\\.? [a-m]') AS h FROM turns), p AS (SELECT *, CASE WHEN h <> '' THEN strpos(t, h) ELSE 0 END AS place FROM m)
+SELECT id, CASE WHEN place > 0 THEN substr(t, greatest(place - 30, 1), place - greatest(place - 30, 1)) ELSE substr(t, 1, 30) END AS left_context, h AS hit, CASE WHEN place > 0 THEN substr(t, place + length(h), 30) ELSE substr(t, 31, 30) END AS right_context FROM p""".replace("\\\\", "\\"),
+)
+def kwic_regex(spark, sf_dir):
+    return S.kwic_regex(turns(spark, sf_dir), "turn_text", r"t[hi]on?\.? [a-m]").select("id", "left_context", "hit", "right_context")
+
+
 @query(
     "sequence_adjacent_candidates",
     f"""WITH {turns_sql(True)}, h AS (SELECT id FROM turns WHERE turn_text ILIKE '%{PHRASES[0][1:4]}%' ORDER BY id DESC LIMIT 300)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import utc_timestamp
 from ..operators import visits as V
 from ..operators.groups import connected
 from ..operators.tables import REQUESTS_SQL, as_requests, entries, pick, requests, turns
@@ -107,6 +108,11 @@ def local_times(spark, sf_dir):
     return requests(spark, sf_dir).select("id", V.local_epoch(text).alias("back"))
 
 
+@query("utc_timestamps", "SELECT event_id AS id, strftime(to_timestamp(floor(epoch(ts))) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') AS at FROM events")
+def utc_timestamps(spark, sf_dir):
+    return requests(spark, sf_dir).select("id", utc_timestamp(F.timestamp_seconds("epoch")).alias("at"))
+
+
 @query("block_state", f"WITH {REQUESTS_SQL}, e AS (SELECT ip, arg_max(CASE WHEN blocked = 1 THEN 'block' ELSE 'unblock' END, (epoch, id)) AS a FROM requests GROUP BY ip) SELECT ip AS ip_address FROM e WHERE a = 'block'")
 def block_state(spark, sf_dir):
     r = requests(spark, sf_dir)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import REQUIRED
+from ..operators.results import uploadable
 from ..operators.tables import ENTRIES, conform
 
 BOM = "﻿"
@@ -84,6 +85,17 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     return decoded(spark.read.format("binaryFile").load(path))
 
 
+def list_objects(spark: SparkSession, path: str, allowed: tuple[str, ...], most: int = 5 << 20) -> DataFrame:
+    """path, length and accepted (by extension and size) of stored files; their contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return found.withColumn("accepted", uploadable(F.col("path"), allowed) & (F.col("length") <= most))
+
+
+def backup(df: DataFrame, path: str) -> None:
+    """A copy of a table, unless there is one."""
+    df.write.mode("ignore").parquet(path)
+
+
 def safe_name(name: str | None, extension: str) -> str:
     """A name of plain characters without folders, with the extension."""
     parts = re.sub(r"[^A-Za-z0-9_.-]+", "_", re.split(r"[/\\\\]", name or "")[-1]).strip("._")
