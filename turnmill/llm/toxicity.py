@@ -27,7 +27,7 @@ class Settings:
     #: The bounds of the training sample: so many labelled rows of each class, those of least hash, and of all these, in the order
     #: of their hashes, whole texts of so many bytes together.
     rows_each: int = 2000
-    sample_bytes: int = 32 << 20
+    sample_bytes: int = 12 << 20
     window: int = 4
     buckets: int = 1 << 17
     dims: int = 4
@@ -36,7 +36,7 @@ class Settings:
     rate: float = 0.3
     decay: float = 2e-6
     #: Logits are calibrated on parts of the sample, so many, each by a model that has not seen it.
-    calibrate: int = 4
+    calibrate: int = 3
     #: A subword that fewer of the sample's documents have says nothing: it would only learn these by heart.
     least_documents: int = 6
     seed: int = 7
@@ -297,22 +297,20 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     sample = Scratch(spark, "toxicity").table("sample", sample.select("text", "toxic", "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(texts_of(b), b.column("toxic").to_numpy(zero_copy_only=False), b.column("part")) for b in batches if b.num_rows]
-        if got:
-            texts, labels, part = pa.concat_arrays([g[0] for g in got]), np.concatenate([g[1] for g in got]), got[0][2][0].as_py()
-            model, z, y = learn_part(texts, labels, settings, part)
+        got: dict[int, list] = {}
+        for b in batches:
+            for part in set(b.column("part").to_pylist()):
+                own = b.filter(pc.equal(b.column("part"), part))
+                got.setdefault(part, []).append((texts_of(own), own.column("toxic").to_numpy(zero_copy_only=False)))
+        for part, rows in got.items():
+            model, z, y = learn_part(pa.concat_arrays([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), settings, part)
             share, rest = model.dump() if part == settings.calibrate else (None, None)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([share], pa.binary()), pa.array([rest], pa.string()), pa.array([z], pa.list_(pa.float64())), pa.array([y], pa.list_(pa.float64()))], names=["part", "share", "rest", "z", "y"])
 
-    # the range of parts has a partition for each; rows come in an order of their own, so that a repeated run trains the same models
-    made: list = []
-    for part in range(parts):
-        one = sample.withColumn("part", F.lit(part)).coalesce(1).sortWithinPartitions("h").select("text", "toxic", "part")
-        made.append(one.mapInArrow(run, "part int, share binary, rest string, z array<double>, y array<double>"))
-    both = made[0]
-    for m in made[1:]:
-        both = both.union(m)
-    found = sorted(both.collect(), key=lambda r: r["part"])  # a model and as many logits as the sample has rows
+    # a partition for each part; rows come in an order of their own, so that a repeated run trains the same models
+    each = sample.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(settings.calibrate)))).repartitionByRange(parts, "part").sortWithinPartitions("part", "h", "text")
+    found = each.select("text", "toxic", "part").mapInArrow(run, "part int, share binary, rest string, z array<double>, y array<double>").collect()
+    found.sort(key=lambda r: r["part"])  # a model and as many logits as the sample has rows
     if not found:  # no labelled row at all
         return train(pa.array([], pa.large_string()), np.zeros(0), settings)
     z, y = (np.array([x for r in found[:-1] for x in r[k]]) for k in ("z", "y"))
