@@ -126,12 +126,12 @@ def test_near_duplicates_are_confirmed_exactly(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == exact_groups(texts)
 
 
-@pytest.mark.parametrize("limit", [1, 3, 10])
-def test_hot_shards_lose_no_near_duplicate(spark, limit):
+@pytest.mark.parametrize("limit,few", [(1, 32), (3, 1), (10, 4), (2048, 1), (2048, 32)])
+def test_hot_shards_lose_no_near_duplicate(spark, limit, few):
     texts = edited_texts(2, 40)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     scratch = Scratch(spark, "t")
-    keys, linked = simhash.similar_texts(df, scratch, 5, 0.8, limit)
+    keys, linked = simhash.similar_texts(df, scratch, 5, 0.8, limit, few)
     of, ids = {r.node: r.root for r in linked.collect()}, {r.doc_id: r.tkey for r in keys.collect()}
     first: dict = {}
     for d in sorted(ids):

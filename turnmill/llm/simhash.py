@@ -223,6 +223,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, limit: int
     return prints.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Shingles of the texts of a block, which one task holds twice at a time.
+BLOCK_LOAD = 1 << 21
+#: Texts of a shard up to which its candidates are written as pairs.
+FEW = 32
 #: 64-bit tables of the wide fingerprint; bands of least hashes, and hashes of a band.
 TABLES, BANDS, ROWS = 8, 16, 4
 
@@ -287,44 +291,103 @@ def similarity_radius(similarity: float, bits: int, slack: float = 3.3) -> int:
     return int(bits * (p + slack * np.sqrt(p * (1 - p) / bits)))
 
 
+def _shards(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[list]]:
+    """The rows of each shard, whose rows lie side by side, and after each batch an empty list: time to give out what was found."""
+    shard, members = None, []
+    for batch in batches:
+        for name, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", *columns))):
+            if name != shard:
+                if members:
+                    yield members
+                shard, members = name, []
+            members.append(row)
+        yield []
+    if members:
+        yield members
+
+
+class Prints:
+    """A BK-tree of wide fingerprints, and who has each."""
+
+    def __init__(self):
+        self.tree, self.at = BKTree(), {}
+
+    def add(self, value: int, who: tuple) -> None:
+        if value not in self.at:
+            self.tree.add(value)
+        self.at.setdefault(value, []).append(who)
+
+    def near(self, value: int, radius: int) -> list[tuple[int, list[tuple]]]:
+        """(differing bits, who), the nearest first."""
+        return sorted((((value ^ v).bit_count(), self.at[v]) for v in self.tree.within(value, radius)), key=lambda x: x[0])
+
+
 def candidates(members: DataFrame, radius: int, similarity: float, every: bool) -> DataFrame:
     """(a, b), a < b, of the nodes that a BK-tree finds within the radius in a shard, less those whose sizes rule the similarity
     out. Of members (shard, node, size, print, root): with `every`, all pairs of different roots; else of each node the nearest
-    one before it."""
+    other one."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, members, found = None, [], []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            tree, at = BKTree(), {}
-            for node, size, raw, root in members if len(members) > 1 else ():
-                value = int.from_bytes(raw, "little")
-                near = [((value ^ v).bit_count(), x) for v in tree.within(value, radius) for x, m, r in at[v] if min(m, size) >= similarity * max(m, size) and not (every and r == root)]
-                if near:
-                    found.extend((min(x, node), max(x, node)) for _, x in (near if every else [min(near)]))
-                if value not in at:
-                    tree.add(value)
-                at.setdefault(value, []).append((node, size, root))
-                if len(found) > 50_000:
-                    yield pairs()
+        found: list[tuple[int, int]] = []
 
         def pairs() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
             found.clear()
             return out
 
-        for batch in batches:
-            for name, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "node", "size", "print", "root"))):
-                if name != shard:
-                    yield from close()
-                    shard, members = name, []
-                members.append(row)
-        yield from close()
+        for rows in _shards(batches, "node", "size", "print", "root"):
+            prints = Prints()
+            rows = [(node, size, int.from_bytes(raw, "little"), root) for node, size, raw, root in rows] if len(rows) > 1 else []
+            for node, size, value, root in rows:
+                prints.add(value, (node, size, root))
+            for node, size, value, root in rows:
+                fit = lambda m, size=size: min(m, size) >= similarity * max(m, size)
+                near = (x for _, who in prints.near(value, radius) for x, m, r in who if x != node and fit(m) and not (every and (r == root or x > node)))
+                found.extend((min(x, node), max(x, node)) for x in (near if every else [next(near, None)]) if x is not None)
+                if len(found) > 50_000:
+                    yield pairs()
+            if not rows and found:
+                yield pairs()
         yield pairs()
 
     return members.select("shard", "node", "size", "print", "root").repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(search, "a long, b long").distinct()
 
 
+def links_by_sets(members: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b), a > b: a spanning forest, for each shard, of the links between nodes of different roots. Members (shard, node, size,
+    print, root, hashes) bring their whole sets of shingles, so that what a BK-tree finds is confirmed where it is found and the
+    pairs of a large group are never written down."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _shards(batches, "node", "size", "print", "root", "hashes"):
+            if len(rows) < 2:
+                continue
+            sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            _, which = np.unique(np.concatenate(sets), return_inverse=True)
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            full = np.flatnonzero(sizes)
+            mark = np.zeros(int(which.max()) + 1 if len(which) else 1, np.int32)
+            prints, forest, found = Prints(), Forest(), []
+            for k, (_, size, raw, root, _) in enumerate(rows):
+                value = int.from_bytes(raw, "little")
+                near = np.array([j for _, who in prints.near(value, radius) for j, m, r in who if min(m, size) >= similarity * max(m, size) and forest.root(r) != forest.root(root)], np.int64)
+                if len(near):
+                    own = which[at[k] : at[k + 1]]
+                    mark[own] = 1
+                    common = np.zeros(len(rows), np.int64)
+                    common[full] = np.add.reduceat(mark[which], at[full]) if len(full) else 0
+                    mark[own] = 0
+                    for j in near[common[near] >= similarity * (sizes[near] + sizes[k] - common[near]) - 1e-9].tolist():
+                        if forest.root(rows[j][3]) != forest.root(root):
+                            forest.join(rows[j][3], root)
+                            found.append((rows[k][0], rows[j][0]))
+                prints.add(value, (k, size, root))
+            yield pa.RecordBatch.from_arrays([pa.array([f(p) for p in found], pa.int64()) for f in (max, min)], names=["a", "b"])
+
+    return members.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(search, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, keyed: DataFrame, scratch: Scratch, name: str, words: int, similarity: float) -> DataFrame:
     """The pairs of (a, b) whose texts have this Jaccard similarity or more, by their whole sets of shingles. Two texts without
     words are alike. keyed has tkey and text."""
@@ -344,18 +407,20 @@ def confirmed(pairs: DataFrame, keyed: DataFrame, scratch: Scratch, name: str, w
 
 def deal_hot(rows: DataFrame, limit: int) -> DataFrame:
     """The rows (shard, node, root, and others) of shards with more than one root, `shard` naming a part of the shard. Any two rows
-    of a shard with different roots meet in a part. A shard of over `limit` rows is cut into blocks of about as many, and there is
-    a part for each two blocks, but none for two of its commonest root: of these each meets only the others."""
-    counts = rows.groupBy("shard", "root").agg(F.count(F.lit(1)).alias("c"))
-    open_ = counts.groupBy("shard").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "c").alias("major"), F.max("c").alias("same"), F.sum("c").alias("n")).where("roots > 1")
-    few, many = F.ceil((F.col("n") - F.col("same")) / limit), F.ceil(F.col("same") / limit)
+    of a shard with different roots meet in a part. A shard of over `limit` rows, or BLOCK_LOAD of their sizes, is cut into blocks of
+    about as many, and there is a part for each two blocks, but none for two of its commonest root: of these each meets only the others."""
+    load = F.sum("size") if "size" in rows.columns else F.lit(0)
+    counts = rows.groupBy("shard", "root").agg(F.count(F.lit(1)).alias("c"), load.alias("load"))
+    open_ = counts.groupBy("shard").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "c").alias("major"), F.max("c").alias("same"), F.sum("c").alias("n"), F.max_by("load", "c").alias("same_load"), F.sum("load").alias("load")).where("roots > 1")
+    blocks = lambda n, load: F.ceil(F.greatest(n / limit, load / BLOCK_LOAD))
+    few, many = blocks(F.col("n") - F.col("same"), F.col("load") - F.col("same_load")), blocks(F.col("same"), F.col("same_load"))
     x = rows.join(open_.withColumns({"few": few, "many": many}), "shard").withColumn("other", F.col("root") != F.col("major"))
     x = x.withColumn("block", F.pmod(F.xxhash64("shard", "node"), F.when(F.col("other"), F.col("few")).otherwise(F.col("many"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     part = lambda kind, i, j: F.concat_ws(".", "shard", F.lit(kind), i, j)
     among = F.transform(upto("few"), lambda k: part("u", F.least("block", k), F.greatest("block", k)))
     across = F.transform(upto("many"), lambda k: part("m", F.col("block"), k))
-    parts = F.when(F.col("n") <= limit, F.array(F.col("shard").cast("string"))).when(F.col("other"), F.concat(among, across)).otherwise(F.transform(upto("few"), lambda k: part("m", k, F.col("block"))))
+    parts = F.when((F.col("n") <= limit) & (F.col("load") <= BLOCK_LOAD), F.array(F.col("shard").cast("string"))).when(F.col("other"), F.concat(among, across)).otherwise(F.transform(upto("few"), lambda k: part("m", k, F.col("block"))))
     return x.withColumn("part", F.explode(parts)).select(F.col("part").alias("shard"), *[c for c in rows.columns if c != "shard"])
 
 
@@ -370,13 +435,14 @@ def told_apart(prints: DataFrame, keyed: DataFrame, scratch: Scratch) -> tuple[D
     return scratch.table("told_apart", again(prints), "snappy"), again(keyed)
 
 
-def similar_texts(docs: DataFrame, scratch: Scratch, words: int, similarity: float, limit: int = SHARD_LIMIT) -> tuple[DataFrame, DataFrame]:
+def similar_texts(docs: DataFrame, scratch: Scratch, words: int, similarity: float, limit: int = SHARD_LIMIT, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tkey) of each row of (doc_id, text), tkey being the text's hash, and (node, root) of all tkeys linked.
 
     Texts meet in a shard if they share a band of least hashes; a BK-tree there finds those whose wide fingerprints differ by no
     more than the similarity lets expect, with room. Candidates are confirmed on the whole sets of shingles: first each text's
     nearest one, then all between texts that this has not joined yet, since links inside a group change nothing. The first step
-    cuts a shard of over `limit` texts into blocks; in the second all its pairs that are not joined meet."""
+    cuts a shard of over `limit` texts into blocks; in the second all its pairs that are not joined meet, in shards of over `few`
+    texts without leaving their task."""
     ship(docs.sparkSession)
     radius = similarity_radius(similarity, TABLES * 64)
 
@@ -410,10 +476,23 @@ def similar_texts(docs: DataFrame, scratch: Scratch, words: int, similarity: flo
     block = F.concat_ws(".", "shard", F.pmod(F.xxhash64("shard", "node"), F.ceil(F.col("n") / limit))).alias("shard")
     first = scratch.table("first", candidates(members.select(block, "node", "size", "print", none), radius, similarity, False))
     joined = components(confirmed(first, keyed, scratch, "links", words, similarity), Scratch(docs.sparkSession, "neardup_first"))
-    rooted = members.join(joined.withColumnRenamed("node", "tkey"), F.col("node") == F.col("tkey"), "left").select("shard", "node", "size", "print", F.coalesce("root", "node").alias("root"))
-    rest = scratch.table("rest", candidates(deal_hot(rooted, limit), radius, similarity, True).join(first, ["a", "b"], "left_anti"))
+    rooted = members.join(joined.withColumnRenamed("node", "tkey"), F.col("node") == F.col("tkey"), "left").select("shard", "node", "size", "print", "n", F.coalesce("root", "node").alias("root"))
+    # a shard with one group is done. In a small one a node has few others, and pairs are confirmed as before; ...
+    rest = scratch.table("rest", candidates(rooted.where(F.col("n") <= few).drop("n"), radius, similarity, True).join(first, ["a", "b"], "left_anti"))
     more = confirmed(rest, keyed, scratch, "more", words, similarity)
-    edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+    # ... in a large one they are confirmed in place, by the texts' sets of shingles
+    hot = scratch.table("hot", deal_hot(rooted.where(F.col("n") > few).drop("n"), limit), "snappy")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=1 << 20):
+            made = [x.tobytes() for x in shingle_sets(texts_of(batch), words)]
+            yield pa.RecordBatch.from_arrays([batch.column("tkey"), pa.array(made, pa.binary())], names=["node", "hashes"])
+
+    if not hot.isEmpty():
+        texts = keyed.select("tkey", "text").join(hot.select(F.col("node").alias("tkey")).distinct(), "tkey", "left_semi").dropDuplicates(["tkey"])
+        known = scratch.table("sets", texts.mapInArrow(sets, "node long, hashes binary"), "snappy")
+        more = more.unionByName(scratch.table("inside", links_by_sets(hot.join(known, "node"), radius, similarity)))
+    edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b"))
     return prints.select("doc_id", "tkey", "other"), components(edges, scratch)
 
 
