@@ -8,6 +8,7 @@ the corpus are struck out by a bitmap of fixed size; what it lets through too mu
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,7 +132,7 @@ def duplicated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW,
             yield pa.RecordBatch.from_arrays(list(values), names=["doc_id", "tkey", "first", "pkey", "h", "n", "times", "payload"])
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by bucket, equal payloads side by side. A payload's windows with a count above one make its mask;
+        """Rows come by bucket, equal payloads side by side. The bucket's windows are sorted; those that stand there twice make the masks;
         payloads of an overfull bucket go out whole."""
         bucket, held, over, out = None, [], False, []
 
@@ -139,15 +140,14 @@ def duplicated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW,
             if over:
                 out.extend((_digest(p), None, p, n, t) for p, n, t in held)
                 return
-            times: dict[bytes, int] = {}
-            each = [_windows(p, n, window) for p, n, _ in held]
-            for (_, _, t), own in zip(held, each):
-                for x in own:
-                    times[x] = times.get(x, 0) + t
-            for (p, _, _), own in zip(held, each):
-                mask = sum(1 << i for i, x in enumerate(own) if times[x] > 1)
-                if mask:
-                    out.append((_digest(p), mask, None, None, None))
+            masks = [0] * len(held)
+            ordered = sorted((x, k, i) for k, (p, n, _) in enumerate(held) for i, x in enumerate(_windows(p, n, window)))
+            for _, run in itertools.groupby(ordered, key=lambda x: x[0]):
+                places = [x[1:] for x in run]
+                if len(places) > 1 or held[places[0][0]][2] > 1:
+                    for k, i in places:
+                        masks[k] |= 1 << i
+            out.extend((_digest(held[k][0]), mask, None, None, None) for k, mask in enumerate(masks) if mask)
 
         def rows() -> pa.RecordBatch:
             kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
