@@ -82,7 +82,7 @@ def measures(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     df = docs.join(known, "lang", "left").select("doc_id", "lang", "text", F.coalesce("ref_words", F.array().cast("array<string>")).alias("ref_words"), words(F.col("text")).alias("w"), lines.alias("lines"), F.regexp_replace("text", BULK, "").alias("bare"))
     n = F.size("w")
     df = df.select(
-        "doc_id", "lang", "text", "bare", "ref_words",
+        "doc_id", "lang", "text", "bare", "ref_words", "w",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("bare") - F.length(F.translate("bare", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -90,10 +90,11 @@ def measures(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.filter(F.transform(F.filter("w", lambda x: F.length(x) <= limits.common_length), lambda x: F.array_position("ref_words", F.lower(x))), lambda k: k > 0).alias("hits"),
         F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<long>")).alias("windows"),
     )
-    # windows that occur twice stand side by side in the order of (hash, place); most documents have none and sort nothing
+    # windows that occur twice stand side by side in the order of (hash, words, place); most documents have none and sort nothing
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
-    df = df.withColumn("ordered", F.when(twice, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda x, j: F.coalesce(F.get("ordered", j)["h"] == x["h"], F.lit(False))
+    window = lambda h, i: F.struct(h.alias("h"), F.get("w", i).alias("a"), F.get("w", i + 1).alias("b"), F.get("w", i + 2).alias("c"))
+    df = df.withColumn("ordered", F.when(twice, F.sort_array(F.transform("windows", lambda h, i: F.struct(window(h, i).alias("k"), i.alias("i"))))))
+    same = lambda x, j: F.coalesce(F.get("ordered", j)["k"] == x["k"], F.lit(False))
     df = df.withColumn("places", F.when(F.col("ordered").isNotNull(), F.sort_array(F.transform(F.filter("ordered", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))))
     # each place covers three words, fewer where the next place follows closely
     covered = F.aggregate(F.transform("places", lambda p, i: F.least(F.coalesce(F.get("places", i + 1) - p, F.lit(3)), F.lit(3))), F.lit(0), lambda s, x: s + x)
