@@ -114,3 +114,21 @@ def test_token_files(odd_docs, byte_bpe, no_docs):
     assert sorted((r.ids_crc32, r.n_tokens) for r in got) == want
     assert got[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in pairwise(got))
     assert rans.encode_and_read_back(no_docs, byte_bpe, 0).count() == 0
+
+
+def test_ids_that_flat_files_cannot_hold(spark, byte_bpe):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for end in (library_ids(byte_bpe, "a b", 0)[0], 70_000):
+        with pytest.raises(Exception) as caught:
+            token_counts.count_tokens(docs, byte_bpe, end).collect()
+        assert "is also an id of a text" in str(caught.value) or "does not fit" in str(caught.value)
+
+
+def test_files_of_rows_without_ids(spark, byte_bpe):
+    docs = spark.createDataFrame([(None, f"text {k}") for k in range(200)] + [(5, "a"), (5, "b")], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one file
+    sections = rans.write_sections(docs, byte_bpe, 0, rans.Scratch(spark, "t"), section_ids=50)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sections.select("file_no").distinct().count() > 1
+    got = rans.read_sections(sections).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 200 + [5, 5] and got[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in pairwise(got))

@@ -170,7 +170,9 @@ def write_sections(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratc
         if held:
             yield _section(file, section, held, end_id)
 
-    ordered = pick(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # the hash keeps rows of one doc_id, or of none, from meeting in one partition
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = pick(docs, "doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     return scratch.table("sections", ordered.mapInArrow(write, SECTIONS), "uncompressed")
 
 

@@ -24,12 +24,19 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, b
     """The flat files of (doc_id, text): rows with ids are blocks (file_no, block_no, ids), all but a file's last of
     block_ids ids of the given dtype; rows with doc_ids list the documents of a file in its order, from number first_doc on."""
 
+    if end_id > np.iinfo(dtype).max:
+        raise ValueError(f"the end id {end_id} does not fit in {dtype}")
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, file, block, seen = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         rest: list[np.ndarray] = []
         held = 0
         for batch in slices(batches, most=WORD_BYTES):
             ids, _ = code.encode(texts_of(batch), end_id)
+            if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
+                raise ValueError(f"an id of over {np.iinfo(dtype).max} does not fit in {dtype}")
+            if np.count_nonzero(ids == end_id) != batch.num_rows:
+                raise ValueError(f"the end id {end_id} is also an id of a text")
             yield _flat([(file, None, None, seen, batch.column("doc_id").to_pylist())])
             seen += batch.num_rows
             rest.append(ids)
@@ -83,7 +90,8 @@ def scan_blocks(flat: DataFrame, end_id: int, block_ids: int = BLOCK_IDS, dtype:
 def count_tokens(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
     """doc_id, file_no, start, n_tokens (with the end id) for each row of (doc_id, text), by writing flat token files and
     scanning them. A null or empty text has one token, its end; null doc_ids and repeated rows are kept as they are; an
-    empty table gives no rows; other columns are ignored. end_id must not be an id of ordinary text."""
+    empty table gives no rows; other columns are ignored. An end_id that a text has too, or an id that the files' 16 bits do not
+    hold, is a ValueError."""
     flat = write_flat(docs, tokenizer, end_id, Scratch(docs.sparkSession, "flat"), block_ids)
     names = flat.where("doc_ids IS NOT NULL").select("file_no", "first_doc", F.posexplode("doc_ids").alias("k", "doc_id")).select("file_no", (F.col("first_doc") + F.col("k")).alias("doc_no"), "doc_id")
     return scan_blocks(flat, end_id, block_ids).join(names, ["file_no", "doc_no"]).select("doc_id", "file_no", "start", "n_tokens")
