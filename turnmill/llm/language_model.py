@@ -45,8 +45,8 @@ class Settings:
     #: Training tokens of a shard, about; one of over twice as many is cut.
     shard_tokens: int = 1_200_000
     #: Passes over the first shard, by which the common first model is made, and their rate.
-    epochs: int = 2
-    rate: float = 0.02
+    epochs: int = 3
+    rate: float = 0.03
     #: Side by side and steps of one update. A small shard has fewer lanes, so that it has about so many updates.
     lanes: int = 512
     span: int = 16
