@@ -24,8 +24,8 @@ from .common import Scratch, flat_ranges, pick, ship, slices, split_words, texts
 WINDOW, MER = 35, 8
 #: Bits of the bitmap of repeated minimisers: 16 MB, whatever the corpus.
 BITMAP_BITS = 27
-#: Distinct super-k-mers of one bucket that a task holds; those of a larger bucket are counted window by window.
-BUCKET_LIMIT = 20_000
+#: Super-k-mers of one bucket that one task counts; those of a larger bucket are counted window by window.
+BUCKET_LIMIT = 2048
 PLACE = np.uint64(28)
 
 
@@ -132,14 +132,10 @@ def duplicated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW,
             yield pa.RecordBatch.from_arrays(list(values), names=["doc_id", "tkey", "first", "pkey", "h", "n", "times", "payload"])
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by bucket, equal payloads side by side. The bucket's windows are sorted; those that stand there twice make the masks;
-        payloads of an overfull bucket go out whole."""
-        bucket, held, over, out = None, [], False, []
+        """Rows come by bucket, equal payloads side by side. The bucket's windows are sorted; those that stand there twice make the masks."""
+        bucket, held, out = None, [], []
 
         def close() -> None:
-            if over:
-                out.extend((_digest(p), None, p, n, t) for p, n, t in held)
-                return
             masks = [0] * len(held)
             ordered = sorted((x, k, i) for k, (p, n, _) in enumerate(held) for i, x in enumerate(_windows(p, n, window)))
             for _, run in itertools.groupby(ordered, key=lambda x: x[0]):
@@ -147,11 +143,10 @@ def duplicated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW,
                 if len(places) > 1 or held[places[0][0]][2] > 1:
                     for k, i in places:
                         masks[k] |= 1 << i
-            out.extend((_digest(held[k][0]), mask, None, None, None) for k, mask in enumerate(masks) if mask)
+            out.extend((_digest(held[k][0]), mask) for k, mask in enumerate(masks) if mask)
 
         def rows() -> pa.RecordBatch:
-            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            made = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["pkey", "mask", "payload", "n", "times"])
+            made = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 2, (pa.binary(), pa.int64()))], names=["pkey", "mask"])
             out.clear()
             return made
 
@@ -159,14 +154,10 @@ def duplicated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW,
             for h, p, n, t in zip(*(batch.column(c).to_pylist() for c in ("h", "payload", "n", "times"))):
                 if h != bucket:
                     close()
-                    bucket, held, over = h, [], False
+                    bucket, held = h, []
                 if held and held[-1][0] == p:
                     held[-1][2] += t
                     continue
-                if len(held) >= limit:
-                    over = True
-                    close()
-                    held = []
                 held.append([p, n, t])
             yield rows()
         close()
@@ -174,18 +165,19 @@ def duplicated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW,
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, p, n, t in zip(*(batch.column(c).to_pylist() for c in ("pkey", "payload", "n", "times"))):
-                own = _windows(p, n, window)
+            for p, n, t in zip(*(batch.column(c).to_pylist() for c in ("payload", "n", "times"))):
+                own, key = _windows(p, n, window), _digest(p)
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).digest() for x in own], pa.binary()), pa.array([key] * n, pa.binary()), pa.array(range(n), pa.int64()), pa.array([t] * n, pa.int64())], names=["digest", "pkey", "i", "times"])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
     pieces = scratch.table("pieces", keyed.mapInArrow(cut, "doc_id long, tkey long, first long, pkey binary, h long, n long, times long, payload binary"))
     packed = pieces.where("payload IS NOT NULL").select("h", "payload", "n", "times")
-    counted = scratch.table("verdicts", packed.repartition("h").sortWithinPartitions("h", "payload").mapInArrow(verdicts, "pkey binary, mask long, payload binary, n long, times long"))
-    masks = counted.where("mask IS NOT NULL").select("pkey", "mask")
-    single = counted.where("payload IS NOT NULL").mapInArrow(apart, "digest binary, pkey binary, i long, times long")
-    if not counted.where("payload IS NOT NULL").isEmpty():
-        single = scratch.table("single", single)
+    # a bucket of many strings is not brought together: its windows are counted one by one, dealt by their digests
+    hot = scratch.table("hot", packed.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > limit).select("h"))
+    cool = packed.join(hot, "h", "left_anti")
+    masks = scratch.table("verdicts", cool.repartition("h").sortWithinPartitions("h", "payload").mapInArrow(verdicts, "pkey binary, mask long"))
+    if not hot.isEmpty():
+        single = scratch.table("single", packed.join(hot, "h", "left_semi").mapInArrow(apart, "digest binary, pkey binary, i long, times long"))
         twice = single.groupBy("digest").agg(F.sum("times").alias("n")).where("n > 1").select("digest")
         masks = masks.unionByName(single.join(twice, "digest", "left_semi").select("pkey", "i").distinct().groupBy("pkey").agg(F.sum(F.expr("shiftleft(1L, int(i))")).alias("mask")))
     places = pieces.select("doc_id", "tkey", "first", "pkey")
