@@ -10,6 +10,7 @@ refine a common first model in parallel and their parameters are averaged by tok
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,12 +56,11 @@ class Settings:
     score_lanes: int = 1024
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7) for w in words), np.uint64, len(words))
-
-
 def ending(words: list[str], n: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % n for w in words), np.int64, len(words))
+    """The class of each word by its last two characters, of which there are few different ones."""
+    last = [w[-2:] for w in words]
+    of = {x: zlib.crc32(x.encode("utf-8", "surrogatepass")) % n for x in set(last)}
+    return np.fromiter(map(of.__getitem__, last), np.int64, len(words))
 
 
 class Vocabulary:
@@ -81,7 +80,7 @@ class Vocabulary:
         self.class_of = np.concatenate([self.word_class, self.n_classes + np.arange(s.endings)]).astype(np.int16)
 
     def ids(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
         other = np.flatnonzero(at < 0)
         at[other] = len(self.words) + ending([words[i] for i in other], self.s.endings)
         return at
@@ -329,7 +328,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts, lower-cased, with the end of each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=8 << 20):
             words, which, _ = tokens_of(texts_of(batch))
             n = np.bincount(which, minlength=len(words))
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n)], names=["word", "n"])
@@ -361,7 +360,7 @@ def learner(words: list[str], counts: np.ndarray, s: Settings, first: np.ndarray
                 total, weight = total + net.all.astype(np.float64) * held, weight + held
             docs, held = [], 0
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=8 << 20):
             found, which, at = tokens_of(texts_of(batch))
             ids = own.ids(found)[which].astype(np.int32)
             for k, name in enumerate(batch.column("shard").to_pylist()):
@@ -442,27 +441,23 @@ def score_documents(docs: DataFrame, s: Settings = Settings(), modulus: int = 7,
     counts = np.concatenate([np.array([r["n"] for r in top], np.float64), tokens])
     parameters = train(training, v, counts, n_train, scratch)
     arrow = head.toArrow().combine_chunks()
-    head_words = arrow.column("word").combine_chunks().cast(pa.large_string())
-    hashed = word_hashes(head_words.to_pylist())
-    order = np.argsort(hashed, kind="stable")
-    sent = spark.sparkContext.broadcast((v.words, counts, parameters, hashed[order], head_words.take(pa.array(order)), arrow.column("n").to_numpy()[order].astype(np.int64), tokens, types))
+    head_words, head_counts = arrow.column("word").combine_chunks(), arrow.column("n").to_numpy().astype(np.int64)
+    sent = spark.sparkContext.broadcast((v.words, counts, parameters, head_words, head_counts, tokens, types))
     least = n_train + n_types + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each document, and one for each of its words outside the head with the times it occurs."""
-        words, counts, parameters, keys, known_words, values, tokens, types = sent.value
+        words, counts, parameters, head_words, head_counts, tokens, types = sent.value
         v = Vocabulary(words, counts[: len(words)].tolist(), s)
         net = Network(v, parameters=parameters)
         lg = np.log10
         share = np.concatenate([np.zeros(len(words)), lg(tokens + types + 1.0)])
-        for batch in slices(batches, most=8 << 20):  # the more texts, the more lanes beside the longest one
+        for batch in slices(batches, most=12 << 20):  # the more texts, the more lanes beside the longest one
             found, which, at = tokens_of(texts_of(batch))
             ids = v.ids(found).astype(np.int32)
-            key = word_hashes(found)
-            near = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            # the hash finds the place, the word itself decides; a word that another one hides by its hash is joined
-            known = pc.equal(known_words.take(pa.array(near)), pa.array(found, pa.large_string())).to_numpy(zero_copy_only=False) if len(keys) else np.zeros(len(key), bool)
-            count = np.where(known, values[near] if len(keys) else 0, 0)
+            near = pc.fill_null(pc.index_in(pa.array(found, head_words.type), value_set=head_words), -1).to_numpy(zero_copy_only=False)
+            known = near >= 0
+            count = np.where(known, head_counts[near] if len(head_counts) else 0, 0)
             n = np.diff(at)
             owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
             log_count = lg(count + 1.0)
