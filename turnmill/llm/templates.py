@@ -232,8 +232,9 @@ def drop_templates(docs: DataFrame, s: Settings = Settings(), counts: tuple[str,
     drops = hit.groupBy("d", "t").agg(F.collect_set(F.col("place").cast("int")).alias("places"))
     # the row travels as one struct, so no column of its own can clash
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tkey"))
-    both = whole.join(drops, F.expr("doc <=> d AND tkey = t"), "left").select("row", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
-    parts = F.split("row.text", "\n", -1)
+    # the lines are a column, since a function of each place would split the text anew for each
+    both = whole.join(drops, F.expr("doc <=> d AND tkey = t"), "left").select("row", F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.split("row.text", "\n", -1).alias("parts"))
+    parts = F.col("parts")
     # the places that stay, by a hash set, then their lines
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "places")
     left = F.when(F.size("places") == 0, F.col("row.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
