@@ -170,9 +170,9 @@ def write_sections(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratc
         if held:
             yield _section(file, section, held, end_id)
 
-    # the hash keeps rows of one doc_id, or of none, from meeting in one partition
-    order = ("doc_id", F.xxhash64("text"))
-    ordered = pick(docs, "doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    # the hash, taken of rows without a doc_id alone, keeps these from meeting in one partition
+    h = F.xxhash64("text")
+    ordered = pick(docs, "doc_id", "text").repartitionByRange("doc_id", F.when(F.col("doc_id").isNull(), h)).sortWithinPartitions("doc_id", h)
     return scratch.table("sections", ordered.mapInArrow(write, SECTIONS), "uncompressed")
 
 
