@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_model, packing, quality, rans, simhash, sql, substring, templates, token_counts, toxicity
+from . import copartition, decontaminate, language_model, minmax, packing, quality, rans, runs, simhash, sql, substring, templates, token_counts, toxicity
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -58,8 +58,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_co_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copartition.co_bucket(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapse_runs(table(spark, sf_dir, "documents"), take=runs.planted, texts=False)
+
+
+def op13_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_token_counts, op3_toxicity, op4_language_model, op5_substring, op6_quality, op7_templates, op8_rans, op9_decontaminate, op10_simhash)
+    found = (op1_packing, op2_token_counts, op3_toxicity, op4_language_model, op5_substring, op6_quality, op7_templates, op8_rans, op9_decontaminate, op10_simhash, op11_co_bucket, op12_runs, op13_minmax)
     return {f.__name__: f for f in found}
 
 
