@@ -1,12 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from turnmill.operators import folding
 from turnmill.operators import ingest as I
 from turnmill.operators import pairs as P
 from turnmill.operators import statistics as St
 from turnmill.operators import visits as V
 from turnmill.operators.groups import connected
 from turnmill.operators.search import SearchFilters, search_entries, search_turns
+from turnmill.shipping import Working
 from turnmill.sources import files
 
 
@@ -142,7 +144,8 @@ def test_connected_groups_match_union_find(spark):
     assert got == {x: root(x) for x in up if any(x in p and p[0] != p[1] for p in pairs)}
 
 
-def test_window_runs_equal_one_fold(spark):
+@pytest.mark.parametrize("pieces", [None, 1, 7, 40])
+def test_window_pieces_equal_one_fold(spark, pieces):
     import random
 
     from turnmill.functions import grammar, windows
@@ -151,8 +154,8 @@ def test_window_runs_equal_one_fold(spark):
     rows = []
     for d in ("甲集", "乙集"):
         at = 0
-        for k in range(80):
-            at = at + 2 if rng.random() < 0.6 else rng.randrange(400)
+        for k in range(120):
+            at = at + 2 if k < 40 or rng.random() < 0.6 else rng.randrange(400)
             text = "\n".join(f"【{'甲乙'[i % 2]}】：话{i}" for i in range(at, at + rng.randint(1, 5)))
             rows.append((d, k, f"t{k}", rng.choice(["", "", "第一章"]), f"chunk{k}", text))
     df = spark.createDataFrame(rows, "dataset_name string, row_index long, title string, chapter string, chunk_id string, content string").repartition(5)
@@ -161,10 +164,30 @@ def test_window_runs_equal_one_fold(spark):
         parsed = [(d, c, t, chunk, grammar.merge_turns(x)) for n, _, t, c, chunk, x in rows if n == d]
         kept, equal, inside = windows.merge([r for r in parsed if len(r[4]) > 1])
         want += [(d, f"{d}_{i:04d}", f"《{d}》{x.chapter + ' ' if x.chapter else ''}合并大对话 {i:04d}", len(x.turns), " | ".join(x.titles[:20]), x.merges, x.contained, equal, inside) for i, x in enumerate(kept, 1)]
-    got = I.merge_windows(df).select("dataset_name", "dialogue_id", "title", "turn_count", "source_titles", "merges", "contained", "duplicates", "inside").collect()
+    got = folding.merge_windows(df, pieces).select("dataset_name", "dialogue_id", "title", "turn_count", "source_titles", "merges", "contained", "duplicates", "inside").collect()
     assert sorted(map(tuple, got)) == sorted(want) and any(w[5] for w in want) and len(want) > 20
 
 
+def test_windows_that_share_a_short_turn_stay_apart(spark):
+    """Unrelated windows with one turn in common are dialogues of their own, and no task has more than its share of them."""
+    said = lambda k: f"【甲】：话{k}\n" + ("【乙】：嗯。" if k % 10 == 0 else f"【乙】：答{k}") + f"\n【甲】：完{k}"
+    df = spark.createDataFrame([("集", k, f"t{k}", "", f"chunk{k}", said(k)) for k in range(2000)], "dataset_name string, row_index long, title string, chapter string, chunk_id string, content string")
+    found = folding.starts(df, Working(spark, "t"), 8)
+    assert found.where("start = place").count() == 2000
+    assert found.groupBy(F.shiftright("place", 33)).count().agg(F.max("count")).first()[0] < 500
+    got = folding.merge_windows(df).select("dialogue_id", "turn_count", "merges", "duplicates", "inside").collect()
+    assert sorted(map(tuple, got)) == [(f"集_{k:04d}", 3, 0, 0, 0) for k in range(1, 2001)]
+
+
+def test_equal_and_contained_dialogues_go(spark):
+    text = lambda a, n: "\n".join(f"【{'甲乙'[i % 2]}】：话{i}" for i in range(a, a + n))
+    rows = [(0, "", "chunk1", text(0, 6)), (1, "", "chunk9", text(50, 3)), (2, "", "chunk2", text(2, 3)), (3, "", "chunk9", text(80, 2)), (4, "", "chunk9", text(50, 3)), (5, "", "chunk40", text(1, 2)), (6, "一", "chunk1", text(90, 2)), (7, "二", "chunk1", text(1, 2))]
+    df = spark.createDataFrame([("集", k, f"t{k}", c, u, x) for k, c, u, x in rows], "dataset_name string, row_index long, title string, chapter string, chunk_id string, content string")
+    for pieces in (1, 3, 8):
+        got = folding.merge_windows(df, pieces).select("source_titles", "duplicates", "inside").collect()
+        assert sorted(r.source_titles for r in got) == ["t0", "t1", "t3", "t5", "t6", "t7"] and {(r.duplicates, r.inside) for r in got} == {(1, 1)}
+
+
 def test_ids_are_stable_where_rows_are_equal_in_order(spark):
     rows = [(k % 3, f"row {k}") for k in range(60)]
     runs = [sorted((r.text, r.id) for r in I.with_ids(spark.createDataFrame(rows, "a int, text string").repartition(n), 100, "a").collect()) for n in (1, 7)]

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import shared_folder
+from ..shipping import working_folder
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -15,7 +13,7 @@ def connected(links: DataFrame) -> DataFrame:
     least neighbour of its neighbourhood as its own (large star, then small star), which halves chains; a round combines before its
     shuffles, so a node with many links does not have them in one task. Each round is a table in the shared folder."""
     spark = links.sparkSession
-    at, k, seen = f"{shared_folder(spark)}/groups-{uuid.uuid4().hex[:12]}", 0, None
+    at, k, seen = working_folder(spark, "groups"), 0, None
     star = lambda x: F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias(x)
 
     def written(df: DataFrame) -> DataFrame:

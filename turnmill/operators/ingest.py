@@ -1,18 +1,16 @@
-"""Ingestion, deduplication, back-fills, copies between stores, submissions; and merging of windows and interviews."""
+"""Ingestion, deduplication, back-fills, copies between stores, submissions; and interviews."""
 
 from __future__ import annotations
 
-import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import grammar, windows
+from ..functions import windows
 from ..functions.text import blank, clean_text, content_hash, filled, normalize_turn, parse_year, search_text, segment_hash, strip
-from ..shipping import shared_folder
+from ..shipping import Working
 from .tables import ENTRIES, SUBMISSIONS, conform
 
 REQUIRED = ("title", "content", "source")
@@ -178,9 +176,8 @@ def with_ids(rows: DataFrame, start: int, *order: str) -> DataFrame:
     spark = rows.sparkSession
     by = [*order, "tie"]
     tied = rows.withColumn("tie", F.xxhash64(*rows.columns)).repartitionByRange(*by).sortWithinPartitions(*by)
-    at = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex[:12]}"
-    tied.withColumn("place", F.monotonically_increasing_id()).write.parquet(at)  # partition in the upper bits, place in it in the lower 33
-    placed = spark.read.parquet(at).withColumns({"part": F.shiftright("place", 33), "k": F.col("place").bitwiseAND((1 << 33) - 1)})
+    placed = Working(spark, "ids").table("placed", tied.withColumn("place", F.monotonically_increasing_id()))  # partition in the upper bits, place in it in the lower 33
+    placed = placed.withColumns({"part": F.shiftright("place", 33), "k": F.col("place").bitwiseAND((1 << 33) - 1)})
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
     return placed.join(F.broadcast(before), "part").withColumn("id", F.col("before") + F.col("k") + start + 1).select(*rows.columns, "id")
@@ -236,83 +233,6 @@ def import_sources(sources: dict[str, DataFrame], stored: DataFrame, batch: str,
     return new.drop("order"), totals
 
 
-MERGED = "dataset_name string, dialogue_id string, title string, chapter string, content string, turn_count int, speakers string, source_titles string, merges int, contained int, duplicates int, inside int"
-_UNITS = "dataset_name string, row_index long, title string, chapter string, chunk_id string, said array<struct<speaker:string,body:string>>, marks array<long>"
-_FOLDED = "dataset_name string, run long, k int, title string, chapter string, content string, turn_count int, speakers string, source_titles string, merges int, contained int, duplicates int, inside int"
-
-
-def _units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Windows of two turns or more, parsed, with a hash of each turn's signature."""
-    names = [c.split()[0] for c in _UNITS.split(", ")]
-    for frame in frames:
-        out = []
-        for r in frame.itertuples(index=False):
-            turns = grammar.merge_turns((r.content or "").replace("\r\n", "\n").replace("\r", "\n"))
-            if len(turns) > 1:
-                marks = [int.from_bytes(hashlib.blake2b("\x1f".join(x).encode(), digest_size=8).digest(), "big", signed=True) for x in windows.signature(turns)]
-                out.append((r.dataset_name, r.row_index, r.title or "", r.chapter or "", r.chunk_id, [{"speaker": s, "body": t} for s, t in turns], marks))
-        yield pd.DataFrame(out, columns=names)
-
-
-def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Dialogues of each run, in row order."""
-    at, rows = None, []
-
-    def one() -> pd.DataFrame:
-        kept, equal, inside = windows.merge(rows)
-        made = [(*at, k, "", d.chapter, "\n".join(f"【{s}】：{t}" for s, t in d.turns), len(d.turns), "、".join(dict.fromkeys(s for s, _ in d.turns)), " | ".join(d.titles[:20]), d.merges, d.contained, equal, inside) for k, d in enumerate(kept)]
-        return pd.DataFrame(made, columns=[c.split()[0] for c in _FOLDED.split(", ")])
-
-    for frame in frames:
-        for r in frame.itertuples(index=False):
-            if (r.dataset_name, r.run) != at:
-                if rows:
-                    yield one()
-                at, rows = (r.dataset_name, r.run), []
-            rows.append((r.dataset_name, r.chapter, r.title, r.chunk_id, [(x["speaker"], x["body"]) for x in r.said]))
-    if rows:
-        yield one()
-
-
-def merge_windows(units: DataFrame) -> DataFrame:
-    """Dialogues from overlapping windows (dataset_name, row_index, title, chapter, chunk_id, content) in row order.
-
-    Windows that are merged, equal or one inside the other share a turn. So a dataset falls into runs at the places that no turn's
-    first and last window lie on both sides of; each run is folded by itself, in sorted streams, and the dialogues are numbered
-    over the runs afterwards."""
-    spark = units.sparkSession
-    at = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex[:12]}"
-
-    def written(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{at}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
-
-    parsed = written("units", units.select("dataset_name", F.col("row_index").cast("long").alias("row_index"), "title", "chapter", "chunk_id", "content").mapInPandas(_units, _UNITS))
-    # every turn spans from its first window to its last; a run begins where no earlier span reaches
-    spans = parsed.select("dataset_name", "row_index", F.explode("marks").alias("mark")).groupBy("dataset_name", "mark").agg(F.min("row_index").alias("row_index"), F.max("row_index").alias("last"))
-    reach = spans.groupBy("dataset_name", "row_index").agg(F.max("last").alias("last"))
-    order = Window.partitionBy("dataset_name").orderBy("row_index")  # numbers only
-    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = reach.withColumn("before", before).where("before IS NULL OR before < row_index").select("dataset_name", F.col("row_index").alias("run"))
-    places = parsed.select("dataset_name", "row_index").join(starts.withColumn("row_index", F.col("run")), ["dataset_name", "row_index"], "left")
-    places = places.withColumn("run", F.max("run").over(order))
-    ordered = parsed.join(places, ["dataset_name", "row_index"]).drop("marks").repartition("dataset_name", "run").sortWithinPartitions("dataset_name", "run", "row_index")
-    folded = written("folded", ordered.mapInPandas(_fold, _FOLDED))
-    # how many dialogues the runs before have, and the totals of the dataset
-    by_run = folded.groupBy("dataset_name", "run").agg(F.count(F.lit(1)).alias("n"), F.max("duplicates").alias("equal"), F.max("inside").alias("within"))
-    whole = Window.partitionBy("dataset_name")
-    by_run = by_run.select("dataset_name", "run", (F.sum("n").over(whole.orderBy("run")) - F.col("n")).alias("before"), F.sum("equal").over(whole).alias("equal"), F.sum("within").over(whole).alias("within"))
-    number = F.lpad((F.col("before") + F.col("k") + 1).cast("string"), F.greatest(F.lit(4), F.length((F.col("before") + F.col("k") + 1).cast("string"))), F.lit("0"))
-    named = folded.join(by_run, ["dataset_name", "run"]).withColumn("number", number)
-    title = F.concat(F.lit("《"), "dataset_name", F.lit("》"), F.when(F.col("chapter") != "", F.concat("chapter", F.lit(" "))).otherwise(""), F.lit("合并大对话 "), "number")
-    named = named.withColumns({"dialogue_id": F.concat_ws("_", "dataset_name", "number"), "title": title, "duplicates": F.col("equal").cast("int"), "inside": F.col("within").cast("int")})
-    return named.select(*[c.split()[0] for c in MERGED.split(", ")])
-
-
-def merge_report(merged: DataFrame) -> DataFrame:
-    return merged.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("dialogues"), F.sum("merges").alias("merges"), F.sum("contained").alias("contained"), F.max("duplicates").alias("duplicates"), F.max("inside").alias("inside"), F.max("turn_count").alias("max_turns"), F.round(F.avg("turn_count"), 2).alias("avg_turns"))
-
-
 def source_order(dataset: Column, title: Column) -> list[Column]:
     """Sort keys of articles: official sources in their order, others behind them, then titles."""
     at = F.array_position(F.array(*[F.lit(d) for d in windows.SOURCE_ORDER]), dataset)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from ..operators import statistics as St
 from ..operators.results import audio_url
 from ..operators.search import SearchFilters, exists, ilike, lookup, page_of_turns, turn_hits
 from ..operators.tables import ENTRIES_SQL, PHRASES, SCHEMAS, columns_of, create_tables, entries, pick, plan_facts, table, turns, turns_sql
-from ..shipping import shared_folder
+from ..shipping import working_folder
 from .registry import query
 
 _SECTION = f"CASE WHEN source = '{L.TEXT_DIALOGUE}' AND category IN {L.ANCIENT_CATEGORIES} THEN '{L.ANCIENT}' ELSE coalesce(source, '') END"
@@ -244,7 +243,7 @@ def catalog_columns(spark, sf_dir):
 
 @query("stored_tables", f"SELECT unnest({sorted(SCHEMAS)}) AS table_name, 0 AS n")
 def stored_tables(spark, sf_dir):
-    folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex[:12]}"
+    folder = working_folder(spark, "tables")
     create_tables(spark, folder)
     out = None
     for name, schema in sorted(SCHEMAS.items()):

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, search_text
+from ..operators import folding
 from ..operators import ingest as I
 from ..operators.results import audio_url
 from ..operators.tables import ENTRIES_SQL, entries, pick, table, turns, turns_sql
-from ..shipping import shared_folder
+from ..shipping import working_folder
 from ..sources import files
 from .registry import query
 
@@ -207,7 +207,7 @@ def registry_sources(spark, sf_dir):
 @query("csv_round_trip", f"WITH {ENTRIES_SQL} SELECT title, content, source, CAST(year AS VARCHAR) AS year FROM entries")
 def csv_round_trip(spark, sf_dir):
     """Entries written as CSV files and read back: quotes, commas and line feeds inside cells, and a byte order mark."""
-    at = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex[:12]}"
+    at = working_folder(spark, "csv")
     files.write_csv(entries(spark, sf_dir).select("title", "content", "source", "year"), at)
     return files.read_csv(spark, at)
 
@@ -215,7 +215,7 @@ def csv_round_trip(spark, sf_dir):
 @query("json_entries", "SELECT CAST(n AS BIGINT) AS id, 'title ' || n AS title, CASE WHEN n % 2 = 0 THEN '语料' ELSE '来源' END AS dataset_name FROM range(1, 21) t(n)")
 def json_entries(spark, sf_dir):
     """An array of entries in one file, as samples come."""
-    at = f"{shared_folder(spark)}/json-{uuid.uuid4().hex[:12]}"
+    at = working_folder(spark, "json")
     rows = [{"id": n, "title": f"title {n}", "content": "你好", "source": "来源", "year": 2020, "category": "" if n % 2 else "语料"} for n in range(1, 21)]
     spark.createDataFrame([(json.dumps(rows, ensure_ascii=False),)], "value string").coalesce(1).write.text(at)
     return files.read_entries_json(spark, at).select("id", "title", "dataset_name")
@@ -256,7 +256,7 @@ def _windows(spark, sf_dir, phrases=True):
 
 @query("merge_windows")
 def merge_windows(spark, sf_dir):
-    return I.merge_windows(_windows(spark, sf_dir))
+    return folding.merge_windows(_windows(spark, sf_dir))
 
 
 @query(
@@ -266,13 +266,13 @@ SELECT 'set' || entry_id % 16 AS dataset_name, content, CAST(n AS INTEGER) AS tu
 )
 def merge_windows_plain(spark, sf_dir):
     """Windows of texts that do not recur, so that each conversation comes out whole."""
-    m = I.merge_windows(_windows(spark, sf_dir, False))
+    m = folding.merge_windows(_windows(spark, sf_dir, False))
     return m.select("dataset_name", "content", "turn_count", "merges", "contained", F.split_part("dialogue_id", F.lit("_"), F.lit(2)).cast("long").alias("number"))
 
 
 @query("merge_report")
 def merge_report(spark, sf_dir):
-    return I.merge_report(I.merge_windows(_windows(spark, sf_dir)))
+    return folding.merge_report(folding.merge_windows(_windows(spark, sf_dir)))
 
 
 @query("qa_candidates", f"WITH {turns_sql(True)}, n AS (SELECT *, lead(speaker_label) OVER w AS ns, lead(turn_text) OVER w AS nt FROM turns WINDOW w AS (PARTITION BY entry_id ORDER BY turn_index)), c AS (SELECT entry_id AS article, turn_index AS seq, speaker_label || '：' || turn_text || chr(10) || ns || '：' || nt AS content FROM n WHERE ns IS NOT NULL AND speaker_label <> ns AND regexp_matches(turn_text, '[？?]')) SELECT * FROM c WHERE length(content) BETWEEN 20 AND 1200")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shipping import shared_folder
+from ..shipping import working_folder
 
 #: What a batch of a stream becomes: from the batch, its number and a folder for state to the rows of the result.
 Step = Callable[[DataFrame, int, str], DataFrame]
@@ -25,7 +24,7 @@ def source(spark: SparkSession, path: str) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append", step: Step | None = None) -> DataFrame:
     """All of the stream's input, batch by batch; then the result. In complete mode each batch replaces the last one's table; a step
     makes the rows of that table itself."""
-    spark, at = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex[:12]}"
+    spark, at = stream.sparkSession, working_folder(stream.sparkSession, "stream")
     kind = [stream.schema]
 
     def write(batch: DataFrame, number: int) -> None:
