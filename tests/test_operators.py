@@ -194,34 +194,104 @@ def test_ids_are_stable_where_rows_are_equal_in_order(spark):
     assert runs[0] == runs[1] and sorted(i for _, i in runs[0]) == list(range(101, 161))
 
 
-def test_late_requests_merge(spark, tmp_path):
+def _requests(rows):
+    return [(k, f"10.0.0.{k % 2}", str(k % 3), 1_700_000_000 + (k * 977) % 5000, f"/{k}", "GET", 200, k % 2) for k in rows]
+
+
+REQUESTS = "id long, ip string, visitor string, epoch long, path string, method string, status int, blocked int"
+
+
+def test_late_requests_merge_over_restarts(spark, tmp_path):
+    """Three files, none in order of time, each read by a run of its own that goes on where the last one ended."""
     from turnmill.streaming import run
     from turnmill.streaming import visits as Vs
 
-    rows = [(k, f"10.0.0.{k % 2}", str(k % 3), 1_700_000_000 + (k * 977) % 5000, f"/{k}", "GET", 200, k % 2) for k in range(120)]
-    schema = "id long, ip string, visitor string, epoch long, path string, method string, status int, blocked int"
-    for n in range(3):  # three files, read one batch each, none in order of time
-        spark.createDataFrame(rows[n::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
-    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r"))
-    whole = spark.createDataFrame(rows, schema)
-    got = run.drain(stream(), "complete", Vs.activity_step())
+    stream = lambda: spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r"))
+    for n in range(3):
+        spark.createDataFrame(_requests(range(120)[n::3]), REQUESTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+        got = run.newest(Vs.activity_changes(stream()), ("ip", "bucket_epoch"), f"file://{tmp_path}/activity")
+        online = Vs.online_counts(stream(), at=f"file://{tmp_path}/online")
+    whole = spark.createDataFrame(_requests(range(120)), REQUESTS)
     want = V.ip_activity(whole)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
-    online = run.drain(stream(), "complete", Vs.online_step())
     assert sorted(map(tuple, online.collect())) == sorted(map(tuple, V.snapshots(whole).collect()))
     guarded = Vs.guard_requests(stream(), {n: (4, 600, 50) for n in NAMES})
-    assert guarded.count() == len(rows) and guarded.where("reason = 'rate_limit'").count() > 0
+    assert guarded.count() == 120 and guarded.where("reason = 'rate_limit'").count() > 0
+
+
+def test_state_follows_the_changed_keys(spark, tmp_path):
+    """The second batch touches one of many keys, and only this key's row is given out and its state updated."""
+    from turnmill.streaming import run
+    from turnmill.streaming import visits as Vs
+
+    first = [(k, f"10.0.{k}.1", "v", 1_700_000_000, "/", "GET", 200, 0) for k in range(200)]
+    for rows in (first, [(900, "10.0.7.1", "v", 1_700_000_010, "/x", "GET", 200, 1)]):
+        spark.createDataFrame(rows, REQUESTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+        stream = spark.readStream.schema(REQUESTS).parquet(str(tmp_path / "r"))
+        changed = run.changes(Vs.activity_changes(stream), f"file://{tmp_path}/at")
+    counts = {r.batch: r["count"] for r in changed.groupBy("batch").count().collect()}
+    assert sorted(counts.values()) == [1, 200]
+    assert changed.where("ip = '10.0.7.1'").agg(F.max("request_count"), F.max("blocked_count")).first() == (2, 1)
+
+
+def test_state_expires(spark, tmp_path):
+    """Once the watermark has passed a bucket its state is cleared, so a request that comes even later is dropped instead of starting anew."""
+    from turnmill.streaming import run
+    from turnmill.streaming import visits as Vs
+
+    for k, epoch in enumerate((1_700_000_000, 1_700_100_000, 1_700_100_001, 1_700_000_010)):
+        spark.createDataFrame([(k, "10.0.0.1", "v", epoch, "/", "GET", 200, 0)], REQUESTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+        stream = spark.readStream.schema(REQUESTS).parquet(str(tmp_path / "r"))
+        got = run.newest(Vs.activity_changes(stream, keep="1 hour"), ("ip", "bucket_epoch"), f"file://{tmp_path}/at")
+    assert sorted(r.request_count for r in got.collect()) == [1, 2]
 
 
 def test_peaks_only_grow(spark, tmp_path):
+    from turnmill.streaming import run
     from turnmill.streaming import visits as Vs
 
-    write = Vs.upsert_peaks(f"file://{tmp_path}/peaks")
+    schema = "bucket_epoch long, online long, recorded long"
     for n, online in enumerate((3, 5, 2)):
-        for _ in range(2):  # a repeated batch changes nothing
-            write(spark.createDataFrame([(300, online), (300 * (n + 2), 1)], "bucket_epoch long, online long"), n)
-    got = {r.bucket_epoch: (r.online, r.peak) for r in spark.read.parquet(f"file://{tmp_path}/peaks/v2").collect()}
-    assert got[300] == (2, 5) and len(got) == 4
+        spark.createDataFrame([(300, online, n), (300 * (n + 2), 1, n)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+        got = run.newest(Vs.peak_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "r"))), ("bucket_epoch",), f"file://{tmp_path}/at")
+    peaks = {r.bucket_epoch: (r.online, r.peak, r.recorded) for r in got.collect()}
+    assert peaks[300] == (2, 5, 2) and len(peaks) == 4
+
+
+def test_guard_groups_of_a_gateway_stay_small(spark, tmp_path):
+    """Visitors behind one address, who come in bursts with quiet times between them, are judged burst by burst, as one guard would."""
+    import random
+
+    from turnmill.shipping import Working
+
+    rng = random.Random(8)
+    limits = V.Limits({n: (6, 60, 120) for n in NAMES}, last_page=10, honeypot=600)
+    rows, start = [], 1_700_000_000
+    for burst in range(30):
+        start += rng.choice([200, 500, 4000])
+        for _ in range(20):
+            rows.append({"ip": "10.0.0.1" if rng.random() < 0.7 else f"10.0.1.{rng.randrange(5)}", "visitor": str(rng.randrange(12)), "epoch": start + rng.randrange(40), "path": rng.choice(["/", "/search", "/x"]), "agent": rng.choice(["Mozilla", "Mozilla", "Mozilla", "curl/8"])})
+    rows.sort(key=lambda r: r["epoch"])
+    asked = spark.createDataFrame([(i, r["ip"], r["visitor"], r["epoch"], r["path"], "GET", r["agent"], "same-origin", "fetch", 1) for i, r in enumerate(rows)], "id long, ip string, visitor string, epoch long, path string, method string, agent string, fetch_site string, requested_with string, page int")
+    one = V.Guard(limits)
+    plain = [one.decide(r["epoch"], r["path"], "GET", r["ip"], r["visitor"], r["agent"], "same-origin", "fetch", 1) for r in rows]
+    want = [(d.allowed, d.policy, d.reason, d.status, d.retry_after, d.remaining) for d in plain]
+    told = lambda r: (r.allowed, r.policy, r.reason, r.status, r.retry_after, r.remaining)
+    assert [told(r) for r in V.guard_requests(asked, limits=limits).orderBy("id").collect()] == want
+    assert {d.reason for d in plain} >= {"", "rate_limit", "temporary_block", "automation_client"}
+    # a block of 1800 seconds joins bursts; without such each burst is a group, or several
+    calm = asked.where("agent = 'Mozilla'")
+    judged = calm.select("id", "epoch", V.request_policy(F.col("path"), F.col("method")).alias("policy"), V.identities(F.col("ip"), F.col("visitor")).alias("who"), F.lit("").alias("reason"), F.lit(0).alias("seconds"))
+    rooted, _ = V.guard_groups(judged, spark.createDataFrame([], V.STATE), limits, Working(spark, "t"))
+    n = rooted.count()
+    assert rooted.groupBy("root").count().agg(F.max("count")).first()[0] <= 0.1 * n and n == calm.count()
+    # batch by batch, the state of one going into the next
+    from turnmill.streaming import visits as Vs
+
+    step, got = Vs.guard_step(limits), []
+    for k in range(0, 600, 150):
+        got += step(asked.where(f"id >= {k} AND id < {k + 150}"), k // 150, f"file://{tmp_path}").orderBy("id").collect()
+    assert [told(r) for r in got] == want
 
 
 def test_entry_point_survives_a_missing_subpackage(monkeypatch):

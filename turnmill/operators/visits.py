@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import guard
 from ..functions.guard import Guard, Limits
 from ..functions.text import mask_ip4, visitor_hash
-from ..shipping import shared_folder
+from ..shipping import Working
 from .groups import connected
 
 ZONE, BUCKET, ONLINE = "Asia/Shanghai", 300, 90
@@ -157,21 +156,23 @@ def identities(ip: Column, visitor: Column) -> Column:
 
 
 DECISIONS = "id long, ip string, epoch long, path string, allowed boolean, policy string, reason string, status int, retry_after int, remaining int"
-#: The guard's state: a row for each identity.
-STATE = "identity string, until double, logs map<string,array<double>>"
+#: The guard's state: a row for each identity, and the moment from which it says nothing any more.
+STATE = "identity string, until double, logs map<string,array<double>>, alive double"
 _NAMES = [c.split()[0] for c in DECISIONS.split(", ")]
 
 
 def _decide(frames: Iterator[pd.DataFrame], limits: Limits) -> Iterator[pd.DataFrame]:
     """Rows of a group: first the state of its identities, then its requests in order; behind the decisions, the new state."""
     state, at, now = Guard(limits), None, 0.0
+    columns = [*_NAMES, "identity", "until", "logs", "alive", "root"]
 
     def kept() -> pd.DataFrame:
         state.forget(now)
         logs: dict[str, dict] = {w: {} for w in state.blocked}
         for (w, policy), times in state.recent.items():
             logs.setdefault(w, {})[policy] = list(times)
-        return pd.DataFrame([(*[None] * len(_NAMES), w, state.blocked.get(w, 0.0), x) for w, x in logs.items()], columns=[*_NAMES, "identity", "until", "logs"])
+        alive = {w: max([state.blocked.get(w, 0.0), *(times[-1] + limits.policies[p][1] for p, times in x.items())]) for w, x in logs.items()}
+        return pd.DataFrame([(*[None] * len(_NAMES), w, state.blocked.get(w, 0.0), x, alive[w], at) for w, x in logs.items()], columns=columns)
 
     for frame in frames:
         out = []
@@ -188,18 +189,58 @@ def _decide(frames: Iterator[pd.DataFrame], limits: Limits) -> Iterator[pd.DataF
                 continue
             now = float(r.epoch)
             d = state.settle(now, list(r.who), r.policy, (r.refused_policy, r.reason, int(r.seconds)) if r.reason else None)
-            out.append((int(r.id), r.ip, int(r.epoch), r.path, d.allowed, d.policy, d.reason, d.status, d.retry_after, d.remaining, None, None, None))
-        yield pd.DataFrame(out, columns=[*_NAMES, "identity", "until", "logs"])
+            out.append((int(r.id), r.ip, int(r.epoch), r.path, d.allowed, d.policy, d.reason, d.status, d.retry_after, d.remaining, *[None] * 5))
+        yield pd.DataFrame(out, columns=columns)
     if at is not None:
         yield kept()
 
 
-def guard_step(requests: DataFrame, state: DataFrame | None, limits: Limits, at: str) -> tuple[DataFrame, DataFrame]:
-    """Decisions on requests, and the state after them, given the state before (none: empty). `at` is a folder for working tables.
-
-    A request changes the states of its address and of its visitor, so requests that share either, over any number of others, are
-    one group and are judged in time order. What a request is refused for and its policy are worked out before, and requests that
-    are exempt never travel. A group is a sorted stream that holds the state of its identities alone."""
+def _horizon(policy: Column, limits: Limits) -> Column:
+    """Seconds after which a request under the policy that is not refused says nothing about later ones: its place in the log and a block
+    that it may bring are over."""
+    return F.coalesce(F.create_map(*[F.lit(x) for name, (_, window, penalty) in limits.policies.items() for x in (name, float(max(window + 1, penalty)))])[policy], F.lit(0.0))
+
+
+def guard_sessions(judged: DataFrame, state: DataFrame, limits: Limits) -> DataFrame:
+    """(identity, slice, session): the sessions that each identity's requests fall into, by slices of time. A session ends where no
+    request of the identity has an effect any more, so nothing is carried into the next one. Slices are as long as most effects, and only
+    their bounds are sorted, not requests. What `state` brings along is before the first slice."""
+    span = max(max(window + 1, penalty) for _, window, penalty in limits.policies.values())
+    end = F.col("epoch") + F.when(F.col("reason") != "", F.col("seconds").cast("double")).otherwise(_horizon(F.col("policy"), limits))
+    touched = judged.select(F.explode("who").alias("identity"), F.floor(F.col("epoch") / span).cast("long").alias("slice"), F.col("epoch").cast("double").alias("lo"), end.alias("hi"))
+    before = state.select("identity", F.lit(_BEFORE).cast("long").alias("slice"), F.lit(float(_BEFORE)).alias("lo"), F.col("alive").alias("hi"))
+    slices = touched.unionByName(before).groupBy("identity", "slice").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    w = Window.partitionBy("identity").orderBy("slice")
+    over = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return slices.withColumn("over", over).withColumn("session", F.max(F.when(F.col("over").isNull() | (F.col("lo") >= F.col("over")), F.col("slice"))).over(w)).select("identity", "slice", "session")
+
+
+_BEFORE = -(1 << 40)
+
+
+def guard_groups(judged: DataFrame, state: DataFrame, limits: Limits, work: Working) -> tuple[DataFrame, DataFrame]:
+    """The judged requests with the `root` of their group, and (identity, session, root) of all sessions. Sessions that a request joins are
+    one group, over any number of others."""
+    span = max(max(window + 1, penalty) for _, window, penalty in limits.policies.values())
+    sessions = work.table("sessions", guard_sessions(judged, state, limits))
+    named = judged.withColumns({"one": F.col("who")[0], "two": F.get("who", 1), "slice": F.floor(F.col("epoch") / span).cast("long")})
+    for c in ("one", "two"):
+        own = sessions.select(F.col("identity").alias(c), "slice", F.concat_ws("#", "identity", "session").alias(f"{c}_node"))
+        named = named.join(own, [c, "slice"], "left")
+    named = work.table("named", named.select(*judged.columns, "one_node", "two_node"))
+    groups = work.table("groups", connected(named.where("two_node IS NOT NULL").select(F.col("one_node").alias("a"), F.col("two_node").alias("b"))))
+    rooted = named.join(groups, F.col("one_node") == F.col("node"), "left").select(F.coalesce("root", "one_node").alias("root"), *judged.columns)
+    of = sessions.select("identity", "session").distinct().withColumn("own", F.concat_ws("#", "identity", "session"))
+    return rooted, of.join(groups, F.col("own") == F.col("node"), "left").select("identity", "session", F.coalesce("root", "own").alias("root"))
+
+
+def guard_step(requests: DataFrame, state: DataFrame | None, limits: Limits, work: Working) -> tuple[DataFrame, DataFrame]:
+    """Decisions on requests, and the state after them of the identities that they touch, given the state before (none: empty).
+
+    A request changes the states of its address and of its visitor. Each of them has sessions, between which its state is empty;
+    requests whose sessions meet, over any number of others, are one group and are judged in time order. So a gateway joins only those
+    who use it within its session. What a request is refused for and its policy are worked out before, and requests that are exempt
+    never travel. A group is a sorted stream that holds the state of its identities alone."""
     spark = requests.sparkSession
     visitor = F.col("visitor") if "visitor" in requests.columns else F.lit(None).cast("string")
     method = F.coalesce(F.col("method"), F.lit("GET")) if "method" in requests.columns else F.lit("GET")
@@ -210,30 +251,28 @@ def guard_step(requests: DataFrame, state: DataFrame | None, limits: Limits, at:
     r = requests.withColumns({"free": free, "policy": request_policy(path, method), "who": identities(F.col("ip"), visitor)})
     r = r.withColumn("no", refusal(r, limits)).select("id", "ip", "epoch", "path", "free", "policy", "who", F.col("no.policy").alias("refused_policy"), F.coalesce("no.reason", F.lit("")).alias("reason"), F.coalesce("no.seconds", F.lit(0)).alias("seconds"))
     judged = r.where("NOT free").drop("free")
-    groups = connected(judged.where("size(who) > 1").select(F.col("who")[0].alias("a"), F.col("who")[1].alias("b")))
-    rooted = judged.join(groups, F.col("who")[0] == F.col("node"), "left").select(F.coalesce("root", F.col("who")[0]).alias("root"), *judged.columns)
-    # numbers of rows without any are 0: with nulls among them pandas would round large ids
-    none = lambda schema: [F.lit(0 if f.name in ("id", "epoch", "seconds") else None).cast(f.dataType).alias(f.name) for f in schema]
     empty = spark.createDataFrame([], STATE)
-    rows = rooted.select("*", *none(empty.schema))
-    other = empty
+    before = empty
     if state is not None:
-        met = judged.select(F.explode("who").alias("identity")).distinct()
-        before = state.join(met, "identity", "left_semi").join(groups, F.col("identity") == F.col("node"), "left").withColumn("root", F.coalesce("root", "identity"))
-        rows = rows.unionByName(before.select("root", *none(judged.schema), "identity", "until", "logs"))
-        other = state.join(met, "identity", "left_anti")
+        before = work.table("before", state.join(judged.select(F.explode("who").alias("identity")).distinct(), "identity", "left_semi").select(*empty.columns))
+    rooted, sessions = guard_groups(judged, before, limits, work)
+    # numbers of rows without any are 0: with nulls among them pandas would round large ids
+    none = lambda schema: [F.lit(0 if f.name in ("id", "epoch", "seconds") else None).cast(f.dataType).alias(f.name) for f in schema]
+    carried = before.join(sessions.where(F.col("session") == _BEFORE), "identity").select("root", *none(judged.schema), *empty.columns)
+    rows = rooted.select("*", *none(empty.schema)).unionByName(carried)
     ordered = rows.repartition("root").sortWithinPartitions("root", F.col("identity").isNull(), "epoch", "id")
-    done = ordered.mapInPandas(lambda frames: _decide(frames, limits), f"{DECISIONS}, {STATE}")
-    done.write.mode("overwrite").parquet(f"{at}/decided")
-    done = spark.read.schema(done.schema).parquet(f"{at}/decided")
+    done = work.table("decided", ordered.mapInPandas(lambda frames: _decide(frames, limits), f"{DECISIONS}, {STATE}, root string"))
     passed = r.where("free").select("id", "ip", "epoch", "path", F.lit(True).alias("allowed"), F.lit("").alias("policy"), F.lit("").alias("reason"), F.lit(200).alias("status"), F.lit(0).alias("retry_after"), F.lit(0).alias("remaining"))
-    return done.where("identity IS NULL").select(*_NAMES).unionByName(passed), done.where("identity IS NOT NULL").select("identity", "until", "logs").unionByName(other)
+    # what an identity's last session leaves; earlier ones are over by then
+    last = sessions.groupBy("identity").agg(F.max_by("root", "session").alias("root"))
+    after = done.where("identity IS NOT NULL").join(last, ["identity", "root"], "left_semi").select(*empty.columns)
+    return done.where("identity IS NULL").select(*_NAMES).unionByName(passed), after
 
 
 def guard_requests(requests: DataFrame, policies: dict | None = None, limits: Limits | None = None) -> DataFrame:
     """The guard's decision on each request: guard_step() from an empty state."""
     limits = limits or (Limits(policies=dict(policies)) if policies else Limits())
-    return guard_step(requests, None, limits, f"{shared_folder(requests.sparkSession)}/guard-{uuid.uuid4().hex[:12]}")[0]
+    return guard_step(requests, None, limits, Working(requests.sparkSession, "guard"))[0]
 
 
 def guard_policies(spark: SparkSession, limits: Limits = Limits()) -> DataFrame:

@@ -191,12 +191,12 @@ def stream_ip_activity(spark, sf_dir):
 
 @query("stream_ip_activity_merged", f"WITH {REQUESTS_SQL}, {_ACTIVITY} SELECT * FROM activity")
 def stream_ip_activity_merged(spark, sf_dir):
-    return run.drain(_stream(spark, sf_dir), "complete", Vs.activity_step())
+    return run.newest(Vs.activity_changes(_stream(spark, sf_dir), keep="60 days"), ("ip", "bucket_epoch"))
 
 
 @query("stream_online", f"WITH {REQUESTS_SQL} SELECT {_BUCKET} AS bucket_epoch, count(DISTINCT visitor) AS online FROM requests GROUP BY 1")
 def stream_online(spark, sf_dir):
-    return run.drain(_stream(spark, sf_dir), "complete", Vs.online_step())
+    return Vs.online_counts(_stream(spark, sf_dir), keep="60 days")
 
 
 @query("stream_rate_limit_guard")

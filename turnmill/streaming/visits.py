@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.guard import Limits
 from ..operators.visits import BUCKET, STATE, bucket
 from ..operators.visits import guard_step as guarded
+from ..shipping import Working
+from . import run
 from .run import Step, drain
 
 
@@ -22,52 +29,110 @@ def ip_activity(requests: DataFrame, seconds: int = BUCKET, delay: str = "10 min
     return out.withColumn("bucket_epoch", F.unix_seconds("window.start")).drop("window")
 
 
-def _versions(batch: DataFrame, number: int, at: str, name: str, made: DataFrame) -> DataFrame:
-    """A table's next version from the rows of this batch: made.unionByName(the last version) has to be merged by the caller."""
-    return made.unionByName(batch.sparkSession.read.schema(made.schema).parquet(f"{at}/{name}{number - 1}")) if number else made
+class Activity(StatefulProcessor):
+    """Sums of an address and a bucket of time: first and newest request, numbers of requests and of those refused. A late request counts like
+    any other until the watermark has left the bucket behind; then a timer clears it."""
 
+    SUMS = "first_seen_epoch long, last_seen_epoch long, last_id long, request_count long, blocked_count long, last_path string, last_method string, last_status long"
 
-def activity_step(seconds: int = BUCKET) -> Step:
-    """For run.drain(mode="complete"): activity by ip and bucket that later batches merge into, so that a late request counts like any
-    other. Each batch writes a new version of the merged table."""
+    def __init__(self, seconds: int):
+        self.seconds = seconds
 
-    def step(batch: DataFrame, number: int, at: str) -> DataFrame:
-        last = ("last_path", "last_method", "last_status")
-        newest = batch.groupBy("ip", bucket(F.col("epoch"), seconds).alias("bucket_epoch")).agg(F.max(F.struct("epoch", "id", "path", "method", "status")).alias("newest"), F.min("epoch").alias("first_seen_epoch"), F.count(F.lit(1)).alias("request_count"), F.sum("blocked").alias("blocked_count"))
-        both = _versions(batch, number, at, "activity", newest)
-        merged = both.groupBy("ip", "bucket_epoch").agg(F.max("newest").alias("newest"), F.min("first_seen_epoch").alias("first_seen_epoch"), F.sum("request_count").alias("request_count"), F.sum("blocked_count").alias("blocked_count")).select(*newest.columns)
-        merged.write.mode("overwrite").parquet(f"{at}/activity{number}")
-        kept = batch.sparkSession.read.schema(newest.schema).parquet(f"{at}/activity{number}")
-        return kept.select("ip", "bucket_epoch", "first_seen_epoch", F.col("newest.epoch").alias("last_seen_epoch"), "request_count", "blocked_count", *[F.col(f"newest.{c.removeprefix('last_')}").alias(c) for c in last])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.sums = handle, handle.getValueState("sums", self.SUMS)
 
-    return step
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.sums.get() if self.sums.exists() else None
+        if known is None:
+            self.handle.registerTimer((key[1] + self.seconds) * 1000)
+        first, last, n, refused = (known[0], tuple(known[1:3]) + tuple(known[5:]), known[3], known[4]) if known else (None, None, 0, 0)
+        for f in rows:
+            k = f.sort_values(["epoch", "id"]).iloc[-1]
+            newest = (int(k["epoch"]), int(k["id"]), k["path"], k["method"], None if pd.isna(k["status"]) else int(k["status"]))
+            first = int(f["epoch"].min()) if first is None else min(first, int(f["epoch"].min()))
+            last = newest if last is None or newest[:2] > last[:2] else last
+            n, refused = n + len(f), refused + int(f["blocked"].sum())
+        self.sums.update((first, *last[:2], n, refused, *last[2:]))
+        yield pd.DataFrame([(*key, first, last[0], n, refused, *last[2:])], columns=[c.split()[0] for c in ACTIVITY.split(", ")])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.sums.clear()
+        return iter(())
 
-def online_step(seconds: int = BUCKET) -> Step:
-    """For run.drain(mode="complete"): visitors of each bucket, each counted once, over batches and however late."""
+    def close(self) -> None:
+        pass
 
-    def step(batch: DataFrame, number: int, at: str) -> DataFrame:
-        seen = batch.select(bucket(F.col("epoch"), seconds).alias("bucket_epoch"), "visitor").distinct()
-        _versions(batch, number, at, "seen", seen).distinct().write.mode("overwrite").parquet(f"{at}/seen{number}")
-        kept = batch.sparkSession.read.schema(seen.schema).parquet(f"{at}/seen{number}")
-        return kept.groupBy("bucket_epoch").agg(F.count("visitor").alias("online"))
 
-    return step
+ACTIVITY = "ip string, bucket_epoch long, first_seen_epoch long, last_seen_epoch long, request_count long, blocked_count long, last_path string, last_method string, last_status long"
+
+
+def activity_changes(requests: DataFrame, seconds: int = BUCKET, keep: str = "10 days") -> DataFrame:
+    """The sums by ip and bucket as they change: a row in each batch for each that has new requests. Only these states are read and written.
+    For run.newest(keys=("ip", "bucket_epoch"))."""
+    keyed = timed(requests, keep).select("ip", bucket(F.col("epoch"), seconds).cast("long").alias("bucket_epoch"), "ts", "id", "epoch", "path", "method", "status", F.col("blocked").cast("long").alias("blocked"))
+    return keyed.groupBy("ip", "bucket_epoch").transformWithStateInPandas(Activity(seconds), ACTIVITY, "Update", "EventTime")
+
+
+def first_visits(requests: DataFrame, seconds: int = BUCKET, keep: str = "10 days") -> DataFrame:
+    """(bucket_epoch, visitor) once for each visitor of a bucket, over batches and however late within `keep`; a state for each, which goes then."""
+    seen = timed(requests, keep).select("ts", bucket(F.col("epoch"), seconds).alias("bucket_epoch"), "visitor")
+    return seen.dropDuplicatesWithinWatermark(["bucket_epoch", "visitor"])
+
+
+def online_counts(requests: DataFrame, seconds: int = BUCKET, keep: str = "10 days", at: str | None = None) -> DataFrame:
+    """Visitors online in each bucket: every batch adds how many are new in it."""
+    added = run.changes(first_visits(requests, seconds, keep), at, lambda batch: batch.groupBy("bucket_epoch").agg(F.count("visitor").alias("n")))
+    return added.groupBy("bucket_epoch").agg(F.sum("n").alias("online"))
+
+
+class Peak(StatefulProcessor):
+    """The newest number of a bucket's visitors, and the greatest; a timer clears it when the watermark has passed `keep` seconds after."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.known = handle, handle.getValueState("known", "recorded long, online long, peak long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.known.get() if self.known.exists() else None
+        if known is None:
+            self.handle.registerTimer(key[0] * 1000)
+        recorded, online, peak = known or (-1, 0, 0)
+        for f in rows:
+            for r in f.itertuples():
+                if r.recorded >= recorded:
+                    recorded, online = int(r.recorded), int(r.online)
+                peak = max(peak, int(r.online))
+        self.known.update((recorded, online, peak))
+        yield pd.DataFrame([(key[0], online, peak, recorded)], columns=["bucket_epoch", "online", "peak", "recorded"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.known.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def peak_changes(snapshots: DataFrame, keep: str = "10 days") -> DataFrame:
+    """Snapshots (bucket_epoch, online, recorded) merged bucket by bucket: the newest number and the greatest. For run.newest(keys=("bucket_epoch",))."""
+    keyed = snapshots.select(F.timestamp_seconds("bucket_epoch").alias("ts"), "bucket_epoch", "online", "recorded").withWatermark("ts", keep)
+    return keyed.groupBy("bucket_epoch").transformWithStateInPandas(Peak(), "bucket_epoch long, online long, peak long, recorded long", "Update", "EventTime")
 
 
 def guard_step(limits: Limits = Limits()) -> Step:
     """The guard for run.drain() or a foreachBatch of one's own. Its state has a row for each identity, so a visitor who changes
-    address, in a batch or between batches, is met again. Each batch writes a new version of the state beside the last one; expired
-    blocks and logs leave it, and a repeated batch starts from the same version."""
+    address, in a batch or between batches, is met again. Each batch writes the rows of the identities that it touches, and reads of earlier ones
+    the newest of these; rows that say nothing any more are passed over by the bounds of their files. A repeated batch starts from the
+    same rows."""
 
     def step(batch: DataFrame, number: int, at: str) -> DataFrame:
         spark = batch.sparkSession
-        old = spark.read.schema(STATE).parquet(f"{at}/state{number - 1}") if number else None
-        out, state = guarded(batch, old, limits, f"{at}/batch{number}")
-        now = batch.agg(F.max("epoch")).first()[0]
-        longest = float(max(p[1] for p in limits.policies.values()))
-        alive = (F.col("until") > now) | F.exists(F.flatten(F.map_values("logs")), lambda t: t > now - longest) if now is not None else F.lit(True)
-        state.where(alive).write.mode("overwrite").parquet(f"{at}/state{number}")
+        old, first = None, batch.agg(F.min("epoch")).first()[0]
+        if number and first is not None:
+            names = T._parse_datatype_string(STATE).names
+            rows = spark.read.schema(f"{STATE}, batch int").option("ignoreMissingFiles", True).parquet(f"{at}/guard").where((F.col("batch") < number) & (F.col("alive") > float(first)))
+            old = rows.groupBy("identity").agg(F.max_by(F.struct(*names[1:]), "batch").alias("x")).select("identity", "x.*")
+        out, state = guarded(batch, old, limits, Working(spark, "guard"))
+        state.write.mode("overwrite").parquet(f"{at}/guard/batch={number}")
         return out
 
     return step
@@ -76,18 +141,3 @@ def guard_step(limits: Limits = Limits()) -> Step:
 def guard_requests(requests: DataFrame, policies: dict | None = None) -> DataFrame:
     """Decisions on all that the stream has now."""
     return drain(requests, step=guard_step(Limits(policies=dict(policies)) if policies else Limits()))
-
-
-def upsert_peaks(target: str):
-    """For writeStream.foreachBatch: a table of bucket_epoch, online, peak, recorded with the greatest peak of each bucket, as
-    a new version folder for each batch; a repeated batch writes the same folder again."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        from ..operators.visits import merge_snapshots
-
-        spark = batch.sparkSession
-        new = batch.select("bucket_epoch", "online", F.col("online").alias("peak"), F.lit(number).cast("long").alias("recorded"))
-        old = spark.read.schema(new.schema).parquet(f"{target}/v{number - 1}") if number else spark.createDataFrame([], new.schema)
-        merge_snapshots(old, new).write.mode("overwrite").parquet(f"{target}/v{number}")
-
-    return write
