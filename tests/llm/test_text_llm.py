@@ -81,11 +81,20 @@ def test_toxicity_stage_against_a_slow_version(spark):
 def test_toxicity_sample_is_bounded_by_rows_and_bytes(spark):
     rows = [(k % 3, f"text {k} " * 10) for k in range(90)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
-    seen = []
-    for s in (toxicity.Settings(rows_each=10), toxicity.Settings(rows_each=10, sample_bytes=300)):
-        toxicity.fit(docs, labels, s)
-        seen.append(spark.read.parquet(toxicity.Scratch.made[-1].paths["sample"]).toPandas())
-    assert seen[0]["toxic"].value_counts().max() <= 10 and seen[1]["text"].str.len().sum() <= 300 and len(seen[1])
+    seen = [toxicity.sample(docs, labels, s).toPandas() for s in (toxicity.Settings(rows_each=10), toxicity.Settings(rows_each=10, class_bytes=300))]
+    assert seen[0]["toxic"].value_counts().max() <= 10 and len(seen[1])
+    assert seen[1].groupby("toxic")["text"].agg(lambda x: x.str.len().sum()).max() <= 300
+
+
+def test_toxicity_sample_keeps_all_that_fit(spark):
+    """A text too long for the bound takes no other's place, and near copies and texts that share a phrase all train."""
+    rng = random.Random(6)
+    phrase = "the people of the city went to the market in the morning"
+    rows = [(k, f"{phrase} {prose(rng, 30)} {'you are an idiot' if k % 4 == 1 else 'good day'}") for k in range(400)]
+    rows += [(400 + k, rows[k][1] + " again") for k in range(0, 40, 2)] + [(500, "long word " * 1_400_000)]
+    labels = spark.createDataFrame([(d, int(d % 4 == 1)) for d, _ in rows], "doc_id long, toxic int")
+    got = {r.text for r in toxicity.sample(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert got == {t for d, t in rows if zlib.crc32(str(d).encode()) % 5 and d != 500}
 
 
 SMALL = language_model.Settings(words=40, words_a_root=0.1, endings=4, state=6, head=60, head_one_in=1, shard_tokens=400, epochs=2, lanes=8, span=5, updates=4, score_lanes=3)

@@ -8,7 +8,6 @@ documents: a first fit gives every window its document's label, a second keeps o
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, flat_ranges, pick, ship, slices, split_words, texts_of
@@ -24,10 +23,10 @@ from .common import Scratch, flat_ranges, pick, ship, slices, split_words, texts
 
 @dataclass(frozen=True)
 class Settings:
-    #: The bounds of the training sample: so many labelled rows of each class, those of least hash, and of all these, in the order
-    #: of their hashes, whole texts of so many bytes together.
+    #: The bounds of the training sample: of each class so many labelled rows, those of least hash, and whole texts of so many bytes;
+    #: a text that no longer fits is passed over.
     rows_each: int = 2000
-    sample_bytes: int = 12 << 20
+    class_bytes: int = 8 << 20
     window: int = 4
     buckets: int = 1 << 17
     dims: int = 4
@@ -84,22 +83,6 @@ def window_starts(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return first + at[:-1][text], text
 
 
-def _first_of_copies(words: list[str], which: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether a text is the first with each of four minimum hashes of its distinct words; near copies share some."""
-    key = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
-    new = np.ones(len(at) - 1, bool)
-    some = np.flatnonzero(np.diff(at))
-    pair = key[which[:-1]] * np.uint64(0x9E3779B97F4A7C15) + key[which[1:]] if len(which) > 1 else key[which]
-    for k in range(4):
-        h = pair * np.uint64(2 * k + 0xD6E8FEB86659FD93) ^ (pair >> np.uint64(31 - k))
-        least = np.minimum.reduceat(np.append(h, np.uint64(2**64 - 1))[: len(which)] if len(h) >= len(which) else np.append(h, np.uint64(2**64 - 1)), at[some])
-        _, first = np.unique(least, return_index=True)
-        mark = np.zeros(len(some), bool)
-        mark[first] = True
-        new[some] &= mark
-    return new
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -233,16 +216,6 @@ def _learn(texts: pa.Array, y: np.ndarray, s: Settings) -> Model:
     return fit((y[text] == 0) | found) if found.any() else model
 
 
-def _sample(texts: pa.Array, labels: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The texts less near copies, which would make a rare word look common, and their labels."""
-    y = np.asarray(labels, np.float64)
-    words, which, at = _words(texts)
-    if not len(which):
-        return texts, y
-    new = _first_of_copies(words, which, at)
-    return texts.filter(pa.array(new)), y[new]
-
-
 def _one_sided(texts: pa.Array, y: np.ndarray) -> bool:
     return not len(y) or y.min() == y.max() or not pc.any(pc.match_substring_regex(texts, r"[^\x20\x09-\x0D]")).as_py()
 
@@ -250,7 +223,7 @@ def _one_sided(texts: pa.Array, y: np.ndarray) -> bool:
 def learn_part(texts: pa.Array, labels: np.ndarray, s: Settings, part: int) -> tuple[Model, np.ndarray, np.ndarray]:
     """For part < s.calibrate: a model that has not seen this part, the part's largest logits, and its labels. For part ==
     s.calibrate: the model of all."""
-    texts, y = _sample(texts, labels)
+    y = np.asarray(labels, np.float64)
     if _one_sided(texts, y):
         return Model(np.zeros(s.buckets), 0.0, 0.0, 30.0 if len(y) and y.min() == 1 else -30.0, s), np.zeros(0), y
     own = np.arange(len(y)) % s.calibrate == part
@@ -279,22 +252,32 @@ def held_out(doc_id, modulus: int = 5, remainder: int = 0):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
+def sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(text, toxic, h): the bounded sample of labelled rows that a model is trained on, rows held out left aside. Of each class the
+    settings.rows_each rows of least hash are looked at in that order, and those stay whose texts fit in what is left of settings.class_bytes, so a
+    long text takes the place of no other. Several labels of a doc_id count as the greatest; equal rows count once, near copies each."""
+    known = pick(labels, "doc_id", "toxic").where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    some = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows_each) for c in (0, 1)]
+    rows = pick(docs, "doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))  # at most 2 * rows_each doc_ids
+    # a doc_id may stand for many rows; only hashes and lengths of those looked at go to the driver, 2 * rows_each at most
+    heads = rows.select("toxic", "h", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).distinct()
+    first = [heads.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(settings.rows_each) for c in (0, 1)]
+    left, chosen = [settings.class_bytes] * 2, []
+    for r in sorted(first[0].unionByName(first[1]).collect(), key=lambda r: (r["h"], r["doc_id"])):
+        if r["size"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["size"]
+            chosen.append((r["h"], r["doc_id"]))
+    keys = F.broadcast(docs.sparkSession.createDataFrame(chosen, "h long, doc_id long"))
+    return rows.join(keys, ["h", "doc_id"], "left_semi").dropDuplicates(["h", "doc_id"]).select("text", "toxic", "h")
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Trains on a bounded sample of (doc_id, text) with labels (doc_id, toxic), rows held out left aside: of each class
-    the settings.rows_each rows of least hash, as far as their texts fit in settings.sample_bytes. Several labels of a doc_id count as
-    the greatest; equal rows count once. The model and those that calibrate it are trained side by side, each in one task."""
+    """Trains on the sample of (doc_id, text) with labels (doc_id, toxic). The model and those that calibrate it are trained side by
+    side, each in one task."""
     spark = docs.sparkSession
     ship(spark)
-    known = pick(labels, "doc_id", "toxic").where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    some = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows_each) for c in (0, 1)]
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")  # at most 2 * rows_each doc_ids
-    rows = rows.dropDuplicates(["doc_id", "text"]).withColumn("h", F.xxhash64("doc_id", "text"))
-    # a doc_id may stand for many rows
-    rows = [rows.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(settings.rows_each) for c in (0, 1)]
-    before = F.sum(F.octet_length("text")).over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))  # at most 2 * rows_each rows
-    sample = rows[0].unionByName(rows[1]).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + F.coalesce(F.octet_length("text"), F.lit(0)) <= settings.sample_bytes)
     parts = settings.calibrate + 1
-    sample = Scratch(spark, "toxicity").table("sample", sample.select("text", "toxic", "h"))
+    rows = Scratch(spark, "toxicity").table("sample", sample(docs, labels, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {}
@@ -308,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([share], pa.binary()), pa.array([rest], pa.string()), pa.array([z], pa.list_(pa.float64())), pa.array([y], pa.list_(pa.float64()))], names=["part", "share", "rest", "z", "y"])
 
     # a partition for each part; rows come in an order of their own, so that a repeated run trains the same models
-    each = sample.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(settings.calibrate)))).repartitionByRange(parts, "part").sortWithinPartitions("part", "h", "text")
+    each = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(settings.calibrate)))).repartitionByRange(parts, "part").sortWithinPartitions("part", "h", "text")
     found = each.select("text", "toxic", "part").mapInArrow(run, "part int, share binary, rest string, z array<double>, y array<double>").collect()
     found.sort(key=lambda r: r["part"])  # a model and as many logits as the sample has rows
     if not found:  # no labelled row at all
