@@ -74,33 +74,64 @@ class Lines:
 
 
 class Leaf:
-    """Templates of one leaf. A line is compared with those that share one of its blocks of places: lines that agree in a
-    share of s places or more differ in at most (1 - s) n, so of one block more than that one is equal."""
+    """Templates of one leaf, whose lines share their length and their first `depth` tokens.
 
-    def __init__(self, similarity: float):
-        self.similarity, self.templates, self.by_block = similarity, [], {}
+    A line joins a template if it differs from it, fields aside, in so few places that of one block more than that, cut from the tokens
+    after the first, one has no difference. So templates are kept by each block as it is now, with the places that are fields, and a line
+    looks each block up under every set of field places that templates have there. Those found are compared as rows of numbers."""
 
-    def _blocks(self, tokens: list[str]) -> list[tuple]:
-        n = len(tokens)
+    def __init__(self, similarity: float, depth: int):
+        self.similarity, self.depth, self.templates = similarity, depth, []
+        self.numbers: dict[str, int] = {FIELD: 0}
+        self.rows = np.zeros((0, 0), np.int32)
+
+    def _start(self, n: int) -> None:
+        self.first = min(self.depth, n)
         k = int(n * (1 - self.similarity) + 1e-9) + 1
-        edge = [n * b // k for b in range(k + 1)]
-        return [(b, *tokens[edge[b] : edge[b + 1]]) for b in range(k)]
+        self.edges = [self.first + (n - self.first) * b // k for b in range(k + 1)]
+        self.by_block: list[dict[tuple[int, ...], dict[bytes, list[int]]]] = [{} for _ in range(k)]
+        self.rows = np.zeros((64, n), np.int32)
+
+    def _keep(self, t: int, b: int) -> None:
+        """Note the template under its block as it is now."""
+        own = self.rows[t, self.edges[b] : self.edges[b + 1]]
+        fields = tuple(np.flatnonzero(own == 0).tolist())
+        self.by_block[b].setdefault(fields, {}).setdefault(own.tobytes(), []).append(t)
 
     def place(self, tokens: list[str]) -> int:
         """The number of the template that the line joins or founds."""
-        blocks = self._blocks(tokens)
-        best, most = -1, 0
-        for t in dict.fromkeys(t for b in blocks for t in self.by_block.get(b, ())):
-            same = sum(x == y or x == FIELD for x, y in zip(self.templates[t], tokens))
-            if same > most:
-                best, most = t, same
-        if best >= 0 and most >= self.similarity * len(tokens):
-            self.templates[best] = [x if x == y else FIELD for x, y in zip(self.templates[best], tokens)]
-            return best
+        n = len(tokens)
+        if not len(self.rows):
+            self._start(n)
+        line = np.fromiter((self.numbers.setdefault(t, len(self.numbers)) for t in tokens), np.int32, n)
+        found: set[int] = set()
+        for b, kinds in enumerate(self.by_block):
+            own = line[self.edges[b] : self.edges[b + 1]]
+            for fields, blocks in kinds.items():
+                asked = own.copy()
+                asked[list(fields)] = 0
+                found.update(blocks.get(asked.tobytes(), ()))
+        if found:
+            near = np.array(sorted(found))
+            same = ((self.rows[near] == line) | (self.rows[near] == 0)).sum(axis=1)
+            k = int(same.argmax())  # the first of equal ones
+            if same[k] >= self.similarity * n:
+                best = int(near[k])
+                differ = np.flatnonzero((self.rows[best] != line) & (self.rows[best] != 0))
+                self.rows[best, differ] = 0
+                for i in differ.tolist():
+                    self.templates[best][i] = FIELD
+                for b in sorted({int(np.searchsorted(self.edges, i, side="right")) - 1 for i in differ.tolist()}):
+                    self._keep(best, b)  # the entry as it was only makes it a candidate too often
+                return best
+        best = len(self.templates)
+        if best == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[best] = line
         self.templates.append(list(tokens))
-        for b in blocks:
-            self.by_block.setdefault(b, []).append(len(self.templates) - 1)
-        return len(self.templates) - 1
+        for b in range(len(self.by_block)):
+            self._keep(best, b)
+        return best
 
 
 def _whose(text: str) -> int:
@@ -182,7 +213,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, s: Settings) -> tuple[Dat
                 if h != at:
                     if held:
                         out += close()
-                    at, tree, held = h, Leaf(s.similarity), []
+                    at, tree, held = h, Leaf(s.similarity, s.depth), []
                 held.append((line, tree.place(line.split("\x1f")), some))
             yield _verdicts(out)
         yield _verdicts(close() if held else [])
