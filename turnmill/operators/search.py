@@ -144,27 +144,6 @@ def entry_condition(df: DataFrame, f: SearchFilters, joined: bool = False) -> Co
     return out
 
 
-def trigrams(entries: DataFrame, wanted: list[str] | None = None) -> DataFrame:
-    """(gram, id): the distinct runs of three characters, lower-cased, of the indexed columns of each entry; with `wanted` only these.
-    Write it once and pass it to indexed_search()."""
-    text = F.lower(F.concat_ws("\n", *[_text(entries, n) for n in FTS_COLUMNS]))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1))), lambda i: F.substr(F.col("t"), i, F.lit(3))))
-    if wanted is not None:  # look for the few instead of listing all
-        grams = F.filter(F.array(*[F.lit(w) for w in wanted]), lambda w: F.contains(F.col("t"), w))
-    return entries.select("id", text.alias("t")).select(F.explode(grams).alias("gram"), "id")
-
-
-def indexed_search(entries: DataFrame, index: DataFrame, keyword: str) -> DataFrame:
-    """Entries that hold the phrase: ids that have all its trigrams are joined, then the phrase itself is looked for. A phrase of fewer
-    than three characters has none and is looked for everywhere."""
-    low = keyword.lower()
-    grams = list(dict.fromkeys(low[i : i + 3] for i in range(len(low) - 2)))
-    if not grams:
-        return entries.where(fts_condition(entries, keyword))
-    ids = index.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select("id")
-    return entries.join(ids, "id", "left_semi").where(fts_condition(entries, keyword))
-
-
 def fts_condition(df: DataFrame, keyword: str) -> Column:
     """A phrase in any indexed column, ignoring case; the trigram index answers from three characters on, below that a plain search."""
     return _any([ilike(_text(df, n), keyword) for n in FTS_COLUMNS])

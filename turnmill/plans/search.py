@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..operators import search as S
+from ..operators.grams import GramIndex, search_pattern, search_phrase
 from ..operators.search import SearchFilters
 from ..operators.tables import ENTRIES_SQL, PHRASES, entries, turns, turns_sql
+from ..shipping import working_folder
 from .registry import query
 
 _ROW = ("id", "title", "source", "year", "category")
@@ -85,10 +87,41 @@ for _sort, _order in (("id_desc", "t.id DESC"), ("id_asc", "t.id"), ("year_asc",
     _turn_sorted(_sort, _order)
 
 
+def _index(spark, e):
+    index = GramIndex(spark, working_folder(spark, "grams"), 16)
+    index.put(e)
+    return index
+
+
 @query("search_indexed", f"WITH {ENTRIES_SQL} SELECT id, title FROM entries WHERE title ILIKE '%Tion the%' OR content ILIKE '%Tion the%'")
 def search_indexed(spark, sf_dir):
+    """A phrase, answered from a stored index of the whole table."""
+    e = entries(spark, sf_dir)
+    return search_phrase(e, _index(spark, e), "Tion the").select("id", "title")
+
+
+@query("search_indexed_regex", f"WITH {ENTRIES_SQL} SELECT id, title FROM entries WHERE regexp_matches(content, '(?i)(license|licen[cs]ed) [a-z]+ +t(hat|his)')")
+def search_indexed_regex(spark, sf_dir):
+    """A regular expression, answered from the grams that its matches must have."""
+    e = entries(spark, sf_dir)
+    return search_pattern(e, _index(spark, e), "(license|licen[cs]ed) [a-z]+ +t(hat|his)").select("id", "title")
+
+
+_CHANGED = "CASE WHEN year >= 2015 THEN replace(content, 'the', 'zebra') ELSE content END"
+
+
+@query("search_indexed_changed", f"WITH {ENTRIES_SQL}, now AS (SELECT id, {_CHANGED} AS content FROM entries WHERE year >= 2003) SELECT id, regexp_matches(content, '(?i)zebra (in|on)') AS by_pattern FROM now WHERE content ILIKE '%zebra%' OR content ILIKE '%and the%'")
+def search_indexed_changed(spark, sf_dir):
+    """An index after two more batches: entries that change, and entries that go."""
     e = entries(spark, sf_dir)
-    return S.indexed_search(e, S.trigrams(e), "Tion the").select("id", "title")
+    index = _index(spark, e)
+    now = e.withColumn("content", F.when(F.col("year") >= 2015, F.replace("content", F.lit("the"), F.lit("zebra"))).otherwise(F.col("content")))
+    index.put(now.where("year >= 2015"))
+    index.delete(e.where("year < 2003"))
+    now = now.where("year >= 2003")
+    # the changed titles hold neither phrase
+    found = search_phrase(now, index, "zebra").select("id").union(search_phrase(now, index, "and the").select("id")).distinct()
+    return found.join(search_pattern(now, index, "zebra (in|on)").select("id", F.lit(True).alias("by")), "id", "left").select("id", F.coalesce("by", F.lit(False)).alias("by_pattern"))
 
 
 @query("candidate_turns", f"WITH {turns_sql(True)} SELECT id, turn_text FROM turns WHERE turn_text LIKE '%公园%' AND id < 15000000 AND source = '{L.SECTION_ORDER[0]}' ORDER BY id DESC LIMIT 40")
