@@ -18,6 +18,9 @@ STOPWORDS = frozenset(
 STOP_CHARS = frozenset("的一是在有和与及或就都也很不没吗呢啊吧呀嘛么着过了我你他她它这那")
 PHRASE_EDGE = " \t\r\n，。！？、；：,.!?;:\"'（）()【】[]《》<>"
 
+#: Runs of characters that are words of their own.
+CHUNK = "[A-Za-z0-9_]{2,}|[一-鿿]{2,6}"
+
 # ---- fixed values: speaker labels -------------------------------------------------------------------------------------
 ROLE_TERMS = tuple("记者 主持人 发言人 嘉宾 网友 提问 问 答 老师 学生 旁白 解说 主持 部长 副部长 司长 局长 主任 院士 教授 专家 负责人 代表 委员 先生 女士".split())
 EXACT_LABELS = tuple("甲 乙 丙 丁 A B Q 男 女 问 答 用户 助手 系统 中国网".split())

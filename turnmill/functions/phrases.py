@@ -7,7 +7,7 @@ import re
 from . import lexicon as L
 
 SPACES = re.compile(r"\s+")
-CHUNK = re.compile("[A-Za-z0-9_]{2,}|[一-鿿]{2,6}")
+CHUNK = re.compile(L.CHUNK)
 HAN = re.compile("[一-鿿]+")
 FRAMES = [(label, re.compile(p)) for label, p in L.FRAMES]
 

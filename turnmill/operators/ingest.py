@@ -215,9 +215,19 @@ def title_class(title: Column, category: Column, dataset: Column) -> Column:
     return out.otherwise(F.struct(category.alias("category"), dataset.alias("dataset_name")))
 
 
+#: Kinds of pieces that titles name behind the chapter.
+PIECES = ("对话单元", "片段", "规则", "LLM", "合并大对话")
+
+
 def chapter_of(title: Column) -> Column:
-    """What stands between a work's name and the kind of piece in titles like 《雷雨》第一幕 对话单元 3."""
-    return strip(F.regexp_extract(strip(F.coalesce(title, F.lit(""))), r"^《[^》]+》(.+?)\s+(?:对话单元|片段|规则|LLM|合并大对话)\s*\d*", 1))
+    """What stands between a work's name and the first kind of piece in titles like 《雷雨》第一幕 对话单元 3; empty in others."""
+    whole = strip(F.coalesce(title, F.lit("")))
+    close = F.locate("》", whole)
+    rest = F.when(whole.startswith("《") & (close > 2), F.substr(whole, close + 1))
+    # of the kinds that stand behind white space the first counts, and something has to stand before it
+    places = [F.regexp_instr(F.substr(rest, F.lit(2)), F.lit(rf"\s{kind}")) for kind in PIECES]
+    first = F.array_min(F.filter(F.array(*places), lambda i: i > 0))
+    return F.coalesce(strip(F.substr(rest, F.lit(1), first)), F.lit(""))
 
 
 def import_sources(sources: dict[str, DataFrame], stored: DataFrame, batch: str, created_at: str) -> tuple[DataFrame, DataFrame]:
