@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
 from . import phrases as P
 
@@ -49,8 +50,21 @@ class Token:
 
 
 def anchors(texts: list[str], terms: list[str]) -> list[str]:
-    common = [P.longest_common(a, b, 3) for i, a in enumerate(texts) for b in texts[i + 1 :]]
-    return P.merged(terms, *common, list(FRAMES))
+    """The terms, what any two texts have in common, and frames. Two texts without a common pair of characters have nothing, equal pairs of
+    texts the same; and texts are only compared until there are terms enough."""
+    plain = [P.normalized(t) for t in texts]
+    pairs = [{t[k : k + 2] for k in range(len(t) - 1)} for t in plain]
+    known: dict[tuple[str, str], list[str]] = {}
+
+    def common() -> Iterator[str]:
+        for i, a in enumerate(plain):
+            for j in range(i + 1, len(plain)):
+                b = plain[j]
+                if (a, b) not in known:
+                    known[a, b] = [] if pairs[i].isdisjoint(pairs[j]) else P.longest_common(a, b, 3)
+                yield from known[a, b]
+
+    return P.merged(terms, common(), list(FRAMES))
 
 
 def tokenize(text: str, lexicon: list[str]) -> list[Token]:

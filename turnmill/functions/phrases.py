@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from . import lexicon as L
 
@@ -63,8 +64,8 @@ def longest_common(a: str | None, b: str | None, most: int = 5) -> list[str]:
     return list(found)[:most]
 
 
-def merged(*groups: list[str], most: int = 24) -> list[str]:
-    """Terms in order; one inside a kept one is skipped, kept ones inside a new one give way."""
+def merged(*groups: Iterable[str], most: int = 24) -> list[str]:
+    """Terms in order; one inside a kept one is skipped, kept ones inside a new one give way. No more are taken than are needed."""
     kept: list[str] = []
     for term in (trimmed(t) for g in groups for t in g):
         if not substantive(term) or any(term in k for k in kept):

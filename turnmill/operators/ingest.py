@@ -26,15 +26,20 @@ def prepare(rows: DataFrame, batch: str, created_at: str) -> DataFrame:
 
 
 def first_of(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of least order for each key; no two rows of a key have the same order. Winners are aggregated without the other
-    columns, which then join."""
-    least = df.groupBy(key).agg(F.min(order).alias(order))
-    return df.join(least, [key, order], "left_semi")
+    """The row of least order for each key; no two rows have the same order. Winners are aggregated without the other columns, which
+    then join by the order alone, so that a key which is costly to make is made once."""
+    return _of_orders(df, key, order, df.groupBy(key).agg(F.min(order).alias(order)))
+
+
+def _of_orders(df: DataFrame, key: str, order: str, winners: DataFrame) -> DataFrame:
+    return df.drop(key).join(winners, order).select(*df.columns)
 
 
 def import_rows(prepared: DataFrame, stored: DataFrame, order: str = "row_no") -> DataFrame:
     """New entries: of equal contents the first, none that is stored already."""
-    return first_of(prepared.where(~F.col("failed")), "content_hash", order).join(stored.select("content_hash"), "content_hash", "left_anti")
+    ok = prepared.where(~F.col("failed"))
+    winners = ok.groupBy("content_hash").agg(F.min(order).alias(order)).join(stored.select("content_hash"), "content_hash", "left_anti")
+    return _of_orders(ok, "content_hash", order, winners)
 
 
 def import_plain(rows: DataFrame, batch: str, created_at: str, required: tuple[str, ...] = ("title", "content", "source", "year", "category")) -> DataFrame:

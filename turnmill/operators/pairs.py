@@ -26,12 +26,20 @@ def _content_turns(content: pd.Series) -> pd.Series:
 
 @F.pandas_udf(FEATURES)
 def pair_features(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([phrases.features(x, y) for x, y in zip(a, b, strict=True)], columns=FEATURES.names)
+    known: dict[tuple, dict] = {}
+    for pair in zip(a, b, strict=True):
+        if pair not in known:
+            known[pair] = phrases.features(*pair)
+    return pd.DataFrame([known[pair] for pair in zip(a, b, strict=True)], columns=FEATURES.names)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def shared_phrases(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([phrases.shared(x, y) for x, y in zip(a, b, strict=True)])
+    known: dict[tuple, list[str]] = {}
+    for pair in zip(a, b, strict=True):
+        if pair not in known:
+            known[pair] = phrases.shared(*pair)
+    return pd.Series([known[pair] for pair in zip(a, b, strict=True)])
 
 
 def split_entries(entries: DataFrame) -> DataFrame:
@@ -179,6 +187,18 @@ def window_turns(pairs: DataFrame, turns: DataFrame, window: str = "pair") -> Da
     return p.join(turns.select("conversation_key", "turn_index", "id", "speaker_label", "turn_text"), on).select("pair_id", "turn_index", "id", "speaker_label", "turn_text")
 
 
+def pairs_with_windows(turns: DataFrame, window: str = "pair") -> DataFrame:
+    """The turns around each pair of adjacent turns, as adjacent_pairs() and window_turns() give them, from one sorted pass over
+    conversations. Turns stored by conversation (layout.py) are not shuffled for it."""
+    more = {"context2": 2, "context5": 5}.get(window, 0)
+    by = Window.partitionBy("conversation_key").orderBy("turn_index")
+    near = by.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing) if window == "full" else by.rangeBetween(-(more + 1), more)
+    told = F.collect_list(F.struct("turn_index", "id", "speaker_label", "turn_text")).over(near)
+    before = F.lag("turn_index").over(Window.partitionBy("conversation_key").orderBy("turn_index", "id"))
+    found = turns.withColumns({"before": before, "near": told}).where("turn_index = before + 1").select(F.col("id").alias("pair_id"), F.explode("near").alias("x"))
+    return found.select("pair_id", "x.turn_index", "x.id", "x.speaker_label", "x.turn_text")
+
+
 _GRID = "pair_id long, row_no int, speaker string, cells map<string,string>"
 _RELATIONS = "pair_id long, place int, column string, mapping string, relation string, mechanisms array<string>"
 
@@ -229,17 +249,27 @@ def described(related: DataFrame) -> DataFrame:
     return related.withColumn("description", F.coalesce(notes[F.col("relation")], F.lit("")))
 
 
+_PAYLOAD = "pair_id long, columns array<string>, grid array<struct<row_no:int,speaker:string,cells:array<struct<key:string,value:string>>>>, turns array<struct<row_no:int,id:long,speaker:string,text:string>>, affordances array<struct<place:int,column:string,mapping:string,relation:string,description:string>>, supported array<string>"
+
+
+def _payload_rows(it):
+    for pair, rows, grid in _grids(it):
+        cells, found = grid.named_cells(), grid.relations()
+        row = {
+            "pair_id": pair,
+            "columns": sorted({c for r in cells for c in r}, key=lambda c: (len(c), c)),
+            "grid": [{"row_no": t[0], "speaker": t[2], "cells": [{"key": k, "value": v} for k, v in r.items()]} for t, r in zip(rows, cells, strict=True)],
+            "turns": [{"row_no": n, "id": i, "speaker": s, "text": x} for n, i, s, x in rows],
+            "affordances": [{"place": k, "column": r["column"], "mapping": r["mapping"], "relation": r["relation"], "description": L.RELATION_NOTES.get(r["relation"], "")} for k, r in enumerate(found)],
+            "supported": sorted({m for r in found for m in r["mechanisms"]}),
+        }
+        yield pd.DataFrame([row])
+
+
 def payloads(pairs: DataFrame, turns: DataFrame, window: str = "pair") -> DataFrame:
-    """One row for each pair: its turns, the grid's column names and rows, relations, and support of mechanisms, as nested values."""
-    g = grid(pairs, turns, window)
-    rows = g.groupBy("pair_id").agg(F.collect_list(F.struct("row_no", "speaker", F.map_entries("cells").alias("cells"))).alias("grid"), F.array_distinct(F.flatten(F.collect_list(F.map_keys("cells")))).alias("named"))
-    named = F.array_sort("named", lambda x, y: F.when(F.length(x) != F.length(y), F.length(x) - F.length(y)).when(x < y, -1).when(x > y, 1).otherwise(0))
-    rows = rows.select("pair_id", named.alias("columns"), F.array_sort("grid", lambda x, y: x["row_no"] - y["row_no"]).alias("grid"))
-    said = window_turns(pairs, turns, window).groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn_index").alias("row_no"), "id", F.coalesce(F.nullif("speaker_label", F.lit("")), F.lit("未标注")).alias("speaker"), F.col("turn_text").alias("text")))).alias("turns"))
-    found = described(relations(pairs, turns, window))
-    kept = found.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("place", "column", "mapping", "relation", "description"))).alias("affordances"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("mechanisms")))).alias("supported"))
-    empty = F.array()
-    return rows.join(said, "pair_id", "left").join(kept, "pair_id", "left").withColumns({"window": F.lit(window), "supported": F.coalesce("supported", empty.cast("array<string>"))})
+    """One row for each pair: its turns, the grid's column names and rows, relations, and support of mechanisms, as nested values. The turns
+    are gathered once, and grid and relations come from one alignment."""
+    return _gathered(pairs, turns, window).mapInPandas(_payload_rows, _PAYLOAD).withColumn("window", F.lit(window))
 
 
 _SCORES = "pair_id long, key string, probability double, threshold double, suggested boolean"

@@ -220,14 +220,26 @@ def _among(df: DataFrame, column: str, page: DataFrame, key: str, limit: int) ->
     return df.join(page.select(F.col(key).alias(column)).distinct(), column, "left_semi")
 
 
+def _of_conversations(turns: DataFrame, page: DataFrame, limit: int) -> DataFrame:
+    """The turns of the page's conversations. One that is an entry's own has that entry's turns only, and its id reaches the scan."""
+    if limit > PAGE_ROWS:
+        return _among(turns, "conversation_key", page, "conversation_key", limit)
+    keys = [(r[0], r[1]) for r in page.select("conversation_key", "entry_id").distinct().collect()]
+    own = F.col("conversation_key").isin([k for k, _ in keys])
+    if all(k == f"entry:{e}" for k, e in keys):
+        own = F.col("entry_id").isin([e for _, e in keys]) & own
+    return turns.where(own)
+
+
 def search_turns(turns: DataFrame, entries: DataFrame, f: SearchFilters, limit: int, offset: int = 0) -> DataFrame:
     """A page of hits with neighbours and entry data. The page is cut before the joins, so these touch its rows only."""
     f = f.normalized()
     hits = turn_hits(turns, entries, f).orderBy(*entry_order(f.sort, nulls_last=True))
     page = small_page((hits.offset(offset) if offset else hits).select(*turns.columns), limit)
     beside = page.select("conversation_key", F.explode(F.array(F.col("turn_index") - 1, F.col("turn_index") + 1)).alias("turn_index")).distinct()
-    near = _among(turns, "conversation_key", page, "conversation_key", limit).join(F.broadcast(beside) if limit <= PAGE_ROWS else beside, ["conversation_key", "turn_index"], "left_semi")
-    rows = with_neighbours(page, near)
+    near = _of_conversations(turns, page, limit).join(F.broadcast(beside) if limit <= PAGE_ROWS else beside, ["conversation_key", "turn_index"], "left_semi")
+    near = near.groupBy("conversation_key", "turn_index").agg(F.min_by("turn_text", "id").alias("turn_text"), F.min("id").alias("id"))
+    rows = with_neighbours(page, small_page(near, 2 * limit) if limit <= PAGE_ROWS else near)
     e = _among(entries, "id", page, "entry_id", limit).select(F.col("id").alias("e_id"), "title", "year", F.col("source").alias("e_source"), F.col("category").alias("e_category"), F.col("dataset_name").alias("e_dataset"))
     rows = rows.join(e, F.col("entry_id") == F.col("e_id"), "left")
     own = lambda a, b: F.coalesce(filled(F.col(a)), F.col(b), F.lit(""))
@@ -290,8 +302,8 @@ def candidate_turns(turns: DataFrame, keyword: str, limit=300, source: str = "",
 def candidate_pairs(turns: DataFrame, keyword: str, limit=300, **where) -> DataFrame:
     """Candidate turns, each with the turn before and the one after; every pair once."""
     n = candidate_limit(limit)
-    hit = small_page(candidate_turns(turns, keyword, n, **where).select("id", "conversation_key"), n)
-    near = _among(turns, "conversation_key", hit, "conversation_key", n)
+    hit = small_page(candidate_turns(turns, keyword, n, **where).select("id", "conversation_key", "entry_id"), n)
+    near = _of_conversations(turns, hit, n)
     a, b = (near.select("conversation_key", F.col("turn_index").alias(f"index_{x}"), F.col("id").alias(f"turn_{x}_id"), F.col("turn_text").alias(f"text_{x}")) for x in "ab")
     pairs = a.join(b.withColumn("index_a", F.col("index_b") - 1), ["conversation_key", "index_a"])
     for side in "ab":  # two joins by a key, where an OR of both would compare all rows

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -13,15 +12,13 @@ from ..operators import results as R
 from ..operators import statistics as St
 from ..operators.results import audio_url
 from ..operators.search import SearchFilters, exists, ilike, lookup, page_of_turns, turn_hits
-from ..operators.tables import ENTRIES_SQL, PHRASES, SCHEMAS, columns_of, create_tables, entries, pick, plan_facts, table, turns, turns_sql
+from ..operators.tables import ENTRIES_SQL, PHRASES, SCHEMAS, columns_of, conform, create_tables, entries, pick, plan_facts, table, turns, turns_sql
 from ..shipping import working_folder
 from .registry import query
 
 _SECTION = f"CASE WHEN source = '{L.TEXT_DIALOGUE}' AND category IN {L.ANCIENT_CATEGORIES} THEN '{L.ANCIENT}' ELSE coalesce(source, '') END"
 
 
-
-
 def _detail(*names: str, where: str = "", entries: str = "entries", turns: str = "turns") -> str:
     by = ", ".join(names)
     both = ", ".join(f"coalesce(e.{n}, t.{n}) AS {n}" for n in names)
@@ -241,13 +238,16 @@ def catalog_columns(spark, sf_dir):
     return c.withColumn("place", F.col("place").cast("long"))
 
 
-@query("stored_tables", f"SELECT unnest({sorted(SCHEMAS)}) AS table_name, 0 AS n")
+@query("stored_tables", f"WITH {turns_sql()}, {ENTRIES_SQL} SELECT t AS table_name, CASE t WHEN 'entries' THEN (SELECT count(*) FROM entries) WHEN 'turns' THEN (SELECT count(*) FROM turns) ELSE 0 END AS n FROM (SELECT unnest({sorted(SCHEMAS)}) AS t)")
 def stored_tables(spark, sf_dir):
+    """The rows of all tables after they were made and two of them filled."""
     folder = working_folder(spark, "tables")
     create_tables(spark, folder)
+    for name, df in (("entries", entries(spark, sf_dir)), ("turns", turns(spark, sf_dir))):
+        conform(df, SCHEMAS[name]).write.mode("append").parquet(f"{folder}/{name}")
     out = None
     for name, schema in sorted(SCHEMAS.items()):
-        one = spark.read.schema(schema).parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), F.col("n").cast("int").alias("n"))
+        one = spark.read.schema(schema).parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 

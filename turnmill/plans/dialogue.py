@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions.text import is_valid_label, parse_speaker, resonance_tokens, terms_from_json
 from ..operators import pairs as P
+from ..operators.layout import by_conversation, conversation_counts
 from ..operators.tables import ENTRIES_SQL, PHRASES, entries, pick, turns, turns_sql
 from .registry import query
 
@@ -185,6 +186,25 @@ def diagraph_window(spark, sf_dir):
     return P.window_turns(_pairs(spark, sf_dir), turns(spark, sf_dir, True), "context2").select("pair_id", "turn_index", "turn_text")
 
 
+@query("adjacent_pairs_stored", f"WITH {turns_sql(True)}, {_PAIRS} SELECT turn_a_id, turn_b_id, conversation_key, text_a, text_b FROM pairs")
+def adjacent_pairs_stored(spark, sf_dir):
+    """Pairs of turns that are stored by conversation: no shuffle."""
+    return P.adjacent_pairs(by_conversation(turns(spark, sf_dir, True), buckets=8)).select("turn_a_id", "turn_b_id", "conversation_key", "text_a", "text_b")
+
+
+@query(
+    "diagraph_window_stored",
+    f"WITH {turns_sql(True)}, {_PAIRS} SELECT p.id AS pair_id, t.turn_index, t.turn_text FROM pairs p JOIN turns t ON t.conversation_key = p.conversation_key AND t.turn_index BETWEEN p.turn_index_a - 2 AND p.turn_index_b + 2",
+)
+def diagraph_window_stored(spark, sf_dir):
+    return P.pairs_with_windows(by_conversation(turns(spark, sf_dir, True), buckets=8), "context2").select("pair_id", "turn_index", "turn_text")
+
+
+@query("conversation_counts", f"WITH {turns_sql(True)} SELECT conversation_key, count(*) AS n_turns, count(DISTINCT speaker_label) AS n_speakers FROM turns GROUP BY 1")
+def counts_by_conversation(spark, sf_dir):
+    return conversation_counts(by_conversation(turns(spark, sf_dir, True), buckets=8))
+
+
 @query("diagraph_grid")
 def diagraph_grid(spark, sf_dir):
     p = P.with_features(_pairs(spark, sf_dir))

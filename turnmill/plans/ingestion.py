@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, search_text
 from ..operators import folding
 from ..operators import ingest as I
+from ..operators.merging import copy_with_retries, merge_into
 from ..operators.results import audio_url
 from ..operators.tables import ENTRIES_SQL, entries, pick, table, turns, turns_sql
 from ..shipping import working_folder
@@ -212,15 +210,37 @@ def csv_round_trip(spark, sf_dir):
     return files.read_csv(spark, at)
 
 
-@query("json_entries", "SELECT CAST(n AS BIGINT) AS id, 'title ' || n AS title, CASE WHEN n % 2 = 0 THEN '语料' ELSE '来源' END AS dataset_name FROM range(1, 21) t(n)")
+@query("json_entries", f"WITH {ENTRIES_SQL} SELECT id, title, CASE WHEN id % 2 = 0 THEN category ELSE source END AS dataset_name FROM entries")
 def json_entries(spark, sf_dir):
-    """An array of entries in one file, as samples come."""
+    """Entries as arrays of a thousand in a file each, as samples come; every other one has no category."""
     at = working_folder(spark, "json")
-    rows = [{"id": n, "title": f"title {n}", "content": "你好", "source": "来源", "year": 2020, "category": "" if n % 2 else "语料"} for n in range(1, 21)]
-    spark.createDataFrame([(json.dumps(rows, ensure_ascii=False),)], "value string").coalesce(1).write.text(at)
+    e = entries(spark, sf_dir).select("id", "title", "content", "source", "year", F.when(F.col("id") % 2 == 0, F.col("category")).otherwise("").alias("category"))
+    arrays = e.groupBy(F.expr("id div 1000").alias("k")).agg(F.to_json(F.collect_list(F.struct(*e.columns))).alias("value"))
+    arrays.repartition("k").write.partitionBy("k").text(at)
     return files.read_entries_json(spark, at).select("id", "title", "dataset_name")
 
 
+@query("merged_partitions", f"WITH {ENTRIES_SQL} SELECT id, CASE WHEN year >= 2020 AND id % 3 = 0 THEN 'new ' || title ELSE title END AS title, year FROM entries")
+def merged_partitions(spark, sf_dir):
+    """A table in folders by year, into which changes of the last years are merged, twice."""
+    at = working_folder(spark, "merged")
+    e = entries(spark, sf_dir).select("id", "title", "year")
+    merge_into(at, e, ("id",), "year", 0)
+    for _ in range(2):
+        merge_into(at, e.where("year >= 2020 AND id % 3 = 0").withColumn("title", F.concat(F.lit("new "), "title")), ("id",), "year", 1)
+    return spark.read.parquet(at).select("id", "title", "year")
+
+
+@query("copy_with_failures", f"WITH {ENTRIES_SQL} SELECT count(*) FILTER (id % 9 <> 0 AND id % 4 <> 0) AS copied, count(*) FILTER (id % 9 <> 0 AND id % 4 = 0) AS skipped, count(*) FILTER (id % 9 = 0) AS failed FROM entries")
+def copy_with_failures(spark, sf_dir):
+    """A copy of which rows without a title fail, and rows that are there already are skipped."""
+    at = working_folder(spark, "copy")
+    e = entries(spark, sf_dir).select("id", F.when(F.col("id") % 9 != 0, F.col("title")).alias("title"))
+    e.where("id % 4 = 0").write.parquet(at)
+    n = copy_with_retries(e, at, ("id",), F.col("title").isNotNull())
+    return spark.createDataFrame([tuple(n.values())], "copied long, skipped long, failed long")
+
+
 @query("text_files", f"WITH {ENTRIES_SQL} SELECT sha256(encode(content || 'é你')) AS file_hash, length(content || 'é你') AS n_chars FROM entries")
 def text_files(spark, sf_dir):
     """Texts as bytes of a file each, decoded; half of them begin with a byte order mark, which is no part of the text."""
@@ -281,12 +301,12 @@ def qa_candidates(spark, sf_dir):
     return I.qa_candidates(t, 20)
 
 
-@query("source_order", f"WITH {ENTRIES_SQL}, p AS (SELECT id, title, (['ministry_press','mfa_press','blog','china_live'])[CAST(id % 4 AS INTEGER) + 1] AS d FROM entries) SELECT id, row_number() OVER (ORDER BY CASE d WHEN 'mfa_press' THEN 0 WHEN 'ministry_press' THEN 3 WHEN 'china_live' THEN 5 ELSE 99 END, title) AS place FROM p ORDER BY place LIMIT 60")
+@query("source_order", f"WITH {ENTRIES_SQL}, p AS (SELECT id, title, (['ministry_press','mfa_press','blog','china_live'])[CAST(id % 4 AS INTEGER) + 1] AS d FROM entries) SELECT id, row_number() OVER (ORDER BY CASE d WHEN 'mfa_press' THEN 0 WHEN 'ministry_press' THEN 3 WHEN 'china_live' THEN 5 ELSE 99 END, title) AS place FROM p")
 def ordered_sources(spark, sf_dir):
-    """The first articles in the order of their sources."""
+    """All articles in the order of their sources."""
     e = entries(spark, sf_dir).withColumn("d", pick(("ministry_press", "mfa_press", "blog", "china_live"), F.col("id")))
-    first = e.select("id", *[c.alias(n) for c, n in zip(I.source_order(F.col("d"), F.col("title")), ("rank", "name"))]).orderBy("rank", "name").limit(60)
-    return first.select("id", F.row_number().over(Window.orderBy("rank", "name")).cast("long").alias("place"))  # 60 rows
+    named = e.select(F.col("id").alias("entry"), *[c.alias(n) for c, n in zip(I.source_order(F.col("d"), F.col("title")), ("rank", "name"))])
+    return I.with_ids(named, 0, "rank", "name").select(F.col("entry").alias("id"), F.col("id").alias("place"))
 
 
 @query("page_titles", f"WITH {ENTRIES_SQL} SELECT id AS page_id, CASE id % 4 WHEN 2 THEN 'The page' ELSE title || ' long' END AS title, CASE WHEN id % 4 = 3 THEN '1999' ELSE '2021' END AS year FROM entries")

@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions.text import markers_in
 from ..operators import results as R
-from ..operators.search import SearchFilters, search_turns
+from ..operators.search import SearchFilters, turn_hits, with_neighbours
 from ..operators.tables import ENTRIES_SQL, REQUESTS_SQL, entries, pick, requests, turns, turns_sql
 from .registry import query
 
 
 @query("segment_context")
 def segment_context(spark, sf_dir):
-    hits = search_turns(turns(spark, sf_dir), entries(spark, sf_dir), SearchFilters("tion"), 50)
-    page = hits.select("id", F.col("prev_text").alias("prev_segment"), F.col("hit_text").alias("current_segment"), F.col("next_text").alias("next_segment"), F.col("speaker_label").alias("speaker"))
+    t = turns(spark, sf_dir)
+    hits = with_neighbours(turn_hits(t, entries(spark, sf_dir), SearchFilters("tion")), t)
+    page = hits.select("id", F.col("prev_text").alias("prev_segment"), F.col("turn_text").alias("current_segment"), F.col("next_text").alias("next_segment"), F.col("speaker_label").alias("speaker"))
     return R.with_context(page, "tion").select("id", "before", "hit", "after", "hit_html")
 
 
 @query("unit_context")
 def unit_context(spark, sf_dir):
-    e = entries(spark, sf_dir).where("content LIKE '%tion%'").orderBy(F.desc("id")).limit(50).select("id", "content")
+    e = entries(spark, sf_dir).where("content LIKE '%tion%'").select("id", "content")
     return R.with_context(e, "tion").select("id", "before", "hit", "after", "hit_html")
 
 

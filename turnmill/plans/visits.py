@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import utc_timestamp
 from ..operators import visits as V
+from ..operators.bitmaps import bucket_bitmaps, distinct_visitors, numbered, rolled_up, trailing
 from ..operators.groups import connected
 from ..operators.tables import REQUESTS_SQL, as_requests, entries, pick, requests, turns
 from ..streaming import run
@@ -40,6 +41,28 @@ def visitor_daily_gapfill(spark, sf_dir):
     return V.daily_visitors(requests(spark, sf_dir), DAY)
 
 
+def _bitmaps(spark, sf_dir):
+    r = requests(spark, sf_dir)
+    return bucket_bitmaps(r, numbered(r), V.bucket(F.col("epoch"), V.BUCKET))
+
+
+@query("visitor_rollup_hours", f"WITH {REQUESTS_SQL} SELECT epoch // 3600 AS hour, count(DISTINCT visitor) AS visitors FROM requests GROUP BY 1")
+def visitor_rollup_hours(spark, sf_dir):
+    """Visitors of each hour, from the bitmaps of its buckets."""
+    return distinct_visitors(rolled_up(_bitmaps(spark, sf_dir), F.expr("bucket_epoch div 3600"), "hour"), "hour")
+
+
+@query(
+    "visitor_rollup_fortnights",
+    f"""WITH {REQUESTS_SQL}, v AS (SELECT DISTINCT epoch // 86400 AS day, visitor FROM requests), d AS (SELECT unnest(generate_series((SELECT min(day) FROM v), (SELECT max(day) FROM v))) AS day)
+SELECT d.day, count(DISTINCT visitor) AS visitors FROM d JOIN v ON v.day BETWEEN d.day - 13 AND d.day GROUP BY 1""",
+)
+def visitor_rollup_fortnights(spark, sf_dir):
+    """Visitors of each day and the thirteen before it, from the bitmaps of days."""
+    days = rolled_up(_bitmaps(spark, sf_dir), F.expr("bucket_epoch div 86400"), "day")
+    return distinct_visitors(trailing(days, 14), "day")
+
+
 @query("ip_activity_buckets", f"WITH {REQUESTS_SQL}, {_ACTIVITY} SELECT * FROM activity")
 def ip_activity_buckets(spark, sf_dir):
     return V.ip_activity(requests(spark, sf_dir))
@@ -144,9 +167,15 @@ def request_refusals(spark, sf_dir):
     return r.select("id", F.coalesce(V.refusal(r, V.Limits())["reason"], F.lit("")).alias("reason"))
 
 
-@query("guard_policies", "SELECT * FROM (VALUES ('general', 240, 60, 60), ('search', 40, 60, 120), ('resonance', 24, 60, 180), ('context', 36, 60, 180), ('export', 6, 600, 900), ('audio', 30, 60, 300), ('login', 10, 900, 900)) t(policy, \"limit\", window_seconds, penalty_seconds)")
+_LIMITS = ", ".join(f"('{n}', {a}, {b}, {c})" for n, (a, b, c) in V.guard.POLICIES.items())
+
+
+@query("guard_policies", f"WITH {REQUESTS_SQL}, l AS (SELECT * FROM (VALUES {_LIMITS}) t(policy, \"limit\", window_seconds, penalty_seconds)), n AS (SELECT ({list(_PATHS.values())})[CAST(id % {len(_PATHS)} AS INTEGER) + 1] AS policy, count(*) AS n FROM requests GROUP BY 1) SELECT l.*, coalesce(n, 0) AS n_requests FROM l LEFT JOIN n USING (policy)")
 def guard_policies(spark, sf_dir):
-    return V.guard_policies(spark)
+    """The policies in force, and how many requests fall under each."""
+    r = requests(spark, sf_dir).withColumn("path", pick(tuple(_PATHS), F.col("id")))
+    n = r.groupBy(V.request_policy(F.col("path"), F.col("method")).alias("policy")).agg(F.count(F.lit(1)).alias("n"))
+    return V.guard_policies(spark).join(n, "policy", "left").select("policy", "limit", "window_seconds", "penalty_seconds", F.coalesce("n", F.lit(0)).alias("n_requests"))
 
 
 @query("request_groups", f"WITH {REQUESTS_SQL} SELECT DISTINCT 'ip:' || ip AS node, min('ip:' || ip) OVER (PARTITION BY visitor) AS root FROM requests")
