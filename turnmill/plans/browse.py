@@ -238,7 +238,7 @@ def catalog_columns(spark, sf_dir):
     return c.withColumn("place", F.col("place").cast("long"))
 
 
-@query("stored_tables", f"WITH {turns_sql()}, {ENTRIES_SQL} SELECT t AS table_name, CASE t WHEN 'entries' THEN (SELECT count(*) FROM entries) WHEN 'turns' THEN (SELECT count(*) FROM turns) ELSE 0 END AS n FROM (SELECT unnest({sorted(SCHEMAS)}) AS t)")
+@query("stored_tables", f"WITH {turns_sql()} SELECT t AS table_name, CASE t WHEN 'entries' THEN (SELECT count(*) FROM entries) WHEN 'turns' THEN (SELECT count(*) FROM turns) ELSE 0 END AS n FROM (SELECT unnest({sorted(SCHEMAS)}) AS t)")
 def stored_tables(spark, sf_dir):
     """The rows of all tables after they were made and two of them filled."""
     folder = working_folder(spark, "tables")
