@@ -9,6 +9,7 @@ from ..functions.text import is_valid_label, parse_speaker, resonance_tokens, te
 from ..operators import pairs as P
 from ..operators.layout import by_conversation, conversation_counts
 from ..operators.tables import ENTRIES_SQL, PHRASES, entries, pick, turns, turns_sql
+from .phrase_sql import features_sql, phrases_sql
 from .registry import query
 
 _PAIRS = """pairs AS (SELECT b.id, a.id AS turn_a_id, b.id AS turn_b_id, b.conversation_key, b.dataset_name, b.source, b.category, a.turn_index AS turn_index_a, b.turn_index AS turn_index_b,
@@ -98,17 +99,20 @@ def tokens(spark, sf_dir):
     return turns(spark, sf_dir, True).select("id", F.array_join(resonance_tokens(F.col("turn_text")), "|").alias("tokens"))
 
 
-@query("shared_phrases")
+@query("shared_phrases", f"WITH {turns_sql(True)}, {_PAIRS}, {phrases_sql()} SELECT p.id, array_to_string(s.shared, '|') AS terms FROM pairs p JOIN said s ON s.text_a = p.text_a AND s.text_b = p.text_b")
 def shared(spark, sf_dir):
     return _pairs(spark, sf_dir).select("id", F.array_join(P.shared_phrases("text_a", "text_b"), "|").alias("terms"))
 
 
-@query("pair_features")
+_FLAG_LIST = ", ".join(f"f.{c}" for c in L.FLAGS.values())
+
+
+@query("pair_features", f"WITH {turns_sql(True)}, {_PAIRS}, {features_sql()} SELECT p.*, t.entry_id, array_to_string(f.shared_terms, '|') AS shared_terms, array_to_string(f.markers, '|') AS markers, {_FLAG_LIST} FROM pairs p JOIN feats f ON f.id = p.id JOIN turns t ON t.id = p.id")
 def features(spark, sf_dir):
     return P.with_features(_pairs(spark, sf_dir)).withColumns({c: F.array_join(c, "|") for c in ("shared_terms", "markers")})
 
 
-@query("pair_flag_totals")
+@query("pair_flag_totals", f"WITH {turns_sql(True)}, {_PAIRS}, {features_sql()} SELECT count(*) AS n_pairs, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in L.FLAGS.values()) + " FROM feats")
 def flag_totals(spark, sf_dir):
     return P.flag_totals(P.with_features(_pairs(spark, sf_dir)))
 
@@ -118,7 +122,7 @@ def resonance_contrast_page(spark, sf_dir):
     return P.resonance_page(P.with_features(_pairs(spark, sf_dir)), "contrast", 20, keyword="公园").select("id", "text_a", "text_b")
 
 
-@query("resonance_page")
+@query("resonance_page", f"WITH {turns_sql(True)}, {_PAIRS}, {features_sql()} SELECT p.id, p.text_a, p.text_b FROM pairs p JOIN feats f ON f.id = p.id WHERE p.id < 90000000 AND (" + " OR ".join(f"f.{c} = 1" for c in L.PRESET_FLAGS["resonance"]) + ") ORDER BY p.id DESC LIMIT 50")
 def resonance_page(spark, sf_dir):
     return P.resonance_page(P.with_features(_pairs(spark, sf_dir)), "resonance", 50, cursor=90_000_000).select("id", "text_a", "text_b")
 
