@@ -9,6 +9,7 @@ from ..functions.text import is_valid_label, parse_speaker, resonance_tokens, te
 from ..operators import pairs as P
 from ..operators.layout import by_conversation, conversation_counts
 from ..operators.tables import ENTRIES_SQL, PHRASES, entries, pick, turns, turns_sql
+from ..operators.terms import term_counts, with_terms_in
 from .phrase_sql import features_sql, phrases_sql
 from .registry import query
 
@@ -78,6 +79,20 @@ def qa_response(spark, sf_dir):
     return _pairs(spark, sf_dir).where(P.question_answer(F.col("text_a"), F.col("text_b"))).select("id", "text_a", "text_b")
 
 
+#: Words and markers of all kinds, looked for in one pass.
+_TERMS = list(dict.fromkeys([*sorted(L.STOPWORDS), *L.QUESTION_MARKERS, *L.RESPONSE_MARKERS, *L.CONTRAST_MARKERS, *L.REVISION_MARKERS]))
+
+
+@query("terms_found", f"WITH {turns_sql(True)} SELECT id, array_to_string({_found('turn_text', _TERMS, len(_TERMS))}, '|') AS terms FROM turns")
+def terms_found(spark, sf_dir):
+    return with_terms_in(turns(spark, sf_dir, True), "turn_text", _TERMS).select("id", F.array_join("terms", "|").alias("terms"))
+
+
+@query("term_counts", f"WITH {turns_sql(True)} SELECT m AS term, count(*) AS n_texts FROM (SELECT unnest({_found('turn_text', _TERMS, len(_TERMS))}) AS m FROM turns) GROUP BY 1")
+def counts_of_terms(spark, sf_dir):
+    return term_counts(turns(spark, sf_dir, True), "turn_text", _TERMS)
+
+
 @query("contrast_response", f"WITH {turns_sql(True)}, {_PAIRS}, m AS (SELECT id, {_found('text_b', L.CONTRAST_MARKERS)} AS markers FROM pairs) SELECT id, array_to_string(markers, '|') AS markers FROM m WHERE len(markers) > 0")
 def contrast_response(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("m", P.contrast(F.col("text_b"))).where("size(m) > 0").select("id", F.array_join("m", "|").alias("markers"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, search_text
@@ -11,7 +13,7 @@ from ..operators.merging import copy_with_retries, merge_into
 from ..operators.results import audio_url
 from ..operators.tables import ENTRIES_SQL, entries, pick, table, turns, turns_sql
 from ..shipping import working_folder
-from ..sources import files
+from ..sources import files, objects
 from .registry import query
 
 _HASH = "sha256(replace(replace(trim(content, chr(10) || ' ' || chr(13) || chr(9)), chr(13) || chr(10), chr(10)), chr(13), chr(10)))"
@@ -241,6 +243,18 @@ def copy_with_failures(spark, sf_dir):
     return spark.createDataFrame([tuple(n.values())], "copied long, skipped long, failed long")
 
 
+@query("stored_objects", f"WITH {ENTRIES_SQL} SELECT 'doc' || id || '.txt' AS name, octet_length(encode(content)) <= 4000 AS accepted, octet_length(encode(content)) AS length, CASE WHEN octet_length(encode(content)) <= 4000 THEN sha256(content) END AS hash FROM entries")
+def stored_objects(spark, sf_dir):
+    """Texts as files of a folder, written and listed by the data source; those of over 4000 bytes are not read."""
+    objects.register(spark)
+    at = working_folder(spark, "objects").removeprefix("file://")
+    os.makedirs(at)
+    named = entries(spark, sf_dir).select(F.concat(F.lit("doc"), "id", F.lit(".txt")).alias("name"), F.encode("content", "utf-8").alias("content"))
+    named.write.format("stored_objects").option("path", at).option("maxbytes", 1 << 30).mode("append").save()
+    found = spark.read.format("stored_objects").option("path", at).option("extensions", "txt").option("maxbytes", 4000).load()
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "accepted", "length", F.sha2("content", 256).alias("hash"))
+
+
 @query("text_files", f"WITH {ENTRIES_SQL} SELECT sha256(encode(content || 'é你')) AS file_hash, length(content || 'é你') AS n_chars FROM entries")
 def text_files(spark, sf_dir):
     """Texts as bytes of a file each, decoded; half of them begin with a byte order mark, which is no part of the text."""

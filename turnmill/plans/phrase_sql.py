@@ -30,8 +30,8 @@ def _in(terms, text: str) -> str:
 def phrases_sql() -> str:
     """said: the distinct pairs of texts, with `shared`, their shared phrases."""
     solid = lambda x: f"length({x}) >= 2 AND NOT list_contains({_WORDS}, {x}) AND length(translate({x}, '{_STOP}', '')) > 0"
-    tokens = lambda t: f"""list_filter(list_concat(list_filter(regexp_extract_all({t}, '{L.CHUNK}'), lambda x: NOT list_contains({_WORDS}, x)),
-      list_filter(list_transform(range(1, length(regexp_replace({t}, '[^一-鿿]+', '', 'g'))), lambda i: substr(regexp_replace({t}, '[^一-鿿]+', '', 'g'), CAST(i AS BIGINT), 2)), lambda x: NOT regexp_matches(x, '[{_STOP}]') AND NOT list_contains({_WORDS}, x))), lambda x: true)"""
+    tokens = lambda t: f"""list_concat(list_filter(regexp_extract_all({t}, '{L.CHUNK}'), lambda x: NOT list_contains({_WORDS}, x)),
+      list_filter(list_transform(range(1, length(regexp_replace({t}, '[^一-鿿]+', '', 'g'))), lambda i: substr(regexp_replace({t}, '[^一-鿿]+', '', 'g'), CAST(i AS BIGINT), 2)), lambda x: NOT regexp_matches(x, '[{_STOP}]') AND NOT list_contains({_WORDS}, x)))"""
     first = lambda xs, n: f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)[1:{n}]"
     return f"""said0 AS (SELECT DISTINCT text_a, text_b FROM pairs),
 norm AS (SELECT *, trim(regexp_replace(coalesce(text_a, ''), '\\s+', ' ', 'g')) AS a, trim(regexp_replace(coalesce(text_b, ''), '\\s+', ' ', 'g')) AS b FROM said0),
