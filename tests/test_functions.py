@@ -131,3 +131,28 @@ def test_resonance_tokens_column_equals_python(spark):
     texts = ["我们现在去学校吧，学校很远", "the school and the 学校 ab12 _x", "", "好", "为什么不去公园公园"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.resonance_tokens(F.col("t"))).collect()
     assert [r[0] for r in got] == [phrases.tokens(t) for t in texts]
+
+
+def test_relation_model_learns_and_generalises():
+    import random
+
+    from turnmill.functions import relation_model
+
+    rng = random.Random(3)
+    chars = "春夏秋冬山水花鸟天地人和上下左右大小多少"
+    said = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    rows = []
+    for k in range(600):
+        a, b, shown = said(8), said(8), set()
+        if k % 3 == 0:
+            b, shown = f"不是{b}", shown | {"contrast"}
+        if k % 4 == 0:
+            b, shown = b + a[2:6], shown | {"reproduction"}
+        rows.append((a, b, shown))
+    keys = ("reproduction", "contrast", "repair")
+    model = relation_model.train(*map(list, zip(*rows[:400])), keys)
+    p = model([r[0] for r in rows[400:]], [r[1] for r in rows[400:]])
+    for key in keys[:2]:
+        yes, no = ([x[key] for x, r in zip(p, rows[400:]) if (key in r[2]) == want] for want in (True, False))
+        assert sum(x > y for x in yes for y in no) > 0.93 * len(yes) * len(no)
+    assert all(x["repair"] < 0.01 for x in p) and relation_model.train([], [], [], keys)(["a"], [None])[0].keys() == set(keys)

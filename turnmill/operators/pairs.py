@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import diagraph, grammar, phrases
+from ..functions import diagraph, grammar, phrases, relation_model
 from ..functions import lexicon as L
 from ..functions.text import contains_any, conversation_key, display_source, fragment_label, frames_in_both, markers_in, normalize_speaker, normalize_turn, origin_label
 from .search import display_condition, ilike
@@ -291,6 +291,21 @@ def relation_scores(pairs: DataFrame, scorer=None) -> DataFrame:
     return pairs.select("id", "text_a", "text_b").mapInPandas(run, _SCORES)
 
 
+#: Pairs that a relation model is trained on, at most.
+TRAINING_PAIRS = 4000
+
+
+def trained_relations(pairs: DataFrame, turns: DataFrame, most: int = TRAINING_PAIRS) -> relation_model.RelationModel:
+    """A model of the mechanisms that rules find, trained on a bounded sample: the `most` distinct pairs of texts of least hash. It
+    generalises the rules to pairs in which their words are missing."""
+    texts = pairs.groupBy("text_a", "text_b").agg(F.min("id").alias("id")).orderBy(F.xxhash64("text_a", "text_b"), "id").limit(most)
+    sample = pairs.join(F.broadcast(texts.select("id")), "id", "left_semi")
+    found = relations(sample, turns).select("pair_id", F.explode("mechanisms").alias("key")).groupBy("pair_id").agg(F.collect_set("key").alias("shown"))
+    rows = sample.join(found, sample.id == found.pair_id, "left").select("text_a", "text_b", "shown").collect()  # `most` rows
+    rows.sort(key=lambda r: (r["text_a"] or "", r["text_b"] or ""))
+    return relation_model.train([r["text_a"] for r in rows], [r["text_b"] for r in rows], [set(r["shown"] or ()) for r in rows], tuple(diagraph.THRESHOLDS))
+
+
 def pair_support(related: DataFrame, scores: DataFrame) -> DataFrame:
     """For each pair and mechanism whether rules, the scorer, both (joint) or neither support it."""
     n = related.select("pair_id", F.explode("mechanisms").alias("key")).groupBy("pair_id", "key").agg(F.count(F.lit(1)).alias("rule_support"))

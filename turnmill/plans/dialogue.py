@@ -240,11 +240,8 @@ def mechanism_summary(spark, sf_dir):
     return P.mechanism_summary(P.relations(P.with_features(_pairs(spark, sf_dir)), turns(spark, sf_dir, True)))
 
 
-def _even(a, b):
-    return [{"contrast": len(x) % 2 * 0.5, "reproduction": 0.9} for x in a]
-
-
 @query("relation_scores")
 def relation_scores(spark, sf_dir):
-    p = P.with_features(_pairs(spark, sf_dir))
-    return P.pair_support(P.relations(p, turns(spark, sf_dir, True)), P.relation_scores(p, _even))
+    """Support of mechanisms by rules and by a model that is trained on what rules find."""
+    p, t = P.with_features(_pairs(spark, sf_dir)), turns(spark, sf_dir, True)
+    return P.pair_support(P.relations(p, t), P.relation_scores(p, P.trained_relations(p, t)))
