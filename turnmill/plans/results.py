@@ -31,7 +31,15 @@ def highlight(spark, sf_dir):
     return R.highlighted(entries(spark, sf_dir), "content", "tion").select("id", "html")
 
 
-@query("highlight_resonance")
+_MARKED = f"""c AS (SELECT turn_text, i, substr(turn_text, i, 1) AS ch FROM (SELECT turn_text, unnest(range(1, length(turn_text) + 1)) AS i FROM (SELECT DISTINCT turn_text FROM turns))),
+s AS (SELECT *, CASE WHEN len(list_filter({list(L.CONTRAST_MARKERS)}, lambda m: len(list_filter(range(0, length(m)), lambda k: i > k AND substr(turn_text, i - k, length(m)) = m)) > 0)) > 0 THEN 1 ELSE 0 END
+  + CASE WHEN len(list_filter(range(0, 2), lambda k: i > k AND substr(turn_text, i - k, 2) = '公园')) > 0 THEN 2 ELSE 0 END AS state FROM c),
+r AS (SELECT *, sum(CASE WHEN state IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY turn_text ORDER BY i) AS run FROM (SELECT *, lag(state) OVER (PARTITION BY turn_text ORDER BY i) AS before FROM s)),
+h AS (SELECT turn_text, run, min(state) AS state, string_agg(CASE ch WHEN '&' THEN '&amp;' WHEN '<' THEN '&lt;' WHEN '>' THEN '&gt;' WHEN '"' THEN '&quot;' WHEN '''' THEN '&#x27;' ELSE ch END, '' ORDER BY i) AS x FROM r GROUP BY ALL),
+m AS (SELECT turn_text, string_agg(CASE state WHEN 0 THEN x ELSE '<span class="' || (['resonance-marker', 'query-highlight', 'resonance-marker query-highlight'])[state] || '">' || x || '</span>' END, '' ORDER BY run) AS html FROM h GROUP BY ALL)"""
+
+
+@query("highlight_resonance", f"WITH {turns_sql(True)}, {_MARKED} SELECT t.id, coalesce(m.html, '') AS html FROM turns t LEFT JOIN m ON m.turn_text = t.turn_text")
 def highlight_resonance(spark, sf_dir):
     t = turns(spark, sf_dir, True).withColumn("markers", markers_in(F.col("turn_text"), L.CONTRAST_MARKERS))
     return R.highlighted(t, "turn_text", "公园", "markers").select("id", "html")
