@@ -169,6 +169,19 @@ def search_entries(entries: DataFrame, f: SearchFilters, limit: int | None = Non
     return (page.offset(offset) if offset else page).limit(limit)
 
 
+def filter_steps(entries: DataFrame, f: SearchFilters) -> DataFrame:
+    """(place, step, rows_in, rows_removed): what each filter of a search removes, one after another, from one scan."""
+    f = f.normalized()
+    plain = SearchFilters()
+    steps = [(n.name, replace(plain, **({n.name: getattr(f, n.name)} | ({"mode": f.mode, "field": f.field} if n.name == "keyword" else {})))) for n in fields(f) if n.name not in ("mode", "field", "sort") and getattr(f, n.name) != getattr(plain, n.name)]
+    passed, counts = F.lit(True), [F.count(F.lit(1)).alias("n0")]
+    for k, (_, one) in enumerate(steps, 1):
+        passed = passed & F.coalesce(entry_condition(entries, one), F.lit(False))
+        counts.append(F.count_if(passed).alias(f"n{k}"))
+    rows = [F.struct(F.lit(k).alias("place"), F.lit(name).alias("step"), F.col(f"n{k - 1}").alias("rows_in"), (F.col(f"n{k - 1}") - F.col(f"n{k}")).alias("rows_removed")) for k, (name, _) in enumerate(steps, 1)]
+    return entries.agg(*counts).select(F.explode(F.array(*rows)).alias("x")).select("x.*") if rows else entries.sparkSession.createDataFrame([], "place int, step string, rows_in long, rows_removed long")
+
+
 def count_entries(entries: DataFrame, f: SearchFilters) -> DataFrame:
     return entries.where(entry_condition(entries, f)).agg(F.count(F.lit(1)).alias("n"))
 

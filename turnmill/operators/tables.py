@@ -52,6 +52,16 @@ def columns_of(tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame([(n, c, k) for n, df in tables.items() for k, c in enumerate(df.columns, 1)], "table_name string, column_name string, place int")
 
 
+def table_facts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n_rows, n_columns, n_files): what tables hold, each counted by itself."""
+    out = None
+    for name, df in tables.items():
+        one = df.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("file").alias("n_files"))
+        one = one.select(F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), "n_files")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def plan_facts(df: DataFrame) -> dict[str, int]:
     """What a physical plan does: scans, shuffles, broadcasts, Python steps, and scans with filters pushed to them."""
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -12,7 +12,7 @@ from ..operators import results as R
 from ..operators import statistics as St
 from ..operators.results import audio_url
 from ..operators.search import SearchFilters, exists, ilike, lookup, page_of_turns, turn_hits
-from ..operators.tables import ENTRIES_SQL, PHRASES, SCHEMAS, columns_of, conform, create_tables, entries, pick, plan_facts, table, turns, turns_sql
+from ..operators.tables import ENTRIES_SQL, PHRASES, SCHEMAS, columns_of, conform, create_tables, entries, pick, plan_facts, table, table_facts, turns, turns_sql
 from ..shipping import working_folder
 from .registry import query
 
@@ -252,6 +252,19 @@ def stored_tables(spark, sf_dir):
     return out
 
 
+@query("table_facts", "SELECT 'documents' AS table_name, count(*) AS n_rows, 5 AS n_columns FROM documents UNION ALL SELECT 'conversations', count(*), 4 FROM conversations UNION ALL SELECT 'events', count(*), 6 FROM events")
+def facts_of_tables(spark, sf_dir):
+    """Rows and columns of the stored tables (their files are as many as the store has)."""
+    return table_facts({n: table(spark, sf_dir, n) for n in ("documents", "conversations", "events")}).drop("n_files")
+
+
+@query("conformed_entries", f"WITH {ENTRIES_SQL} SELECT id, title, CAST(year AS INTEGER) AS year, CAST(NULL AS VARCHAR) AS license_note, 'text' AS content FROM entries")
+def conformed_entries(spark, sf_dir):
+    """Rows of an older layout, without a column and with another type, in the layout of today."""
+    old = entries(spark, sf_dir).select("id", "title", F.col("year").cast("string").alias("year"), F.lit("text").alias("content"), F.lit(1).alias("further"))
+    return conform(old, SCHEMAS["entries"]).select("id", "title", "year", "license_note", "content")
+
+
 @query("plan_facts", "SELECT 2 AS scans, 0 AS python_steps, true AS pushed")
 def plan_of_a_search(spark, sf_dir):
     """What the plan of a search over turns with a filter on entries does: two scans, no Python, filters in the scans."""

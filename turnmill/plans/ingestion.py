@@ -255,6 +255,16 @@ def stored_objects(spark, sf_dir):
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "accepted", "length", F.sha2("content", 256).alias("hash"))
 
 
+@query("backup_once", f"WITH {ENTRIES_SQL} SELECT id, title FROM entries")
+def backup_once(spark, sf_dir):
+    """A copy of a table that a second copy leaves alone."""
+    at = working_folder(spark, "backup")
+    e = entries(spark, sf_dir).select("id", "title")
+    files.backup(e, at)
+    files.backup(e.withColumn("title", F.lit("later")), at)
+    return spark.read.parquet(at)
+
+
 @query("text_files", f"WITH {ENTRIES_SQL} SELECT sha256(encode(content || 'é你')) AS file_hash, length(content || 'é你') AS n_chars FROM entries")
 def text_files(spark, sf_dir):
     """Texts as bytes of a file each, decoded; half of them begin with a byte order mark, which is no part of the text."""

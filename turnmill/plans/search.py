@@ -135,6 +135,15 @@ def search_fts_phrase(spark, sf_dir):
     return e.where(S.fts_condition(e, "and the")).select("id", "title")
 
 
+@query(
+    "search_filter_steps",
+    f"""WITH {ENTRIES_SQL}, c AS (SELECT count(*) AS a, count(*) FILTER (content ILIKE '%tion%') AS b, count(*) FILTER (content ILIKE '%tion%' AND year >= 2010) AS c, count(*) FILTER (content ILIKE '%tion%' AND year >= 2010 AND NOT (title ILIKE '%license%' OR content ILIKE '%license%')) AS d FROM entries)
+SELECT 1 AS place, 'keyword' AS step, a AS rows_in, a - b AS rows_removed FROM c UNION ALL SELECT 2, 'year_from', b, b - c FROM c UNION ALL SELECT 3, 'exclude', c, c - d FROM c""",
+)
+def search_filter_steps(spark, sf_dir):
+    return S.filter_steps(entries(spark, sf_dir), SearchFilters("tion", year_from=2010, exclude="license"))
+
+
 @query("search_count", f"WITH {ENTRIES_SQL} SELECT count(*) AS n FROM entries WHERE content ILIKE '%tion%' AND year >= 2010")
 def search_count(spark, sf_dir):
     return S.count_entries(entries(spark, sf_dir), SearchFilters("tion", year_from=2010))

@@ -5,13 +5,12 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Iterator
 from urllib.parse import parse_qsl, quote, unquote, urlsplit, urlunsplit
 
 import pandas as pd
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.ingest import REQUIRED
 from ..operators.results import uploadable
@@ -70,15 +69,17 @@ def decode(data: bytes | None) -> str:
     return (data or b"").decode("utf-8", "ignore")
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """path, file_hash (SHA-256) and text of each (path, content)."""
+@F.pandas_udf(T.StringType())
+def _decode_rest(content: pd.Series) -> pd.Series:
+    return content.map(decode)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"path": f["path"], "file_hash": f["file_hash"], "text": f["content"].map(decode)})
 
-    hashed = files.select("path", F.sha2("content", 256).alias("file_hash"), "content")
-    return hashed.mapInPandas(run, "path string, file_hash string, text string")
+def decoded(files: DataFrame) -> DataFrame:
+    """path, file_hash (SHA-256) and text of each (path, content). UTF-8 is read in the JVM; only other contents travel to Python."""
+    plain = F.col("content").cast("string")
+    valid = F.coalesce(F.is_valid_utf8(plain), F.lit(False))
+    text = F.when(valid, F.regexp_replace(plain, f"^{BOM}", "")).otherwise(_decode_rest(F.when(~valid, F.col("content"))))
+    return files.select("path", F.sha2("content", 256).alias("file_hash"), text.alias("text"))
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
