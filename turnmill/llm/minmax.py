@@ -16,12 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmap
 from .common import Scratch, pick, ship, slices, texts_of
 from .simhash import FEW, SEED, SHARD_LIMIT, _shards, components, deal_hot, word_shingles
 
 PERMUTATIONS, ROWS = 32, 4
 #: Standard deviations by which the share of equal values of two signatures may fall short of the similarity.
 SLACK = 5
+#: Bits of the bitmap of rows whose sets are needed: 16 MB, whatever the corpus.
+BITMAP_BITS = 27
 
 
 def min_max(hashes: np.ndarray, offsets: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -129,25 +132,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, permutat
 
     keyed = pick(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("tkey"))
     prints = scratch.table("prints", keyed.mapInArrow(compute, "doc_id long, tkey long, node binary, size long, bands binary"), "snappy")
-    nodes = prints.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), F.max("size").alias("size"), F.max("bands").alias("bands"))
+    nodes = prints.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("tkey", "doc_id")).alias("of"), F.max("size").alias("size"), F.max("bands").alias("bands"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<i8")
             whose = pa.array(np.repeat(np.arange(batch.num_rows), n_bands))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(whose) for c in ("node", "size", "tkey"))], names=["shard", "node", "size", "tkey"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(whose) for c in ("node", "size", "tkey", "doc_id"))], names=["shard", "node", "size", "tkey", "doc_id"])
 
-    dealt = scratch.table("dealt", nodes.select("node", "size", "tkey", "bands").mapInArrow(deal, "shard long, node binary, size long, tkey long"), "snappy")
+    dealt = scratch.table("dealt", nodes.select("node", "size", "of.tkey", "of.doc_id", "bands").mapInArrow(deal, "shard long, node binary, size long, tkey long, doc_id long"), "snappy")
     shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.table("members", dealt.join(shared, "shard"), "snappy")
 
+    # one row of each node, named by its doc_id too, gives its set; a bitmap of fixed size says which, and what it lets through too much
+    # only costs time
+    marks = bitmap.build(members.select(F.xxhash64("tkey", "doc_id").alias("h")).distinct(), "h", BITMAP_BITS)
+    sent = spark.sparkContext.broadcast(marks)
+
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(sent.value, np.uint8)
         for batch in slices(batches, most=2 << 20):
-            h, offsets, digests = shingle_sets(texts_of(batch), words)
+            use = bitmap.test(wanted, batch.column("h").to_numpy().view(np.uint64), BITMAP_BITS)
+            if not use.any():
+                continue
+            h, offsets, digests = shingle_sets(texts_of(batch.filter(pa.array(use))), words)
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([h[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())], names=["node", "hashes"])
 
-    need = members.select("tkey").distinct()
-    sets = scratch.table("sets", keyed.select("tkey", "text").join(need, "tkey", "left_semi").dropDuplicates(["tkey"]).select("text").mapInArrow(sets_of, "node binary, hashes binary").dropDuplicates(["node"]), "snappy")
+    sets = scratch.table("sets", keyed.select(F.xxhash64("tkey", "doc_id").alias("h"), "text").mapInArrow(sets_of, "node binary, hashes binary").dropDuplicates(["node"]), "snappy")
 
     fit = F.expr(f"100 * least(size, other) >= {percent} * greatest(size, other)")
     ordered = (F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b"))
