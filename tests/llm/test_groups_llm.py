@@ -61,6 +61,25 @@ def test_simhash_against_brute_force(spark, limit):
     assert [got[i].component_id for i in range(len(texts))] == brute_components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
 
 
+def test_simhash_of_odd_documents(spark, odd_docs, no_docs):
+    """Null ids and texts, blanks, repeated rows and further columns."""
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    prints = [brute_print(t) for _, t in rows]
+    roots = brute_components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    least = lambda i: min((rows[j][0] for j in range(len(rows)) if roots[j] == roots[i] and rows[j][0] is not None), default=None)
+    key = lambda r: tuple(map(str, r))
+    got = simhash.near_duplicates(odd_docs).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(((d, f"{p:016x}", least(i)) for i, ((d, _), p) in enumerate(zip(rows, prints))), key=key)
+    assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_rows_equal_in_id_and_text_leave_the_same_one(spark):
+    rows = [(1, "some text of words", k, {"k": str(k)}) for k in range(6)] + [(2, None, 7, None), (2, None, 8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, m map<string,string>")
+    kept = [sorted((r.doc_id, r.n) for r in simhash.drop_near_duplicates(df.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert kept[0] == kept[1] == kept[2] and [d for d, _ in kept[0]] == [1, 2]
+
+
 def test_shards_lose_no_pair(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(20)]

@@ -500,7 +500,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     """The rows of docs, all their columns, with one of each group of near-duplicate texts: that of least doc_id (nulls
     last), of these least text hash. Near duplicates have shingles of `words` words of this Jaccard similarity or more:
     their wide SimHash finds them, their shingles confirm it. Null and blank texts make a group of their own, as do any equal texts. Of rows equal in
-    doc_id and text one stays. An empty table gives no rows."""
+    doc_id and text that of least hash of all its columns stays. An empty table gives no rows."""
     scratch = Scratch(docs.sparkSession, "neardup")
     keys, linked = similar_texts(docs, scratch, words, similarity, limit)
     of = keys.join(linked, keys.tkey == linked.node, "left").select("doc_id", "tkey", "other", F.coalesce("root", "tkey").alias("root"))
@@ -508,5 +508,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64(F.lit(1), text).alias("other"))
     row_key = ["none", "doc", "other"]  # none is null, so join and window need one order
-    same = Window.partitionBy(*row_key).orderBy(F.lit(0))
+    whole_row = F.xxhash64(*[F.to_json(F.col("row")[f.name]) if "map<" in f.dataType.simpleString() else F.col("row")[f.name] for f in docs.schema.fields])
+    same = Window.partitionBy(*row_key).orderBy(whole_row)
     return whole.join(first, row_key, "left_semi").withColumn("n", F.row_number().over(same)).where("n = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])

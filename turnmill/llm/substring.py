@@ -55,6 +55,8 @@ def super_kmers(words: Words, window: int = WINDOW, mer: int = MER) -> tuple[np.
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
     w, n = words.hashes(), len(words.values) - mer + 1
+    if n >= 1 << int(PLACE):
+        raise ValueError(f"a text of {n} words or more is too long: places have {PLACE} bits")
     h = np.zeros(n, np.uint64)
     for j in range(mer):
         h = h * np.uint64(0x100000001B3) + w[j : j + n]
