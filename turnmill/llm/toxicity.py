@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat_ranges, pick, ship, slices, split_words, texts_of
+from .common import Scratch, flat_ranges, give_back, pick, ship, slices, split_words, texts_of
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class Settings:
     #: The bounds of the training sample: of each class so many labelled rows, those of least hash, and whole texts of so many bytes;
     #: a text that no longer fits is passed over.
     rows_each: int = 2000
-    class_bytes: int = 8 << 20
+    class_bytes: int = 6 << 20
     window: int = 4
     buckets: int = 1 << 17
     dims: int = 4
@@ -98,14 +98,20 @@ class Adam:
         x -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def _common(bucket: np.ndarray, word_at: np.ndarray, which: np.ndarray, at: np.ndarray, s: Settings) -> np.ndarray:
-    """Which buckets occur in enough documents."""
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    pairs = np.unique(doc * (len(word_at) - 1) + which)  # a document's distinct words
-    word = pairs % (len(word_at) - 1)
-    n = np.diff(word_at)[word]
-    seen = np.unique(np.repeat(pairs // (len(word_at) - 1), n) * s.buckets + bucket[flat_ranges(word_at[word], n)])
-    return np.bincount(seen % s.buckets, minlength=s.buckets) >= s.least_documents
+def _common(bucket: np.ndarray, word_at: np.ndarray, which: np.ndarray, at: np.ndarray, s: Settings, most: int = 1 << 21) -> np.ndarray:
+    """Which buckets occur in enough documents. As many documents are looked at together as have `most` subwords."""
+    n_words, size = len(word_at) - 1, np.diff(word_at)
+    load = np.concatenate([[0], np.cumsum(size[which])])[at]
+    count, a = np.zeros(s.buckets, np.int64), 0
+    while a < len(at) - 1:
+        b = max(a + 1, int(np.searchsorted(load, load[a] + most, side="right")) - 1)
+        doc = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
+        pairs = np.unique(doc * n_words + which[at[a] : at[b]])  # a document's distinct words
+        word = pairs % n_words
+        seen = np.unique(np.repeat(pairs // n_words, size[word]) * s.buckets + bucket[flat_ranges(word_at[word], size[word])])
+        count += np.bincount(seen % s.buckets, minlength=s.buckets)
+        a = b
+    return count >= s.least_documents
 
 
 def _fit(bags: tuple, y: np.ndarray, weight: np.ndarray, allowed: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -273,10 +279,9 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Trains on the sample of (doc_id, text) with labels (doc_id, toxic). The model and those that calibrate it are trained side by
-    side, each in one task."""
+    side, in as many tasks as there are of the latter."""
     spark = docs.sparkSession
     ship(spark)
-    parts = settings.calibrate + 1
     rows = Scratch(spark, "toxicity").table("sample", sample(docs, labels, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,13 +290,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             for part in set(b.column("part").to_pylist()):
                 own = b.filter(pc.equal(b.column("part"), part))
                 got.setdefault(part, []).append((texts_of(own), own.column("toxic").to_numpy(zero_copy_only=False)))
-        for part, rows in got.items():
+        for part in sorted(got):
+            rows = got.pop(part)
             model, z, y = learn_part(pa.concat_arrays([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), settings, part)
             share, rest = model.dump() if part == settings.calibrate else (None, None)
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([share], pa.binary()), pa.array([rest], pa.string()), pa.array([z], pa.list_(pa.float64())), pa.array([y], pa.list_(pa.float64()))], names=["part", "share", "rest", "z", "y"])
 
-    # a partition for each part; rows come in an order of their own, so that a repeated run trains the same models
-    each = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(settings.calibrate)))).repartitionByRange(parts, "part").sortWithinPartitions("part", "h", "text")
+    # two parts share a task, one after the other; rows come in an order of their own, so that a repeated run trains the same models
+    each = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(settings.calibrate)))).repartitionByRange(max(1, settings.calibrate), "part").sortWithinPartitions("part", "h", "text")
     found = each.select("text", "toxic", "part").mapInArrow(run, "part int, share binary, rest string, z array<double>, y array<double>").collect()
     found.sort(key=lambda r: r["part"])  # a model and as many logits as the sample has rows
     if not found:  # no labelled row at all
