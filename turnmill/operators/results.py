@@ -28,18 +28,27 @@ def with_context(hits: DataFrame, keyword: str, left: int = 80, right: int = 80,
     return hits.withColumn("x", build(F.struct(*have, flag))).select("*", "x.*").drop("x")
 
 
-def highlighted(df: DataFrame, text: str, keyword: str, markers: str | None = None) -> DataFrame:
-    """`html` of a text; with a column of markers, these and the keyword overlaid."""
+def _escaped(text: Column) -> Column:
+    for plain, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(plain), F.lit(name))
+    return text
 
-    @F.pandas_udf(T.StringType())
-    def plain(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: context.highlight(x, keyword))
+
+def highlighted(df: DataFrame, text: str, keyword: str, markers: str | None = None) -> DataFrame:
+    """`html` of a text; with a column of markers, these and the keyword overlaid. Whole texts with a keyword alone are marked in the JVM, row
+    by row, as context.highlight() does."""
 
     @F.pandas_udf(T.StringType())
     def overlaid(t: pd.Series, m: pd.Series) -> pd.Series:
         return pd.Series([context.highlight_resonance(x, list(y) if y is not None else [], keyword) for x, y in zip(t, m, strict=True)])
 
-    return df.withColumn("html", plain(text) if markers is None else overlaid(text, markers))
+    if markers is not None:
+        return df.withColumn("html", overlaid(text, markers))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    if not keyword:
+        return df.withColumn("html", _escaped(whole))
+    literal = "\\Q" + keyword.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    return df.withColumn("html", F.array_join(F.transform(F.split(whole, literal, -1), _escaped), context.highlight(keyword, keyword)))
 
 
 def with_terms(df: DataFrame, text: str, terms: Column | str) -> DataFrame:
