@@ -108,3 +108,13 @@ def test_a_search_reads_only_its_grams_folders(spark, tmp_path):
     asked = {r.p for r in spark.createDataFrame([(g,) for g in gramplan.grams(gramplan.phrase("words of"))], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(32)).alias("p")).collect()}
     files = index.postings(gramplan.grams(gramplan.phrase("words of"))).select("gram").distinct().count()
     assert files == len(gramplan.grams(gramplan.phrase("words of"))) and len(asked) < 8 and read
+
+
+def test_grams_are_taken_by_place_in_one_walk(spark):
+    from turnmill.operators.grams import grams_of
+
+    texts = ["ab😀c", "aaaa", "xy", "", None, "tion the " * 3000]
+    made = grams_of(spark.createDataFrame([(k, None, t) for k, t in enumerate(texts)], "id long, title string, content string"))
+    assert "substr" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = {(t[i : i + 3].upper(), k) for k, t in enumerate(texts) if t for i in range(len(t) - 2)}
+    assert {(r.gram, r.id) for r in made.collect() if "\n" not in r.gram} == want  # line feeds lie between columns

@@ -28,8 +28,10 @@ def grams_of(entries: DataFrame) -> DataFrame:
     """(gram, id) of the indexed columns of each entry."""
     text = fold(F.concat_ws("\n", *[_text(entries, n) for n in FTS_COLUMNS]))
     n = gramplan.GRAM
-    every = F.transform(F.sequence(F.lit(1), F.length("t") - (n - 1)), lambda i: F.substr(F.col("t"), i, F.lit(n)))
-    return entries.select("id", text.alias("t")).where(F.length("t") >= n).select(F.explode(F.array_distinct(every)).alias("gram"), "id")
+    # texts are dealt out anew, as a file's row group may hold them all; characters by place, as substr would walk to each from the beginning
+    chars = entries.select("id", text.alias("t")).where(F.length("t") >= n).repartition("id").select("id", F.split("t", "").alias("c"))
+    every = F.transform(F.sequence(F.lit(0), F.size("c") - n), lambda i: F.concat(*[F.get("c", i + k) for k in range(n)]))
+    return chars.select(F.explode(F.array_distinct(every)).alias("gram"), "id")
 
 
 class GramIndex:
@@ -52,7 +54,8 @@ class GramIndex:
         done = self.batches()
         batch = (done[-1] + 1 if done else 0) if batch is None else batch
         part = F.pmod(F.xxhash64("gram"), F.lit(self.parts)).cast("int")
-        rows = grams_of(entries).withColumn("part", part).repartitionByRange("part", "gram", "id").sortWithinPartitions("part", "gram", "id")
+        # ranges would make all grams twice, once for their bounds; a part too large for a task is cut
+        rows = grams_of(entries).withColumn("part", part).hint("rebalance", "part").sortWithinPartitions("part", "gram", "id")
         rows.write.mode("overwrite").partitionBy("part").parquet(f"{self.at}/postings/batch={batch}")
         gone = entries.select("id")
         if deleted is not None:
