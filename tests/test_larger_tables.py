@@ -33,3 +33,11 @@ def test_client_ips_of_many_users(same_as_sql):
 def test_page_titles_with_numbers_like_years(same_as_sql):
     rows = same_as_sql("page_titles", documents=f"SELECT * REPLACE (doc_id + 1900 AS doc_id) FROM '{DIR}/documents.parquet'")
     assert len(rows) >= 200
+
+
+def test_activity_stays_in_the_jvm(spark):
+    from turnmill.operators.tables import as_requests
+    from turnmill.streaming import run, visits
+
+    plan = visits.activity_changes(as_requests(run.source(spark, f"{DIR}/events.parquet")))._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "Aggregate" in plan

@@ -29,48 +29,11 @@ def ip_activity(requests: DataFrame, seconds: int = BUCKET, delay: str = "10 min
     return out.withColumn("bucket_epoch", F.unix_seconds("window.start")).drop("window")
 
 
-class Activity(StatefulProcessor):
-    """Sums of an address and a bucket of time: first and newest request, numbers of requests and of those refused. A late request counts like
-    any other until the watermark has left the bucket behind; then a timer clears it."""
-
-    SUMS = "first_seen_epoch long, last_seen_epoch long, last_id long, request_count long, blocked_count long, last_path string, last_method string, last_status long"
-
-    def __init__(self, seconds: int):
-        self.seconds = seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.sums = handle, handle.getValueState("sums", self.SUMS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.sums.get() if self.sums.exists() else None
-        if known is None:
-            self.handle.registerTimer((key[1] + self.seconds) * 1000)
-        first, last, n, refused = (known[0], tuple(known[1:3]) + tuple(known[5:]), known[3], known[4]) if known else (None, None, 0, 0)
-        for f in rows:
-            k = f.sort_values(["epoch", "id"]).iloc[-1]
-            newest = (int(k["epoch"]), int(k["id"]), k["path"], k["method"], None if pd.isna(k["status"]) else int(k["status"]))
-            first = int(f["epoch"].min()) if first is None else min(first, int(f["epoch"].min()))
-            last = newest if last is None or newest[:2] > last[:2] else last
-            n, refused = n + len(f), refused + int(f["blocked"].sum())
-        self.sums.update((first, *last[:2], n, refused, *last[2:]))
-        yield pd.DataFrame([(*key, first, last[0], n, refused, *last[2:])], columns=[c.split()[0] for c in ACTIVITY.split(", ")])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.sums.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-ACTIVITY = "ip string, bucket_epoch long, first_seen_epoch long, last_seen_epoch long, request_count long, blocked_count long, last_path string, last_method string, last_status long"
-
-
 def activity_changes(requests: DataFrame, seconds: int = BUCKET, keep: str = "10 days") -> DataFrame:
-    """The sums by ip and bucket as they change: a row in each batch for each that has new requests. Only these states are read and written.
-    For run.newest(keys=("ip", "bucket_epoch"))."""
-    keyed = timed(requests, keep).select("ip", bucket(F.col("epoch"), seconds).cast("long").alias("bucket_epoch"), "ts", "id", "epoch", "path", "method", "status", F.col("blocked").cast("long").alias("blocked"))
-    return keyed.groupBy("ip", "bucket_epoch").transformWithStateInPandas(Activity(seconds), ACTIVITY, "Update", "EventTime")
+    """The sums by ip and bucket as they change: a row in each batch for each that has new requests. A late request counts like any other until
+    the watermark has left its bucket behind, and the bucket's state goes then. For run.newest(keys=("ip", "bucket_epoch"))."""
+    names = ("ip", "bucket_epoch", "first_seen_epoch", "last_seen_epoch", "request_count", "blocked_count", "last_path", "last_method", "last_status")
+    return ip_activity(requests, seconds, keep).select(*names)
 
 
 def first_visits(requests: DataFrame, seconds: int = BUCKET, keep: str = "10 days") -> DataFrame:
