@@ -3,7 +3,10 @@
 A word's vector is the mean of the vectors of its hashed character n-grams and of itself, so a misspelling that was never
 seen shares most of its vector with the word. A window's vector is the mean over its words; the softmax scores windows,
 and a document is as toxic as its most toxic window, which one insult in a long text can't hide in. Labels are of
-documents: a first fit gives every window its document's label, a second keeps of toxic documents the windows found."""
+documents: a first fit gives every window its document's label, a second keeps of toxic documents the windows found.
+
+All labelled rows train. They are dealt to shards of bounded size, each shard trains a model, and the models' shares of the
+logit, in which a document's windows are linear, are averaged."""
 
 from __future__ import annotations
 
@@ -18,25 +21,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat_ranges, give_back, pick, ship, slices, split_words, texts_of
+from .common import CHUNK_BYTES, Scratch, flat_ranges, give_back, pick, ship, slices, split_words, texts_of
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: The bounds of the training sample: of each class so many labelled rows, those of least hash, and whole texts of so many bytes;
-    #: a text that no longer fits is passed over.
+    #: Bytes of text that one model is trained on at a time, and of a piece of a longer text.
+    shard_bytes: int = 5 << 20
+    piece_bytes: int = 1 << 19
+    #: Rows of each class that a shard has at least: where a class is rarer, its rows go to several shards.
+    least_rows: int = 16
+    #: The bounds of sample(): rows of each class, and bytes of whole texts.
     rows_each: int = 2000
     class_bytes: int = 6 << 20
     window: int = 4
     buckets: int = 1 << 17
-    dims: int = 4
+    dims: int = 2
     ngrams: tuple[int, ...] = (3, 4, 5)
-    epochs: int = 40
+    #: Steps of a fit at least, and words of a step.
+    updates: int = 48
+    step_words: int = 100_000
     rate: float = 0.3
     decay: float = 2e-6
-    #: Logits are calibrated on parts of the sample, so many, each by a model that has not seen it.
+    #: Logits are calibrated on parts of the training rows, so many, each by a model that has not seen it.
     calibrate: int = 3
-    #: A subword that fewer of the sample's documents have says nothing: it would only learn these by heart.
+    #: A subword that fewer of the training documents have says nothing: it would only learn these by heart.
     least_documents: int = 6
     seed: int = 7
 
@@ -88,64 +97,71 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Adam:
+    """Steps of the columns that a batch touches, by moments of their own and the number of batches that touched them."""
+
     def __init__(self, shape, rate: float):
-        self.m, self.v, self.t, self.rate = np.zeros(shape), np.zeros(shape), 0, rate
+        self.m, self.v, self.t, self.rate = np.zeros(shape, np.float32), np.zeros(shape, np.float32), np.zeros(shape[-1], np.int32), rate
+
+    def step(self, x: np.ndarray, g: np.ndarray, on: np.ndarray | slice = slice(None)) -> None:
+        self.t[on] += 1
+        m, v, t = self.m[..., on], self.v[..., on], self.t[on]
+        m = m + 0.1 * (g - m)
+        v = v + 0.01 * (g * g - v)
+        self.m[..., on], self.v[..., on] = m, v
+        x[..., on] -= self.rate * (m / (1 - np.power(0.9, t))) / (np.sqrt(v / (1 - np.power(0.99, t))) + 1e-8)
 
-    def step(self, x: np.ndarray, g: np.ndarray) -> None:
-        self.t += 1
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
-        x -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
-def _common(bucket: np.ndarray, word_at: np.ndarray, which: np.ndarray, at: np.ndarray, s: Settings, most: int = 1 << 21) -> np.ndarray:
-    """Which buckets occur in enough documents. As many documents are looked at together as have `most` subwords."""
+
+def _documents(bucket: np.ndarray, word_at: np.ndarray, which: np.ndarray, at: np.ndarray, s: Settings, most: int = 1 << 20) -> np.ndarray:
+    """How many documents have each bucket. As many documents are looked at together as have `most` subwords."""
     n_words, size = len(word_at) - 1, np.diff(word_at)
     load = np.concatenate([[0], np.cumsum(size[which])])[at]
     count, a = np.zeros(s.buckets, np.int64), 0
     while a < len(at) - 1:
         b = max(a + 1, int(np.searchsorted(load, load[a] + most, side="right")) - 1)
         doc = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
-        pairs = np.unique(doc * n_words + which[at[a] : at[b]])  # a document's distinct words
+        pairs = _distinct(doc * n_words + which[at[a] : at[b]])  # a document's distinct words
         word = pairs % n_words
-        seen = np.unique(np.repeat(pairs // n_words, size[word]) * s.buckets + bucket[flat_ranges(word_at[word], size[word])])
+        seen = _distinct(np.repeat(pairs // n_words, size[word]) * s.buckets + bucket[flat_ranges(word_at[word], size[word])])
         count += np.bincount(seen % s.buckets, minlength=s.buckets)
         a = b
-    return count >= s.least_documents
+    return count
 
 
-def _fit(bags: tuple, y: np.ndarray, weight: np.ndarray, allowed: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Embeddings and softmax weights by full-batch gradients through both means. bags: bucket, word_at (of subwords),
-    word (indices), bag_at (of words)."""
-    bucket, word_at, word, bag_at = bags
+def _fit(batches: list[tuple], n_rows: int, s: Settings) -> tuple[np.ndarray, float]:
+    """Embeddings (n_rows of them and one of zeros) and softmax weights by gradients through both means, as each row's share of the
+    logit and the bias. A batch: rows of its words' subwords, where a word's begin and their number, the words of its
+    windows, where a window's begin and their number, labels, weights."""
     rng = np.random.default_rng(s.seed)
-    # only the buckets that are used and may speak have rows; the last row stays zero for the rest
-    kept = np.flatnonzero(allowed)
-    row = np.full(s.buckets, len(kept), np.int32)
-    row[kept] = np.arange(len(kept))
-    bucket, speaks = row[bucket], len(kept)
-    table, softmax, bias = rng.uniform(-1, 1, (speaks + 1, s.dims)) / s.dims, rng.normal(0, 0.1, (s.dims, 2)), np.zeros(2)
-    table[-1] = 0
+    table = (rng.uniform(-1, 1, (s.dims, n_rows + 1)) / s.dims).astype(np.float32)
+    table[:, -1] = 0
+    softmax, bias = rng.normal(0, 0.1, (s.dims, 2)).astype(np.float32), np.zeros(2, np.float32)
     steps = [Adam(x.shape, s.rate) for x in (table, softmax, bias)]
-    n_sub, n_word = np.diff(word_at), np.diff(bag_at)
-    of_sub, of_word = np.repeat(np.arange(len(n_sub), dtype=np.int32), n_sub), np.repeat(np.arange(len(n_word), dtype=np.int32), n_word)
-    spread = lambda rows, who, to, n: np.stack([np.bincount(to, rows[who, k], n) for k in range(rows.shape[1])], axis=1)
-    target = np.stack([1 - y, y], axis=1)
-    for _ in range(s.epochs):
-        vectors = np.add.reduceat(table.astype(np.float32)[bucket], word_at[:-1], axis=0) / n_sub[:, None]
-        mean = np.add.reduceat(vectors[word], bag_at[:-1], axis=0) / n_word[:, None]
-        z = mean @ softmax + bias
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = (p - target) * weight[:, None]
-        g_mean = (g @ softmax.T) / n_word[:, None]
-        g_vectors = spread(g_mean, of_word, word, len(n_sub)) / n_sub[:, None]
-        g_table = spread(g_vectors, of_sub, bucket, speaks + 1) + s.decay * table
-        g_table[-1] = 0
-        steps[1].step(softmax, mean.T @ g + s.decay * softmax)
-        steps[2].step(bias, g.sum(axis=0))
-        steps[0].step(table, g_table)
-    return table[row], np.concatenate([softmax, bias[None]])
+    touched = [np.flatnonzero(np.bincount(b[0], minlength=n_rows + 1)[:-1]) for b in batches]
+    for _ in range(-(-s.updates // len(batches))):
+        for on, (row, word_at, n_sub, word, bag_at, n_word, label, weight) in zip(touched, batches):
+            mean = np.empty((len(bag_at), s.dims), np.float32)
+            for k in range(s.dims):
+                vectors = np.add.reduceat(table[k][row], word_at) / n_sub
+                mean[:, k] = np.add.reduceat(vectors[word], bag_at) / n_word
+            z = mean @ softmax + bias
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(label)), label] -= 1
+            g = p * weight[:, None]
+            g_mean = (g @ softmax.T) / n_word[:, None]
+            g_table = np.empty((s.dims, len(on)), np.float32)
+            for k in range(s.dims):
+                g_word = np.bincount(word, np.repeat(g_mean[:, k], n_word), len(n_sub)) / n_sub
+                g_table[k] = np.bincount(row, np.repeat(g_word, n_sub), n_rows + 1)[on] + s.decay * table[k][on]
+            steps[1].step(softmax, mean.T @ g + s.decay * softmax)
+            steps[2].step(bias, g.sum(axis=0))
+            steps[0].step(table, g_table, on)
+    return (softmax[:, 1] - softmax[:, 0]) @ table[:, :-1], float(bias[1] - bias[0])
 
 
 class Model:
@@ -194,29 +210,46 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def _learn(texts: pa.Array, y: np.ndarray, s: Settings) -> Model:
-    """A model without calibration; one of zeros if the texts have one class or no words."""
+def _learn(texts: pa.Array, y: np.ndarray, s: Settings, allowed: np.ndarray | None = None) -> Model:
+    """A model without calibration; one of zeros if the texts have one class or no words. allowed: the buckets that enough documents
+    have, if the texts are not all there are."""
     words, which, at = _words(texts)
     if not len(which) or y.min() == y.max():
         return Model(np.zeros(s.buckets), 0.0, 1.0, 0.0, s)
     begin, text = window_starts(at, s.window)
-    end = np.append(begin[1:], len(which))
+    size = np.diff(np.append(begin, len(which)))
     bucket, word_at = subwords(words, s)
-    allowed = _common(bucket, word_at, which, at, s)
+    del words
+    n_sub = np.diff(word_at)
+    if allowed is None:
+        allowed = _documents(bucket, word_at, which, at, s) >= s.least_documents
+    # only the buckets that are used and may speak have rows; the last row stays zero for the rest
+    kept = np.flatnonzero(allowed)
+    row = np.full(s.buckets, len(kept), np.int32)
+    row[kept] = np.arange(len(kept))
+
+    def batch(window: np.ndarray, weight: np.ndarray) -> tuple:
+        n_word = size[window]
+        word = which[flat_ranges(begin[window], n_word)]
+        used = np.flatnonzero(np.bincount(word, minlength=len(n_sub)))
+        place = np.zeros(len(n_sub), np.int32)
+        place[used] = np.arange(len(used))
+        first = lambda n: (np.cumsum(n) - n).astype(np.int32)
+        return row[bucket[flat_ranges(word_at[used], n_sub[used])]], first(n_sub[used]), n_sub[used], place[word], first(n_word), n_word.astype(np.int32), y[text[window]].astype(np.int32), weight.astype(np.float32)
 
     def fit(keep: np.ndarray) -> Model:
-        b, e, label = begin[keep], end[keep], y[text[keep]]
-        word = which[flat_ranges(b, e - b)]
-        used, word = np.unique(word, return_inverse=True)
-        own = flat_ranges(word_at[used], np.diff(word_at)[used])
-        weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
-        table, soft = _fit((bucket[own], np.concatenate([[0], np.cumsum(np.diff(word_at)[used])]), word, np.concatenate([[0], np.cumsum(e - b)])), label, weight, allowed, s)
-        lean = soft[:, 1] - soft[:, 0]
-        return Model(table @ lean[:-1], float(lean[-1]), 1.0, 0.0, s)
+        window = np.flatnonzero(keep)
+        label = y[text[window]]
+        n = max(1, int(size[window].sum()) // s.step_words)
+        weight = np.where(label == 1, 0.5 * n / max(1, label.sum()), 0.5 * n / max(1, (1 - label).sum()))
+        share, bias = _fit([batch(*x) for x in zip(np.array_split(window, n), np.array_split(weight, n))], len(kept), s)
+        out = np.zeros(s.buckets, np.float32)
+        out[kept] = share
+        return Model(out, bias, 1.0, 0.0, s)
 
     model = fit(np.ones(len(begin), bool))
-    of_word = np.add.reduceat(model.share[bucket].astype(np.float64), word_at[:-1]) / np.diff(word_at)
-    z = np.add.reduceat(np.append(of_word[which], 0), np.stack([begin, end], axis=1).ravel())[::2] / (end - begin) + model.bias
+    of_word = np.add.reduceat(model.share[bucket].astype(np.float64), word_at[:-1]) / n_sub
+    z = np.add.reduceat(of_word[which], begin) / size + model.bias
     calm = z[y[text] == 0]
     found = (y[text] == 1) & (z > np.quantile(calm, 0.995)) if len(calm) else np.zeros(len(z), bool)
     return fit((y[text] == 0) | found) if found.any() else model
@@ -258,11 +291,16 @@ def held_out(doc_id, modulus: int = 5, remainder: int = 0):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that may be learnt from. Several labels of a doc_id count as the greatest."""
+    return pick(labels, "doc_id", "toxic").where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(text, toxic, h): the bounded sample of labelled rows that a model is trained on, rows held out left aside. Of each class the
+    """(text, toxic, h): a bounded sample of labelled rows for a quick look, rows held out left aside; fit() trains on all. Of each class the
     settings.rows_each rows of least hash are looked at in that order, and those stay whose texts fit in what is left of settings.class_bytes, so a
     long text takes the place of no other. Several labels of a doc_id count as the greatest; equal rows count once, near copies each."""
-    known = pick(labels, "doc_id", "toxic").where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = _known(labels)
     some = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows_each) for c in (0, 1)]
     rows = pick(docs, "doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))  # at most 2 * rows_each doc_ids
     # a doc_id may stand for many rows; only hashes and lengths of those looked at go to the driver, 2 * rows_each at most
@@ -277,12 +315,160 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     return rows.join(keys, ["h", "doc_id"], "left_semi").dropDuplicates(["h", "doc_id"]).select("text", "toxic", "h")
 
 
+#: Bits of the set of labelled doc_ids, which keeps most other texts out of the shuffle.
+ID_BITS = 25
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic, h, doc_id, size): all labelled rows, rows held out left aside. Equal rows count once, near copies each."""
+    known = _known(labels)
+    bit = lambda c: F.xxhash64(c).bitwiseAND((1 << ID_BITS) - 1)
+    ids = known.select(bit("doc_id").alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("place")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("map"))
+    rows = pick(docs, "doc_id", "text").withColumn("bit", bit("doc_id"))
+    place, byte = F.expr("bitmap_bucket_number(bit)"), F.expr("conv(hex(substring(map, cast(bitmap_bit_position(bit) div 8 as int) + 1, 1)), 16, 10)").cast("int")
+    rows = rows.withColumn("place", place).join(F.broadcast(ids), "place").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(bit) % 8 as int))")) != 0)  # 4 MB at most
+    rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).join(known.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id", "h"])
+    return rows.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "h", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+
+
+def _frequent(rows: DataFrame, s: Settings) -> np.ndarray:
+    """Which buckets enough of the rows' texts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(s.buckets, np.int64)
+        for batch in slices(batches, most=CHUNK_BYTES // 4):
+            words, which, at = _words(texts_of(batch))
+            count += _documents(*subwords(words, s), which, at, s)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["bucket", "n"])
+
+    found = rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= s.least_documents).select("bucket")
+    out = np.zeros(s.buckets, bool)
+    out[[r[0] for r in found.collect()]] = True  # s.buckets at most
+    return out
+
+
+def _pieces(rows: DataFrame, s: Settings) -> DataFrame:
+    """The rows with long texts cut where windows begin. A window is trained on with its document's label, so this changes nothing else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for r in range(batch.num_rows):
+                own = batch.slice(r, 1)
+                values, at = split_words(texts_of(own))
+                ends = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+                a, k = 0, 0
+                while a < len(values):
+                    b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + s.piece_bytes, side="right"))
+                    b = min(len(values), max(a + s.window, a + (b - a) // s.window * s.window))
+                    text = pa.array([" ".join(values[a:b].to_pylist())], pa.string())
+                    yield pa.RecordBatch.from_arrays([text, *(own.column(c) for c in ("toxic", "h", "doc_id")), pa.array([k], pa.int32())], names=["text", "toxic", "h", "doc_id", "piece"])
+                    a, k = b, k + 1
+
+    names = ("text", "toxic", "h", "doc_id")
+    whole = rows.where(F.col("size") <= s.piece_bytes).select(*names, F.lit(0).alias("piece"))
+    return whole.unionByName(rows.where(F.col("size") > s.piece_bytes).select(*names).mapInArrow(run, "text string, toxic int, h long, doc_id long, piece int"))
+
+
+#: Buckets that a row of a model's sums has.
+SUM_ROW = 2048
+
+
+def _averages(rows: DataFrame, counts: dict[int, tuple[int, int]], s: Settings) -> list[Model]:
+    """For each part of the rows (by h) the average of the models of shards of the other parts, and then that of all. Each row is in a
+    shard of its own part, each shard in one task."""
+    allowed = np.packbits(_frequent(rows, s))
+    each = max(1, -(-sum(size for _, size in counts.values()) // (s.calibrate * s.shard_bytes)))
+    # of a rare class every row goes to so many shards of its part
+    copies = {c: min(each, -(-s.least_rows * s.calibrate * each // n)) for c, (n, _) in counts.items()}
+    part = F.pmod("h", F.lit(s.calibrate)).cast("int")
+    nth = F.explode(F.sequence(F.lit(0), F.when(F.col("toxic") == 1, copies[1] - 1).otherwise(copies[0] - 1)))
+    dealt = _pieces(rows, s).withColumn("nth", nth)
+    dealt = dealt.withColumn("shard", part + s.calibrate * F.pmod(F.xxhash64("h", "piece") + F.col("nth"), F.lit(each)).cast("int"))
+    shards = s.calibrate * each
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "doc_id", "piece").select("shard", "text", "toxic")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usable, got, at = np.unpackbits(allowed)[: s.buckets].astype(bool), [], None
+
+        def made() -> Iterator[pa.RecordBatch]:
+            texts, y = pa.concat_arrays([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.float64)
+            got.clear()
+            model = _learn(texts, y, s, usable)
+            give_back()
+            n = s.buckets // SUM_ROW
+            share = [x.tobytes() for x in model.share.reshape(n, SUM_ROW)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at), pa.int32()), pa.array(range(n), pa.int32()), pa.array(share, pa.binary()), pa.array(np.full(n, model.bias))], names=["shard", "place", "share", "bias"])
+
+        for b in slices(batches):
+            for shard in sorted(set(b.column("shard").to_pylist())):
+                if got and shard != at:
+                    yield from made()
+                own, at = b.filter(pc.equal(b.column("shard"), shard)), shard
+                got.append((texts_of(own), own.column("toxic").to_numpy(zero_copy_only=False)))
+        if got:
+            yield from made()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list] = {}
+        for b in batches:
+            for shard, place, share, bias in zip(*(c.to_pylist() for c in b.columns)):
+                x = sums.setdefault((shard % s.calibrate, place), [np.zeros(SUM_ROW), 0.0, 0])
+                x[0] += np.frombuffer(share, np.float32)
+                x[1] += bias
+                x[2] += 1
+        for (own, place), (share, bias, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([place], pa.int32()), pa.array([share.tobytes()], pa.binary()), pa.array([bias]), pa.array([n], pa.int64())], names=["own", "place", "share", "bias", "n"])
+
+    models = dealt.mapInArrow(learn, "shard int, place int, share binary, bias double")
+    summed = models.repartition("place").sortWithinPartitions("place", "shard").mapInArrow(total, "own int, place int, share binary, bias double, n long")
+    share, bias, n = np.zeros((s.calibrate, s.buckets // SUM_ROW, SUM_ROW)), np.zeros(s.calibrate), np.zeros(s.calibrate)
+    for r in summed.collect():  # s.calibrate models
+        share[r["own"], r["place"]], bias[r["own"]], n[r["own"]] = np.frombuffer(r["share"]), r["bias"], r["n"]
+    share = share.reshape(s.calibrate, s.buckets)
+    others = [np.arange(s.calibrate) != k for k in range(s.calibrate + 1)]
+    return [Model(share[o].sum(axis=0) / max(1, n[o].sum()), float(bias[o].sum() / max(1, n[o].sum())), 1.0, 0.0, s) for o in others]
+
+
+def _calibrated(rows: DataFrame, models: list[Model], scratch: Scratch, s: Settings) -> Model:
+    """As calibrated(): Newton steps whose sums Spark takes over the logits of all rows, each by the models that have not seen it."""
+    dumped = [m.dump() for m in models[:-1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unseen = [Model.load(*d, s) for d in dumped]
+        for b in slices(batches):
+            part = b.column("h").to_numpy() % s.calibrate
+            for k in np.unique(part):
+                own = b.filter(pa.array(part == k))
+                yield pa.RecordBatch.from_arrays([pa.array(unseen[k].largest(texts_of(own))), own.column("toxic")], names=["z", "y"])
+
+    logits = scratch.table("logits", rows.select("text", "toxic", "h").mapInArrow(run, "z double, y int"))
+    w, z, y = np.zeros(2), F.col("z"), F.col("y")
+    for _ in range(25):
+        at = F.least(F.greatest(z * float(w[0]) + float(w[1]), F.lit(-40.0)), F.lit(40.0))
+        p = 1 / (1 + F.exp(-at))
+        sums = logits.select(z, (p - y).alias("g"), (p * (1 - p)).alias("h"), y).agg(F.sum(z * F.col("g")), F.sum("g"), F.sum(z * z * F.col("h")), F.sum(z * F.col("h")), F.sum("h"), F.avg(y.cast("double"))).first()
+        step = np.linalg.solve(np.array([[sums[2], sums[3]], [sums[3], sums[4]]]) + 1e-3 * np.eye(2), np.array(sums[:2]) + 1e-3 * w)
+        w -= step
+        if np.abs(step).max() < 1e-7:
+            break
+    slope, offset = (float(f"{x:.6g}") for x in w)  # sums come in any order, so a repeated run may differ behind that
+    if slope <= 0:  # logits that tell nothing leave the share of label 1
+        slope, offset = 0.0, float(np.log((sums[5] + 1e-9) / (1 - sums[5] + 1e-9)))
+    return Model(models[-1].share, models[-1].bias, slope, offset, s)
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Trains on the sample of (doc_id, text) with labels (doc_id, toxic). The model and those that calibrate it are trained side by
-    side, in as many tasks as there are of the latter."""
+    """Trains on all labelled rows of (doc_id, text) with labels (doc_id, toxic). What fits in a shard is trained on whole, beside the models
+    that calibrate it; else models of shards are averaged, and the parts of the rows are calibrated by each other's."""
     spark = docs.sparkSession
-    ship(spark)
-    rows = Scratch(spark, "toxicity").table("sample", sample(docs, labels, settings))
+    scratch = Scratch(spark, "toxicity")
+    rows = scratch.table("labelled", labelled(docs, labels))
+    counts = {r["toxic"]: (r["n"], r["size"]) for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
+    if len(counts) < 2:  # no labelled row, or one class
+        return train(pa.array([""] * len(counts), pa.large_string()), np.array(list(counts)), settings)
+    if sum(size for _, size in counts.values()) > settings.shard_bytes:
+        return _calibrated(rows, _averages(rows, counts, settings), scratch, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {}
@@ -300,9 +486,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     # two parts share a task, one after the other; rows come in an order of their own, so that a repeated run trains the same models
     each = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(settings.calibrate)))).repartitionByRange(max(1, settings.calibrate), "part").sortWithinPartitions("part", "h", "text")
     found = each.select("text", "toxic", "part").mapInArrow(run, "part int, share binary, rest string, z array<double>, y array<double>").collect()
-    found.sort(key=lambda r: r["part"])  # a model and as many logits as the sample has rows
-    if not found:  # no labelled row at all
-        return train(pa.array([], pa.large_string()), np.zeros(0), settings)
+    found.sort(key=lambda r: r["part"])  # a model and as many logits as a shard has rows
     z, y = (np.array([x for r in found[:-1] for x in r[k]]) for k in ("z", "y"))
     return calibrated(Model.load(found[-1]["share"], found[-1]["rest"], settings), z, y)
 
