@@ -40,3 +40,13 @@ def test_groups_of_any_size_give_the_same(spark, whole):
     first, state = V.guard_step(asked.where(F.col("epoch") < cut), None, LIMITS, Working(spark, "guard"), whole=whole)
     second, _ = V.guard_step(asked.where(F.col("epoch") >= cut), state, LIMITS, Working(spark, "guard"), whole=whole)
     assert told(first) | told(second) == want
+
+
+def test_cells_are_read_by_column_and_not_one_by_one():
+    import pyarrow as pa
+
+    from turnmill.operators import visits
+
+    logs = pa.map_(pa.string(), pa.list_(pa.float64()))
+    columns = [pa.nulls(3, logs), pa.nulls(3, pa.string()), pa.array([1, None, 3]), pa.array([1, 2, 3]), pa.array(["a", "", "ß"]), pa.array([{"a": [1.0]}, None, {}], logs), pa.array([], pa.string()), pa.array(["x", "y", "z"]).slice(1)]
+    assert [visits._cells(c) for c in columns] == [c.to_pylist() for c in columns]

@@ -173,6 +173,13 @@ def _batch(columns: dict, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if x.type == kind else x.cast(kind, safe=False) for x, kind in zip(made, _OUT.values())], names=list(_OUT))
 
 
+def _cells(column: pa.Array) -> list:
+    """The values of a column, as to_pylist(), which takes each from Arrow by itself: most columns of a batch of requests are all null or have none."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    return column.to_pylist() if column.null_count or pa.types.is_nested(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _decide(batches: Iterator[pa.RecordBatch], limits: Limits, keep: bool) -> Iterator[pa.RecordBatch]:
     """Rows of a group: first the state of its identities, then its requests in order; beside the decisions, with `keep`, the new state.
     Groups may be small and many, so a batch of rows gives a batch of decisions, and states are gathered over groups."""
@@ -196,7 +203,7 @@ def _decide(batches: Iterator[pa.RecordBatch], limits: Limits, keep: bool) -> It
 
     for batch in batches:
         out = []
-        for root, epoch, policy, refused, reason, seconds, one, two, identity, until, logs in zip(*(batch.column(c).to_pylist() for c in _READ)):
+        for root, epoch, policy, refused, reason, seconds, one, two, identity, until, logs in zip(*(_cells(batch.column(c)) for c in _READ)):
             if root != at:
                 if keep and at is not None:
                     leave()
@@ -210,7 +217,8 @@ def _decide(batches: Iterator[pa.RecordBatch], limits: Limits, keep: bool) -> It
             now, who = float(epoch), [one] if two is None else [one, two]
             out.append(state.settle(now, who, policy, (refused, reason, seconds) if reason else None))
             if keep:
-                seen |= dict.fromkeys(who, now)
+                for w in who:
+                    seen[w] = now
         if out:
             own = batch.filter(pc.is_null(batch.column("identity")))
             told = {c: [getattr(d, c) for d in out] for c in ("allowed", "policy", "reason", "status", "retry_after", "remaining")}
