@@ -56,11 +56,11 @@ class Settings:
     score_lanes: int = 1024
 
 
-def ending(words: list[str], n: int) -> np.ndarray:
+def ending(words: pa.Array, n: int) -> np.ndarray:
     """The class of each word by its last two characters, of which there are few different ones."""
-    last = [w[-2:] for w in words]
-    of = {x: zlib.crc32(x.encode("utf-8", "surrogatepass")) % n for x in set(last)}
-    return np.fromiter(map(of.__getitem__, last), np.int64, len(words))
+    last = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+    of = np.array([zlib.crc32(x.encode()) % n for x in last.dictionary.to_pylist()], np.int64)
+    return of[last.indices.to_numpy()]
 
 
 class Vocabulary:
@@ -79,35 +79,44 @@ class Vocabulary:
         #: The class of each place.
         self.class_of = np.concatenate([self.word_class, self.n_classes + np.arange(s.endings)]).astype(np.int16)
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
-        other = np.flatnonzero(at < 0)
-        at[other] = len(self.words) + ending([words[i] for i in other], self.s.endings)
-        return at
+    def ids(self, words: pa.Array) -> np.ndarray:
+        at = pc.fill_null(pc.index_in(words, value_set=pa.array(self.words, words.type)), -1).to_numpy(zero_copy_only=False)
+        return np.where(at < 0, len(self.words) + ending(words, self.s.endings), at).astype(np.int32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 #: exp() of a larger number may overflow in a sum of 32-bit floats.
 LARGE = 60.0
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A column of logits for each state. Where they may be large, which states within -1 and 1 allow to tell from the weights,
-    the greatest of each column is taken off: neither shares nor their logarithms change."""
-    out = weights @ h.T
-    out += bias[:, None]
-    if np.abs(weights).sum(axis=1).max() * max(1.0, float(np.abs(h).max())) + np.abs(bias).max() > LARGE:
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """States side by side, and a row of ones below that takes the biases."""
+    out = np.ones((h.shape[1] + 1, len(h)), np.float32)
+    out[:-1] = h.T
+    return out
+
+
+def _logits(weights: np.ndarray, states: np.ndarray, large: bool) -> np.ndarray:
+    """A column of logits for each state. Where they may be large, the greatest of each column is taken off: neither shares nor
+    their logarithms change."""
+    out = weights @ states
+    if large:
         out -= out.max(axis=0)
     return out
 
 
-def _shares(logits: np.ndarray) -> np.ndarray:
-    """The softmax of each column, in place."""
+def _less_own(logits: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """The softmax of each column less one at its own entry, over n, in place."""
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=0)
+    logits *= (1 / n) / (np.ones(len(logits), np.float32) @ logits)
+    logits[own, np.arange(len(own))] -= 1 / n
     return logits
 
 
@@ -115,7 +124,7 @@ def _log_share(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The logarithm of one entry of the softmax of each column."""
     picked = logits[own, np.arange(len(own))]
     np.exp(logits, out=logits)
-    return picked - np.log(logits.sum(axis=0))
+    return picked - np.log(np.ones(len(logits), np.float32) @ logits)
 
 
 class Network:
@@ -147,13 +156,19 @@ class Network:
         return out
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
-        """x: the input's part of the gates. Returns the new state and what the way back needs."""
-        n = h.shape[1]
-        g = h @ self.p["u"]
-        zr = _sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        m = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
-        return m + z * (h - m), z, r, m, g[:, 2 * n :]
+        """x: the input's part of the gates. Returns the new state and what the way back needs. It is quick where a number of all
+        lanes lies in one piece, so that both are transposed arrays."""
+        n, x, h = h.shape[1], x.T, h.T
+        g = self.p["u"].T @ h
+        zr = _sigmoid(x[: 2 * n] + g[: 2 * n])
+        z, r, um = zr[:n], zr[n:], g[2 * n :]
+        m = r * um
+        m += x[2 * n :]
+        np.tanh(m, out=m)
+        new = h - m
+        new *= z
+        new += m
+        return new.T, z.T, r.T, m.T, um.T
 
     def _by_class(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The class of each id, an order by class, and where the tokens of each class of network words begin there."""
@@ -161,17 +176,27 @@ class Network:
         order = np.argsort(cls, kind="stable")
         return cls, order, np.searchsorted(cls[order], np.arange(self.v.n_classes + 1))
 
+    def _output(self, h: np.ndarray) -> tuple[np.ndarray, bool, np.ndarray, np.ndarray]:
+        """Weights and biases in one array, of classes and of words, and which of them may give large logits for these states:
+        the classes, and each class's words."""
+        most = np.append(np.full(h.shape[1], max(1.0, float(np.abs(h).max(initial=0))), np.float32), np.float32(1))
+        classes, words = (np.column_stack([self.p["w" + k], self.p["b" + k]]) for k in "cw")
+        inside = np.maximum.reduceat(np.abs(words) @ most, self.v.class_start[:-1]) if len(words) else np.zeros(0)
+        return classes, bool((np.abs(classes) @ most).max() > LARGE), words, inside > LARGE
+
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural logarithms of the class, and for the network's words of the word in it."""
         v = self.v
         cls, order, edge = self._by_class(ids)
-        out = _log_share(_logits(self.p["wc"], self.p["bc"], h), cls)
-        state, word = h[order], ids[order]
+        classes, large, words, inner = self._output(h)
+        states = _with_one(h)
+        out = _log_share(_logits(classes, states, large), cls)
+        states, word = states.take(order, axis=1, mode="clip"), ids[order]
         inside = np.zeros(len(ids), np.float32)
         for c in range(v.n_classes):
             a, b, lo, hi = edge[c], edge[c + 1], v.class_start[c], v.class_start[c + 1]
             if a < b and hi - lo > 1:
-                inside[a:b] = _log_share(_logits(self.p["ww"][lo:hi], self.p["bw"][lo:hi], state[a:b]), word[a:b] - lo)
+                inside[a:b] = _log_share(_logits(words[lo:hi], states[:, a:b], inner[c]), word[a:b] - lo)
         out[order] += inside
         return out
 
@@ -179,26 +204,26 @@ class Network:
         """Of the mean negative log probability, into g; returns the gradient of the states."""
         v, n = self.v, len(ids)
         cls, order, edge = self._by_class(ids)
-        p = _shares(_logits(self.p["wc"], self.p["bc"], h))
-        p[cls, np.arange(n)] -= 1
-        p /= n
-        g["wc"][:] = p @ h
-        g["bc"][:] = p.sum(axis=1)
-        dh = p.T @ self.p["wc"]
-        state, word = h[order], ids[order]
-        inside = np.zeros_like(state)
+        classes, large, words, inner = self._output(h)
+        states = _with_one(h)
+        p = _less_own(_logits(classes, states, large), cls, n)
+        by = p @ states.T
+        g["wc"][:], g["bc"][:] = by[:, :-1], by[:, -1]
+        dh = self.p["wc"].T @ p
+        states, word = states.take(order, axis=1, mode="clip"), ids[order]
+        inside = np.zeros_like(dh)
         for c in range(v.n_classes):
             a, b, lo, hi = edge[c], edge[c + 1], v.class_start[c], v.class_start[c + 1]
             if a < b and hi - lo > 1:
-                w = self.p["ww"][lo:hi]
-                q = _shares(_logits(w, self.p["bw"][lo:hi], state[a:b]))
-                q[word[a:b] - lo, np.arange(b - a)] -= 1
-                q /= n
-                g["ww"][lo:hi] = q @ state[a:b]
-                g["bw"][lo:hi] = q.sum(axis=1)
-                inside[a:b] = q.T @ w
-        dh[order] += inside
-        return dh
+                own = states[:, a:b]
+                q = _less_own(_logits(words[lo:hi], own, inner[c]), word[a:b] - lo, n)
+                by = q @ own.T
+                g["ww"][lo:hi], g["bw"][lo:hi] = by[:, :-1], by[:, -1]
+                np.matmul(self.p["ww"][lo:hi].T, q, out=inside[:, a:b])
+        back = np.empty_like(order)
+        back[order] = np.arange(n)
+        dh += inside.take(back, axis=1, mode="clip")
+        return dh.T
 
     def span(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, grad: np.ndarray) -> np.ndarray:
         """Gradients of one span of steps (inputs x, targets y, both steps by lanes) from the states h, into grad; returns the states
@@ -206,35 +231,51 @@ class Network:
         steps, lanes = x.shape
         n = h.shape[1]
         g = self.views(grad)
-        gates = self.p["in"][x]
-        before, z, r, m, um, states = (np.empty((steps, lanes, n), np.float32) for _ in range(6))
+        live, gates = (~fresh).astype(np.float32), np.empty((3 * n, steps, lanes), np.float32)
+        before, z, r, m, um, states = (np.empty((n, steps, lanes), np.float32) for _ in range(6))
+        h = h.T
         for k in range(steps):
-            before[k] = h
-            before[k][fresh[k]] = 0
-            h, z[k], r[k], m[k], um[k] = self.step(gates[k], before[k])
-            states[k] = h
-        dall = self.gradients(states.reshape(-1, n), y.ravel(), g).reshape(steps, lanes, n)
+            gates[:, k] = self.p["in"].take(x[k], axis=0).T
+            np.multiply(h, live[k], out=before[:, k])
+            h, *rest = (a.T for a in self.step(gates[:, k].T, before[:, k].T))
+            states[:, k] = h
+            for kept, a in zip((z, r, m, um), rest, strict=True):
+                kept[:, k] = a
+        dall = self.gradients(states.reshape(n, -1).T, y.ravel(), g).T.reshape(n, steps, lanes)
         # what does not depend on the steps behind is worked out for all steps at once
-        by_m, by_z, by_r = (1 - z) * (1 - m * m), (before - m) * z * (1 - z), um * r * (1 - r)
-        back = np.empty((steps, lanes, 3 * n), np.float32)
-        dh, turned = np.zeros_like(h), np.ascontiguousarray(self.p["u"].T)
+        by_z = before - m
+        by_m = m
+        by_m *= m
+        np.subtract(1, by_m, out=by_m)
+        left = 1 - z
+        by_m *= left
+        by_z *= z
+        by_z *= left
+        by_r = um
+        by_r *= r
+        np.subtract(1, r, out=left)
+        by_r *= left
+        back = np.empty((3 * n, steps, lanes), np.float32)
+        dh, u = np.zeros((n, lanes), np.float32), self.p["u"]
         for k in range(steps - 1, -1, -1):
-            dh = dh + dall[k]
-            dm = dh * by_m[k]
-            np.multiply(dh, by_z[k], out=back[k, :, :n])
-            np.multiply(dm, by_r[k], out=back[k, :, n : 2 * n])
-            np.multiply(dm, r[k], out=back[k, :, 2 * n :])
-            gates[k, :, 2 * n :] = dm
-            dh = dh * z[k] + back[k] @ turned
-            dh[fresh[k]] = 0
-        g["u"][:] = before.reshape(-1, n).T @ back.reshape(-1, 3 * n)
-        gates[:, :, : 2 * n] = back[:, :, : 2 * n]
-        flat = x.ravel()
+            dh += dall[:, k]
+            dm = gates[2 * n :, k]
+            np.multiply(dh, by_m[:, k], out=dm)
+            np.multiply(dh, by_z[:, k], out=back[:n, k])
+            np.multiply(dm, by_r[:, k], out=back[n : 2 * n, k])
+            np.multiply(dm, r[:, k], out=back[2 * n :, k])
+            dh *= z[:, k]
+            dh += u @ back[:, k]
+            dh *= live[k]
+        g["u"][:] = before.reshape(n, -1) @ back.reshape(3 * n, -1).T
+        gates[: 2 * n] = back[: 2 * n]
+        flat = x.ravel().astype(np.uint16 if self.v.size < 1 << 16 else np.int32)  # short numbers are sorted by their digits
         order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        found = flat[order]
+        first = np.concatenate([[0], np.flatnonzero(found[1:] != found[:-1]) + 1])
         g["in"][:] = 0
-        g["in"][flat[order[first]]] = np.add.reduceat(gates.reshape(-1, 3 * n)[order], first, axis=0)
-        return h
+        g["in"][found[first]] = np.add.reduceat(gates.reshape(3 * n, -1).take(order, axis=1, mode="clip"), first, axis=1).T
+        return h.T
 
     def train(self, docs: list[np.ndarray], epochs: int, rate: float) -> None:
         """On documents of ids (each with its end), by truncated backpropagation through spans of steps, the states carried on."""
@@ -260,11 +301,19 @@ class Network:
                 if length > 1:
                     grad /= length
                 t += 1
-                m1 += 0.1 * (grad - m1)
+                m1 *= 0.9
+                m1 += 0.1 * grad
                 grad *= grad
-                m2 += 0.005 * (grad - m2)
+                grad *= 0.005
+                m2 *= 0.995
+                m2 += grad
                 now = rate * max(0.1, 1 - t / total)
-                self.all -= (now / (1 - 0.9**t)) * m1 / (np.sqrt(m2 / (1 - 0.995**t)) + 1e-6)
+                np.multiply(m2, 1 / (1 - 0.995**t), out=grad)
+                np.sqrt(grad, out=grad)
+                grad += 1e-6
+                np.divide(m1, grad, out=grad)
+                grad *= now / (1 - 0.9**t)
+                self.all -= grad
 
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log probabilities (see log_probabilities) summed over each document ids[at[i]:at[i + 1]]. Documents lie
@@ -281,47 +330,47 @@ class Network:
         load = np.array([sum(int(size[d]) for d in x) for x in order], np.int64)
         rank = np.argsort(-load, kind="stable")
         docs = np.array([d for k in rank.tolist() for d in order[k]], np.int64)
-        lane_at = np.concatenate([[0], np.cumsum(load[rank])])
-        target = ids[flat_ranges(at[docs], size[docs])]  # lane after lane
-        doc_of = np.repeat(docs.astype(np.int32), size[docs])
-        end = self.v.place.get(END, 0)
-        fresh = np.zeros(len(target), bool)
-        fresh[(np.cumsum(size[docs]) - size[docs])[size[docs] > 0]] = True
-        source = np.concatenate([[end], target[:-1]])
-        source[fresh] = end
-        h = np.zeros((lanes, n), np.float32)
+        lane_at, lengths = np.cumsum(load[rank]) - load[rank], load[rank]
+        # step after step the lanes still at work
+        active = np.searchsorted(-lengths, -np.arange(lengths[0] if lanes else 0), side="left")
+        edge = np.concatenate([[0], np.cumsum(active)])
+        where = lane_at[flat_ranges(np.zeros(len(active), np.int64), active)]
+        where += np.repeat(np.arange(len(active)), active)
+        first = np.zeros(len(where), bool)
+        first[(np.cumsum(size[docs]) - size[docs])[size[docs] > 0]] = True
+        live = (~first[where]).astype(np.float32)
+        place = flat_ranges(at[docs], size[docs])[where]  # in ids; lanes hold one document after another
+        target = ids[place]
+        source = np.where(live > 0, ids[place - 1], self.v.place.get(END, 0))
+        doc_of = np.repeat(docs.astype(np.int32), size[docs])[where]
+        del where, first, place
+        h = np.zeros((n, lanes), np.float32)
         out = np.zeros(len(size))
-        lengths = load[rank]
-        states, where, held = [], [], 0
-        for t in range(int(lengths[0]) if lanes else 0):
-            active = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
-            now = lane_at[:active] + t
-            h = h[:active]
-            new = fresh[now]
-            if new.any():
-                h = np.where(new[:, None], np.float32(0), h)
-            h = self.step(self.p["in"][source[now]], h)[0]
-            states.append(h)
-            where.append(now)
-            held += active
-            if held >= 16_384 or t + 1 == lengths[0]:
-                which = np.concatenate(where)
-                out += np.bincount(doc_of[which], self.log_probabilities(np.concatenate(states), target[which]), len(size))
-                states, where, held = [], [], 0
+        a = 0
+        while a < len(active):
+            b = min(len(active), max(a + 1, int(np.searchsorted(edge, edge[a] + 16_384))))
+            block = slice(edge[a], edge[b])
+            gates = np.ascontiguousarray(self.p["in"].take(source[block], axis=0).T)
+            states = np.empty((n, gates.shape[1]), np.float32)
+            for x, y in itertools.pairwise((edge[a : b + 1] - edge[a]).tolist()):
+                h = h[:, : y - x] * live[edge[a] + x : edge[a] + y]
+                h = self.step(gates[:, x:y].T, h.T)[0].T
+                states[:, x:y] = h
+            out += np.bincount(doc_of[block], self.log_probabilities(states.T, target[block]), len(size))
+            a = b
         return out
 
 
-def tokens_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words (the end last), the index of each token among them, and where each text's tokens begin."""
     values, at = split_words(lower_ascii(texts))
     coded = values.dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    n = len(at) - 1
+    words, n = coded.dictionary, len(at) - 1
     out = np.full(len(values) + n, len(words), np.int32)
     body = np.ones(len(out), bool)
     body[at[1:] + np.arange(n)] = False
     out[body] = coded.indices.to_numpy(zero_copy_only=False)
-    return [*words, END], out, at + np.arange(n + 1)
+    return pa.concat_arrays([words, pa.array([END], words.type)]), out, at + np.arange(n + 1)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -331,7 +380,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, most=8 << 20):
             words, which, _ = tokens_of(texts_of(batch))
             n = np.bincount(which, minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n)], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(n)], names=["word", "n"])
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -343,6 +392,11 @@ def dealt(training: DataFrame, n_tokens: int, s: Settings) -> tuple[DataFrame, i
     return rows.select(F.pmod("h", F.lit(shards)).cast("long").alias("shard"), "h", "text"), shards
 
 
+def by_shard(rows: DataFrame, n: int) -> DataFrame:
+    """In n parts that hold equally many shards, give or take one, in order."""
+    return rows.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "h", "text")
+
+
 def learner(words: list[str], counts: np.ndarray, s: Settings, first: np.ndarray | None, epochs: int, rate: float, one: bool = False):
     """A function of batches (shard, h, text) in order of shards: (weight, parameters), the number of tokens and the sum of the
     parameters (as bytes of doubles) that the shards come to from the first ones, times their tokens. A shard of over twice the
@@ -362,7 +416,7 @@ def learner(words: list[str], counts: np.ndarray, s: Settings, first: np.ndarray
 
         for batch in slices(batches, most=8 << 20):
             found, which, at = tokens_of(texts_of(batch))
-            ids = own.ids(found)[which].astype(np.int32)
+            ids = own.ids(found)[which]
             for k, name in enumerate(batch.column("shard").to_pylist()):
                 if name != shard:
                     close()
@@ -406,10 +460,9 @@ def train(training: DataFrame, v: Vocabulary, counts: np.ndarray, n_tokens: int,
         return sum(np.frombuffer(r["parameters"]) for r in made) / sum(r["weight"] for r in made) if made else None
 
     kind = "weight long, parameters binary"
-    ordered = lambda x, n: x.repartition(n, "shard").sortWithinPartitions("shard", "h", "text")
-    start = mean(ordered(rows.where("shard = 0"), 1).mapInArrow(learn(None, s.epochs, s.rate, True), kind))
+    start = mean(by_shard(rows.where("shard = 0"), 1).mapInArrow(learn(None, s.epochs, s.rate, True), kind))
     start = Network(v, counts).all if start is None else start.astype(np.float32)
-    refined = scratch.table("refined", ordered(rows, min(shards, 4096)).mapInArrow(learn(start, 1, s.rate / 3, False), kind))
+    refined = scratch.table("refined", by_shard(rows, min(shards, 4096)).mapInArrow(learn(start, 1, s.rate / 3, False), kind))
     done = mean(refined.repartition(8).mapInArrow(_summed, kind))
     return start if done is None else done.astype(np.float32)
 
@@ -454,8 +507,8 @@ def score_documents(docs: DataFrame, s: Settings = Settings(), modulus: int = 7,
         share = np.concatenate([np.zeros(len(words)), lg(tokens + types + 1.0)])
         for batch in slices(batches, most=12 << 20):  # the more texts, the more lanes beside the longest one
             found, which, at = tokens_of(texts_of(batch))
-            ids = v.ids(found).astype(np.int32)
-            near = pc.fill_null(pc.index_in(pa.array(found, head_words.type), value_set=head_words), -1).to_numpy(zero_copy_only=False)
+            ids = v.ids(found)
+            near = pc.fill_null(pc.index_in(found.cast(head_words.type), value_set=head_words), -1).to_numpy(zero_copy_only=False)
             known = near >= 0
             count = np.where(known, head_counts[near] if len(head_counts) else 0, 0)
             n = np.diff(at)
@@ -473,7 +526,7 @@ def score_documents(docs: DataFrame, s: Settings = Settings(), modulus: int = 7,
             far = np.flatnonzero(~known[which])
             if len(far):
                 pair, times = np.unique(owner[far].astype(np.int64) * len(found) + which[far], return_counts=True)
-                o, w = pa.array(pair // len(found)), pa.array(found, pa.string()).take(pa.array(pair % len(found)))
+                o, w = pa.array(pair // len(found)), found.take(pa.array(pair % len(found))).cast(pa.string())
                 m = len(pair)
                 yield pa.RecordBatch.from_arrays([doc.take(o), tkey.take(o), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), w, pa.array(times)], names=NAMES)
 
